@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat_format, training_order, url_filter
+from . import chat_format, language_id, quality, training_order, url_filter
 
 
 def queries():
     return {
         "op3_chat_rotation": chat_format.op3_chat_rotation,
+        "op4_language_id": language_id.op4_language_id,
         "op6_url_filter": url_filter.op6_url_filter,
+        "op7_quality": quality.op7_quality,
         "op9_training_order": training_order.op9_training_order,
     }
 
