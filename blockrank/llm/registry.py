@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, language_id, quality, training_order, url_filter
+from . import chat_format, language_id, near_dedup, quality, training_order, url_filter
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_quality": quality.op7_quality,
         "op9_training_order": training_order.op9_training_order,
+        "op10_near_dedup": near_dedup.op10_near_dedup,
     }
 
 
