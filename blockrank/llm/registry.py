@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, language_id, near_dedup, quality, training_order, url_filter
+from . import bpe, chat_format, language_id, near_dedup, quality, training_order, url_filter
 
 
 def queries():
     return {
+        "op1_byte_bpe": bpe.op1_byte_bpe,
         "op3_chat_rotation": chat_format.op3_chat_rotation,
         "op4_language_id": language_id.op4_language_id,
         "op6_url_filter": url_filter.op6_url_filter,
