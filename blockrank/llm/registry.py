@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, language_id, near_dedup, quality, training_order, url_filter
+from . import bpe, chat_format, decontaminate, language_id, near_dedup, quality, training_order, url_filter
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op4_language_id": language_id.op4_language_id,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_quality": quality.op7_quality,
+        "op8_decontamination": decontaminate.op8_decontamination,
         "op9_training_order": training_order.op9_training_order,
         "op10_near_dedup": near_dedup.op10_near_dedup,
     }
