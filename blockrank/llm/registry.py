@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, language_id, near_dedup, quality, training_order, url_filter
+from . import bpe, chat_format, decontaminate, language_id, lm_score, near_dedup, quality, training_order, url_filter
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_byte_bpe": bpe.op1_byte_bpe,
         "op3_chat_rotation": chat_format.op3_chat_rotation,
         "op4_language_id": language_id.op4_language_id,
+        "op5_lm_score": lm_score.op5_lm_score,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_quality": quality.op7_quality,
         "op8_decontamination": decontaminate.op8_decontamination,
