@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges(a, b) -> (id, class): the least id of each component, for every id that has an edge.
 
     Each round takes the least class among a node and its neighbours, then the class of that class, so a
-    long chain halves; rounds are checkpointed and end when no class changes."""
-    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a <> b").distinct().checkpoint()
-    state = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least")).select("id", F.least("id", "least").alias("class")).checkpoint()
+    long chain halves; rounds are written to the shared folder and end when no class changes."""
+    both = materialise(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a <> b").distinct(), "graph-edges")
+    state = materialise(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least")).select("id", F.least("id", "least").alias("class")), "graph-classes")
     for _ in range(max_rounds):
         near = both.join(state.select(F.col("id").alias("b"), "class"), "b").groupBy(F.col("a").alias("id")).agg(F.min("class").alias("near"))
         moved = state.join(near, "id").select("id", F.col("class").alias("was"), F.least("class", "near").alias("class"))
         jump = moved.select(F.col("id").alias("class"), F.col("class").alias("next"))
-        moved = moved.join(jump, "class", "left").select("id", "was", F.coalesce("next", "class").alias("class")).checkpoint()
+        moved = materialise(moved.join(jump, "class", "left").select("id", "was", F.coalesce("next", "class").alias("class")), "graph-classes")
         state = moved.drop("was")
         if moved.filter("was <> class").limit(1).count() == 0:
             return state

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, language_id, lm_score, near_dedup, quality, training_order, url_filter
+from . import bpe, chat_format, decontaminate, language_id, line_dedup, lm_score, near_dedup, quality, training_order, url_filter
 
 
 def queries():
     return {
         "op1_byte_bpe": bpe.op1_byte_bpe,
+        "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_chat_rotation": chat_format.op3_chat_rotation,
         "op4_language_id": language_id.op4_language_id,
         "op5_lm_score": lm_score.op5_lm_score,
