@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table
+from .common import pipeline_stage, read_table
 from .text_kernel import text_chunks
 
 CHUNK_BYTES, LONG_WORD = 32 << 20, 400
@@ -257,6 +257,7 @@ def op1_byte_bpe(spark, sf_dir) -> DataFrame:
     return done.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@pipeline_stage
 def encode_stage(spark, docs: DataFrame, sf_dir) -> DataFrame:
     """Pipeline stage: all columns and token_ids."""
     return encode(docs, public_tokenizer(spark))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -44,3 +45,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n))
+
+
+def pipeline_stage(function):
+    """Marks a stage (spark, docs, sf_dir) of the pipeline: the executors get the package first."""
+
+    @functools.wraps(function)
+    def run(spark, docs, sf_dir):
+        ship_package(spark)
+        return function(spark, docs, sf_dir)
+
+    return run

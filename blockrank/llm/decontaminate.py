@@ -25,7 +25,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table
+from .common import materialise, pipeline_stage, read_table
 
 K, SIMILARITY, BLOCKS, RADIUS, BITMAP_BITS = 5, 0.8, 5, 19, 19
 #: Items are broadcast while their shingles are at most so many; beyond that, the joins shuffle.
@@ -153,6 +153,7 @@ def op8_decontamination(spark, sf_dir) -> DataFrame:
     return found.select("doc_id", "item_id", F.col("first_word").cast("long").alias("first_word"), "similarity", F.col("distance").cast("long").alias("distance"))
 
 
+@pipeline_stage
 def decontaminate_stage(spark, docs: DataFrame, sf_dir) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark item go."""
     found = contaminated(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()

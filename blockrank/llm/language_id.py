@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .classify import bounded_sample, gram_buckets, inside_mask, range_sums
-from .common import crc_mod, read_table
+from .common import crc_mod, pipeline_stage, read_table
 from .text_kernel import LOWER, text_chunks
 
 BITS, DIM, GRAMS = 16, 16, (2, 3, 4)
@@ -179,6 +179,7 @@ def op4_language_id(spark, sf_dir) -> DataFrame:
     return found.select("doc_id", (F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+@pipeline_stage
 def language_stage(spark, docs: DataFrame, sf_dir) -> DataFrame:
     """Pipeline stage: documents that are rejected go."""
     return identify(docs, fit(docs)).filter("accepted").select(*docs.columns)

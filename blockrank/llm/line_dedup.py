@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, read_table
+from .common import materialise, pipeline_stage, read_table
 from .components import connected_components
 from .text_kernel import line_offsets, mix, order_within, shingles, span_hashes, text_chunks, word_spans
 
@@ -211,6 +211,7 @@ def op2_line_dedup(spark, sf_dir) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "text")
 
 
+@pipeline_stage
 def line_stage(spark, docs: DataFrame, sf_dir) -> DataFrame:
     """Pipeline stage: the texts without their repeated lines."""
     return dedup_lines(docs).select(*docs.columns)

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from . import bpe, chat_format, decontaminate, language_id, line_dedup, lm_score, near_dedup, quality, training_order, url_filter
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir).select("doc_id", "text", "lang", "source", "n_chars", F.array_join(F.col("token_ids").cast("array<string>"), ",").alias("token_ids"))
+
+
 def queries():
     return {
+        "pipeline": pipeline,
         "op1_byte_bpe": bpe.op1_byte_bpe,
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_chat_rotation": chat_format.op3_chat_rotation,
