@@ -6,16 +6,19 @@ runs of five words, each labelled with its occurrence number in the text, so rep
 their sequence is one band. Two texts whose k-mer sequences agree by 0.8 share a band with a chance of at
 least 0.64 each, so 16 bands miss a pair with a chance below 1e-7.
 
-In each band's bucket every text is compared with the bucket's least text only, so a bucket of m copies
-costs m comparisons. Texts that fail against that one are then compared with every other text of the
-bucket that shares at least `MIN_SHARED` bands with them: no pair of a bucket is left out.
-
-A comparison aligns the two k-mer sequences within the band of diagonals that a similarity of 0.8 allows
+Texts that share a bucket are joined to the bucket's least text, which costs one row for each text and
+band; the components of these joins hold every pair that shares a band. A component is cut into tiles of
+about TILE texts by the hash of the id, and each pair of tiles is compared by itself: pairs whose
+128 further least k-mers agree too rarely for a similarity of 0.8 (a chance of 2e-5 to miss one) are
+passed over, and so are pairs that are linked already, directly or through others; no rows are made for
+pairs, and a group of m like texts costs m alignments.
+
+An alignment matches the two k-mer sequences within the band of diagonals that a similarity of 0.8 allows
 (bit-parallel longest common subsequence); the similarity is matched / (m + n - matched). Classes are the
 connected components of verified pairs; a class is named by its least doc_id.
 
-Defined results: null texts and texts without a word are each a class of their own; a text of fewer than
-five words has one k-mer, all its words; repeated rows of one doc_id give a row each; an empty table gives
+Defined results: null counts as empty, and empty texts are equal texts like others; texts without a word
+have no other likeness than equal bytes; a text of fewer than five words has one k-mer, all its words; repeated rows of one doc_id give a row each; an empty table gives
 an empty result; other columns are not read by `near_classes`, and kept by the pipeline stage.
 """
 
@@ -27,11 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table
+from .common import materialise, pipeline_stage, read_table
 from .components import connected_components
 from .text_kernel import mix, occurrence, shingles, span_hashes, text_chunks, word_spans
 
-K, SKETCHES, PER_SKETCH, SIMILARITY, MIN_SHARED = 5, 16, 2, 0.8, 3
+K, SKETCHES, PER_SKETCH, SIMILARITY = 5, 16, 2, 0.8
+CHECKS, CHECKS_ALIKE, TILE = 128, 84, 512
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -117,68 +121,78 @@ def _sketch(batches):
             yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(digest, pa.binary()), pa.array(n.astype(np.int64)), lists], names=["id", "digest", "n", "bands"])
 
 
-def _compare(batches):
+def _grams(batches):
+    """(id, text) -> (id, k-mers, further least k-mers)."""
+    seeds = mix(np.arange(1001, 1001 + CHECKS, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
     for batch in batches:
-        each = []
-        for side in ("text_a", "text_b"):
-            for _, _, data, offs in text_chunks(batch.select([side]), side):
-                grams, begin = kmers(data, offs)
-                each += [grams[s:e] for s, e in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-        half = batch.num_rows
-        sims = [aligned_similarity(each[i], each[half + i]) for i in range(half)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
-
-
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs(a, b) of ids of texts(id, text) -> (a, b, similarity), one comparison each."""
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_compare, "a long, b long, similarity double")
+        for lo, hi, data, offs in text_chunks(batch, "text"):
+            grams, begin = kmers(data, offs)
+            of = np.repeat(np.arange(hi - lo), np.diff(begin))
+            labelled = mix(grams + occurrence(grams, of).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            full = np.flatnonzero(np.diff(begin))
+            least = np.zeros((hi - lo, CHECKS), dtype="<u2")
+            for j, seed in enumerate(seeds if len(full) else ()):
+                h = (labelled ^ seed) * np.uint64(0xFF51AFD7ED558CCD)
+                h ^= h >> np.uint64(32)
+                least[full, j] = (mix(np.minimum.reduceat(h, begin[full])) & np.uint64(0xFFFF)).astype("<u2")
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([grams[s:e].tobytes() for s, e in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary()), pa.array([x.tobytes() for x in least], pa.binary())], names=["id", "grams", "least"])
+
+
+def _link_tile(key, table):
+    """Links (a, b) that join all texts of a pair of tiles which similar pairs join."""
+    _, one, two = (k.as_py() for k in key)
+    table = table.sort_by("id")
+    ids = table["id"].to_numpy()
+    tile = table["tile"].to_numpy()
+    grams = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table["grams"]]
+    least = np.frombuffer(b"".join(x.as_py() for x in table["least"]), dtype="<u2").reshape(len(ids), CHECKS)
+    size = np.array([len(g) for g in grams])
+    root = np.arange(len(ids))
+    links = []
+    for i in range(len(ids) - 1):
+        other = np.arange(i + 1, len(ids))
+        if one != two:
+            other = other[tile[i + 1 :] != tile[i]]
+        other = other[root[other] != root[i]]
+        other = other[np.minimum(size[other], size[i]) >= SIMILARITY * np.maximum(size[other], size[i])]
+        other = other[(least[other] == least[i]).sum(axis=1) >= CHECKS_ALIKE]
+        for j in other.tolist():
+            if root[i] != root[j] and aligned_similarity(grams[i], grams[j]) >= SIMILARITY:
+                links.append((ids[i], ids[j]))
+                root[root == root[j]] = root[i]
+    return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, class_id, copies, links) of every row: the class, how many rows have the same text, and the
-    verified links of that text to other texts."""
+    """(id, class_id, copies) of every row: the class, and how many rows have the same text."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    sketched = rows.filter("id is not null").mapInArrow(_sketch, "id long, digest binary, n long, bands array<long>")
-    # empty texts stand alone: their digest is their own id
-    own = F.when(F.col("n") == 0, F.concat(F.lit("id"), F.col("id").cast("string")).cast("binary")).otherwise(F.col("digest"))
-    sketched = materialise(sketched.withColumn("digest", own), "near-sketches")
+    sketched = rows.mapInArrow(_sketch, "id long, digest binary, n long, bands array<long>")
+    sketched = materialise(sketched, "near-sketches")
     reps = sketched.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    members = sketched.select("id", "digest", "n").join(reps, "digest")
-    heads = sketched.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").filter("n > 0").dropDuplicates(["id"])
-    posted = materialise(heads.select("id", "n", F.posexplode("bands").alias("no", "band")).select("id", "n", F.xxhash64("no", "band").alias("band")), "near-bands")
-    least = posted.groupBy("band").agg(F.min(F.struct("id", "n")).alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("band", F.col("least.id").alias("a"), F.col("least.n").alias("na"))
-    stars = posted.join(least, "band").filter("id <> a")
-    near = F.least("n", "na") >= SIMILARITY * F.greatest("n", "na")
-    first = materialise(stars.groupBy("a", F.col("id").alias("b")).agg(F.max(near).alias("near")), "near-pairs")
-    pairs = first.filter("near").select("a", "b")
-    wanted = posted.join(least.select("band"), "band", "left_semi").select("id").distinct()
-    texts = materialise(rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "near-texts")
-    found = materialise(verify(pairs, texts), "near-first")
-    linked = found.filter(F.col("similarity") >= SIMILARITY).select("a", "b")
-    # whoever failed against a bucket's least text meets the rest of that bucket
-    failed = first.select("a", "b").join(linked, ["a", "b"], "left_anti")
-    left = stars.select("band", F.col("id").alias("b"), "a", F.col("n").alias("nb")).join(failed, ["a", "b"], "left_semi")
-    met = left.select("band", "b", "nb").join(posted.select("band", F.col("id").alias("c"), F.col("n").alias("nc")), "band")
-    met = met.filter((F.col("b") != F.col("c")) & (F.least("nb", "nc") >= SIMILARITY * F.greatest("nb", "nc")))
-    rest = met.groupBy(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).agg(F.countDistinct("band").alias("shared")).filter(F.col("shared") >= MIN_SHARED).select("a", "b")
-    rest = rest.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    more = verify(rest, texts).filter(F.col("similarity") >= SIMILARITY).select("a", "b")
-    edges = materialise(linked.union(more), "near-edges")
-    classes = connected_components(edges)
-    degree = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    named = classes.withColumnRenamed("id", "rep").join(degree, "rep")
-    return members.join(named, "rep", "left").select("id", F.coalesce("class", "rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    members = sketched.select("id", "digest").join(reps, "digest")
+    heads = sketched.filter("n > 0").join(reps.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    posted = materialise(heads.select("id", F.posexplode("bands").alias("no", "band")).select("id", F.xxhash64("no", "band").alias("band")), "near-bands")
+    least = posted.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("band", "a")
+    stars = posted.join(least, "band").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+    groups = connected_components(stars).withColumnRenamed("class", "group")
+    tiles = groups.join(groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")), "group")
+    grams = rows.join(groups.select("id"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_grams, "id long, grams binary, least binary")
+    placed = tiles.join(grams, "id").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
+    dealt = placed.select("group", "id", "tile", "grams", "least", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("with"))
+    dealt = dealt.withColumn("one", F.least("tile", "with")).withColumn("two", F.greatest("tile", "with")).drop("with")
+    links = materialise(dealt.groupBy("group", "one", "two").applyInArrow(_link_tile, "a long, b long"), "near-links")
+    classes = connected_components(links).withColumnRenamed("id", "rep")
+    return members.join(classes, "rep", "left").select("id", F.coalesce("class", "rep").alias("class_id"), "copies")
 
 
 def op10_near_dedup(spark, sf_dir) -> DataFrame:
-    return near_classes(read_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "copies", "links")
+    return near_classes(read_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "copies")
 
 
+@pipeline_stage
 def near_stage(spark, docs: DataFrame, sf_dir) -> DataFrame:
     """Pipeline stage: the document with the least id of each class stays; null ids stay."""
-    classes = near_classes(docs)
+    classes = near_classes(docs.filter("doc_id is not null"))
     kept = classes.filter("id = class_id").select(F.col("id").alias("doc_id")).distinct()
     one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
