@@ -1,8 +1,8 @@
 """Op 1: byte-level BPE encoding and decoding by Spark higher-order functions.
 
 Texts are split by the tokenizer's pattern in Arrow batches. Each chunk of texts (about `chunk_bytes`, or
-one longer text) becomes one row: the byte arrays of its distinct words, and its texts as places in that
-list. Higher-order functions then fold the merges over each distinct word: the state holds one long per
+one longer text) becomes one row: the byte arrays of its distinct words, as the fold's first states, and its texts
+as places in that list. Higher-order functions then fold the merges over each distinct word: the state holds one long per
 piece, `rank with the next piece | first byte | token`, so the array's minimum is the leftmost merge of
 least rank; a fold of n - 1 steps ends with no merge left. Ranks of pairs are looked up in a literal
 two-choice hash table of all pairs whose joint bytes are a token (a scalar subquery, so it is sent once
@@ -112,7 +112,12 @@ class Tokenizer:
         pairs = pair_table(ranks)
         single = [ranks[bytes([b])] for b in range(256)]
         self.mask = len(pairs) - 1
-        table = pa.table({"pairs": pa.array([pairs], pa.list_(pa.int64())), "single": pa.array([single], pa.list_(pa.int64())), "pieces": pa.array([pieces], pa.list_(pa.binary()))})
+        table = pa.table({"pairs": pa.array([pairs], pa.list_(pa.int64())), "pieces": pa.array([pieces], pa.list_(pa.binary()))})
+        self.single = np.array(single, dtype=np.int64)
+        self.couples = np.full((256, 256), NO_MERGE, dtype=np.int64)
+        for a in range(256):
+            for b in range(256):
+                self.couples[a, b] = ranks.get(bytes([a, b]), NO_MERGE)
         self._frame = spark.createDataFrame(table)
 
     def literal(self, name: str) -> Column:
@@ -125,8 +130,20 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def fold_merges(word: Column, pairs: Column, single: Column, mask: int) -> Column:
-    """Token ids of one word given as an array of byte values."""
+def begin_states(data: np.ndarray, offs: np.ndarray, single: np.ndarray, couples: np.ndarray) -> np.ndarray:
+    """The fold's first states of words laid end to end: a long for each byte."""
+    tokens = single[data]
+    rank = np.full(len(data), NO_MERGE, dtype=np.int64)
+    if len(data) > 1:
+        rank[:-1] = couples[data[:-1], data[1:]]
+    ends = offs[1:][np.diff(offs) > 0]
+    rank[ends - 1] = NO_MERGE
+    place = np.arange(len(data)) - np.repeat(offs[:-1], np.diff(offs))
+    return (rank << _RANK) | (place << _LABEL) | tokens
+
+
+def fold_merges(word: Column, pairs: Column, mask: int) -> Column:
+    """Token ids of one word given by its first states."""
     low = F.lit((1 << _LABEL) - 1).cast("long")
 
     def rank_of(a: Column, b: Column) -> Column:
@@ -147,10 +164,6 @@ def fold_merges(word: Column, pairs: Column, single: Column, mask: int) -> Colum
     def state(rank: Column, label: Column, t: Column) -> Column:
         return F.shiftleft(rank, _RANK).bitwiseOR(label).bitwiseOR(t)
 
-    def begin(b: Column, i: Column) -> Column:
-        t = F.get(single, b)
-        return state(rank_after(t, F.get(word, i + 1), lambda x: F.get(single, x)), F.shiftleft(i.cast("long"), _LABEL), t)
-
     keep = F.lit((1 << _RANK) - 1).cast("long")
     labels = F.lit(((1 << (_RANK - _LABEL)) - 1) << _LABEL).cast("long")
 
@@ -169,7 +182,7 @@ def fold_merges(word: Column, pairs: Column, single: Column, mask: int) -> Colum
         return _let(F.array_min(s), lambda e: F.when(F.shiftright(e, _RANK) >= NO_MERGE, s).otherwise(merge(s, e)))
 
     turns = F.when(F.size(word) > 1, F.sequence(F.lit(2), F.size(word))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(turns, F.transform(word, begin), step, lambda s: F.transform(s, lambda e: token(e).cast("int")))
+    return F.aggregate(turns, word, step, lambda s: F.transform(s, lambda e: token(e).cast("int")))
 
 
 def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -196,7 +209,7 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 def _splitter(ranks_held, pattern: str, text: str, keep: list[str], chunk_bytes: int):
     def run(batches):
         find = regex.compile(pattern).findall
-        ranks = ranks_held.value
+        ranks, single, couples = ranks_held.value
         for batch in batches:
             for lo, hi, data, offs in text_chunks(batch, text, chunk_bytes):
                 places: defaultdict[str, int] = defaultdict()
@@ -210,8 +223,8 @@ def _splitter(ranks_held, pattern: str, text: str, keep: list[str], chunk_bytes:
                 ready = [[ranks[w]] if w in ranks else heap_merges(w, ranks) if len(w) > LONG_WORD else None for w in words]
                 todo = [b"" if r else w for w, r in zip(words, ready, strict=True)]
                 ends = np.concatenate([[0], np.cumsum([len(w) for w in todo], dtype=np.int64)]).astype(np.int32)
-                bytes_ = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(todo), dtype=np.uint8).astype(np.int16)))
-                dictionary = pa.StructArray.from_arrays([bytes_, pa.array(ready, pa.list_(pa.int32()))], names=["bytes", "ready"])
+                states = begin_states(np.frombuffer(b"".join(todo), dtype=np.uint8), ends, single, couples)
+                dictionary = pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(states)), pa.array(ready, pa.list_(pa.int32()))], names=["states", "ready"])
                 at = pa.ListArray.from_arrays(pa.array(np.array(sizes, dtype=np.int32)), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
                 rows = pa.StructArray.from_arrays([*(batch.column(batch.schema.get_field_index(k)).slice(lo, hi - lo) for k in keep), at], names=[*keep, "__at"])
                 one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
@@ -220,16 +233,16 @@ def _splitter(ranks_held, pattern: str, text: str, keep: list[str], chunk_bytes:
     return run
 
 
-def encode(docs: DataFrame, tok: Tokenizer, text: str = "text", out: str = "token_ids", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """docs with the array of token ids of docs[text]."""
+def encode(docs: DataFrame, tok: Tokenizer, text: str = "text", out: str = "token_ids", keep: list[str] | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """docs (or only its columns in keep) with the array of token ids of docs[text]."""
     docs = docs.drop(out) if text != out else docs
-    keep = docs.columns
-    held = docs.sparkSession.sparkContext.broadcast(tok.ranks)
-    row = T.StructType([*docs.schema.fields, T.StructField("__at", T.ArrayType(T.IntegerType()))])
-    schema = T.StructType([T.StructField("words", T.ArrayType(T.StructType([T.StructField("bytes", T.ArrayType(T.ShortType())), T.StructField("ready", T.ArrayType(T.IntegerType()))]))), T.StructField("texts", T.ArrayType(row))])
+    keep = docs.columns if keep is None else keep
+    held = docs.sparkSession.sparkContext.broadcast((tok.ranks, tok.single, tok.couples))
+    row = T.StructType([*(docs.schema[k] for k in keep), T.StructField("__at", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("words", T.ArrayType(T.StructType([T.StructField("states", T.ArrayType(T.LongType())), T.StructField("ready", T.ArrayType(T.IntegerType()))]))), T.StructField("texts", T.ArrayType(row))])
     blocks = docs.mapInArrow(_splitter(held, tok.pattern, text, keep, chunk_bytes), schema)
-    blocks = blocks.select("*", tok.literal("pairs").alias("pairs"), tok.literal("single").alias("single"))
-    ids = F.transform("words", lambda w: F.when(w["ready"].isNotNull(), w["ready"]).otherwise(fold_merges(w["bytes"], F.col("pairs"), F.col("single"), tok.mask)))
+    blocks = blocks.select("*", tok.literal("pairs").alias("pairs"))
+    ids = F.transform("words", lambda w: F.when(w["ready"].isNotNull(), w["ready"]).otherwise(fold_merges(w["states"], F.col("pairs"), tok.mask)))
 
     def spell(known: Column) -> Column:
         return F.transform("texts", lambda t: F.struct(*(t[k].alias(k) for k in keep), F.flatten(F.transform(t["__at"], lambda i: F.get(known, i))).alias(out)))
@@ -240,7 +253,7 @@ def encode(docs: DataFrame, tok: Tokenizer, text: str = "text", out: str = "toke
 def decode(tokens: DataFrame, tok: Tokenizer, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """tokens with the bytes of tokens[ids]."""
     keep = [c for c in tokens.columns if c != out]
-    piece = lambda i: F.coalesce(F.get("__pieces", i), F.raise_error(F.concat(F.lit("no token has the id "), i.cast("string"))))
+    piece = lambda i: F.element_at("__pieces", i + 1)  # noqa: E731  fails for an id out of range
     wide = tokens.withColumn("__pieces", tok.literal("pieces"))
     return wide.select(*keep, F.array_join(F.transform(F.coalesce(ids, F.array().cast("array<int>")), piece), "").cast("binary").alias(out))
 
@@ -253,7 +266,7 @@ def public_tokenizer(spark: SparkSession, name: str = "byte_bpe_multi_50k.tiktok
 
 def op1_byte_bpe(spark, sf_dir) -> DataFrame:
     tok = public_tokenizer(spark)
-    done = decode(encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tok).drop("text"), tok)
+    done = decode(encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tok, keep=["doc_id"]), tok)
     return done.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
