@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, pipeline_stage, read_table
+from .common import in_bitmap, key_bitmap, materialise, pipeline_stage, read_table
 from .components import connected_components
 from .text_kernel import line_offsets, mix, order_within, shingles, span_hashes, text_chunks, word_spans
 
-K, SIMILARITY, COUNTER_BITS, TILE, BLOOM_BITS = 5, 0.8, 16, 512, 24
+K, SIMILARITY, COUNTER_BITS, TILE = 5, 0.8, 16, 512
 
 
 def line_tokens(data: np.ndarray, offs: np.ndarray):
@@ -106,8 +106,7 @@ def _line_keys(frequency, wanted):
         for batch in batches:
             for _, _, data, offs in text_chunks(batch, "text"):
                 _, _, _, tokens, begin, key = token_sets(data, offs, frequency.value)
-                slot = key >> np.uint64(64 - BLOOM_BITS)
-                may = np.flatnonzero(bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1) if len(key) else np.zeros(0, np.int64)
+                may = np.flatnonzero(in_bitmap(bits, key))
                 _, one = np.unique(key[may], return_index=True)
                 may = may[one]
                 yield pa.RecordBatch.from_arrays([pa.array(key[may].view(np.int64)), pa.array([tokens[begin[i] : begin[i + 1]].tobytes() for i in may.tolist()], pa.binary())], names=["key", "tokens"])
@@ -170,15 +169,6 @@ def _rebuild(keep: list[str], text: str):
     return run
 
 
-def _bloom(keys: DataFrame) -> np.ndarray:
-    """A bitmap of 2**BLOOM_BITS bits, whatever the number of keys; a false hit only costs a row."""
-    slot = F.shiftrightunsigned("key", 64 - BLOOM_BITS)
-    rows = keys.select(F.shiftright(slot, 5).cast("int").alias("w"), slot.bitwiseAND(F.lit(31).cast("long")).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")).toArrow()
-    words = np.zeros(1 << (BLOOM_BITS - 5), dtype="<u4")
-    words[rows["w"].to_numpy()] = rows["bits"].to_numpy().astype("<u4")
-    return words.view(np.uint8)
-
-
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the lines that have an earlier similar line taken out of text, and n_lines, n_removed."""
     sc = docs.sparkSession.sparkContext
@@ -194,7 +184,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     posted = found.select(F.explode("prefix").alias("token"), "key").repartition("token")
     least = posted.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("z")).filter("a <> z").select("token", "a")
     groups = connected_components(posted.join(least, "token").filter("key <> a").select("a", F.col("key").alias("b")).distinct()).toDF("key", "group")
-    wanted = sc.broadcast(_bloom(groups))
+    wanted = sc.broadcast(key_bitmap(groups))
     tokens = rows.select("text").mapInArrow(_line_keys(frequency, wanted), "key long, tokens binary").join(groups, "key").dropDuplicates(["key"])
     sizes = groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     placed = tokens.join(sizes, "group").join(first, "key").withColumn("tile", F.pmod(F.xxhash64("key"), "tiles").cast("int"))

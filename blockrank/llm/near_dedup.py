@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pipeline_stage, read_table
+from .common import in_bitmap, key_bitmap, materialise, pipeline_stage, read_table
 from .components import connected_components
 from .text_kernel import mix, occurrence, shingles, span_hashes, text_chunks, word_spans
 
@@ -121,21 +121,26 @@ def _sketch(batches):
             yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(digest, pa.binary()), pa.array(n.astype(np.int64)), lists], names=["id", "digest", "n", "bands"])
 
 
-def _grams(batches):
-    """(id, text) -> (id, k-mers, further least k-mers)."""
+def _checks(wanted):
+    """(id, hash of id, text) -> (id, text, further least k-mers) of the ids that may be wanted."""
     seeds = mix(np.arange(1001, 1001 + CHECKS, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-    for batch in batches:
-        for lo, hi, data, offs in text_chunks(batch, "text"):
-            grams, begin = kmers(data, offs)
-            of = np.repeat(np.arange(hi - lo), np.diff(begin))
-            labelled = mix(grams + occurrence(grams, of).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-            full = np.flatnonzero(np.diff(begin))
-            least = np.zeros((hi - lo, CHECKS), dtype="<u2")
-            for j, seed in enumerate(seeds if len(full) else ()):
-                h = (labelled ^ seed) * np.uint64(0xFF51AFD7ED558CCD)
-                h ^= h >> np.uint64(32)
-                least[full, j] = (mix(np.minimum.reduceat(h, begin[full])) & np.uint64(0xFFFF)).astype("<u2")
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([grams[s:e].tobytes() for s, e in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary()), pa.array([x.tobytes() for x in least], pa.binary())], names=["id", "grams", "least"])
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(in_bitmap(wanted.value, batch.column(1).to_numpy())))
+            for lo, hi, data, offs in text_chunks(batch, "text"):
+                grams, begin = kmers(data, offs)
+                of = np.repeat(np.arange(hi - lo), np.diff(begin))
+                labelled = mix(grams + occurrence(grams, of).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+                full = np.flatnonzero(np.diff(begin))
+                least = np.zeros((hi - lo, CHECKS), dtype="<u2")
+                for j, seed in enumerate(seeds if len(full) else ()):
+                    h = (labelled ^ seed) * np.uint64(0xFF51AFD7ED558CCD)
+                    h ^= h >> np.uint64(32)
+                    least[full, j] = (mix(np.minimum.reduceat(h, begin[full])) & np.uint64(0xFFFF)).astype("<u2")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([x.tobytes() for x in least], pa.binary())], names=["id", "text", "least"])
+
+    return run
 
 
 def _link_tile(key, table):
@@ -144,7 +149,11 @@ def _link_tile(key, table):
     table = table.sort_by("id")
     ids = table["id"].to_numpy()
     tile = table["tile"].to_numpy()
-    grams = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table["grams"]]
+    grams = []
+    for batch in table.select(["text"]).combine_chunks().to_batches():
+        for _, _, data, offs in text_chunks(batch, "text"):
+            own, begin = kmers(data, offs)
+            grams += [own[s:e] for s, e in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
     least = np.frombuffer(b"".join(x.as_py() for x in table["least"]), dtype="<u2").reshape(len(ids), CHECKS)
     size = np.array([len(g) for g in grams])
     root = np.arange(len(ids))
@@ -176,9 +185,10 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     stars = posted.join(least, "band").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
     groups = connected_components(stars).withColumnRenamed("class", "group")
     tiles = groups.join(groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")), "group")
-    grams = rows.join(groups.select("id"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_grams, "id long, grams binary, least binary")
-    placed = tiles.join(grams, "id").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
-    dealt = placed.select("group", "id", "tile", "grams", "least", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("with"))
+    wanted = docs.sparkSession.sparkContext.broadcast(key_bitmap(groups.select(F.xxhash64("id").alias("key"))))
+    texts = rows.filter("id is not null").select("id", F.xxhash64("id").alias("key"), "text").mapInArrow(_checks(wanted), "id long, text string, least binary")
+    placed = tiles.join(texts, "id").dropDuplicates(["id"]).withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
+    dealt = placed.select("group", "id", "tile", "text", "least", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("with"))
     dealt = dealt.withColumn("one", F.least("tile", "with")).withColumn("two", F.greatest("tile", "with")).drop("with")
     links = materialise(dealt.groupBy("group", "one", "two").applyInArrow(_link_tile, "a long, b long"), "near-links")
     classes = connected_components(links).withColumnRenamed("id", "rep")
