@@ -117,9 +117,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     # (hash, place) of every run of five words and, where items are shorter, of their lengths
     runs = F.transform(F.sequence(F.lit(0), F.greatest(last - K, F.lit(0))), lambda i: F.struct(F.xxhash64(*[F.get("words", i + j) for j in range(K)]).alias("h"), i.alias("at")))
     runs = F.when(last >= K, runs).otherwise(F.array().cast("array<struct<h:bigint,at:int>>"))
+    def whole_runs(n: int) -> Column:
+        own = F.transform(F.sequence(F.lit(0), F.greatest(last - n, F.lit(0))), lambda i: F.struct(F.xxhash64(F.slice("words", i + 1, F.lit(n))).alias("h"), i.alias("at")))
+        return F.when(last >= n, own).otherwise(F.array().cast("array<struct<h:bigint,at:int>>"))
+
     for n in short:
-        own = F.transform(F.sequence(F.lit(0), F.greatest(last - n, F.lit(0))), lambda i, n=n: F.struct(F.xxhash64(F.slice("words", i + 1, F.lit(n))).alias("h"), i.alias("at")))
-        runs = F.concat(runs, F.when(last >= n, own).otherwise(F.array().cast("array<struct<h:bigint,at:int>>")))
+        runs = F.concat(runs, whole_runs(n))
     bit = lambda slot: F.getbit(F.get("bitmap", F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
 
     def seen(r):
