@@ -29,7 +29,7 @@ from .common import crc_mod, pipeline_stage, read_table
 from .text_kernel import LOWER, text_chunks
 
 BITS, DIM, GRAMS = 16, 16, (2, 3, 4)
-PER_LANG, EPOCHS, BATCH, RATE, REJECT_RATE = 600, 8, 32, 4.0, 0.001
+PER_LANG, EPOCHS, MIN_STEPS, BATCH, RATE, REJECT_RATE = 600, 8, 240, 32, 4.0, 0.001
 LETTER = np.zeros(256, dtype=bool)
 LETTER[65:91] = LETTER[97:123] = True
 
@@ -87,6 +87,8 @@ def train(texts: pa.Table, label: str = "lang", seed: int = 5, epochs: int = EPO
     emb = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
     layer = rng.normal(0, 0.1, (DIM, len(langs))).astype(np.float32)
     bias = np.zeros(len(langs), dtype=np.float32)
+    # a small sample is passed over more often
+    epochs = max(epochs, -(-MIN_STEPS // max(1, -(-len(learn) // BATCH))))
     steps = max(1, epochs * -(-len(learn) // BATCH))
     done = 0
     for _ in range(epochs):
@@ -115,7 +117,9 @@ def train(texts: pa.Table, label: str = "lang", seed: int = 5, epochs: int = EPO
     temperature = float(grid[int(np.argmin(loss))])
     p = _softmax(logits / temperature)
     right = p.max(axis=1)[p.argmax(axis=1) == y[check]]
-    threshold = float(min(0.5, np.quantile(right, reject_rate))) if len(right) else 0.0
+    # fewer texts than one in reject_rate say nothing of that quantile: then half of the least score counts
+    low = np.quantile(right, reject_rate) if len(right) * reject_rate >= 1 else right.min(initial=1.0) / 2
+    threshold = float(min(0.5, low)) if len(right) else 0.0
     return LanguageModel(langs, table.astype(np.float32), bias, temperature, threshold)
 
 
