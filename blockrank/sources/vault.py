@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
+from ..shipping import ship_package
 
 
 def excluded(path: Column, globs: list[str] = (), dirs: list[str] = ()) -> Column:
@@ -62,6 +63,7 @@ def yaml_to_json(headers: pd.Series) -> pd.Series:
 
 def read_notes(files: DataFrame) -> DataFrame:
     """path, title, aliases, tags, frontmatter (JSON), body, content_hash, mtime."""
+    ship_package(files.sparkSession)
     raw = files.withColumn("raw", F.decode("content", "UTF-8"))
     head = r"(?s)^---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(\r?\n|$)"
     split = raw.withColumns({"header": F.regexp_extract("raw", head, 1), "body": T.squeeze_ends(F.regexp_replace("raw", head, ""))}).withColumn("frontmatter", yaml_to_json("header"))
