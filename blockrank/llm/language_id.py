@@ -144,12 +144,11 @@ def has_letter(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return seen
 
 
-def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """docs with lang_pred, score and accepted."""
-    new = ("lang_pred", "score", "accepted")
+def identify(docs: DataFrame, model: LanguageModel | None, new=("lang_pred", "score", "accepted")) -> DataFrame:
+    """docs with lang_pred, score and accepted, or these under other names."""
     docs = docs.drop(*new)
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "accepted": F.lit(False)})
+        return docs.withColumns(dict(zip(new, (F.lit("und"), F.lit(0.0), F.lit(False)), strict=True)))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -166,7 +165,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
             arrays = [*batch.columns, pa.array(pred, pa.string()), pa.array(s), pa.array((s >= m.threshold) & (s > 0))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *new])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(k, t) for k, t in zip(new, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))])
     return docs.mapInArrow(run, schema)
 
 
@@ -186,4 +185,4 @@ def op4_language_id(spark, sf_dir) -> DataFrame:
 @pipeline_stage
 def language_stage(spark, docs: DataFrame, sf_dir) -> DataFrame:
     """Pipeline stage: documents that are rejected go."""
-    return identify(docs, fit(docs)).filter("accepted").select(*docs.columns)
+    return identify(docs, fit(docs), ("__lang", "__score", "__accepted")).filter("__accepted").select(*docs.columns)
