@@ -5,7 +5,8 @@ hashes; lines are `\\n`-split, lines without a word take no part and stay. A lin
 earlier line, in the order of (doc_id, line number), has tokens with Jaccard similarity of at least 0.8:
 every line is judged against all earlier ones, removed or not, so the result depends on no order of work.
 
-1. Token frequencies of all lines, in 2**16 hashed counters: a table of fixed size.
+1. Token frequencies of all lines, in 2**22 hashed counters: a table of fixed size, which orders tokens by
+   rarity; a shared counter costs time, never a match.
 2. Equal token sets become one row with their first place and the rarest tokens (the prefix): a set of n
    tokens reaches 0.8 with another only if they share one of their n - ceil(0.8 n) + 1 rarest.
 3. All sets of a prefix token's bucket are joined to its least key, one row a posting; the components of
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +34,7 @@ from .common import in_bitmap, key_bitmap, materialise, pipeline_stage, read_tab
 from .components import connected_components
 from .text_kernel import line_offsets, mix, order_within, shingles, span_hashes, text_chunks, word_spans
 
-K, SIMILARITY, COUNTER_BITS, TILE = 5, 0.8, 16, 512
+K, SIMILARITY, COUNTER_BITS, SLICES, TILE = 5, 0.8, 22, 32, 512
 
 
 def line_tokens(data: np.ndarray, offs: np.ndarray):
@@ -44,13 +46,23 @@ def line_tokens(data: np.ndarray, offs: np.ndarray):
 
 
 def _frequencies(batches):
+    """Counters of one task as packed slices."""
     count = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
     for batch in batches:
         for _, _, data, offs in text_chunks(batch, "text"):
             grams = line_tokens(data, offs)[2]
-            count += np.bincount((grams >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(count))
-    slot = np.flatnonzero(count)
-    yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(count[slot])], names=["slot", "n"])
+            np.add.at(count, (grams >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
+    pack = zstandard.ZstdCompressor(level=1)
+    for i, part in enumerate(np.split(count, SLICES)):
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pack.compress(part.astype("<u4").tobytes())], pa.binary())], names=["slice", "counts"])
+
+
+def _sum_slices(key, table):
+    """One slice over all tasks, as size classes of one byte: eight for each doubling."""
+    unpack, total = zstandard.ZstdDecompressor(), np.zeros((1 << COUNTER_BITS) // SLICES, dtype=np.int64)
+    for blob in table["counts"]:
+        total += np.frombuffer(unpack.decompress(blob.as_py()), dtype="<u4")
+    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "classes": pa.array([np.minimum(255, np.log2(total + 1) * 8).astype(np.uint8).tobytes()], pa.binary())})
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -67,7 +79,7 @@ def token_sets(data: np.ndarray, offs: np.ndarray, frequency: np.ndarray):
     new = np.concatenate([[True], (g[1:] != g[:-1]) | (at[1:] != at[:-1])])
     g, at = g[new], at[new]
     # rarest first: the counter's size class, then the hash
-    rank = (np.log2(frequency[(g >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)] + 1) * 8).astype(np.uint64) << np.uint64(56) | g >> np.uint64(8)
+    rank = frequency[(g >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | g >> np.uint64(8)
     order = order_within(rank, at)
     g, at = g[order], at[order]
     begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
@@ -175,10 +187,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     docs = docs.drop("n_lines", "n_removed")
     doc, same = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(doc.alias("doc"), same.alias("hash"), F.col(text).alias("text"))
-    count = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
-    for r in rows.select("text").mapInArrow(_frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
-        count[r.slot] = r.n
-    frequency = sc.broadcast(count)
+    slices = rows.select("text").mapInArrow(_frequencies, "slice int, counts binary").groupBy("slice").applyInArrow(_sum_slices, "slice int, classes binary").collect()
+    classes = np.zeros(((1 << COUNTER_BITS) // SLICES) * SLICES, dtype=np.uint8)
+    for r in slices:
+        classes.reshape(SLICES, -1)[r.slice] = np.frombuffer(r.classes, dtype=np.uint8)
+    frequency = sc.broadcast(classes)
     found = materialise(rows.mapInArrow(_lines(frequency), "key long, doc long, hash long, line int, prefix array<long>"), "line-sets")
     first = materialise(found.groupBy("key").agg(F.min(F.struct("doc", "hash", "line")).alias("at")).select("key", "at.doc", "at.hash", "at.line"), "line-first")
     posted = found.select(F.explode("prefix").alias("token"), "key").repartition("token")
