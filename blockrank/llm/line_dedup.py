@@ -160,7 +160,7 @@ def _match_tile(key, table):
     return pa.table({"key": pa.array(gone, pa.int64())})
 
 
-def _rebuild(keep: list[str], text: str):
+def _rebuild(keep: list[str], text: str, new):
     """Texts from the lines that stay: those listed, and those without a word."""
 
     def run(batches):
@@ -176,15 +176,16 @@ def _rebuild(keep: list[str], text: str):
                 total.append(len(parts))
                 removed.append(len(parts) - len(left))
             arrays = [pa.array(out, column.type) if k == text else batch.column(batch.schema.get_field_index(k)) for k in keep]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=[*keep, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=[*keep, *new])
 
     return run
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the lines that have an earlier similar line taken out of text, and n_lines, n_removed."""
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", new=("n_lines", "n_removed")) -> DataFrame:
+    """docs with the lines that have an earlier similar line taken out of text, and n_lines, n_removed, or
+    these under other names."""
     sc = docs.sparkSession.sparkContext
-    docs = docs.drop("n_lines", "n_removed")
+    docs = docs.drop(*new)
     doc, same = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(doc.alias("doc"), same.alias("hash"), F.col(text).alias("text"))
     slices = rows.select("text").mapInArrow(_frequencies, "slice int, counts binary").groupBy("slice").applyInArrow(_sum_slices, "slice int, classes binary").collect()
@@ -205,8 +206,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     gone = materialise(dealt.groupBy("group", "one", "two").applyInArrow(_match_tile, "key long").distinct(), "line-gone")
     stay = first.join(gone, "key", "left_anti").groupBy("doc", "hash").agg(F.collect_list("line").alias("__lines"))
     joined = docs.withColumns({"__doc": doc, "__hash": same}).join(stay.toDF("__doc", "__hash", "__lines"), ["__doc", "__hash"], "left").select(*docs.columns, "__lines")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return joined.mapInArrow(_rebuild(docs.columns, text), schema)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(k, T.LongType()) for k in new)])
+    return joined.mapInArrow(_rebuild(docs.columns, text, new), schema)
 
 
 def op2_line_dedup(spark, sf_dir) -> DataFrame:
@@ -217,4 +218,4 @@ def op2_line_dedup(spark, sf_dir) -> DataFrame:
 @pipeline_stage
 def line_stage(spark, docs: DataFrame, sf_dir) -> DataFrame:
     """Pipeline stage: the texts without their repeated lines."""
-    return dedup_lines(docs).select(*docs.columns)
+    return dedup_lines(docs, new=("__n_lines", "__n_removed")).select(*docs.columns)

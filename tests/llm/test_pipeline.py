@@ -34,3 +34,15 @@ def test_stages(spark):
 def test_registry_has_every_operator():
     names = registry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+def test_columns_with_names_of_results_pass_through(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    clash = {k: F.lit(f"own {k}") for k in ("score", "accepted", "lang_pred", "n_lines", "n_removed", "words", "key", "id", "item_id", "similarity", "class_id")}
+    docs = docs.withColumns(clash)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DIR)
+        row = out.first()
+        assert all(row[k] == f"own {k}" for k in clash)
