@@ -48,10 +48,16 @@ def line_tokens(data: np.ndarray, offs: np.ndarray):
 def _frequencies(batches):
     """Counters of one task as packed slices."""
     count = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
+    held, size = [], 0
     for batch in batches:
         for _, _, data, offs in text_chunks(batch, "text"):
-            grams = line_tokens(data, offs)[2]
-            np.add.at(count, (grams >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
+            held.append((line_tokens(data, offs)[2] >> np.uint64(64 - COUNTER_BITS)).astype(np.int32))
+            size += len(held[-1])
+            if size > 1 << COUNTER_BITS:
+                count += np.bincount(np.concatenate(held), minlength=len(count))
+                held, size = [], 0
+    if held:
+        count += np.bincount(np.concatenate(held), minlength=len(count))
     pack = zstandard.ZstdCompressor(level=1)
     for i, part in enumerate(np.split(count, SLICES)):
         yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pack.compress(part.astype("<u4").tobytes())], pa.binary())], names=["slice", "counts"])
@@ -69,8 +75,9 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
     return n - np.ceil(SIMILARITY * n - 1e-9).astype(np.int64) + 1
 
 
-def token_sets(data: np.ndarray, offs: np.ndarray, frequency: np.ndarray):
-    """The lines with tokens as sets ordered by rarity: (line, tokens, begin of each set, set key)."""
+def token_sets(data: np.ndarray, offs: np.ndarray):
+    """The lines with tokens as sets: (text of each line, first line of each text, line, tokens, begin of each
+    set, set key). The key is a sum over the set, whatever its order."""
     of_text, first, grams, line = line_tokens(data, offs)
     if not len(grams):
         return of_text, first, np.zeros(0, np.int64), grams, np.zeros(1, np.int64), np.zeros(0, np.uint64)
@@ -78,15 +85,17 @@ def token_sets(data: np.ndarray, offs: np.ndarray, frequency: np.ndarray):
     g, at = grams[order], line[order]
     new = np.concatenate([[True], (g[1:] != g[:-1]) | (at[1:] != at[:-1])])
     g, at = g[new], at[new]
-    # rarest first: the counter's size class, then the hash
-    rank = frequency[(g >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | g >> np.uint64(8)
-    order = order_within(rank, at)
-    g, at = g[order], at[order]
     begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     key = mix(np.add.reduceat(mix(g ^ np.uint64(0xA0761D6478BD642F)), begin))
     return of_text, first, at[begin], g, np.append(begin, len(g)), key
 
 
+def by_rarity(tokens: np.ndarray, begin: np.ndarray, frequency: np.ndarray) -> np.ndarray:
+    """The tokens of each set, rarest first: by the counter's size class, then the hash."""
+    rank = frequency[(tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | tokens >> np.uint64(8)
+    return tokens[order_within(rank, np.repeat(np.arange(len(begin) - 1), np.diff(begin)))]
+
+
 def _lines(frequency):
     """(doc, hash, text) -> one row for each set and chunk: key, first place, prefix."""
 
@@ -94,9 +103,10 @@ def _lines(frequency):
         for batch in batches:
             ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, _, data, offs in text_chunks(batch, "text"):
-                of_text, first, line, tokens, begin, key = token_sets(data, offs, frequency.value)
+                of_text, first, line, tokens, begin, key = token_sets(data, offs)
                 if not len(key):
                     continue
+                tokens = by_rarity(tokens, begin, frequency.value)
                 doc, same = ids[lo + of_text[line]], hashes[lo + of_text[line]]
                 number = line - first[of_text[line]]
                 place = np.lexsort((number, same, doc, key))
@@ -117,11 +127,15 @@ def _line_keys(frequency, wanted):
         bits = wanted.value
         for batch in batches:
             for _, _, data, offs in text_chunks(batch, "text"):
-                _, _, _, tokens, begin, key = token_sets(data, offs, frequency.value)
+                _, _, _, tokens, begin, key = token_sets(data, offs)
                 may = np.flatnonzero(in_bitmap(bits, key))
                 _, one = np.unique(key[may], return_index=True)
                 may = may[one]
-                yield pa.RecordBatch.from_arrays([pa.array(key[may].view(np.int64)), pa.array([tokens[begin[i] : begin[i + 1]].tobytes() for i in may.tolist()], pa.binary())], names=["key", "tokens"])
+                size = np.diff(begin)[may]
+                at = np.repeat(begin[may] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                begin = np.concatenate([[0], np.cumsum(size)])
+                tokens = by_rarity(tokens[at], begin, frequency.value)
+                yield pa.RecordBatch.from_arrays([pa.array(key[may].view(np.int64)), pa.array([tokens[x:y].tobytes() for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary())], names=["key", "tokens"])
 
     return run
 

@@ -141,13 +141,14 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     at = np.repeat(first[:-1] - begin[:-1], counts) + np.arange(begin[-1])
     padded = np.concatenate([words, np.zeros(k, np.uint64)])
     out = np.zeros(begin[-1], dtype=np.uint64)
-    if (n[n > 0] >= k).all():
-        for j in range(k):
-            out += padded[at + j] * _STEPS[j % 8] ^ np.uint64(j // 8)
-    else:
-        left = np.repeat(first[1:], counts) - at
-        for j in range(k):
-            out += np.where(left > j, padded[at + j] * _STEPS[j % 8] ^ np.uint64(j // 8), np.uint64(0))
+    for j in range(k):
+        out += padded[at + j] * _STEPS[j % 8] ^ np.uint64(j // 8)
+    few = np.flatnonzero((n > 0) & (n < k))
+    if len(few):
+        own = np.zeros(len(few), dtype=np.uint64)
+        for j in range(k - 1):
+            own += np.where(n[few] > j, padded[first[few] + j] * _STEPS[j % 8] ^ np.uint64(j // 8), np.uint64(0))
+        out[begin[few]] = own
     return mix(out), begin
 
 
