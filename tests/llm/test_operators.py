@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from blockrank.llm import bpe, chat_format, decontaminate, language_id, line_dedup, lm_score, near_dedup, quality, training_order, url_filter
 from blockrank.llm.common import crc_mod
@@ -172,6 +173,22 @@ def test_language_model_is_exact_in_counts_and_finite(spark):
     assert (nothing.train_tokens, nothing.base_score, nothing.n_known) == (0, 0.0, 0) and nothing.score < 0
 
 
+def test_long_words_cost_all_of_their_decisions(spark, monkeypatch):
+    rng = random.Random(12)
+    long = ["".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (64, 400, 5000)]
+    texts = [*(prose(rng, 40) for _ in range(14)), *long, "語彙" * 500]
+    models = []
+    train = lm_score.train
+    monkeypatch.setattr(lm_score, "train", lambda *a: models.append(train(*a)) or models[-1])
+    got = {r.doc_id: r for r in lm_score.lm_scores(docs(spark, texts), F.col("doc_id") < 14).collect()}
+    for i in range(14, len(texts)):
+        word, end = models[0].word_scores([texts[i].encode(), b"\n"])
+        first = np.logaddexp.reduce(word) - math.log(len(word))
+        then = np.logaddexp.reduce(word + end) - np.logaddexp.reduce(word)
+        assert got[i].score == pytest.approx((first + then) / math.log(10), rel=1e-5)
+        assert got[i].bits_per_byte > 3
+
+
 def test_quality_base_equals_brute_force(spark):
     texts = [*ODD, "l one\nl two\nl one\n\nl one", "a b c a b c x", "#*$%&|<> <", prose(random.Random(7), 60)]
     for r in quality.judge(docs(spark, texts), None).collect():
