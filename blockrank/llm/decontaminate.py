@@ -4,7 +4,9 @@ Words are runs of letters and digits, lower-cased; shingles are runs of five wor
 shorter item), weighted by their count in a window. A document's window is as long as the benchmark item
 it is held against. Windows that share no shingle with any item cannot reach the similarity, so only the
 places of a document whose shingle passes a fixed-size bitmap of the items' shingles are looked at, and
-an exact join on the shingle gives the windows: (item length, first word). Equal windows are judged once.
+an exact join on the shingle gives the starts of windows, (item length, first word). Where these differ (words
+were inserted, deleted or moved), every start between two neighbours is tried too. Windows with too few such
+places for the similarity are left out; all others are judged, equal windows once.
 
 Each distinct window gets a 64-bit SimHash of its weighted shingles. The fingerprint is cut into BLOCKS
 blocks; two fingerprints within RADIUS bits agree in some block up to RADIUS // BLOCKS bits, so the items
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, pipeline_stage, read_table
@@ -97,6 +99,28 @@ def _bitmap(keys: DataFrame) -> DataFrame:
     return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "bits"))), lambda x: x["bits"]).alias("bitmap"))
 
 
+def _starts(hits: DataFrame) -> DataFrame:
+    """hits(row, size, n, at, first): a place in a row of that size and where an item of n words would begin
+    -> (row, n, first, through): every start whose window can reach the similarity, and a place in it.
+
+    A window that begins before (after) all the starts of its own places doesn't lose by moving right (left).
+    So the best one lies at a start or between two neighbours; these are within two windows of each other. The
+    common shingles of a window are at most its places."""
+    grams = lambda words: F.greatest(words - (K - 1), F.lit(1))
+    inside = F.greatest(F.lit(0), F.least("first", F.col("size") - F.col("n")))
+    own = Window.partitionBy("row", "n")
+    begins = hits.select("row", "n", "size", inside.alias("first")).distinct().withColumn("next", F.lead("first").over(own.orderBy("first")))
+    upto = F.when(F.col("next") - F.col("first") <= 2 * grams(F.col("n")), F.col("next") - 1).otherwise(F.col("first"))
+    tried = begins.select("row", "n", F.explode(F.sequence("first", upto)).alias("first"), grams(F.least("n", "size")).alias("held"))
+    # each start asks for the places before its window and those up to its last shingle
+    asked = tried.select("row", "n", F.explode(F.array(*[F.struct((F.col("first") - 1 + held).alias("pos"), F.lit(1).alias("ask"), "first", "held", F.lit(side).alias("side")) for side, held in ((-1, F.lit(0)), (1, F.col("held")))])).alias("a")).select("row", "n", "a.*")
+    seen = hits.select("row", "n", F.col("at").alias("pos")).distinct().select("row", "n", "pos", F.lit(0).alias("ask"), *(F.lit(None).cast("int").alias(c) for c in ("first", "held", "side")))
+    past = own.orderBy("pos", "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = asked.unionByName(seen).withColumns({"upto": F.sum(1 - F.col("ask")).over(past), "last": F.max(F.when(F.col("ask") == 0, F.col("pos"))).over(past)}).filter("ask = 1")
+    counted = both.groupBy("row", "n", "first", "held").agg(F.sum(F.col("side") * F.coalesce("upto", F.lit(0))).alias("common"), F.max("last").alias("through"))
+    return counted.filter(F.col("common") * (1 + SIMILARITY) >= SIMILARITY * (grams(F.col("n")) + F.col("held")) - 1e-9).select("row", "n", "first", "through")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, item_id, first_word, similarity, distance): one row for each row of docs and each item in it,
     with the best window."""
@@ -130,14 +154,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         return bit(one) & bit(two)
 
     near = held.select("key", "row", "words", F.filter(runs, seen).alias("runs"))
-    # each place keeps the words that any window through it can hold
-    around = F.transform("runs", lambda r: F.struct(r["h"].alias("h"), r["at"].alias("at"), F.greatest(r["at"] - longest, F.lit(0)).alias("from"), F.slice("words", F.greatest(r["at"] - longest, F.lit(0)) + 1, F.lit(2 * longest + K)).alias("near"), F.size("words").alias("size")))
+    # places in tiles of a document; a tile keeps the words that any window through its places can hold
+    tile = lambda r: F.floor(r["at"] / F.lit(longest)).cast("int")
+    begin = lambda t: F.greatest((t - 1) * longest, F.lit(0))
+    around = F.transform("runs", lambda r: F.struct(r["h"].alias("h"), r["at"].alias("at"), tile(r).alias("tile"), F.slice("words", begin(tile(r)) + 1, F.lit(3 * longest + K)).alias("near"), F.size("words").alias("size")))
     places = near.select("key", "row", F.inline(around))
-    met = places.join(small(starts.withColumnRenamed("at", "item_at")), "h").select("key", "row", (F.col("at") - F.col("item_at")).alias("first"), "n", "from", "near", "size")
-    # a window that would begin before or end after the text is moved inside
-    first = F.greatest(F.lit(0), F.least("first", F.col("size") - F.col("n")))
-    met = met.withColumn("first", first).withColumn("window", F.slice("near", F.col("first") - F.col("from") + 1, F.col("n")))
-    windows = materialise(met.select("key", "row", "first", "n", "window").withColumn("id", F.xxhash64("window", "n")).groupBy("row", "first", "n").agg(F.first("key").alias("key"), F.first("id").alias("id"), F.first("window").alias("window")), "bench-windows")
+    met = places.join(small(starts.withColumnRenamed("at", "item_at")), "h")
+    tiles = met.groupBy("row", "tile").agg(F.first("key").alias("key"), F.first("size").alias("size"), F.first("near").alias("near"), F.collect_set(F.struct("n", "at", (F.col("at") - F.col("item_at")).alias("first"))).alias("hits"))
+    tiles = materialise(tiles, "bench-tiles")
+    hits = tiles.select("row", "size", F.inline("hits"))
+    chosen = _starts(hits).withColumn("tile", F.floor(F.col("through") / F.lit(longest)).cast("int"))
+    found = chosen.join(tiles.select("row", "tile", "key", "near"), ["row", "tile"]).withColumn("window", F.slice("near", F.col("first") - begin(F.col("tile")) + 1, F.col("n")))
+    windows = materialise(found.select("row", "first", "n", "key", F.xxhash64("window", "n").alias("id"), "window"), "bench-windows")
     distinct = windows.groupBy("id").agg(F.first("window").alias("window"), F.first("n").alias("n"))
     printed = distinct.select("id", "n", shingles_of(F.col("window")).alias("shingles")).withColumn("print", simhash(F.col("shingles")))
     printed = materialise(printed, "bench-prints")

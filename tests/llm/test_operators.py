@@ -151,6 +151,37 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.contaminated(docs(spark, []), bench).count() == 0
 
 
+def test_decontamination_tries_all_starts(spark):
+    rng = random.Random(13)
+    items = [prose(rng, 59), prose(rng, 120), prose(rng, 40), prose(rng, 7), "one two three"]
+    texts = []
+    for item in items[:4]:
+        w = item.split()
+        n = len(w)
+        odd = lambda k: [f"odd{rng.randrange(10**9)}" for _ in range(k)]
+        for insert, lead, tail in ((2, 30, 30), (4, 200, 0), (2, 0, 200), (6, 3, 3), (1, 0, 0)):
+            for ends in (1, 2, 3):
+                inner = w[ends : n - ends]
+                for changed in (inner[: n // 2] + odd(insert) + inner[n // 2 :], inner[: n // 3] + inner[n // 3 + insert :], inner[n // 2 :] + inner[: n // 2]):
+                    texts.append(" ".join([*odd(lead), *odd(ends), *changed, *odd(ends), *odd(tail)]))
+        for turn in (0, n // 3, n // 2):
+            texts.append(" ".join([*odd(9), *w[turn:], *w[:turn], *odd(9)]))
+        texts += [" ".join(w[: n - 2]), " ".join(w * 3)]
+    split = lambda t: re.findall(r"[^\W_]+", t.lower())
+    grams = lambda w: collections.Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)])
+    want = {}
+    for i, t in enumerate(texts):
+        for k, item in enumerate(items):
+            v, x = split(item), split(t)
+            g = grams(v)
+            best = max(sum((h & g).values()) / sum((h | g).values()) for s in range(max(1, len(x) - len(v) + 1)) for h in [grams(x[s : s + len(v)])])
+            if best >= 0.8:
+                want[i, k] = pytest.approx(best)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(docs(spark, texts), bench).collect()}
+    assert got == want and len(want) >= 40
+
+
 def test_language_model_is_exact_in_counts_and_finite(spark):
     rng = random.Random(6)
     texts = [*ODD, *(prose(rng, rng.randint(5, 80)).title() for _ in range(120))]
