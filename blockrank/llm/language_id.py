@@ -3,9 +3,10 @@
 A text is lower-cased (A-Z); every run of 2, 3 and 4 bytes of it is hashed to one of 2**16 embeddings, and
 their mean goes through a linear layer and a softmax. Embeddings and layer are trained together by
 stochastic gradient descent in numpy on a bounded sample (`per_lang` texts of each language, a documented
-parameter) of the rows given for learning. A fifth of the sample is held back to fit the softmax's
-temperature and the rejection threshold: the score under which no more than `reject_rate` of rightly
-labelled texts fall, at most 0.5. For prediction the two layers are multiplied out, so a text's score is
+parameter) of the rows given for learning. Each fifth of the sample is scored by a model of the other four
+(the last of these models serves), and the scores of all fifths fit the softmax's temperature and the rejection
+threshold: the greatest score under which no more than `reject_rate` of the rightly labelled texts fall, at
+every size (of fewer than one in `reject_rate` texts, their least score). For prediction the two layers are multiplied out, so a text's score is
 a mean of rows of one small table.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and is rejected; a text with
@@ -29,7 +30,7 @@ from .common import crc_mod, pipeline_stage, read_table
 from .text_kernel import LOWER, text_chunks
 
 BITS, DIM, GRAMS = 16, 16, (2, 3, 4)
-PER_LANG, EPOCHS, MIN_STEPS, BATCH, RATE, REJECT_RATE = 600, 8, 240, 32, 4.0, 0.001
+PER_LANG, EPOCHS, MIN_STEPS, BATCH, RATE, REJECT_RATE, FOLDS = 600, 8, 240, 32, 4.0, 0.001, 5
 LETTER = np.zeros(256, dtype=bool)
 LETTER[65:91] = LETTER[97:123] = True
 
@@ -72,21 +73,12 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(texts: pa.Table, label: str = "lang", seed: int = 5, epochs: int = EPOCHS, reject_rate: float = REJECT_RATE) -> LanguageModel | None:
-    """texts(text, label) -> model; None where no label is known."""
-    texts = texts.filter(pa.compute.is_valid(texts[label]))
-    texts = texts.filter(pa.compute.is_valid(texts["text"]))
-    langs = sorted(set(texts[label].to_pylist()))
-    if not langs:
-        return None
-    y = np.array([langs.index(v) for v in texts[label].to_pylist()])
-    rows = _rows(texts)
+def _descend(rows, y: np.ndarray, learn: np.ndarray, n: int, seed: int, epochs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Table (buckets x langs) and bias after descent over the rows `learn`."""
     rng = np.random.default_rng(seed)
-    held = rng.random(len(y)) < 0.2 if len(y) >= 20 else np.zeros(len(y), bool)
-    learn = np.flatnonzero(~held)
     emb = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
-    layer = rng.normal(0, 0.1, (DIM, len(langs))).astype(np.float32)
-    bias = np.zeros(len(langs), dtype=np.float32)
+    layer = rng.normal(0, 0.1, (DIM, n)).astype(np.float32)
+    bias = np.zeros(n, dtype=np.float32)
     # a small sample is passed over more often
     epochs = max(epochs, -(-MIN_STEPS // max(1, -(-len(learn) // BATCH))))
     steps = max(1, epochs * -(-len(learn) // BATCH))
@@ -108,19 +100,38 @@ def train(texts: pa.Table, label: str = "lang", seed: int = 5, epochs: int = EPO
             layer -= rate / len(ids) * (mean.T @ slope)
             bias -= rate / len(ids) * slope.sum(axis=0)
             # a bucket's share is small, so its embedding takes a step without the mean over the batch
-            np.add.at(emb, idx, -rate * back[of] * w[:, None])
-    table = emb @ layer
-    check = np.flatnonzero(held) if held.any() else learn
-    logits = np.stack([(table[rows[i][0]] * rows[i][1][:, None]).sum(axis=0) + bias for i in check])
+            # (numpy is fast at this for flat places only)
+            np.add.at(emb.reshape(-1), (idx[:, None] * DIM + np.arange(DIM)).ravel(), (-rate * back[of] * w[:, None]).astype(np.float32).ravel())
+    return emb @ layer, bias
+
+
+def rejection_threshold(right: np.ndarray, reject_rate: float) -> float:
+    """The greatest score under which no more than reject_rate of these scores fall."""
+    return float(np.sort(right)[int(len(right) * reject_rate)]) if len(right) else 0.0
+
+
+def train(texts: pa.Table, label: str = "lang", seed: int = 5, epochs: int = EPOCHS, reject_rate: float = REJECT_RATE) -> LanguageModel | None:
+    """texts(text, label) -> model; None where no label is known."""
+    texts = texts.filter(pa.compute.is_valid(texts[label]))
+    texts = texts.filter(pa.compute.is_valid(texts["text"]))
+    langs = sorted(set(texts[label].to_pylist()))
+    if not langs:
+        return None
+    y = np.array([langs.index(v) for v in texts[label].to_pylist()])
+    rows = _rows(texts)
+    # each text is scored by a model that has not seen it, so the whole sample serves for the quantile
+    fold = np.random.default_rng(seed).permutation(len(y)) % FOLDS if len(y) >= 20 else np.full(len(y), -1)
+    logits = np.empty((len(y), len(langs)))
+    for f in sorted(set(fold.tolist()), reverse=True):
+        table, bias = _descend(rows, y, np.flatnonzero(fold != f) if f >= 0 else np.arange(len(y)), len(langs), seed, epochs)
+        for i in np.flatnonzero(fold == f):
+            logits[i] = (table[rows[i][0]] * rows[i][1][:, None]).sum(axis=0) + bias
     grid = np.geomspace(0.05, 20, 60)
-    loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(check)), y[check]], 1e-12)).mean() for t in grid]
+    loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
     p = _softmax(logits / temperature)
-    right = p.max(axis=1)[p.argmax(axis=1) == y[check]]
-    # fewer texts than one in reject_rate say nothing of that quantile: then half of the least score counts
-    low = np.quantile(right, reject_rate) if len(right) * reject_rate >= 1 else right.min(initial=1.0) / 2
-    threshold = float(min(0.5, low)) if len(right) else 0.0
-    return LanguageModel(langs, table.astype(np.float32), bias, temperature, threshold)
+    right = p.max(axis=1)[p.argmax(axis=1) == y]
+    return LanguageModel(langs, table.astype(np.float32), bias, temperature, rejection_threshold(right, reject_rate))
 
 
 def predict_chunk(model: LanguageModel, data: np.ndarray, offs: np.ndarray) -> np.ndarray:

@@ -267,6 +267,21 @@ def test_language_id(spark):
     assert language_id.language_stage(spark, table, "").columns == table.columns
 
 
+def test_language_id_rejects_unlearned_languages(spark):
+    scores = np.random.default_rng(1).random(480)
+    for n in (1, 480):
+        assert language_id.rejection_threshold(scores[:n], 0.001) == scores[:n].min()
+    assert (scores < language_id.rejection_threshold(scores, 0.01)).sum() == 4
+    rng = random.Random(14)
+    sets = {"aa": ("ta", "ko", "mi", "re"), "bb": ("zu", "gri", "vek", "osh"), "cc": ("él", "ñu", "ça", "ôm"), "dd": ("lun", "dap", "ist", "oe")}
+    texts = [prose(rng, 40, sets[lang]) for lang in sets for _ in range(60)]
+    other = [prose(rng, 60, ("hy", "qa", "xo", "wp")) for _ in range(40)] + ["привет мир как дела " * 5]
+    table = docs(spark, texts + other, {i: list(sets)[i // 60] for i in range(240)} | dict.fromkeys(range(240, 300)))
+    got = {r.doc_id: r for r in language_id.identify(table, language_id.fit(table)).collect()}
+    assert sum(got[i].accepted for i in range(240)) >= 0.97 * 240
+    assert not any(got[i].accepted for i in range(240, 240 + len(other)))
+
+
 def test_training_order_is_a_permutation_and_resumes(spark, tmp_path):
     for n in (1, 2, 5, 64, 1000):
         assert sorted(training_order.feistel_slots(np.arange(n), n)) == list(range(n))
