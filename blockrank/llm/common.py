@@ -62,6 +62,11 @@ def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
+def text_digest(text):
+    """128 bits of the text's bytes; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n))

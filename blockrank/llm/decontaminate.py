@@ -27,7 +27,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, pipeline_stage, read_table
+from .common import materialise, pipeline_stage, read_table, text_digest
 
 K, SIMILARITY, BLOCKS, RADIUS, BITMAP_BITS = 5, 0.8, 5, 19, 19
 #: Items are broadcast while their shingles are at most so many; beyond that, the joins shuffle.
@@ -186,6 +186,7 @@ def op8_decontamination(spark, sf_dir) -> DataFrame:
 
 @pipeline_stage
 def decontaminate_stage(spark, docs: DataFrame, sf_dir) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark item go."""
-    found = contaminated(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: rows that hold a benchmark item go, told apart by doc_id (which may be null) and text."""
+    rows = docs.withColumn("__row", F.struct("doc_id", text_digest(F.col("text")).alias("digest")))
+    found = contaminated(rows, read_table(spark, sf_dir, "benchmark"), "__row").select(F.col("__row.doc_id").alias("__id"), F.col("__row.digest").alias("__hit")).distinct()
+    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row.digest") == F.col("__hit")), "left_anti").select(*docs.columns)

@@ -18,19 +18,19 @@ An alignment matches the two k-mer sequences within the band of diagonals that a
 connected components of verified pairs; a class is named by its least doc_id.
 
 Defined results: null counts as empty, and empty texts are equal texts like others; texts without a word
-have no other likeness than equal bytes; a text of fewer than five words has one k-mer, all its words; repeated rows of one doc_id give a row each; an empty table gives
-an empty result; other columns are not read by `near_classes`, and kept by the pipeline stage.
+have no other likeness than equal bytes; a text of fewer than five words has one k-mer, all its words; repeated rows of one doc_id give a row each. Texts, not ids, are
+compared: rows may share a doc_id or have none (a class without any has a null class_id, and unlike texts of
+one doc_id may give two classes the same name). An empty table gives an empty result; other columns are not read by `near_classes`, and kept by the pipeline stage.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_bitmap, key_bitmap, materialise, pipeline_stage, read_table
+from .common import in_bitmap, key_bitmap, materialise, pipeline_stage, read_table, text_digest
 from .components import connected_components
 from .text_kernel import mix, occurrence, shingles, span_hashes, text_chunks, word_spans
 
@@ -111,18 +111,16 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
 
 def _sketch(batches):
     for batch in batches:
-        ids = batch.column(0)
+        ids, digests = batch.column(0), batch.column(1)
         for lo, hi, data, offs in text_chunks(batch, "text"):
             bands, n = order_sketches(data, offs)
-            raw = data.tobytes()
-            digest = [xxhash.xxh3_128_digest(raw[s:e]) for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
             flat = pa.array(np.ascontiguousarray(bands).view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * bands.shape[1]), flat)
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(digest, pa.binary()), pa.array(n.astype(np.int64)), lists], names=["id", "digest", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), digests.slice(lo, hi - lo), pa.array(n.astype(np.int64)), lists], names=["id", "digest", "n", "bands"])
 
 
 def _checks(wanted):
-    """(id, hash of id, text) -> (id, text, further least k-mers) of the ids that may be wanted."""
+    """(id, key, text, digest) -> (id, digest, text, further least k-mers) of the keys that may be wanted."""
     seeds = mix(np.arange(1001, 1001 + CHECKS, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
     def run(batches):
@@ -138,7 +136,7 @@ def _checks(wanted):
                     h = (labelled ^ seed) * np.uint64(0xFF51AFD7ED558CCD)
                     h ^= h >> np.uint64(32)
                     least[full, j] = (mix(np.minimum.reduceat(h, begin[full])) & np.uint64(0xFFFF)).astype("<u2")
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([x.tobytes() for x in least], pa.binary())], names=["id", "text", "least"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in (0, 3, 2)), pa.array([x.tobytes() for x in least], pa.binary())], names=["id", "digest", "text", "least"])
 
     return run
 
@@ -172,27 +170,37 @@ def _link_tile(key, table):
     return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
 
-def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, class_id, copies) of every row: the class, and how many rows have the same text."""
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+def _texts_and_rows(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(node, digest, id, copies, class) of every distinct text with its least id, and (id, digest) of every row."""
+    rows = docs.select(F.col(key).cast("long").alias("id"), text_digest(F.col(text)).alias("digest"), F.col(text).alias("text"))
     sketched = rows.mapInArrow(_sketch, "id long, digest binary, n long, bands array<long>")
     sketched = materialise(sketched, "near-sketches")
-    reps = sketched.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    members = sketched.select("id", "digest").join(reps, "digest")
-    heads = sketched.filter("n > 0").join(reps.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    posted = materialise(heads.select("id", F.posexplode("bands").alias("no", "band")).select("id", F.xxhash64("no", "band").alias("band")), "near-bands")
+    reps = sketched.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    # numbers of texts, not their ids, which may be null or shared; written, so that they stay
+    reps = materialise(reps.select(F.monotonically_increasing_id().alias("node"), "*"), "near-texts")
+    posted = materialise(reps.filter("n > 0").select("node", F.posexplode("bands").alias("no", "band")).select(F.col("node").alias("id"), F.xxhash64("no", "band").alias("band")), "near-bands")
     least = posted.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("band", "a")
     stars = posted.join(least, "band").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-    groups = connected_components(stars).withColumnRenamed("class", "group")
+    groups = connected_components(stars).select(F.col("id").alias("node"), F.col("class").alias("group"))
     tiles = groups.join(groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")), "group")
-    wanted = docs.sparkSession.sparkContext.broadcast(key_bitmap(groups.select(F.xxhash64("id").alias("key"))))
-    texts = rows.filter("id is not null").select("id", F.xxhash64("id").alias("key"), "text").mapInArrow(_checks(wanted), "id long, text string, least binary")
-    placed = tiles.join(texts, "id").dropDuplicates(["id"]).withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
+    tiles = materialise(tiles.join(reps.select("node", "digest", F.col("id").alias("own")), "node"), "near-tiles")
+    wanted = docs.sparkSession.sparkContext.broadcast(key_bitmap(tiles.select(F.xxhash64("digest", "own").alias("key"))))
+    texts = rows.select("id", F.xxhash64("digest", "id").alias("key"), "text", "digest").mapInArrow(_checks(wanted), "id long, digest binary, text string, least binary")
+    same = (tiles["digest"] == texts["digest"]) & tiles["own"].eqNullSafe(texts["id"])
+    placed = tiles.join(texts, same).select(F.col("node").alias("id"), "group", "tiles", "text", "least").dropDuplicates(["id"]).withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
     dealt = placed.select("group", "id", "tile", "text", "least", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("with"))
     dealt = dealt.withColumn("one", F.least("tile", "with")).withColumn("two", F.greatest("tile", "with")).drop("with")
     links = materialise(dealt.groupBy("group", "one", "two").applyInArrow(_link_tile, "a long, b long"), "near-links")
-    classes = connected_components(links).withColumnRenamed("id", "rep")
-    return members.join(classes, "rep", "left").select("id", F.coalesce("class", "rep").alias("class_id"), "copies")
+    classes = connected_components(links).withColumnRenamed("id", "node")
+    linked = reps.select("node", "digest", "id", "copies").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    return linked, sketched.select("id", "digest")
+
+
+def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, class_id, copies) of every row: the class, and how many rows have the same text."""
+    texts, rows = _texts_and_rows(docs, key, text)
+    named = texts.join(texts.groupBy("class").agg(F.min("id").alias("class_id")), "class")
+    return rows.join(named.select("digest", "class_id", "copies"), "digest").select("id", "class_id", "copies")
 
 
 def op10_near_dedup(spark, sf_dir) -> DataFrame:
@@ -201,8 +209,9 @@ def op10_near_dedup(spark, sf_dir) -> DataFrame:
 
 @pipeline_stage
 def near_stage(spark, docs: DataFrame, sf_dir) -> DataFrame:
-    """Pipeline stage: the document with the least id of each class stays; null ids stay."""
-    classes = near_classes(docs.filter("doc_id is not null"))
-    kept = classes.filter("id = class_id").select(F.col("id").alias("doc_id")).distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """Pipeline stage: of each class one row stays, that of the least id (null last), then the least digest."""
+    texts, _ = _texts_and_rows(docs, "doc_id", "text")
+    first = texts.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.digest").alias("__kept"))
+    rows = docs.withColumn("__digest", text_digest(F.col("text")))
+    kept = rows.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__digest"]).select(*docs.columns)

@@ -120,6 +120,20 @@ def test_near_classes_equal_brute_force(spark):
     assert {r.doc_id for r in stage.collect()} == set(got.values())
 
 
+def test_stages_tell_rows_by_text_where_ids_are_null_or_shared(spark, tmp_path):
+    rng = random.Random(15)
+    a, b, c, d, item = (prose(rng, 80) for _ in range(5))
+    near = lambda t: f"{t} more"
+    rows = [(1, a), (1, b), (2, b), (3, near(b)), (4, near(a)), (None, c), (None, near(c)), (None, d), (None, a), (1, a)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [(r.doc_id, r.text) for r in near_dedup.near_stage(spark, table, "").collect()]
+    assert len(left) == 4 and {(1, a), (1, b), (None, d)} < set(left) and {(None, c), (None, near(c))} & set(left)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"{a} {item}"), (None, b), (5, item), (5, c), (6, None), (None, None)]
+    left = decontaminate.decontaminate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    assert {(r.doc_id, r.text) for r in left} == {(None, b), (5, c), (6, None), (None, None)}
+
+
 def test_alignment_keeps_to_the_order():
     a = np.arange(100, dtype=np.uint64)
     b = a.copy()
