@@ -1,6 +1,6 @@
 """Op 9: token sequences materialised in training order as fixed-stride binary shards.
 
-Each text's tokens (its ids in `width` bytes each, here the bytes of its UTF-8 form, and one end mark)
+Each text's tokens (the bytes of its UTF-8 form, not ids of a tokenizer, and one end mark)
 are cut into sequences of `seq_len` ids; the last is padded. A keyed Feistel network over the next power
 of four, walked along its cycle until it falls below the number of sequences, sends the i-th sequence to
 its slot: a permutation, so every slot is filled once. Shard k holds slots k*S to (k+1)*S - 1 in order,
