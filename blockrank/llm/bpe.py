@@ -130,16 +130,23 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def begin_states(data: np.ndarray, offs: np.ndarray, single: np.ndarray, couples: np.ndarray) -> np.ndarray:
-    """The fold's first states of words laid end to end: a long for each byte."""
-    tokens = single[data]
-    rank = np.full(len(data), NO_MERGE, dtype=np.int64)
-    if len(data) > 1:
-        rank[:-1] = couples[data[:-1], data[1:]]
-    ends = offs[1:][np.diff(offs) > 0]
-    rank[ends - 1] = NO_MERGE
-    place = np.arange(len(data)) - np.repeat(offs[:-1], np.diff(offs))
-    return (rank << _RANK) | (place << _LABEL) | tokens
+def begin_states(data: np.ndarray, offs: np.ndarray, single: np.ndarray, couples: np.ndarray, block: int = 1 << 18) -> np.ndarray:
+    """The fold's first states of words laid end to end: a long for each byte, made a block of words at a time."""
+    out = np.empty(len(data), dtype=np.int64)
+    word = 0
+    while word < len(offs) - 1:
+        last = max(word + 1, int(np.searchsorted(offs, offs[word] + block, side="right")) - 1)
+        begin, end = int(offs[word]), int(offs[last])
+        if end > begin:
+            own, heads = data[begin:end], offs[word : last + 1].astype(np.int64) - begin
+            sizes = np.diff(heads)
+            rank = np.full(len(own), NO_MERGE, dtype=np.int64)
+            rank[:-1] = couples[own[:-1], own[1:]]
+            rank[heads[1:][sizes > 0] - 1] = NO_MERGE
+            place = np.arange(len(own)) - np.repeat(heads[:-1], sizes)
+            out[begin:end] = (rank << _RANK) | (place << _LABEL) | single[own]
+        word = last
+    return out
 
 
 def fold_merges(word: Column, pairs: Column, mask: int) -> Column:
@@ -170,13 +177,14 @@ def fold_merges(word: Column, pairs: Column, mask: int) -> Column:
     def merge(s: Column, e: Column) -> Column:
         merged = F.shiftright(e, _RANK)
 
-        def at(i: Column) -> Column:
-            joined = state(rank_after(merged, F.get(s, i + 1), token), e.bitwiseAND(labels), merged)
-            left = _let(F.get(s, i - 2), lambda x: F.shiftleft(rank_of(token(x), merged), _RANK).bitwiseOR(x.bitwiseAND(keep)))
-            rest = F.slice(s, i + 2, F.size(s))
-            return F.when(i > 1, F.concat(F.slice(s, F.lit(1), i - 2), F.array(left, joined), rest)).otherwise(F.concat(F.array(joined), rest))
+        def at(p: Column) -> Column:
+            # the piece at p takes in the next one, and the piece before has a new neighbour
+            joined = state(rank_after(merged, F.get(s, p + 2), token), e.bitwiseAND(labels), merged)
+            left = lambda x: F.shiftleft(rank_of(token(x), merged), _RANK).bitwiseOR(x.bitwiseAND(keep))
+            changed = F.transform(s, lambda x, j: F.when(j == p, joined).when(j == p - 1, left(x)).otherwise(x))
+            return F.filter(changed, lambda _, j: j != p + 1)
 
-        return _let(F.array_position(s, e).cast("int"), at)
+        return _let((F.array_position(s, e) - 1).cast("int"), at)
 
     def step(s: Column, _: Column) -> Column:
         return _let(F.array_min(s), lambda e: F.when(F.shiftright(e, _RANK) >= NO_MERGE, s).otherwise(merge(s, e)))
@@ -219,12 +227,19 @@ def _splitter(ranks_held, pattern: str, text: str, keep: list[str], chunk_bytes:
                     own = list(map(places.__getitem__, find(raw[s:e].decode("utf-8", "replace"))))
                     ids.append(np.array(own, dtype=np.int32))
                     sizes.append(sizes[-1] + len(own))
-                words = [w.encode() for w in places]
-                ready = [[ranks[w]] if w in ranks else heap_merges(w, ranks) if len(w) > LONG_WORD else None for w in words]
-                todo = [b"" if r else w for w, r in zip(words, ready, strict=True)]
-                ends = np.concatenate([[0], np.cumsum([len(w) for w in todo], dtype=np.int64)]).astype(np.int32)
-                states = begin_states(np.frombuffer(b"".join(todo), dtype=np.uint8), ends, single, couples)
+                todo = [w.encode() for w in places]
+                del places, raw
+                ready: list[list[int] | None] = [None] * len(todo)
+                for i, w in enumerate(todo):
+                    if w in ranks or len(w) > LONG_WORD:
+                        ready[i] = [ranks[w]] if w in ranks else heap_merges(w, ranks)
+                        todo[i] = b""
+                ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, todo), np.int64, len(todo)))]).astype(np.int32)
+                joined = np.frombuffer(b"".join(todo), dtype=np.uint8)
+                del todo
+                states = begin_states(joined, ends, single, couples)
                 dictionary = pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(states)), pa.array(ready, pa.list_(pa.int32()))], names=["states", "ready"])
+                del ready
                 at = pa.ListArray.from_arrays(pa.array(np.array(sizes, dtype=np.int32)), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
                 rows = pa.StructArray.from_arrays([*(batch.column(batch.schema.get_field_index(k)).slice(lo, hi - lo) for k in keep), at], names=[*keep, "__at"])
                 one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
