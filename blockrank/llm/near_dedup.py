@@ -2,61 +2,76 @@
 
 Texts with equal bytes form one representative first (128-bit digest). A representative's k-mers are its
 runs of five words, each labelled with its occurrence number in the text, so repeats count. For each of
-`sketches` hash functions the `per_sketch` least k-mers are taken and kept in the order of the text;
-their sequence is one band. Two texts whose k-mer sequences agree by 0.8 share a band with a chance of at
-least 0.64 each, so 16 bands miss a pair with a chance below 1e-7.
+SKETCHES hash functions the PER_SKETCH least k-mers are taken and kept in the order of the text; their
+sequence is one band. Texts of fewer than SHORT words, where one changed word breaks most runs of five, get
+SHORT_SKETCHES bands of two-word k-mers besides. Two texts whose words align by 0.8 after scattered
+replacements share two fifths of their five-word k-mers, thus each band with a chance of 0.15, so 40 bands
+miss such a pair with a chance of about 0.002 (and one at 0.9 with less than 1e-6).
 
-Texts that share a bucket are joined to the bucket's least text, which costs one row for each text and
-band; the components of these joins hold every pair that shares a band. A component is cut into tiles of
-about TILE texts by the hash of the id, and each pair of tiles is compared by itself: pairs whose
-128 further least k-mers agree too rarely for a similarity of 0.8 (a chance of 2e-5 to miss one) are
-passed over, and so are pairs that are linked already, directly or through others; no rows are made for
-pairs, and a group of m like texts costs m alignments.
+A pair is verified by aligning its two sequences of words within the band of diagonals that a similarity
+of 0.8 allows (bit-parallel longest common subsequence); the similarity is matched / (m + n - matched).
+Pairs whose 128 least two-word k-mers agree too rarely for a similarity of 0.8 are passed over.
 
-An alignment matches the two k-mer sequences within the band of diagonals that a similarity of 0.8 allows
-(bit-parallel longest common subsequence); the similarity is matched / (m + n - matched). Classes are the
-connected components of verified pairs; a class is named by its least doc_id.
+1. Every text of a bucket (the texts that share a band) is aligned with the bucket's least text: one row
+   for each text and band at most, whatever the bucket's size. Components of the verified pairs are classes.
+2. A bucket whose texts are all in one class is done. In the others each pair of texts of different classes
+   is tried, too: a bucket is cut by length (a text meets only those whose length allows 0.8) and then into
+   tiles of about TILE texts; each pair of tiles is a task's work by itself, passes over pairs that are
+   linked already, directly or through others, and gives links, not pairs. Buckets of the same texts count
+   once.
+3. Classes are the components of all links; a class is named by its least doc_id.
 
 Defined results: null counts as empty, and empty texts are equal texts like others; texts without a word
-have no other likeness than equal bytes; a text of fewer than five words has one k-mer, all its words; repeated rows of one doc_id give a row each. Texts, not ids, are
-compared: rows may share a doc_id or have none (a class without any has a null class_id, and unlike texts of
-one doc_id may give two classes the same name). An empty table gives an empty result; other columns are not read by `near_classes`, and kept by the pipeline stage.
+have no other likeness than equal bytes; a text of fewer than k words has one k-mer, all its words; repeated
+rows of one doc_id give a row each. Texts, not ids, are compared: rows may share a doc_id or have none (a
+class without any has a null class_id, and unlike texts of one doc_id may give two classes the same name).
+An empty table gives an empty result; other columns are not read by `near_classes`, and kept by the
+pipeline stage.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_bitmap, key_bitmap, materialise, pipeline_stage, read_table, text_digest
-from .components import connected_components
+from .components import connected_components, hot_join
 from .text_kernel import mix, occurrence, shingles, span_hashes, text_chunks, word_spans
 
-K, SKETCHES, PER_SKETCH, SIMILARITY = 5, 16, 2, 0.8
-CHECKS, CHECKS_ALIKE, TILE = 128, 84, 512
+K, SKETCHES, PER_SKETCH, SIMILARITY = 5, 40, 2, 0.8
+SHORT, SHORT_K, SHORT_SKETCHES = 80, 2, 16
+CHECKS, CHECKS_ALIKE, TILE = 128, 35, 512
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def kmers(data: np.ndarray, offs: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and for each text the index of its first (one more at the end)."""
     starts, ends, first = word_spans(data, offs)
-    return shingles(span_hashes(data, starts, ends), first, k)
+    return span_hashes(data, starts, ends), first
+
+
+def labelled_kmers(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all k-mers with their occurrence numbers, and for each text the index of its first."""
+    grams, begin = shingles(words, first, k)
+    of = np.repeat(np.arange(len(first) - 1), np.diff(begin))
+    return mix(grams + occurrence(grams, of).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), begin
 
 
-def order_sketches(data: np.ndarray, offs: np.ndarray, k: int = K, sketches: int = SKETCHES, per_sketch: int = PER_SKETCH) -> tuple[np.ndarray, np.ndarray]:
-    """(bands texts x sketches, number of k-mers); texts without a word have 0 k-mers and no bands."""
-    grams, begin = kmers(data, offs, k)
+def order_sketches(words: np.ndarray, first: np.ndarray, k: int = K, sketches: int = SKETCHES, per_sketch: int = PER_SKETCH) -> np.ndarray:
+    """Bands, texts x sketches; those of a text without a word are 0."""
+    labelled, begin = labelled_kmers(words, first, k)
     n = np.diff(begin)
     bands = np.zeros((len(n), sketches), dtype=np.uint64)
     full = np.flatnonzero(n)
     if not len(full):
-        return bands, n
+        return bands
     of = np.repeat(np.arange(len(full)), n[full])
-    labelled = mix(grams + occurrence(grams, of).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     heads = begin[full]
-    seeds = mix(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-    rows = np.arange(len(full))
+    seeds = mix(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(k))
     for s, seed in enumerate(seeds):
         h = (labelled ^ seed) * np.uint64(0xFF51AFD7ED558CCD)
         h ^= h >> np.uint64(32)
@@ -72,8 +87,8 @@ def order_sketches(data: np.ndarray, offs: np.ndarray, k: int = K, sketches: int
         for p in range(per_sketch):
             again = at[p] == at[p - 1] if p else np.zeros(len(full), bool)
             band = np.where(again, band, mix(band * np.uint64(0x8EBC6AF09C88C6E3) + labelled[at[p]]))
-        bands[full[rows], s] = band
-    return bands, n
+        bands[full, s] = band
+    return bands
 
 
 def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
@@ -110,26 +125,37 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
 
 
 def _sketch(batches):
+    """(id, digest, text) -> (id, digest, number of words, bands): none without a word, more for a short text."""
     for batch in batches:
-        ids, digests = batch.column(0), batch.column(1)
         for lo, hi, data, offs in text_chunks(batch, "text"):
-            bands, n = order_sketches(data, offs)
-            flat = pa.array(np.ascontiguousarray(bands).view(np.int64).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * bands.shape[1]), flat)
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), digests.slice(lo, hi - lo), pa.array(n.astype(np.int64)), lists], names=["id", "digest", "n", "bands"])
+            words, first = words_of(data, offs)
+            n = np.diff(first)
+            long = order_sketches(words, first)
+            short = np.flatnonzero((n > 0) & (n < SHORT))
+            few = np.concatenate([np.zeros(0, np.int64), *(np.arange(first[i], first[i + 1]) for i in short)]).astype(np.int64)
+            more = order_sketches(words[few], np.concatenate([[0], np.cumsum(n[short])]), SHORT_K, SHORT_SKETCHES)
+            size = np.where(n > 0, SKETCHES, 0)
+            size[short] += SHORT_SKETCHES
+            begin = np.concatenate([[0], np.cumsum(size)])
+            flat = np.empty(begin[-1], dtype=np.uint64)
+            full = np.flatnonzero(n)
+            flat[begin[full][:, None] + np.arange(SKETCHES)] = long[full]
+            flat[begin[short][:, None] + SKETCHES + np.arange(SHORT_SKETCHES)] = more
+            lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(flat.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n.astype(np.int64)), lists], names=["id", "digest", "n", "bands"])
 
 
 def _checks(wanted):
-    """(id, key, text, digest) -> (id, digest, text, further least k-mers) of the keys that may be wanted."""
+    """(id, key, text, digest) -> (id, digest, text, least two-word k-mers) of the keys that may be wanted."""
     seeds = mix(np.arange(1001, 1001 + CHECKS, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
     def run(batches):
         for batch in batches:
-            batch = batch.filter(pa.array(in_bitmap(wanted.value, batch.column(1).to_numpy())))
+            keys = batch.column(1).to_numpy()
+            one = np.sort(np.unique(keys, return_index=True)[1])  # equal rows once
+            batch = batch.take(pa.array(one[in_bitmap(wanted.value, keys[one])]))
             for lo, hi, data, offs in text_chunks(batch, "text"):
-                grams, begin = kmers(data, offs)
-                of = np.repeat(np.arange(hi - lo), np.diff(begin))
-                labelled = mix(grams + occurrence(grams, of).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+                labelled, begin = labelled_kmers(*words_of(data, offs), SHORT_K)
                 full = np.flatnonzero(np.diff(begin))
                 least = np.zeros((hi - lo, CHECKS), dtype="<u2")
                 for j, seed in enumerate(seeds if len(full) else ()):
@@ -141,35 +167,72 @@ def _checks(wanted):
     return run
 
 
+def _sequences(texts: pa.Array) -> list[np.ndarray]:
+    """The words of each text, as hashes."""
+    out = []
+    for _, _, data, offs in text_chunks(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+        words, first = words_of(data, offs)
+        out += [words[s:e] for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    return out
+
+
+def _minima(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(len(column), CHECKS)
+
+
+def _verify_pairs(batches):
+    """(a, b, text_a, least_a, text_b, least_b) -> the pairs (a, b) that are similar."""
+    for batch in batches:
+        col = {k: batch.column(i) for i, k in enumerate(batch.schema.names)}
+        may = (_minima(col["least_a"]) == _minima(col["least_b"])).sum(axis=1) >= CHECKS_ALIKE if batch.num_rows else np.zeros(0, bool)
+        for lo in range(0, batch.num_rows, 256):
+            part = np.flatnonzero(may[lo : lo + 256]) + lo
+            one, two = (_sequences(col[k].take(pa.array(part))) for k in ("text_a", "text_b"))
+            part = pa.array(part[[aligned_similarity(x, y) >= SIMILARITY for x, y in zip(one, two, strict=True)]], pa.int64())
+            yield pa.RecordBatch.from_arrays([col["a"].take(part), col["b"].take(part)], names=["a", "b"])
+
+
 def _link_tile(key, table):
     """Links (a, b) that join all texts of a pair of tiles which similar pairs join."""
-    _, one, two = (k.as_py() for k in key)
-    table = table.sort_by("id")
-    ids = table["id"].to_numpy()
-    tile = table["tile"].to_numpy()
-    grams = []
-    for batch in table.select(["text"]).combine_chunks().to_batches():
-        for _, _, data, offs in text_chunks(batch, "text"):
-            own, begin = kmers(data, offs)
-            grams += [own[s:e] for s, e in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-    least = np.frombuffer(b"".join(x.as_py() for x in table["least"]), dtype="<u2").reshape(len(ids), CHECKS)
-    size = np.array([len(g) for g in grams])
-    root = np.arange(len(ids))
+    _, cell, one, two = (k.as_py() for k in key)
+    table = table.combine_chunks().sort_by("id")
+    ids, tile, own = (table[k].to_numpy() for k in ("id", "tile", "own"))
+    words = [x for part in table["text"].chunks for x in _sequences(part)]
+    least = np.concatenate([_minima(part) for part in table["least"].chunks])
+    size = np.array([len(w) for w in words])
+    # texts of one class need no link
+    root = np.unique(table["class"].to_numpy(), return_inverse=True)[1]
     links = []
     for i in range(len(ids) - 1):
-        other = np.arange(i + 1, len(ids))
+        other = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
         if one != two:
-            other = other[tile[i + 1 :] != tile[i]]
-        other = other[root[other] != root[i]]
+            other = other[tile[other] != tile[i]]
+        if own[i] != cell:
+            other = other[own[other] == cell]
         other = other[np.minimum(size[other], size[i]) >= SIMILARITY * np.maximum(size[other], size[i])]
         other = other[(least[other] == least[i]).sum(axis=1) >= CHECKS_ALIKE]
         for j in other.tolist():
-            if root[i] != root[j] and aligned_similarity(grams[i], grams[j]) >= SIMILARITY:
+            if root[i] != root[j] and aligned_similarity(words[i], words[j]) >= SIMILARITY:
                 links.append((ids[i], ids[j]))
                 root[root == root[j]] = root[i]
     return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
 
+def _links_within(posted: DataFrame, buckets: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): links between texts of different classes in one bucket; buckets of two were judged before."""
+    placed = posted.join(classes.select("id", "class"), "id", "left").withColumn("class", F.coalesce("class", "id"))
+    open_ = placed.groupBy("band").agg(F.min("class").alias("c"), F.max("class").alias("z")).filter("c <> z")
+    open_ = buckets.filter("size > 2").join(open_, "band").groupBy("a", "size", "sign").agg(F.min("band").alias("band")).select("band")
+    members = materialise(hot_join(posted, open_, "band").join(texts.select("id", "n"), "id"), "near-open")
+    own = F.floor(F.log("n") / math.log(1 / SIMILARITY)).cast("int")
+    cells = materialise(members.select("band", "id", own.alias("own")).select("*", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("cell")).withColumn("group", F.xxhash64("band", "cell")), "near-cells")
+    tiles = cells.groupBy("group").agg(F.count(F.lit(1)).alias("rows"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).filter("rows > 1").drop("rows")
+    dealt = hot_join(cells, tiles, "group").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("band", "cell", F.least("tile", "with").alias("one"), F.greatest("tile", "with").alias("two"), "tile", "own", "id")
+    dealt = dealt.join(texts.select("id", "text", "least"), "id").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    return dealt.groupBy("band", "cell", "one", "two").applyInArrow(_link_tile, "a long, b long")
+
+
 def _texts_and_rows(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(node, digest, id, copies, class) of every distinct text with its least id, and (id, digest) of every row."""
     rows = docs.select(F.col(key).cast("long").alias("id"), text_digest(F.col(text)).alias("digest"), F.col(text).alias("text"))
@@ -179,19 +242,25 @@ def _texts_and_rows(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Da
     # numbers of texts, not their ids, which may be null or shared; written, so that they stay
     reps = materialise(reps.select(F.monotonically_increasing_id().alias("node"), "*"), "near-texts")
     posted = materialise(reps.filter("n > 0").select("node", F.posexplode("bands").alias("no", "band")).select(F.col("node").alias("id"), F.xxhash64("no", "band").alias("band")), "near-bands")
-    least = posted.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("band", "a")
-    stars = posted.join(least, "band").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-    groups = connected_components(stars).select(F.col("id").alias("node"), F.col("class").alias("group"))
-    tiles = groups.join(groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")), "group")
-    tiles = materialise(tiles.join(reps.select("node", "digest", F.col("id").alias("own")), "node"), "near-tiles")
-    wanted = docs.sparkSession.sparkContext.broadcast(key_bitmap(tiles.select(F.xxhash64("digest", "own").alias("key"))))
-    texts = rows.select("id", F.xxhash64("digest", "id").alias("key"), "text", "digest").mapInArrow(_checks(wanted), "id long, digest binary, text string, least binary")
-    same = (tiles["digest"] == texts["digest"]) & tiles["own"].eqNullSafe(texts["id"])
-    placed = tiles.join(texts, same).select(F.col("node").alias("id"), "group", "tiles", "text", "least").dropDuplicates(["id"]).withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
-    dealt = placed.select("group", "id", "tile", "text", "least", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("with"))
-    dealt = dealt.withColumn("one", F.least("tile", "with")).withColumn("two", F.greatest("tile", "with")).drop("with")
-    links = materialise(dealt.groupBy("group", "one", "two").applyInArrow(_link_tile, "a long, b long"), "near-links")
-    classes = connected_components(links).withColumnRenamed("id", "node")
+    # sign tells buckets of the same texts
+    buckets = posted.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("sign")).filter("size > 1")
+    buckets = materialise(buckets, "near-buckets")
+    stars = materialise(hot_join(posted, buckets.select("band", "a"), "band").filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "near-stars")
+    nodes = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+    nodes = materialise(nodes.join(reps.select("node", "digest", "n", F.col("id").alias("own")), "node"), "near-nodes")
+    wanted = docs.sparkSession.sparkContext.broadcast(key_bitmap(nodes.select(F.xxhash64("digest", "own").alias("key"))))
+    found = rows.select("id", F.xxhash64("digest", "id").alias("key"), "text", "digest").mapInArrow(_checks(wanted), "id long, digest binary, text string, least binary")
+    same = (nodes["digest"] == found["digest"]) & nodes["own"].eqNullSafe(found["id"])
+    texts = materialise(nodes.join(found, same).select(F.col("node").alias("id"), "n", "text", "least").dropDuplicates(["id"]), "near-wanted")
+    wanted.unpersist()
+    sides = [texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}"), F.col("least").alias(f"least_{k}")) for k in "ab"]
+    pairs = hot_join(stars, sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "least_a", "text_b", "least_b")
+    links = materialise(pairs.mapInArrow(_verify_pairs, "a long, b long"), "near-links")
+    classes = connected_components(links)
+    more = materialise(_links_within(posted, buckets, texts, classes), "near-links")
+    if more.limit(1).count():
+        classes = connected_components(links.union(more))
+    classes = classes.withColumnRenamed("id", "node")
     linked = reps.select("node", "digest", "id", "copies").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     return linked, sketched.select("id", "digest")
 
@@ -200,7 +269,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """(id, class_id, copies) of every row: the class, and how many rows have the same text."""
     texts, rows = _texts_and_rows(docs, key, text)
     named = texts.join(texts.groupBy("class").agg(F.min("id").alias("class_id")), "class")
-    return rows.join(named.select("digest", "class_id", "copies"), "digest").select("id", "class_id", "copies")
+    return hot_join(rows, named.select("digest", "class_id", "copies"), "digest").select("id", "class_id", "copies")
 
 
 def op10_near_dedup(spark, sf_dir) -> DataFrame:

@@ -90,34 +90,92 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def word_similarity(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(row[j], last[j + 1]))
+    return row[-1] / (len(a) + len(b) - row[-1])
+
+
+def near_brute(texts):
+    words = [tuple(WORD.findall(t or "")) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            m, n = len(words[i]), len(words[j])
+            same = (texts[i] or "") == (texts[j] or "")
+            if same or (min(m, n) and min(m, n) >= 0.8 * max(m, n) and len(set(words[i]) & set(words[j])) and word_similarity(words[i], words[j]) >= 0.8):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(texts))]
+
+
 def test_near_classes_equal_brute_force(spark):
     rng = random.Random(4)
     texts = [*ODD]
     for _ in range(12):
-        base = prose(rng, rng.choice((4, 30, 120))).split()
+        base = prose(rng, rng.choice((9, 30, 120))).split()
         for edits in (0, 0, 1, 2, 6, 15):
             w = list(base)
             for _ in range(min(edits, len(w) - 1)):
                 w[rng.randrange(len(w))] = prose(rng, 1)
             texts.append(" ".join(w))
-    count = [collections.Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if (w := WORD.findall(t or "")) else None for t in texts]
-    parent = list(range(len(texts)))
+    got = {r.id: r.class_id for r in near_dedup.near_classes(docs(spark, texts)).collect()}
+    want = near_brute(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    stage = near_dedup.near_stage(spark, docs(spark, texts), "")
+    assert sorted(r.doc_id for r in stage.collect()) == sorted(set(want))
 
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for i in range(len(texts)):
-        for j in range(i):
-            same = (texts[i] or "") == (texts[j] or "")
-            if same or (count[i] and count[j] and sum((count[i] & count[j]).values()) / sum((count[i] | count[j]).values()) >= 0.8):
-                a, b = sorted((root(i), root(j)))
-                parent[b] = a
+@pytest.mark.parametrize("share", [0.04, 0.05])
+def test_near_copies_with_scattered_edits_are_caught(spark, share):
+    rng = random.Random(int(share * 100))
+    texts = []
+    for _ in range(100):
+        w = prose(rng, 300).split()
+        texts.append(" ".join(w))
+        for i in rng.sample(range(300), int(300 * share)):
+            w[i] = prose(rng, 1)
+        texts.append(" ".join(w))
     got = {r.id: r.class_id for r in near_dedup.near_classes(docs(spark, texts)).collect()}
-    assert got == {i: root(i) for i in range(len(texts))}
-    stage = near_dedup.near_stage(spark, docs(spark, texts), "")
-    assert {r.doc_id for r in stage.collect()} == set(got.values())
+    assert all(got[2 * i] == got[2 * i + 1] == 2 * i for i in range(100))
+
+
+def test_links_within_a_bucket_are_not_lost_and_groups_may_be_large(spark, monkeypatch):
+    """Texts that share a passage but not their class, with chains among them; tiles of 8 texts."""
+    monkeypatch.setattr(near_dedup, "TILE", 8)
+    rng = random.Random(7)
+    passage = prose(rng, 60).split()
+    texts = []
+    for _ in range(12):
+        w = passage + prose(rng, 40).split()
+        for _ in range(5):
+            texts.append(" ".join(w))
+            w = list(w)
+            for i in rng.sample(range(60, 100), 8):
+                w[i] = prose(rng, 1)
+    hub = prose(rng, 50).split()
+    texts += [" ".join(hub[:49] + [f"x{i}"]) for i in range(600)]
+    got = {r.id: r.class_id for r in near_dedup.near_classes(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(60)] == near_brute(texts[:60])
+    assert {got[i] for i in range(60, 660)} == {60}
+
+
+def test_near_classes_with_shared_ids_do_not_depend_on_partitions(spark):
+    rng = random.Random(9)
+    a, b = prose(rng, 100), prose(rng, 100)
+    rows = [(0, a), (0, b), (5, a + " more"), (6, b + " more"), (None, a), (None, prose(rng, 50))]
+    table = spark.createDataFrame([(i, t, "en", "s", None, None) for i, t in rows], DOCS)
+    found = [sorted((repr(r.id), repr(r.class_id), r.copies) for r in near_dedup.near_classes(table.repartition(n)).collect()) for n in (1, 2, 4)]
+    assert found[0] == found[1] == found[2]
+    assert ("5", "0", 1) in found[0] and ("6", "0", 1) in found[0] and ("None", "None", 1) in found[0]
 
 
 def test_stages_tell_rows_by_text_where_ids_are_null_or_shared(spark, tmp_path):
