@@ -254,42 +254,110 @@ def test_decontamination_tries_all_starts(spark):
     assert got == want and len(want) >= 40
 
 
-def test_language_model_is_exact_in_counts_and_finite(spark):
-    rng = random.Random(6)
-    texts = [*ODD, *(prose(rng, rng.randint(5, 80)).title() for _ in range(120))]
-    learn = ~(crc_mod("doc_id", 7) == 2)
-    got = {r.doc_id: r for r in lm_score.lm_scores(docs(spark, texts), learn).collect()}
-    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
-    tokens = [WORD.findall(lower(t)) + ["\n"] for t in texts]
-    c = collections.Counter(w for i, t in enumerate(tokens) if zlib.crc32(str(i).encode()) % 7 != 2 for w in t)
-    n, v = sum(c.values()), len(c)
+def lm_brute(texts, learn):
+    """Scores by a loop over decisions: counts of contexts in a dict, one text after the other."""
+    m = lm_score
+    spelled = [b"".join(w.encode().lower() + b" " for w in WORD.findall(t or "")) + b"\n" for t in texts]  # bytes: only A-Z
+    pairs = np.zeros(1 << 16, dtype=np.int64)
+    for s, on in zip(spelled, learn, strict=True):
+        for i, b in enumerate(s if on else b""):
+            pairs[(s[i - 1] if i else 10) << 8 | b] += 1
+    trees = m.Trees(pairs)
+    bits = tuple(min(b, max(12, math.ceil(math.log2(max(1, int(pairs.sum())))) - 2)) for b in m.MAX_BITS)
+    base, full = [sum(1 << b for b in bits[:k]) for k in range(4)], (1 << 64) - 1
+
+    def decisions(s):
+        start = 0
+        for i, b in enumerate(s):
+            back = [s[i - j] if i >= j else 10 for j in range(1, 5)]
+            if i and s[i - 1] == 32:
+                start = i
+            wide, ctx = back[0], []
+            for j in range(1, 4):
+                wide |= back[j] << 8 * j
+                ctx.append(wide * int(m._CONTEXT[j - 1]))
+            ctx.append(sum((x + 1) * int(m._POWER[q % m._STEPS]) for q, x in enumerate(s[start:i])) * int(m._CONTEXT[3]))
+            pair = back[0] << 8 | b
+            for at in range(int(trees.begin[pair]), int(trees.begin[pair] + trees.size[pair])):
+                slots = [(((c + int(trees.nodes[at])) * int(m._P) & full) >> 64 - n) + base[k] for k, (c, n) in enumerate(zip(ctx, bits, strict=True))]
+                yield i, int(trees.bits[at]), slots, min(i - start, m.PLACES - 1)
+
+    counts = np.zeros((2, sum(1 << b for b in bits)))
+    for s, on in zip(spelled, learn, strict=True):
+        for _, bit, slots, _ in decisions(s) if on else ():
+            for x in slots:
+                counts[bit, x] += 1
+    return spelled, trees, bits, counts, decisions
+
+
+def lm_brute_scores(spelled, model, decisions):
+    m, out = lm_score, []
+    for s in spelled:
+        weights = model.weights.astype(float)
+        ones, all_ = model.counts[1].astype(float), model.counts.sum(axis=0).astype(float)
+        total, stop, held = 0.0, m.segment(0), []
+        for i, bit, slots, place in [*decisions(s), (len(s), None, None, None)]:
+            if i >= stop or bit is None:
+                grads, n = np.zeros_like(weights), np.zeros(len(weights))
+                for g, err, x, c, y in held:
+                    grads[g] += err * x
+                    n[g] += 1
+                    ones[c] += y
+                    all_[c] += 1
+                weights += (m.RATE / (n + m.INERTIA))[:, None] * grads
+                stop, held = stop + m.segment(stop), []
+            if bit is None:
+                break
+            x = np.array([model.logits[q] / 16 for q in slots])
+            g = place * 4 + (x[2] != 0) * 2 + (x[3] != 0)
+            z = float(np.clip((x * weights[g]).sum(), -m.LIMIT, m.LIMIT))
+            mixed = 1 / (1 + math.exp(-z))
+            c = place * m.BUCKETS + int(np.float32(z) * np.float32((m.BUCKETS - 1) / (2 * m.LIMIT)) + np.float32(m.BUCKETS / 2))
+            p = (mixed + ones[c] / all_[c]) / 2
+            total += math.log10(p if bit else 1 - p)
+            held.append((g, bit - mixed, x, c, bit))
+        out.append(total)
+    return out
+
+
+def test_language_model_equals_brute_force_on_any_partitions(spark):
+    rng = random.Random(5)
+    texts = [*(t for t in ODD if len(t or "") < 4000), "Ab" * 1500, prose(rng, 900), *(prose(rng, rng.randint(1, 60)) for _ in range(40)), "Tako MIRE tako", "a b c"]
+    while zlib.crc32(str(len(texts)).encode()) % 7 != 2:
+        texts.append("a b c")
+    texts.append("".join(rng.choice("0123456789abcdef") for _ in range(3000)))
+    table = docs(spark, texts)
+    learn = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts))]
+    spelled, trees, bits, counts, decisions = lm_brute(texts, learn)
+    rows = table.select("doc_id", "text", F.array(*map(F.lit, learn))[F.col("doc_id").cast("int")].alias("learn"))
+    model = lm_score.fit(trees, bits, np.log2(1 + counts.astype(np.float32)), *lm_score._sample(rows))
+    want = lm_brute_scores(spelled, model, decisions)
+    held = ~F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False))
+    found = [{r.doc_id: r for r in lm_score.lm_scores(table.repartition(n), held).collect()} for n in (1, 8)]
+    assert [found[0][i].score for i in range(len(texts))] == pytest.approx(want, rel=1e-4)
+    assert [found[1][i].score for i in range(len(texts))] == pytest.approx([found[0][i].score for i in range(len(texts))], rel=1e-12)
+    assert found[0][len(texts) - 1].bits_per_byte > 3  # an unseen word of 3000 bytes costs all of its decisions
+    tokens = [[*(w.translate({x: x + 32 for x in range(65, 91)}) for w in WORD.findall(t or "")), None] for t in texts]
+    count = collections.Counter(w for t, on in zip(tokens, learn, strict=True) if on for w in t)
+    n, v = sum(count.values()), len(count)
     for i, t in enumerate(tokens):
-        r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t))
-        assert -1e6 < r.score < 0
-    held = [i for i in range(len(ODD), len(texts)) if zlib.crc32(str(i).encode()) % 7 == 2]
-    # far under the 8 bits of a byte, and under the 3.5 that the letters' frequencies alone give here
-    assert sum(got[i].bits_per_byte for i in held) / len(held) < 3.2
-    assert lm_score.lm_scores(docs(spark, []), learn).count() == 0
-    nothing = lm_score.lm_scores(docs(spark, ["a b"]), crc_mod("doc_id", 7) == 9).first()
-    assert (nothing.train_tokens, nothing.base_score, nothing.n_known) == (0, 0.0, 0) and nothing.score < 0
-
-
-def test_long_words_cost_all_of_their_decisions(spark, monkeypatch):
-    rng = random.Random(12)
-    long = ["".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (64, 400, 5000)]
-    texts = [*(prose(rng, 40) for _ in range(14)), *long, "語彙" * 500]
-    models = []
-    train = lm_score.train
-    monkeypatch.setattr(lm_score, "train", lambda *a: models.append(train(*a)) or models[-1])
-    got = {r.doc_id: r for r in lm_score.lm_scores(docs(spark, texts), F.col("doc_id") < 14).collect()}
-    for i in range(14, len(texts)):
-        word, end = models[0].word_scores([texts[i].encode(), b"\n"])
-        first = np.logaddexp.reduce(word) - math.log(len(word))
-        then = np.logaddexp.reduce(word + end) - np.logaddexp.reduce(word)
-        assert got[i].score == pytest.approx((first + then) / math.log(10), rel=1e-5)
-        assert got[i].bits_per_byte > 3
+        r = found[1][i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(count[w] > 0 for w in t), n)
+        assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t), rel=1e-9)
+
+
+def test_language_model_edges(spark):
+    assert lm_score.lm_scores(docs(spark, []), F.lit(True)).count() == 0
+    r = lm_score.lm_scores(docs(spark, ["ab", None]), F.lit(False)).orderBy("doc_id").collect()
+    assert [x.train_tokens for x in r] == [0, 0] and [x.n_known for x in r] == [0, 0] and [x.n_tokens for x in r] == [2, 1]
+    # nothing learned: every decision has probability 1/2
+    assert all(abs(x.score / math.log10(2) - round(x.score / math.log10(2))) < 1e-5 for x in r)
+    rng = random.Random(6)
+    texts = [prose(rng, rng.randint(5, 80)) for _ in range(120)]
+    held = [x.bits_per_byte for x in lm_score.lm_scores(docs(spark, texts), F.col("doc_id") < 100).filter("doc_id >= 100").collect()]
+    assert sum(held) / len(held) < 3.2  # far under the 8 bits of a byte, and under the 3.5 that the letters' frequencies alone give here
+    twice = spark.createDataFrame([(7, "same text", "en", "s", None, None)] * 2 + [(None, "other", None, None, None, None)], DOCS)
+    assert lm_score.lm_scores(twice, F.lit(True)).filter("doc_id = 7").select("score").distinct().count() == 1
 
 
 def test_quality_base_equals_brute_force(spark):
