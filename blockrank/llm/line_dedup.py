@@ -1,28 +1,34 @@
 """Op 2: near-duplicate lines by an exact set-similarity join.
 
-A line's tokens are its runs of five words (all its words where there are fewer), as a set of 64-bit
-hashes; lines are `\\n`-split, lines without a word take no part and stay. A line is removed when an
-earlier line, in the order of (doc_id, line number), has tokens with Jaccard similarity of at least 0.8:
-every line is judged against all earlier ones, removed or not, so the result depends on no order of work.
+A line's tokens are its words, as a set of 64-bit hashes; lines are `\\n`-split, lines without a word take
+no part and stay. A line is removed when an earlier line, in the order of (doc_id, line number), has tokens
+with Jaccard similarity of at least 0.8: every line is judged against all earlier ones, removed or not, so
+the result depends on no order of work.
 
 1. Token frequencies of all lines, in 2**22 hashed counters: a table of fixed size, which orders tokens by
    rarity; a shared counter costs time, never a match.
 2. Equal token sets become one row with their first place and the rarest tokens (the prefix): a set of n
-   tokens reaches 0.8 with another only if they share one of their n - ceil(0.8 n) + 1 rarest.
-3. All sets of a prefix token's bucket are joined to its least key, one row a posting; the components of
-   these joins hold every pair that shares a prefix token.
-4. The token sets of these components are read again from the texts. A component is cut into tiles of
-   about TILE sets; each pair of tiles is a small prefix join inside one task, in the order of first
-   places, with length filter, positional filter (what is left after the shared places can still reach
-   the overlap) and exact Jaccard; a set is done at its first match. No rows are made for pairs.
+   tokens reaches 0.8 with one of at most its length only if they share one of its n - ceil(0.8 n) + 1
+   rarest, which is among the shorter one's n - ceil(8 n / 9) + 1 rarest (its index part). A token that
+   occurs once in the corpus is shared with no line and left out.
+3. Posting lists: the sets of one prefix token meet in a task, sorted by length. A pair is passed over by
+   its lengths, by its positions (what is left behind the shared places can't reach the overlap), or by a
+   128-bit map of each set (bits that differ in an odd number of tokens are at least so many different
+   tokens). What is left are sets that have a possible partner, not pairs. A token of more than LIST sets is
+   split by length, and each length class into tiles of about LIST / 2 sets that meet two by two.
+4. The tokens of these sets are read again from the texts. In each posting list they are compared exactly,
+   in the order of their first places; a set is done at its first match.
 5. Documents are rebuilt from the lines that stay.
 
 Defined results: null and empty texts stay as they are; rows of one doc_id are ordered by a hash of
-their texts, and equal rows keep the same lines; a null doc_id comes first in the order; an empty table gives an empty result; other columns pass through.
+their texts, and equal rows keep the same lines; a null doc_id comes first in the order; an empty table
+gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -31,18 +37,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import in_bitmap, key_bitmap, materialise, pipeline_stage, read_table
-from .components import connected_components
-from .text_kernel import line_offsets, mix, order_within, shingles, span_hashes, text_chunks, word_spans
+from .text_kernel import line_offsets, mix, order_within, span_hashes, spread, text_chunks, word_spans
 
-K, SIMILARITY, COUNTER_BITS, SLICES, TILE = 5, 0.8, 22, 32, 512
+SIMILARITY, COUNTER_BITS, SLICES, LIST, PAIRS = 0.8, 22, 32, 4096, 1 << 20
+BROADCAST_HOT = 100_000
+#: The counter's size class of a token that occurs once.
+_ONCE, _PLACE_BITS = 8, 14
 
 
 def line_tokens(data: np.ndarray, offs: np.ndarray):
-    """(text of each line, tokens, line of each token): all lines of a chunk, tokens in order."""
+    """(text of each line, first line of each text, tokens, line of each token): all lines of a chunk, tokens in order."""
     lines, first = line_offsets(data, offs)
     starts, ends, _ = word_spans(data, offs)
-    grams, begin = shingles(span_hashes(data, starts, ends), np.searchsorted(starts, lines), K)
-    return np.repeat(np.arange(len(offs) - 1), np.diff(first)), first, grams, np.repeat(np.arange(len(lines) - 1), np.diff(begin))
+    line = np.repeat(np.arange(len(lines) - 1), np.diff(np.searchsorted(starts, lines)))
+    return np.repeat(np.arange(len(offs) - 1), np.diff(first)), first, span_hashes(data, starts, ends), line
 
 
 def _frequencies(batches):
@@ -75,6 +83,23 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
     return n - np.ceil(SIMILARITY * n - 1e-9).astype(np.int64) + 1
 
 
+def index_size(n: np.ndarray) -> np.ndarray:
+    """How many of a set's rarest tokens it must share one of with any similar set that is not shorter."""
+    return n - np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * n - 1e-9).astype(np.int64) + 1
+
+
+def overlap_needed(m, n):
+    return np.ceil(SIMILARITY / (1 + SIMILARITY) * (m + n) - 1e-9)
+
+
+def bit_maps(tokens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two words of 64 bits for each set: each token flips one bit."""
+    bit = np.uint64(1) << (tokens & np.uint64(63))
+    high = (tokens >> np.uint64(6)) & np.uint64(1)
+    zero = np.zeros(1, np.uint64)
+    return tuple(np.bitwise_xor.reduceat(np.where(high == side, bit, zero), begin[:-1]) for side in (0, 1))
+
+
 def token_sets(data: np.ndarray, offs: np.ndarray):
     """The lines with tokens as sets: (text of each line, first line of each text, line, tokens, begin of each
     set, set key). The key is a sum over the set, whatever its order."""
@@ -97,7 +122,8 @@ def by_rarity(tokens: np.ndarray, begin: np.ndarray, frequency: np.ndarray) -> n
 
 
 def _lines(frequency):
-    """(doc, hash, text) -> one row for each set and chunk: key, first place, prefix."""
+    """(doc, hash, text) -> one row for each set and chunk: key, first place, size, bit maps, prefix. A prefix
+    entry is token << 15 | place << 1 | in the index part."""
 
     def run(batches):
         for batch in batches:
@@ -106,21 +132,76 @@ def _lines(frequency):
                 of_text, first, line, tokens, begin, key = token_sets(data, offs)
                 if not len(key):
                     continue
-                tokens = by_rarity(tokens, begin, frequency.value)
                 doc, same = ids[lo + of_text[line]], hashes[lo + of_text[line]]
                 number = line - first[of_text[line]]
                 place = np.lexsort((number, same, doc, key))
                 keep = place[np.concatenate([[True], key[place][1:] != key[place][:-1]])]
                 size = np.diff(begin)[keep]
-                want = prefix_size(size)
-                at = np.repeat(begin[keep] - (np.cumsum(want) - want), want) + np.arange(want.sum())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(want)]).astype(np.int32)), pa.array((tokens[at] >> np.uint64(20)).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(doc[keep]), pa.array(same[keep]), pa.array(number[keep].astype(np.int32)), lists], names=["key", "doc", "hash", "line", "prefix"])
+                own, at = spread(size)
+                tokens = tokens[begin[keep][own] + at]
+                begin = np.concatenate([[0], np.cumsum(size)])
+                maps = bit_maps(tokens, begin)
+                tokens = by_rarity(tokens, begin, frequency.value)
+                # only tokens that occur twice or more are shared
+                use = (at < prefix_size(size)[own]) & (frequency.value[(tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)] > _ONCE)
+                entry = (tokens[use] >> np.uint64(16)) << np.uint64(_PLACE_BITS + 1) | (np.minimum(at[use], (1 << _PLACE_BITS) - 1) << 1 | (at[use] < index_size(size)[own[use]])).astype(np.uint64)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(own[use], minlength=len(size)))])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(entry.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(doc[keep]), pa.array(same[keep]), pa.array(number[keep].astype(np.int32)), pa.array(size.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in maps), lists], names=["key", "doc", "hash", "line", "n", "b0", "b1", "prefix"])
 
     return run
 
 
-def _line_keys(frequency, wanted):
+def _whole_groups(batches):
+    """Rows sorted by their first column -> tables of whole groups."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = batch.column(0).to_numpy()
+        if held and held[0].column(0)[0].as_py() != group[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        cut = int(np.searchsorted(group, group[-1]))
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _possible(batches):
+    """Posting lists (group, n, entry, key, b0, b1), sorted by group and n -> (group, key) of the sets that may have a similar one there."""
+    for table in _whole_groups(batches):
+        group, n, entry, key, *maps = (table[k].to_numpy() for k in ("group", "n", "entry", "key", "b0", "b1"))
+        maps = [x.view(np.uint64) for x in maps]
+        n, place, index = n.astype(np.int64), (entry >> 1) & ((1 << _PLACE_BITS) - 1), entry & 1 == 1
+        # the sets behind i in its list up to a quarter longer
+        number = np.cumsum(np.concatenate([[False], group[1:] != group[:-1]]))
+        wide = int(n.max()) * 2 + 2
+        end = np.searchsorted(number * wide + n, number * wide + np.floor(n / SIMILARITY + 1e-9).astype(np.int64), side="right")
+        shorter = np.flatnonzero(index & (end > np.arange(len(n)) + 1))
+        count = end[shorter] - shorter - 1
+        alive = np.zeros(len(n), dtype=bool)
+        lo, sums = 0, np.concatenate([[0], np.cumsum(count)])
+        while lo < len(shorter):
+            hi = max(lo + 1, int(np.searchsorted(sums, sums[lo] + PAIRS, side="right")) - 1)
+            own, step = spread(count[lo:hi])
+            i = shorter[lo:hi][own]
+            j = i + 1 + step
+            need = overlap_needed(n[i], n[j])
+            may = 1 + np.minimum(n[i] - place[i], n[j] - place[j]) - 1 >= need
+            i, j, need = i[may], j[may], need[may]
+            apart = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in maps)
+            may = n[i] + n[j] - apart >= 2 * need
+            alive[i[may]] = True
+            alive[j[may]] = True
+            lo = hi
+        yield pa.RecordBatch.from_arrays([pa.array(group[alive]), pa.array(key[alive])], names=["group", "key"])
+
+
+def _line_keys(wanted):
     """(text) -> (key, tokens) of the sets that may be wanted."""
 
     def run(batches):
@@ -132,46 +213,33 @@ def _line_keys(frequency, wanted):
                 _, one = np.unique(key[may], return_index=True)
                 may = may[one]
                 size = np.diff(begin)[may]
-                at = np.repeat(begin[may] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                own, at = spread(size)
+                tokens = tokens[begin[may][own] + at]
                 begin = np.concatenate([[0], np.cumsum(size)])
-                tokens = by_rarity(tokens[at], begin, frequency.value)
                 yield pa.RecordBatch.from_arrays([pa.array(key[may].view(np.int64)), pa.array([tokens[x:y].tobytes() for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary())], names=["key", "tokens"])
 
     return run
 
 
-def _match_tile(key, table):
-    """Keys of the sets that have an earlier similar one in this pair of tiles."""
-    _, one, two = (k.as_py() for k in key)
-    table = table.sort_by([("doc", "ascending"), ("hash", "ascending"), ("line", "ascending")])
-    keys, tile = table["key"].to_numpy(), table["tile"].to_numpy()
-    sets = [np.frombuffer(x.as_py(), dtype=np.uint64).tolist() for x in table["tokens"]]
-    whole = [frozenset(x) for x in sets]
-    index: dict[int, list[tuple[int, int]]] = {}
-    gone = []
-    for j, tokens in enumerate(sets):
-        n = len(tokens)
-        tried = set()
-        found = False
-        for q, t in enumerate(tokens[: int(prefix_size(np.array(n)))]):
-            for i, p in index.get(t, ()):
-                if i in tried or (one != two and tile[i] == tile[j]):
-                    continue
-                tried.add(i)
-                m = len(sets[i])
-                need = -int(-SIMILARITY / (1 + SIMILARITY) * (m + n) // 1)
-                if min(m, n) < SIMILARITY * max(m, n) or 1 + min(m - p - 1, n - q - 1) < need - 1:
-                    continue
-                common = len(whole[i] & whole[j])
-                if common >= SIMILARITY * (m + n - common) - 1e-9:
-                    found = True
-                    break
-            if found:
-                gone.append(int(keys[j]))
-                break
-        for q, t in enumerate(tokens[: int(prefix_size(np.array(n)))]):
-            index.setdefault(t, []).append((j, q))
-    return pa.table({"key": pa.array(gone, pa.int64())})
+def _matched(batches):
+    """(group, key, tokens), sorted by group and first place -> keys of the sets that have an earlier similar one."""
+    for table in _whole_groups(batches):
+        group, keys, blobs = table["group"].to_numpy(), table["key"].to_numpy(), table["tokens"].to_pylist()
+        gone = []
+        edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])).tolist()
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in blobs[lo:hi]]
+            n = np.array([len(x) for x in sets])
+            maps = bit_maps(np.concatenate(sets), np.concatenate([[0], np.cumsum(n)]))
+            whole = [frozenset(x.tolist()) for x in sets]
+            for j in range(1, hi - lo):
+                apart = sum(np.bitwise_count(x[:j] ^ x[j]).astype(np.int64) for x in maps)
+                for i in np.flatnonzero(n[:j] + n[j] - apart >= 2 * overlap_needed(n[:j], n[j])).tolist():
+                    common = len(whole[i] & whole[j])
+                    if common >= SIMILARITY * (n[i] + n[j] - common) - 1e-9:
+                        gone.append(int(keys[lo + j]))
+                        break
+        yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], names=["key"])
 
 
 def _rebuild(keep: list[str], text: str, new):
@@ -195,6 +263,26 @@ def _rebuild(keep: list[str], text: str, new):
     return run
 
 
+def _postings(sets: DataFrame) -> DataFrame:
+    """The posting lists (group, n, entry, key, b0, b1) of all prefix tokens, in partitions of whole groups."""
+    posted = sets.select("key", "n", "b0", "b1", F.explode("prefix").alias("entry")).withColumn("group", F.shiftright("entry", _PLACE_BITS + 1))
+    columns = ["group", "n", "entry", "key", "b0", "b1"]
+    count = sets.select(F.explode("prefix").alias("entry")).groupBy(F.shiftright("entry", _PLACE_BITS + 1).alias("group")).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > LIST)
+    hot = materialise(count.select("group"), "line-hot")
+    if not hot.limit(1).count():
+        return posted.select(columns).repartition("group").sortWithinPartitions("group", "n")
+    # each hot token fills a list, so at most one entry in LIST makes a row here; broadcast only if few
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_HOT else hot
+    few = posted.join(hot, "group", "left_anti").select(columns)
+    size = F.floor(F.log("n") / math.log(1 / SIMILARITY)).cast("int")
+    cells = posted.join(hot, "group", "left_semi").withColumn("cell", F.explode(F.array(size, size - 1)))
+    tiles = cells.groupBy("group", "cell").agg(F.ceil(F.count(F.lit(1)) * 2 / LIST).cast("int").alias("tiles"))
+    tiles = F.broadcast(materialise(tiles, "line-tiles")) if hot.count() <= BROADCAST_HOT else tiles
+    dealt = cells.join(tiles, ["group", "cell"]).withColumn("tile", F.pmod(F.xxhash64("key"), "tiles").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.withColumn("group", F.xxhash64("group", "cell", F.least("tile", "with"), F.greatest("tile", "with")))
+    return few.union(dealt.select(columns)).repartition("group").sortWithinPartitions("group", "n")
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", new=("n_lines", "n_removed")) -> DataFrame:
     """docs with the lines that have an earlier similar line taken out of text, and n_lines, n_removed, or
     these under other names."""
@@ -207,17 +295,17 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", new=("
     for r in slices:
         classes.reshape(SLICES, -1)[r.slice] = np.frombuffer(r.classes, dtype=np.uint8)
     frequency = sc.broadcast(classes)
-    found = materialise(rows.mapInArrow(_lines(frequency), "key long, doc long, hash long, line int, prefix array<long>"), "line-sets")
-    first = materialise(found.groupBy("key").agg(F.min(F.struct("doc", "hash", "line")).alias("at")).select("key", "at.doc", "at.hash", "at.line"), "line-first")
-    posted = found.select(F.explode("prefix").alias("token"), "key").repartition("token")
-    least = posted.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("z")).filter("a <> z").select("token", "a")
-    groups = connected_components(posted.join(least, "token").filter("key <> a").select("a", F.col("key").alias("b")).distinct()).toDF("key", "group")
-    wanted = sc.broadcast(key_bitmap(groups))
-    tokens = rows.select("text").mapInArrow(_line_keys(frequency, wanted), "key long, tokens binary").join(groups, "key").dropDuplicates(["key"])
-    sizes = groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    placed = tokens.join(sizes, "group").join(first, "key").withColumn("tile", F.pmod(F.xxhash64("key"), "tiles").cast("int"))
-    dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("group", F.least("tile", "with").alias("one"), F.greatest("tile", "with").alias("two"), "key", "tile", "tokens", "doc", "hash", "line")
-    gone = materialise(dealt.groupBy("group", "one", "two").applyInArrow(_match_tile, "key long").distinct(), "line-gone")
+    held = rows.mapInArrow(_lines(frequency), "key long, doc long, hash long, line int, n int, b0 long, b1 long, prefix array<long>")
+    one = F.min(F.struct("doc", "hash", "line", "n", "b0", "b1", "prefix")).alias("at")
+    first = materialise(held.groupBy("key").agg(one).select("key", "at.*"), "line-sets")
+    alive = materialise(_postings(first).mapInArrow(_possible, "group long, key long"), "line-possible")
+    wanted = sc.broadcast(key_bitmap(alive.select("key").distinct()))
+    tokens = rows.select("text").mapInArrow(_line_keys(wanted), "key long, tokens binary").join(alive.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    placed = alive.join(tokens.join(first.select("key", "doc", "hash", "line"), "key"), "key")
+    placed = placed.repartition("group").sortWithinPartitions("group", "doc", "hash", "line").select("group", "key", "tokens")
+    gone = materialise(placed.mapInArrow(_matched, "key long").distinct(), "line-gone")
+    frequency.unpersist()
+    wanted.unpersist()
     stay = first.join(gone, "key", "left_anti").groupBy("doc", "hash").agg(F.collect_list("line").alias("__lines"))
     joined = docs.withColumns({"__doc": doc, "__hash": same}).join(stay.toDF("__doc", "__hash", "__lines"), ["__doc", "__hash"], "left").select(*docs.columns, "__lines")
     schema = T.StructType([*docs.schema.fields, *(T.StructField(k, T.LongType()) for k in new)])

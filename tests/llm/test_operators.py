@@ -56,7 +56,7 @@ def lines_brute(texts):
     for i, t in enumerate(texts):
         for k, line in enumerate((t or "").split("\n")):
             w = WORD.findall(line)
-            s = frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else None
+            s = frozenset(w) if w else None
             all_.append((i, k, s, line))
             if s:
                 first[s] = min(first.get(s, (i, k)), (i, k))
@@ -90,6 +90,30 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("longest_list", [4096, 8])
+def test_line_dedup_finds_edited_lines_of_any_length(spark, monkeypatch, longest_list):
+    """Lines of 8 to 30 words with one or more words changed, dropped or added; short posting lists, too."""
+    monkeypatch.setattr(line_dedup, "LIST", longest_list)
+    rng = random.Random(longest_list)
+    common = ["the", "of", "and", "to", "in", "a"]
+    texts = []
+    for _ in range(40):
+        base = [rng.choice(common) if rng.random() < 0.4 else prose(rng, 1) for _ in range(rng.randint(8, 30))]
+        for _ in range(rng.randint(1, 6)):
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randint(0, 1)] = [prose(rng, 1)] * rng.randint(0, 1)
+            texts.append(" ".join(w) + "\nof the and " + " ".join(rng.sample(common, rng.randint(1, 4))))
+    texts.append(" ".join(f"w{i}" for i in range(2000)) + "\n" + " ".join(f"w{i}" for i in range(150, 2100)))
+    rng.shuffle(texts)
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    want = lines_brute(texts)
+    for i in range(len(texts)):
+        assert got[i].text == "\n".join(want[i]), i
+    assert sum(r.n_removed for r in got.values()) > 100
+
+
 def word_similarity(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
