@@ -9,6 +9,10 @@ two-choice hash table of all pairs whose joint bytes are a token (a scalar subqu
 and never printed in plans); a word that is itself a token is looked up first, as public BPE coders do.
 Nothing is shuffled, and memory depends on the chunk only. Decoding concatenates the tokens' bytes.
 
+Words that occur at least twice in the first SAMPLE_TEXTS texts of at most SAMPLE_BYTES are folded once ahead and sent along with
+the ranks, so that the chunks fold only what is rarer. This is a cache of bounded size: what it holds
+changes the time, never an id.
+
 A word of more than LONG_WORD bytes would make the fold quadratic; its merges run over a heap in the
 splitting step, by the same ranks.
 
@@ -21,7 +25,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,7 @@ from pyspark.sql import types as T
 from .common import pipeline_stage, read_table
 from .text_kernel import text_chunks
 
-CHUNK_BYTES, LONG_WORD = 32 << 20, 400
+CHUNK_BYTES, LONG_WORD, SAMPLE_TEXTS, SAMPLE_BYTES, KNOWN_WORDS = 32 << 20, 400, 4096, 32 << 10, 1 << 17
 NO_MERGE, EMPTY = 1 << 20, 1 << 62
 _LABEL, _RANK = 20, 40
 
@@ -214,10 +218,36 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : i + size[i]]] for i in range(n) if size[i]]
 
 
+def _states(words: list[bytes], tok_single: np.ndarray, couples: np.ndarray) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(begin_states(np.frombuffer(b"".join(words), dtype=np.uint8), ends, tok_single, couples)))
+
+
+def known_words(docs: DataFrame, tok: Tokenizer, text: str) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+    """(place of a word, ends, ids): the folded words of the sample."""
+    seen: Counter[str] = Counter()
+    find = regex.compile(tok.pattern).findall
+    for r in docs.select(F.col(text).alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES).head(SAMPLE_TEXTS):
+        seen.update(find(r.text))
+    words = [w for w, n in seen.most_common(KNOWN_WORDS) if n > 1]
+    words = [b for b in map(str.encode, words) if b not in tok.ranks and len(b) <= LONG_WORD]
+    if not words:
+        return {}, np.zeros(1, np.int64), np.zeros(0, np.int32)
+    spark = docs.sparkSession
+    deal = max(1, min(len(words) // 1000, 2 * spark.sparkContext.defaultParallelism))
+    rows = [words[i::deal] for i in range(deal)]
+    states = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.concat_arrays([_states(x, tok.single, tok.couples) for x in rows]))
+    table = pa.table({"no": pa.array(range(deal), pa.int64()), "words": states})
+    folded = spark.createDataFrame(table).repartition(deal).select("no", F.col("words"), tok.literal("pairs").alias("pairs")).select("no", F.transform("words", lambda w: fold_merges(w, F.col("pairs"), tok.mask)).alias("ids"))
+    ids = [x for r in sorted(folded.collect(), key=lambda r: r.no) for x in r.ids]
+    words = [w for x in rows for w in x]
+    return dict(zip(words, range(len(words)), strict=True)), np.cumsum([0, *map(len, ids)]), np.concatenate([np.array(x, dtype=np.int32) for x in ids])
+
+
 def _splitter(ranks_held, pattern: str, text: str, keep: list[str], chunk_bytes: int):
     def run(batches):
         find = regex.compile(pattern).findall
-        ranks, single, couples = ranks_held.value
+        ranks, single, couples, (known, known_ends, known_ids) = ranks_held.value
         for batch in batches:
             for lo, hi, data, offs in text_chunks(batch, text, chunk_bytes):
                 places: defaultdict[str, int] = defaultdict()
@@ -229,17 +259,20 @@ def _splitter(ranks_held, pattern: str, text: str, keep: list[str], chunk_bytes:
                     sizes.append(sizes[-1] + len(own))
                 todo = [w.encode() for w in places]
                 del places, raw
-                ready: list[list[int] | None] = [None] * len(todo)
+                ready: list[np.ndarray | list[int] | None] = [None] * len(todo)
                 for i, w in enumerate(todo):
-                    if w in ranks or len(w) > LONG_WORD:
-                        ready[i] = [ranks[w]] if w in ranks else heap_merges(w, ranks)
+                    if (k := known.get(w)) is not None:
+                        ready[i] = known_ids[known_ends[k] : known_ends[k + 1]]
+                    elif w in ranks:
+                        ready[i] = [ranks[w]]
+                    elif len(w) > LONG_WORD:
+                        ready[i] = heap_merges(w, ranks)
+                    if ready[i] is not None:
                         todo[i] = b""
-                ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, todo), np.int64, len(todo)))]).astype(np.int32)
-                joined = np.frombuffer(b"".join(todo), dtype=np.uint8)
+                states = _states(todo, single, couples)
                 del todo
-                states = begin_states(joined, ends, single, couples)
-                dictionary = pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(states)), pa.array(ready, pa.list_(pa.int32()))], names=["states", "ready"])
-                del ready
+                dictionary = pa.StructArray.from_arrays([states, pa.array(ready, pa.list_(pa.int32()))], names=["states", "ready"])
+                del ready, states
                 at = pa.ListArray.from_arrays(pa.array(np.array(sizes, dtype=np.int32)), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
                 rows = pa.StructArray.from_arrays([*(batch.column(batch.schema.get_field_index(k)).slice(lo, hi - lo) for k in keep), at], names=[*keep, "__at"])
                 one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
@@ -252,7 +285,7 @@ def encode(docs: DataFrame, tok: Tokenizer, text: str = "text", out: str = "toke
     """docs (or only its columns in keep) with the array of token ids of docs[text]."""
     docs = docs.drop(out) if text != out else docs
     keep = docs.columns if keep is None else keep
-    held = docs.sparkSession.sparkContext.broadcast((tok.ranks, tok.single, tok.couples))
+    held = docs.sparkSession.sparkContext.broadcast((tok.ranks, tok.single, tok.couples, known_words(docs, tok, text)))
     row = T.StructType([*(docs.schema[k] for k in keep), T.StructField("__at", T.ArrayType(T.IntegerType()))])
     schema = T.StructType([T.StructField("words", T.ArrayType(T.StructType([T.StructField("states", T.ArrayType(T.LongType())), T.StructField("ready", T.ArrayType(T.IntegerType()))]))), T.StructField("texts", T.ArrayType(row))])
     blocks = docs.mapInArrow(_splitter(held, tok.pattern, text, keep, chunk_bytes), schema)
