@@ -39,6 +39,20 @@ def index_tokens(text: Column) -> Column:
     return all_matches(F.lower(text), INDEX_TOKEN)
 
 
+def word_keys(low: Column) -> Column:
+    """Distinct ASCII words of lower-case text, and what stands before each underscore inside one."""
+    words = F.array_distinct(all_matches(low, "[0-9a-z_]+"))
+    parts = lambda w: F.split(w, "_")
+    before = lambda w: F.transform(F.sequence(F.lit(1), F.size(parts(w)) - 1), lambda i: F.array_join(F.slice(parts(w), F.lit(1), i), "_"))
+    return F.array_union(words, F.flatten(F.transform(F.filter(words, lambda w: w.contains("_")), before)))
+
+
+def character_pairs(low: Column) -> Column:
+    """Distinct pairs of neighbours in runs of CJK characters."""
+    runs = all_matches(low, "[一-鿿]{2,}")
+    return F.array_distinct(F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))))
+
+
 def anchor_terms(text: Column) -> Column:
     return F.array_except(query_tokens(text), words(ANCHOR_STOP))
 

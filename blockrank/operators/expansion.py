@@ -12,25 +12,27 @@ from ..functions import text as T
 def expand_queries(queries: DataFrame, enabled: bool = True, max_variants: int = 4, min_token_length: int = 2) -> DataFrame:
     """queries(query_id, text) -> query_id, variant_idx, text, source, weight; blank texts give no row."""
     plain = T.squeeze(F.col("text"))
-    tokens = T.all_matches(F.col("plain"), T.TOKEN)
-    lower = F.transform(F.col("tokens"), F.lower)
+    base = queries.select("query_id", plain.alias("plain")).filter("plain <> ''").withColumn("tokens", T.all_matches(F.col("plain"), T.TOKEN))
+    # each token once, in its first form and order; one pass over the tokens, whatever a query's length
+    flat = base.select("query_id", F.posexplode("tokens").alias("pos", "token")).repartition("query_id").withColumn("low", F.lower("token"))
+    once = flat.filter(F.length("token") >= min_token_length).groupBy("query_id", "low").agg(F.min(F.struct("pos", "token")).alias("first"))
 
     def keep(stop):
-        no = T.words(stop)
-        kept = F.filter("tokens", lambda t: ~F.array_contains(no, F.lower(t)) & (F.length(t) >= min_token_length))
-        low = F.transform(kept, F.lower)
-        return F.array_join(F.filter(kept, lambda t, i: F.array_position(low, F.lower(t)) == i + 1), " ")
+        kept = F.collect_list(F.when(~F.col("low").isin(stop), F.col("first")))
+        return F.array_join(F.transform(F.array_sort(kept), lambda t: t["token"]), " ")
 
-    base = queries.select("query_id", plain.alias("plain")).filter("plain <> ''").withColumn("tokens", tokens).withColumn("lower", lower)
-    long_ = F.col("plain").contains("?") | (F.size("tokens") >= 7) | F.array_contains(T.words(T.QUESTION_WORDS), F.get("lower", F.lit(0)))
+    texts = once.groupBy("query_id").agg(keep(T.EXPANSION_STOP + T.KEYWORD_STOP).alias("keyword"), keep(T.EXPANSION_STOP + T.COMPACT_STOP).alias("compact"))
+    base = base.join(texts, "query_id", "left").fillna("", ["keyword", "compact"])
+    first_word = F.lower(F.coalesce(F.get("tokens", F.lit(0)), F.lit("")))
+    long_ = F.col("plain").contains("?") | (F.size("tokens") >= 7) | first_word.isin(T.QUESTION_WORDS)
     variants = [F.struct(F.lit(0).alias("i"), F.col("plain").alias("text"), F.lit("original").alias("source"), F.lit(1.0).alias("weight"))]
     if enabled:
-        variants.append(F.struct(F.lit(1).alias("i"), keep(T.EXPANSION_STOP + T.KEYWORD_STOP).alias("text"), F.lit("keyword").alias("source"), F.lit(0.85).alias("weight")))
-        variants.append(F.struct(F.lit(2).alias("i"), F.when(long_, keep(T.EXPANSION_STOP + T.COMPACT_STOP)).otherwise("").alias("text"), F.lit("compact").alias("source"), F.lit(0.7).alias("weight")))
+        variants.append(F.struct(F.lit(1).alias("i"), F.col("keyword").alias("text"), F.lit("keyword").alias("source"), F.lit(0.85).alias("weight")))
+        variants.append(F.struct(F.lit(2).alias("i"), F.when(long_, F.col("compact")).otherwise("").alias("text"), F.lit("compact").alias("source"), F.lit(0.7).alias("weight")))
     rows = base.select("query_id", F.inline(F.array(*variants))).filter("text <> ''")
-    once = rows.withColumn("n", F.row_number().over(W.partitionBy("query_id", F.lower("text")).orderBy("i"))).filter("n = 1")
+    each = rows.withColumn("n", F.row_number().over(W.partitionBy("query_id", F.lower("text")).orderBy("i"))).filter("n = 1")
     order = F.row_number().over(W.partitionBy("query_id").orderBy("i"))
-    return once.withColumn("variant_idx", order - 1).filter(F.col("variant_idx") < max(1, max_variants)).select("query_id", "variant_idx", "text", "source", "weight")
+    return each.withColumn("variant_idx", order - 1).filter(F.col("variant_idx") < max(1, max_variants)).select("query_id", "variant_idx", "text", "source", "weight")
 
 
 def merge_candidates(lists: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,17 +18,23 @@ K1, B = 1.2, 0.75
 class LexicalIndex:
     postings: DataFrame  # term, block_uid, tf
     terms: DataFrame  # term, df
-    docs: DataFrame  # block_uid, note_path, dl
+    docs: DataFrame  # block_uid, note_path, dl, clean_text
     totals: DataFrame  # one row: n, avgdl
+    terms_of: Callable[[DataFrame], DataFrame] | None = None  # (word) -> word, term; None where a token is its term
+
+
+def index_of(docs: DataFrame, postings: DataFrame, terms_of=None) -> LexicalIndex:
+    """The index of docs(block_uid, note_path, dl, clean_text) and postings(term, block_uid, tf)."""
+    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return LexicalIndex(postings, terms, docs, docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), terms_of)
 
 
 def build_index(blocks: DataFrame, tokens=T.index_tokens) -> LexicalIndex:
-    """blocks(block_uid, note_path, clean_text)."""
-    own = blocks.select("block_uid", "note_path", tokens(F.col("clean_text")).alias("tokens"))
+    """blocks(block_uid, note_path, clean_text). The postings are kept (memory, then disk), as each search uses them several times."""
+    own = blocks.select("block_uid", "note_path", "clean_text", tokens(F.col("clean_text")).alias("tokens"))
     postings = own.select("block_uid", F.explode("tokens").alias("term")).groupBy("term", "block_uid").agg(F.count(F.lit(1)).alias("tf"))
-    docs = own.select("block_uid", "note_path", F.size("tokens").cast("long").alias("dl"))
-    totals = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    return LexicalIndex(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), docs, totals)
+    docs = own.select("block_uid", "note_path", F.size("tokens").cast("long").alias("dl"), "clean_text")
+    return index_of(docs, postings.persist())
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -36,20 +43,23 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def token_df(tokens: DataFrame, index: LexicalIndex) -> DataFrame:
-    """tokens(..., token) with df (0 where no block has it) and n."""
-    return tokens.join(index.terms.withColumnRenamed("term", "token"), "token", "left").withColumn("df", F.coalesce("df", F.lit(0).cast("long"))).crossJoin(F.broadcast(index.totals.select("n")))
+    """tokens(..., token) with term, df (0 where no block has it) and n."""
+    if index.terms_of is None:
+        named = tokens.withColumn("term", F.col("token"))
+    else:
+        named = tokens.join(index.terms_of(tokens.select(F.col("token").alias("word"))).withColumnRenamed("word", "token"), "token")
+    return named.join(index.terms, "term", "left").withColumn("df", F.coalesce("df", F.lit(0).cast("long"))).crossJoin(F.broadcast(index.totals.select("n")))
 
 
 def informative(tokens: DataFrame, index: LexicalIndex) -> DataFrame:
-    """query_id, pos, token, df, weight of the tokens that tell texts apart; if none, the rarest one."""
-    known = token_df(tokens, index).withColumn("stop", F.col("token").isin(T.LEXICAL_STOP))
+    """query_id, pos, token, term, df, weight of the tokens that tell texts apart; if none, the rarest one. Stop
+    words never count."""
+    known = token_df(tokens.filter(~F.col("token").isin(T.LEXICAL_STOP)), index)
     common = (F.col("df") >= 12) & (F.col("df") >= 0.25 * F.col("n"))
-    flagged = known.withColumn("good", ~F.col("stop") & ~common)
     per = W.partitionBy("query_id")
-    first = F.row_number().over(per.orderBy("df", "pos"))
-    kept = flagged.withColumns({"any": F.max("good").over(per), "rn": first}).filter("good or (not any and rn = 1)")
+    kept = known.withColumn("good", ~common).withColumns({"any": F.max("good").over(per), "rn": F.row_number().over(per.orderBy("df", "pos"))}).filter("good or (not any and rn = 1)")
     weight = F.when(F.col("n") == 0, 1.0).otherwise(F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
-    return kept.select("query_id", "pos", "token", "df", weight.alias("weight"))
+    return kept.select("query_id", "pos", "token", "term", "df", weight.alias("weight"))
 
 
 def bm25_score(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column) -> Column:
@@ -58,40 +68,67 @@ def bm25_score(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column) ->
 
 
 def bm25_top(tokens: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
-    """tokens(query_id, token, df) -> query_id, block_uid, note_path, bm25, rn: the k best blocks."""
-    hits = tokens.select("query_id", "token", "df").join(index.postings.withColumnRenamed("term", "token"), "token").join(index.docs, "block_uid").crossJoin(F.broadcast(index.totals))
+    """tokens(query_id, token, term, df) -> query_id, block_uid, note_path, bm25, rn: the k best blocks."""
+    hits = tokens.filter("df > 0").select("query_id", "term", "df").join(index.postings, "term").join(index.docs.select("block_uid", "dl"), "block_uid").crossJoin(F.broadcast(index.totals))
     parts = hits.withColumn("part", bm25_score(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl")))
-    scored = parts.groupBy("query_id", "block_uid", "note_path").agg(F.round(F.sum("part"), 6).alias("bm25"))
-    return scored.withColumn("rn", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bm25"), "block_uid"))).filter(F.col("rn") <= k)
+    scored = parts.groupBy("query_id", "block_uid").agg(F.round(F.sum("part"), 6).alias("bm25"))
+    best = scored.withColumn("rn", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bm25"), "block_uid"))).filter(F.col("rn") <= k)
+    return best.join(index.docs.select("block_uid", "note_path"), "block_uid").select("query_id", "block_uid", "note_path", "bm25", "rn")
+
+
+def token_in_text(token: Column, text: Column) -> Column:
+    """Whether lower-case text has the token: an ASCII one as a word (an underscore may follow), any other anywhere."""
+    word = F.concat(F.lit("(?<![0-9A-Za-z_])"), token, F.lit("(?![0-9A-Za-z])"))
+    return text.contains(token) & (~token.rlike("^[0-9A-Za-z_]+$") | F.regexp_like(text, word))
+
+
+def _covered(pairs: DataFrame, tokens: DataFrame, index: LexicalIndex) -> DataFrame:
+    """(query_id, block_uid, covered): the weight of a query's tokens in the text of its pairs. ASCII tokens meet the words
+    of the fetched texts by equality, others are looked for in the text."""
+    texts = pairs.join(index.docs.select("block_uid", F.lower("clean_text").alias("low")), "block_uid")
+    plain = F.col("token").rlike("^[0-9A-Za-z_]+$")
+    words = texts.select("block_uid", "low").dropDuplicates(["block_uid"]).select("block_uid", F.explode(T.word_keys(F.col("low"))).alias("token"))
+    # a query's pairs are few (top_k), so its tokens meet them by query
+    met = pairs.join(tokens.filter(plain).select("query_id", "token", "weight"), "query_id").join(words, ["block_uid", "token"], "left_semi").select("query_id", "block_uid", "weight")
+    other = texts.join(tokens.filter(~plain).select("query_id", "token", "weight"), "query_id").filter(F.col("low").contains(F.col("token"))).select("query_id", "block_uid", "weight")
+    return met.union(other).groupBy("query_id", "block_uid").agg(F.sum("weight").alias("covered"))
 
 
 def lexical_search(queries: DataFrame, index: LexicalIndex, top_k: int) -> DataFrame:
-    """query_id, block_uid, note_path, lex_score, lex_rank."""
+    """query_id, block_uid, note_path, lex_score, lex_rank. A query none of whose first 16 tokens is in the index falls back to
+    blocks that contain one of its first eight."""
     tokens = informative(query_terms(queries), index)
-    nth = F.row_number().over(W.partitionBy("query_id").orderBy("pos"))
-    fetched = bm25_top(tokens.withColumn("nth", nth).filter("nth <= 16"), index, 4 * top_k)
+    tokens = tokens.withColumn("nth", F.row_number().over(W.partitionBy("query_id").orderBy("pos")))
+    fetched = bm25_top(tokens.filter("nth <= 16"), index, 4 * top_k)
     per = W.partitionBy("query_id")
     low, high = F.min("bm25").over(per), F.max("bm25").over(per)
     normal = fetched.withColumn("norm", F.when(high == low, 1.0).otherwise((F.col("bm25") - low) / F.when(high == low, 1.0).otherwise(high - low)))
     total = tokens.groupBy("query_id").agg(F.sum("weight").alias("total"))
-    present = normal.select("query_id", "block_uid").join(tokens, "query_id").join(index.postings.select(F.col("term").alias("token"), "block_uid"), ["token", "block_uid"])
-    covered = present.groupBy("query_id", "block_uid").agg(F.sum("weight").alias("covered"))
-    scored = normal.join(covered, ["query_id", "block_uid"], "left").join(total, "query_id")
+    scored = normal.join(_covered(fetched.select("query_id", "block_uid"), tokens, index), ["query_id", "block_uid"], "left").join(total, "query_id")
     score = F.round(0.7 * F.col("norm") + 0.3 * F.coalesce("covered", F.lit(0.0)) / F.col("total"), 6)
     ranked = scored.withColumn("lex_score", score).withColumn("lex_rank", F.row_number().over(per.orderBy(F.desc("lex_score"), "block_uid")))
-    return ranked.filter(F.col("lex_rank") <= top_k).select("query_id", "block_uid", "note_path", "lex_score", "lex_rank")
+    found = ranked.filter(F.col("lex_rank") <= top_k).select("query_id", "block_uid", "note_path", "lex_score", "lex_rank")
+    return found.union(_fallback(tokens, index, top_k))
 
 
-def like_fallback(queries: DataFrame, blocks: DataFrame, index: LexicalIndex, top_k: int, most: int = 500) -> DataFrame:
-    """For queries that no posting meets: blocks that contain any of the first eight tokens anywhere."""
-    tokens = informative(query_terms(queries), index)
-    met = tokens.join(index.postings.withColumnRenamed("term", "token"), "token", "left_semi").select("query_id").distinct()
-    eight = tokens.withColumn("nth", F.row_number().over(W.partitionBy("query_id").orderBy("pos"))).filter("nth <= 8").join(met, "query_id", "left_anti")
-    wanted = F.broadcast(eight.select("token", "weight", "query_id"))
-    hits = blocks.select("block_uid", "note_path", F.lower("clean_text").alias("low")).join(wanted, F.expr("low like concat('%', token, '%')"))
-    total = eight.groupBy("query_id").agg(F.sum("weight").alias("total"))
-    scored = hits.groupBy("query_id", "block_uid", "note_path").agg(F.sum("weight").alias("matched"))
-    order = W.partitionBy("query_id")
-    first = scored.withColumn("seen", F.row_number().over(order.orderBy("block_uid"))).filter(F.col("seen") <= most)
+def _fallback(tokens: DataFrame, index: LexicalIndex, top_k: int, most: int = 500) -> DataFrame:
+    """tokens(query_id, token, df, weight, nth) -> the hits of queries without a posting. A token meets texts by a key that both
+    have, so this is a join, whatever the number of queries: an ASCII token by itself, any other by its first two characters."""
+    per = W.partitionBy("query_id")
+    unmet = tokens.withColumn("met", F.max(F.when(F.col("nth") <= 16, F.col("df")).otherwise(0)).over(per)).filter("met = 0 and nth <= 8")
+    key = F.when(F.col("token").rlike("^[0-9A-Za-z_]+$"), F.col("token")).otherwise(F.substring("token", 1, 2))
+    asked = unmet.select("query_id", "token", "weight", key.alias("key"))
+    low = F.lower("clean_text")
+    keys = index.docs.select("block_uid", "note_path", F.explode(F.array_union(T.word_keys(low), T.character_pairs(low))).alias("key"))
+    met = asked.join(keys, "key").join(index.docs.select("block_uid", low.alias("low")), "block_uid").filter(token_in_text(F.col("token"), F.col("low")))
+    scored = met.groupBy("query_id", "block_uid", "note_path").agg(F.sum("weight").alias("matched"))
+    first = scored.withColumn("seen", F.row_number().over(per.orderBy("block_uid"))).filter(F.col("seen") <= most)
+    total = asked.groupBy("query_id").agg(F.sum("weight").alias("total"))
     first = first.join(total, "query_id").withColumn("lex_score", F.round(F.col("matched") / F.col("total"), 6)).filter("lex_score > 0")
-    return first.withColumn("lex_rank", F.row_number().over(order.orderBy(F.desc("lex_score"), "block_uid"))).filter(F.col("lex_rank") <= top_k).select("query_id", "block_uid", "note_path", "lex_score", "lex_rank")
+    return first.withColumn("lex_rank", F.row_number().over(per.orderBy(F.desc("lex_score"), "block_uid"))).filter(F.col("lex_rank") <= top_k).select("query_id", "block_uid", "note_path", "lex_score", "lex_rank")
+
+
+def like_fallback(queries: DataFrame, index: LexicalIndex, top_k: int) -> DataFrame:
+    """The fallback by itself: only queries without a posting have rows."""
+    tokens = informative(query_terms(queries), index)
+    return _fallback(tokens.withColumn("nth", F.row_number().over(W.partitionBy("query_id").orderBy("pos"))), index, top_k)

@@ -189,17 +189,27 @@ def lexical_search(spark, d):
 
 
 def like_fallback(spark, d):
-    q = spark.createDataFrame([(1, "ndo zzzq"), (2, "heres qqq"), (3, "the")], "query_id long, text string")
-    blocks = _blocks(spark, d)
-    return _long(L.like_fallback(q, blocks, L.build_index(blocks), 10), "lex_rank")
+    q = spark.createDataFrame([(1, "事务处理 zzzq"), (2, "式事务 数据 snake"), (3, "the"), (4, "qqq 布式")], "query_id long, text string")
+    return _long(L.like_fallback(q, L.build_index(_mixed(spark, d)), 10), "lex_rank")
+
+
+def _mixed(spark, d) -> DataFrame:
+    """The documents, two of three with CJK words behind their text."""
+    more = F.when(F.col("block_uid") % 3 == 0, " 分布式事务处理 数据库").when(F.col("block_uid") % 3 == 1, " 分布式 snake_case")
+    return _blocks(spark, d).withColumn("clean_text", F.concat("clean_text", F.coalesce(more, F.lit(""))))
+
+
+def lexical_search_cjk(spark, d):
+    asked = _bench_queries(spark, d).withColumn("text", F.concat("text", F.when(F.col("query_id") % 2 == 0, " 分布式事务 snake").otherwise(" 分布式 snake_case")))
+    only = _cases(spark, ["事务处理", "snake 式事务 zzzq", "数据", "布式"]).select((F.col("id") + 1_000_000).alias("query_id"), "text")
+    return _long(L.lexical_search(asked.unionByName(only), L.build_index(_mixed(spark, d)), 10), "lex_rank")
 
 
 def fts_porter_topk(spark, d):
-    from ..functions.porter import stemmed_index, stemmed_terms
+    from ..functions.porter import stemmed_index
 
-    blocks = _blocks(spark, d)
-    idx = stemmed_index(blocks)
-    return _long(L.bm25_top(L.token_df(stemmed_terms(_bench_queries(spark, d)), idx), idx, 10), "rn").select("query_id", "block_uid", "bm25", "rn")
+    idx = stemmed_index(_blocks(spark, d))
+    return _long(L.bm25_top(L.informative(L.query_terms(_bench_queries(spark, d)), idx), idx, 10), "rn").select("query_id", "block_uid", "bm25", "rn")
 
 
 def _vector_queries(spark, d, exclude):
@@ -365,7 +375,7 @@ def eval_worst(spark, d):
 NAMES = """scan_inventory content_hash path_exclude link_extract link_target_parse target_classify link_resolve eval_dataset
 clean_text_fixture clean_text_pages tag_extract token_extract highlight_tokens heading_stack_blocks block_merge_short
 block_split_fixed embed_input_heading embed_input_sliding pseudo_embedding token_df informative_tokens bm25_topk lexical_search
-like_fallback fts_porter_topk cosine_topk cosine_topk_exclude query_expand merge_candidates merge_scored_hits graph_boost
+like_fallback lexical_search_cjk fts_porter_topk cosine_topk cosine_topk_exclude query_expand merge_candidates merge_scored_hits graph_boost
 fuse_scores threshold_relax note_diversity anchor_rerank dedup_hits group_by_note enrich_hits search_e2e query_block_e2e
 query_note_e2e file_diff delete_note_cascade blocks_by_note job_latest index_status eval_metrics eval_worst""".split()
 

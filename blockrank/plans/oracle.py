@@ -19,17 +19,21 @@ where not (regexp_full_match(token, '[0-9A-Za-z_]+') and length(token) < 3) grou
 
 
 INDEX = f"""
-tok as (select doc_id as block_uid, source as note_path, regexp_extract_all(lower(text), '[0-9a-z_]+|{CJK}+') as tokens from documents),
+texts as (select doc_id as block_uid, source as note_path, lower(text) as low from documents),
+tok as (select block_uid, note_path, regexp_extract_all(low, '[0-9a-z_]+|{CJK}+') as tokens from texts),
 posts as (select term, block_uid, count(*) as tf from (select block_uid, unnest(tokens) as term from tok) group by all),
 terms as (select term, count(*) as df from posts group by 1),
 dls as (select block_uid, note_path, len(tokens) as dl from tok),
 totals as (select count(*) as n, avg(dl) as avgdl from dls)"""
 
 
+MIXED = INDEX.replace("lower(text) as low", "lower(text || case doc_id % 3 when 0 then ' 分布式事务处理 数据库' when 1 then ' 分布式 snake_case' else '' end) as low")
+
+
 def _informative(qtok: str = "qtok", name: str = "inf") -> str:
     return f"""
-{name}_known as (select q.query_id, pos, token, coalesce(df, 0) as df, n, token in {_in(T.LEXICAL_STOP)} as stop from {qtok} q left join terms on term = token cross join totals),
-{name}_flag as (select *, not stop and not (df >= 12 and df >= 0.25 * n) as good from {name}_known),
+{name}_known as (select q.query_id, pos, token, coalesce(df, 0) as df, n from {qtok} q left join terms on term = token cross join totals where token not in {_in(T.LEXICAL_STOP)}),
+{name}_flag as (select *, not (df >= 12 and df >= 0.25 * n) as good from {name}_known),
 {name} as (select query_id, pos, token, df, ln((n + 1)::double / (df + 1)) + 1 as weight from (
   select *, max(good::int) over (partition by query_id) as has_any, row_number() over (partition by query_id order by df, pos) as rn from {name}_flag) where good or (has_any = 0 and rn = 1))"""
 
@@ -45,11 +49,24 @@ def _lexical(k: int, inf: str = "inf", name: str = "lex") -> str:
     return f"""
 {name}_first as (select * from (select *, row_number() over (partition by query_id order by pos) as nth from {inf}) where nth <= 16),{_bm25(f"{name}_first", 4 * k, f"{name}_fetched")},
 {name}_norm as (select *, case when max(bm25) over w = min(bm25) over w then 1.0::double else (bm25 - min(bm25) over w) / (max(bm25) over w - min(bm25) over w) end as norm from {name}_fetched window w as (partition by query_id)),
-{name}_cover as (select f.query_id, f.block_uid, sum(weight) as covered from {name}_fetched f join {inf} i using (query_id) join posts p on p.term = i.token and p.block_uid = f.block_uid group by all),
+{name}_words as (select distinct block_uid, token from (select block_uid, unnest(tokens) as token from tok)),
+{name}_keys as (select * from {name}_words union select block_uid, unnest([array_to_string(string_split(token, '_')[1:i], '_') for i in range(1, len(string_split(token, '_')))]) from {name}_words where contains(token, '_')),
+{name}_cover as (select query_id, block_uid, sum(weight) as covered from (
+  select query_id, f.block_uid, weight from {name}_fetched f join {inf} i using (query_id) join {name}_keys w on w.token = i.token and w.block_uid = f.block_uid where i.token ~ '[0-9a-z_]+'
+  union all select query_id, f.block_uid, weight from {name}_fetched f join {inf} i using (query_id) join texts t on t.block_uid = f.block_uid and contains(low, i.token) where i.token !~ '[0-9a-z_]+') group by all),
 {name}_total as (select query_id, sum(weight) as total from {inf} group by 1),
-{name} as (select query_id, block_uid, note_path, lex_score, lex_rank from (select *, row_number() over (partition by query_id order by lex_score desc, block_uid) as lex_rank from (
+{name}_found as (select query_id, block_uid, note_path, lex_score, lex_rank from (select *, row_number() over (partition by query_id order by lex_score desc, block_uid) as lex_rank from (
   select n.query_id, n.block_uid, n.note_path, round(0.7::double * norm + 0.3::double * coalesce(covered, 0) / total, 6) as lex_score
-  from {name}_norm n left join {name}_cover c on c.query_id = n.query_id and c.block_uid = n.block_uid join {name}_total t on t.query_id = n.query_id)) where lex_rank <= {k})"""
+  from {name}_norm n left join {name}_cover c on c.query_id = n.query_id and c.block_uid = n.block_uid join {name}_total t on t.query_id = n.query_id)) where lex_rank <= {k}),{_like(k, inf, f"{name}_like")},
+{name} as (select * from {name}_found union all select * from {name}_like)"""
+
+
+def _like(k: int, inf: str = "inf", name: str = "liked") -> str:
+    return f"""
+{name}_eight as (select * from (select *, max(df) filter (nth <= 16) over (partition by query_id) as met from (select *, row_number() over (partition by query_id order by pos) as nth from {inf})) where nth <= 8 and met = 0),
+{name}_hits as (select query_id, block_uid, note_path, sum(weight) as matched from texts join {name}_eight on contains(low, token) and (token !~ '[0-9a-z_]+' or regexp_matches(low, '(^|[^0-9a-z_])' || token || '($|[^0-9a-z])')) group by all),
+{name}_five as (select h.*, round(matched / total, 6) as lex_score from (select *, row_number() over (partition by query_id order by block_uid) as seen from {name}_hits) h join (select query_id, sum(weight) as total from {name}_eight group by 1) using (query_id) where seen <= 500),
+{name} as (select query_id, block_uid, note_path, lex_score, lex_rank from (select *, row_number() over (partition by query_id order by lex_score desc, block_uid) as lex_rank from {name}_five where lex_score > 0) where lex_rank <= {k})"""
 
 
 DOC_Q = """
@@ -208,11 +225,8 @@ m as (select note_path, arg_min(block_uid, ord) as block_uid, string_agg(raw_tex
     "informative_tokens": _sql(BENCH_TOK, INDEX, _informative(), "select query_id, token, df, round(weight, 6) as weight from inf"),
     "bm25_topk": _sql(BENCH_TOK, INDEX, _informative(), _bm25("inf", 20, "top"), "select query_id, block_uid, bm25, rn from top"),
     "lexical_search": _sql(BENCH_TOK, INDEX, _informative(), _lexical(10), "select * from lex"),
-    "like_fallback": _sql("asked as (" + _values([(1, "ndo zzzq"), (2, "heres qqq"), (3, "the")], "query_id, text") + ")", f"qtok as ({_tokens('asked', 'query_id', 'text')})", INDEX, _informative(), """
-met as (select distinct query_id from inf join posts on term = token),
-eight as (select * from (select *, row_number() over (partition by query_id order by pos) as nth from inf) where nth <= 8 and query_id not in (select query_id from met)),
-hits as (select query_id, doc_id as block_uid, source as note_path, sum(weight) as matched from documents join eight on lower(text) like '%' || token || '%' group by all),
-five as (select h.*, round(matched / total, 6) as lex_score from (select *, row_number() over (partition by query_id order by block_uid) as seen from hits) h join (select query_id, sum(weight) as total from eight group by 1) using (query_id) where seen <= 500)""", "select query_id, block_uid, note_path, lex_score, lex_rank from (select *, row_number() over (partition by query_id order by lex_score desc, block_uid) as lex_rank from five where lex_score > 0) where lex_rank <= 10"),
+    "like_fallback": _sql("asked as (" + _values([(1, "事务处理 zzzq"), (2, "式事务 数据 snake"), (3, "the"), (4, "qqq 布式")], "query_id, text") + ")", f"qtok as ({_tokens('asked', 'query_id', 'text')})", MIXED, _informative(), _like(10), "select * from liked"),
+    "lexical_search_cjk": _sql("asked as (select item_id as query_id, text || case when item_id % 2 = 0 then ' 分布式事务 snake' else ' 分布式 snake_case' end as text from benchmark union all " + _values([(1000000 + i, t) for i, t in enumerate(["事务处理", "snake 式事务 zzzq", "数据", "布式"])], "query_id, text") + ")", f"qtok as ({_tokens('asked', 'query_id', 'text')})", MIXED, _informative(), _lexical(10), "select * from lex"),
     "cosine_topk": _sql(LABELLED, _neighbours(10), "select * from sem"),
     "cosine_topk_exclude": _sql(LABELLED, _neighbours(10, "where e.label <> q.label"), "select * from sem"),
     "query_expand": _sql("asked as (select item_id as query_id, text from benchmark union all " + _values([(1000000 + i, t) for i, t in enumerate(["How do I safely cut a cake?", "cake", " Cake  CAKE cake ", "如何 解释 分布式", "what is it", "one two three four five six seven", ""])], "query_id, text") + ")", _variants(), "select query_id, variant_idx, text, source, weight from variants"),
