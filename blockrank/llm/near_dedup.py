@@ -10,15 +10,16 @@ miss such a pair with a chance of about 0.002 (and one at 0.9 with less than 1e-
 
 A pair is verified by aligning its two sequences of words within the band of diagonals that a similarity
 of 0.8 allows (bit-parallel longest common subsequence); the similarity is matched / (m + n - matched).
-Pairs whose 128 least two-word k-mers agree too rarely for a similarity of 0.8 are passed over.
+Before that it must pass its parity maps: each word, labelled with its occurrence number, flips one of
+MAP_BITS bits, so two maps differ in no more bits than the texts have unshared words. This loses no pair.
 
 1. Every text of a bucket (the texts that share a band) is aligned with the bucket's least text: one row
    for each text and band at most, whatever the bucket's size. Components of the verified pairs are classes.
 2. A bucket whose texts are all in one class is done. In the others each pair of texts of different classes
-   is tried, too: a bucket is cut by length (a text meets only those whose length allows 0.8) and then into
-   tiles of about TILE texts; each pair of tiles is a task's work by itself, passes over pairs that are
-   linked already, directly or through others, and gives links, not pairs. Buckets of the same texts count
-   once.
+   is tried by lengths and parity maps: a bucket is cut by length (a text meets only those whose length
+   allows 0.8) and then into tiles of about TILE texts that meet two by two in a task. Only pairs that may
+   be similar leave it, and are aligned once; texts that merely share a passage are passed over by their
+   maps. Buckets of the same texts count once.
 3. Classes are the components of all links; a class is named by its least doc_id.
 
 Defined results: null counts as empty, and empty texts are equal texts like others; texts without a word
@@ -44,7 +45,7 @@ from .text_kernel import mix, occurrence, shingles, span_hashes, text_chunks, wo
 
 K, SKETCHES, PER_SKETCH, SIMILARITY = 5, 40, 2, 0.8
 SHORT, SHORT_K, SHORT_SKETCHES = 80, 2, 16
-CHECKS, CHECKS_ALIKE, TILE = 128, 35, 512
+MAP_BITS, TILE = 2048, 8192
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -145,9 +146,26 @@ def _sketch(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n.astype(np.int64)), lists], names=["id", "digest", "n", "bands"])
 
 
-def _checks(wanted):
-    """(id, key, text, digest) -> (id, digest, text, least two-word k-mers) of the keys that may be wanted."""
-    seeds = mix(np.arange(1001, 1001 + CHECKS, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+def parity_maps(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Texts x MAP_BITS / 64 words of 64 bits: each labelled word flips one bit."""
+    labelled, begin = labelled_kmers(words, first, 1)
+    text = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    out = np.empty((len(begin) - 1, MAP_BITS // 64), dtype=np.uint64)
+    for lo in range(0, len(out), 1024):
+        hi = min(len(out), lo + 1024)
+        bit = (text[begin[lo] : begin[hi]] - lo) * MAP_BITS + (labelled[begin[lo] : begin[hi]] >> np.uint64(64 - MAP_BITS.bit_length() + 1)).astype(np.int64)
+        odd = np.bincount(bit, minlength=(hi - lo) * MAP_BITS) & 1
+        out[lo:hi] = np.packbits(odd.astype(bool).reshape(hi - lo, MAP_BITS), axis=1).view(np.uint64)
+    return out
+
+
+def may_be_similar(m, n, apart) -> np.ndarray:
+    """Whether texts of m and n words, of which at least `apart` are not shared, can reach SIMILARITY."""
+    return (np.minimum(m, n) >= SIMILARITY * np.maximum(m, n)) & (m + n - apart >= 2 * SIMILARITY / (1 + SIMILARITY) * (m + n) - 1e-9)
+
+
+def _mapped(wanted):
+    """(id, key, text, digest) -> (id, digest, text, parity map) of the keys that may be wanted."""
 
     def run(batches):
         for batch in batches:
@@ -155,14 +173,8 @@ def _checks(wanted):
             one = np.sort(np.unique(keys, return_index=True)[1])  # equal rows once
             batch = batch.take(pa.array(one[in_bitmap(wanted.value, keys[one])]))
             for lo, hi, data, offs in text_chunks(batch, "text"):
-                labelled, begin = labelled_kmers(*words_of(data, offs), SHORT_K)
-                full = np.flatnonzero(np.diff(begin))
-                least = np.zeros((hi - lo, CHECKS), dtype="<u2")
-                for j, seed in enumerate(seeds if len(full) else ()):
-                    h = (labelled ^ seed) * np.uint64(0xFF51AFD7ED558CCD)
-                    h ^= h >> np.uint64(32)
-                    least[full, j] = (mix(np.minimum.reduceat(h, begin[full])) & np.uint64(0xFFFF)).astype("<u2")
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in (0, 3, 2)), pa.array([x.tobytes() for x in least], pa.binary())], names=["id", "digest", "text", "least"])
+                maps = parity_maps(*words_of(data, offs))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in (0, 3, 2)), pa.array([x.tobytes() for x in maps], pa.binary())], names=["id", "digest", "text", "map"])
 
     return run
 
@@ -176,46 +188,55 @@ def _sequences(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def _minima(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(len(column), CHECKS)
+def _maps(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), MAP_BITS // 64)
 
 
 def _verify_pairs(batches):
-    """(a, b, text_a, least_a, text_b, least_b) -> the pairs (a, b) that are similar."""
+    """(a, b, text_a, n_a, map_a, text_b, n_b, map_b) -> the pairs (a, b) that are similar."""
     for batch in batches:
         col = {k: batch.column(i) for i, k in enumerate(batch.schema.names)}
-        may = (_minima(col["least_a"]) == _minima(col["least_b"])).sum(axis=1) >= CHECKS_ALIKE if batch.num_rows else np.zeros(0, bool)
+        if not batch.num_rows:
+            continue
+        apart = np.bitwise_count(_maps(col["map_a"]) ^ _maps(col["map_b"])).sum(axis=1, dtype=np.int64)
+        may = may_be_similar(col["n_a"].to_numpy(), col["n_b"].to_numpy(), apart)
         for lo in range(0, batch.num_rows, 256):
             part = np.flatnonzero(may[lo : lo + 256]) + lo
             one, two = (_sequences(col[k].take(pa.array(part))) for k in ("text_a", "text_b"))
-            part = pa.array(part[[aligned_similarity(x, y) >= SIMILARITY for x, y in zip(one, two, strict=True)]], pa.int64())
+            part = pa.array(part[np.array([aligned_similarity(x, y) >= SIMILARITY for x, y in zip(one, two, strict=True)], dtype=bool)], pa.int64())
             yield pa.RecordBatch.from_arrays([col["a"].take(part), col["b"].take(part)], names=["a", "b"])
 
 
-def _link_tile(key, table):
-    """Links (a, b) that join all texts of a pair of tiles which similar pairs join."""
+def _possible_pairs(key, table):
+    """Pairs (a, b) of a pair of tiles that are of different classes and may be similar."""
     _, cell, one, two = (k.as_py() for k in key)
-    table = table.combine_chunks().sort_by("id")
-    ids, tile, own = (table[k].to_numpy() for k in ("id", "tile", "own"))
-    words = [x for part in table["text"].chunks for x in _sequences(part)]
-    least = np.concatenate([_minima(part) for part in table["least"].chunks])
-    size = np.array([len(w) for w in words])
-    # texts of one class need no link
-    root = np.unique(table["class"].to_numpy(), return_inverse=True)[1]
-    links = []
-    for i in range(len(ids) - 1):
-        other = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+    table = table.combine_chunks()
+    ids, tile, own, cls, size = (table[k].to_numpy() for k in ("id", "tile", "own", "class", "n"))
+    order = np.argsort(size, kind="stable")
+    ids, tile, own, cls, size = (x[order] for x in (ids, tile, own, cls, size))
+    maps = np.concatenate([_maps(part) for part in table["map"].chunks])[order]
+    longest = np.searchsorted(size, np.floor(size / SIMILARITY + 1e-9), side="right")
+    found = []
+    for i in range(len(ids)):
+        other = np.arange(i + 1, longest[i])
+        other = other[cls[other] != cls[i]]
         if one != two:
             other = other[tile[other] != tile[i]]
         if own[i] != cell:
             other = other[own[other] == cell]
-        other = other[np.minimum(size[other], size[i]) >= SIMILARITY * np.maximum(size[other], size[i])]
-        other = other[(least[other] == least[i]).sum(axis=1) >= CHECKS_ALIKE]
-        for j in other.tolist():
-            if root[i] != root[j] and aligned_similarity(words[i], words[j]) >= SIMILARITY:
-                links.append((ids[i], ids[j]))
-                root[root == root[j]] = root[i]
-    return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+        if len(other):
+            apart = np.bitwise_count(maps[other] ^ maps[i]).sum(axis=1, dtype=np.int64)
+            other = other[may_be_similar(size[i], size[other], apart)]
+            found.append(np.stack([np.minimum(ids[i], ids[other]), np.maximum(ids[i], ids[other])]))
+    a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return pa.table({"a": a, "b": b})
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The similar ones of pairs(a, b), a written table."""
+    sides = [texts.select(F.col("id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("text", "n", "map"))) for k in "ab"]
+    both = hot_join(pairs, sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "n_a", "map_a", "text_b", "n_b", "map_b")
+    return materialise(both.mapInArrow(_verify_pairs, "a long, b long"), "near-links")
 
 
 def _links_within(posted: DataFrame, buckets: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
@@ -229,8 +250,9 @@ def _links_within(posted: DataFrame, buckets: DataFrame, texts: DataFrame, class
     tiles = cells.groupBy("group").agg(F.count(F.lit(1)).alias("rows"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).filter("rows > 1").drop("rows")
     dealt = hot_join(cells, tiles, "group").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("band", "cell", F.least("tile", "with").alias("one"), F.greatest("tile", "with").alias("two"), "tile", "own", "id")
-    dealt = dealt.join(texts.select("id", "text", "least"), "id").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
-    return dealt.groupBy("band", "cell", "one", "two").applyInArrow(_link_tile, "a long, b long")
+    dealt = dealt.join(texts.select("id", "n", "map"), "id").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    pairs = materialise(dealt.groupBy("band", "cell", "one", "two").applyInArrow(_possible_pairs, "a long, b long").distinct(), "near-pairs")
+    return _verified(pairs, texts)
 
 
 def _texts_and_rows(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -249,15 +271,13 @@ def _texts_and_rows(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Da
     nodes = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
     nodes = materialise(nodes.join(reps.select("node", "digest", "n", F.col("id").alias("own")), "node"), "near-nodes")
     wanted = docs.sparkSession.sparkContext.broadcast(key_bitmap(nodes.select(F.xxhash64("digest", "own").alias("key"))))
-    found = rows.select("id", F.xxhash64("digest", "id").alias("key"), "text", "digest").mapInArrow(_checks(wanted), "id long, digest binary, text string, least binary")
+    found = rows.select("id", F.xxhash64("digest", "id").alias("key"), "text", "digest").mapInArrow(_mapped(wanted), "id long, digest binary, text string, map binary")
     same = (nodes["digest"] == found["digest"]) & nodes["own"].eqNullSafe(found["id"])
-    texts = materialise(nodes.join(found, same).select(F.col("node").alias("id"), "n", "text", "least").dropDuplicates(["id"]), "near-wanted")
+    texts = materialise(nodes.join(found, same).select(F.col("node").alias("id"), "n", "text", "map").dropDuplicates(["id"]), "near-wanted")
     wanted.unpersist()
-    sides = [texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}"), F.col("least").alias(f"least_{k}")) for k in "ab"]
-    pairs = hot_join(stars, sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "least_a", "text_b", "least_b")
-    links = materialise(pairs.mapInArrow(_verify_pairs, "a long, b long"), "near-links")
+    links = _verified(stars, texts)
     classes = connected_components(links)
-    more = materialise(_links_within(posted, buckets, texts, classes), "near-links")
+    more = _links_within(posted, buckets, texts, classes)
     if more.limit(1).count():
         classes = connected_components(links.union(more))
     classes = classes.withColumnRenamed("id", "node")
