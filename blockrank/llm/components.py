@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import forget, materialise
 
 
 def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
@@ -43,7 +43,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         near = hot_join(both, state.select(F.col("id").alias("b"), "class"), "b", hot=hubs).groupBy(F.col("a").alias("id")).agg(F.min("class").alias("near"))
         moved = materialise(state.join(near, "id").select("id", F.col("class").alias("was"), F.least("class", "near").alias("class")), "graph-moved")
         if moved.filter("was <> class").limit(1).count() == 0:
+            forget(both, moved)
             return state
         jump = moved.select(F.col("id").alias("class"), F.col("class").alias("next"))
-        state = materialise(hot_join(moved.drop("was"), jump, "class", "left").select("id", F.coalesce("next", "class").alias("class")), "graph-classes")
+        last, state = state, materialise(hot_join(moved.drop("was"), jump, "class", "left").select("id", F.coalesce("next", "class").alias("class")), "graph-classes")
+        forget(last, moved)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_bitmap, key_bitmap, materialise, pipeline_stage, read_table
+from .common import forget, in_bitmap, key_bitmap, materialise, pipeline_stage, read_table
 from .text_kernel import line_offsets, mix, order_within, span_hashes, spread, text_chunks, word_spans
 
 SIMILARITY, COUNTER_BITS, SLICES, LIST, PAIRS = 0.8, 22, 32, 4096, 1 << 20
@@ -304,6 +304,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", new=("
     placed = alive.join(tokens.join(first.select("key", "doc", "hash", "line"), "key"), "key")
     placed = placed.repartition("group").sortWithinPartitions("group", "doc", "hash", "line").select("group", "key", "tokens")
     gone = materialise(placed.mapInArrow(_matched, "key long").distinct(), "line-gone")
+    forget(alive)
     frequency.unpersist()
     wanted.unpersist()
     stay = first.join(gone, "key", "left_anti").groupBy("doc", "hash").agg(F.collect_list("line").alias("__lines"))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_bitmap, key_bitmap, materialise, pipeline_stage, read_table, text_digest
+from .common import forget, in_bitmap, key_bitmap, materialise, pipeline_stage, read_table, text_digest
 from .components import connected_components, hot_join
 from .text_kernel import mix, occurrence, shingles, span_hashes, text_chunks, word_spans
 
@@ -252,7 +252,9 @@ def _links_within(posted: DataFrame, buckets: DataFrame, texts: DataFrame, class
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("band", "cell", F.least("tile", "with").alias("one"), F.greatest("tile", "with").alias("two"), "tile", "own", "id")
     dealt = dealt.join(texts.select("id", "n", "map"), "id").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
     pairs = materialise(dealt.groupBy("band", "cell", "one", "two").applyInArrow(_possible_pairs, "a long, b long").distinct(), "near-pairs")
-    return _verified(pairs, texts)
+    links = _verified(pairs, texts)
+    forget(members, cells, pairs)
+    return links
 
 
 def _texts_and_rows(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -279,7 +281,9 @@ def _texts_and_rows(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Da
     classes = connected_components(links)
     more = _links_within(posted, buckets, texts, classes)
     if more.limit(1).count():
-        classes = connected_components(links.union(more))
+        first, classes = classes, connected_components(links.union(more))
+        forget(first)
+    forget(posted, buckets, stars, nodes, texts, links, more)
     classes = classes.withColumnRenamed("id", "node")
     linked = reps.select("node", "digest", "id", "copies").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     return linked, sketched.select("id", "digest")
