@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -463,6 +464,33 @@ def test_training_order_is_a_permutation_and_resumes(spark, tmp_path):
     assert [r.slot for r in sorted(training_order.read_from(spark, path, 37, 10).collect(), key=lambda r: r.slot)] == list(range(37, total))
 
 
+def test_training_order_of_token_ids_behind_a_shuffle(spark, tok, tmp_path):
+    texts = [None, "", *("word " * n + "é 日本" for n in range(1, 60))]
+    encoded = bpe.encode(docs(spark, texts), tok).repartition(4)
+    end, pad = len(tok.ranks), len(tok.ranks) + 1
+    path = str(tmp_path / "ids")
+    total = training_order.write_training_order(encoded, "doc_id", None, path, ids="token_ids", end=end, pad=pad, width=4, seq_len=16, per_shard=8)
+    got = training_order.read_from(spark, path, per_shard=8).orderBy("slot").collect()
+    assert [r.slot for r in got] == list(range(total)) and all(len(r.tokens) == 64 and r.shard == r.slot // 8 for r in got)
+    want = {r.doc_id: list(r.token_ids) for r in encoded.collect()}
+    for i in range(len(texts)):
+        own = sorted((r.seq_no, r.tokens, r.n_tokens) for r in got if r.key == i)
+        ids = [int(x) for _, b, n in own for x in np.frombuffer(b, "<u4")[:n]]
+        assert ids == [*want[i], end]
+    # a seek by slot opens no earlier shard, and files are in order of slots
+    late = training_order.read_from(spark, path, slot=21, per_shard=8)
+    assert [r.slot for r in late.orderBy("slot").collect()] == list(range(21, total))
+    import pyarrow.dataset
+
+    for f in pyarrow.dataset.dataset(path, format="parquet", exclude_invalid_files=True).files:
+        slots = pyarrow.parquet.read_table(f, columns=["slot"], partitioning=None)["slot"].to_pylist()
+        assert slots == sorted(slots)
+    shuffled = docs(spark, texts).repartition(4)
+    assert training_order.write_training_order(shuffled, "doc_id", "text", str(tmp_path / "text"), seq_len=16, per_shard=8) > len(texts)
+    with pytest.raises(Exception, match="more than 2 bytes"):
+        training_order.write_training_order(spark.createDataFrame([(1, [70000])], "doc_id long, token_ids array<int>"), "doc_id", None, str(tmp_path / "no"), ids="token_ids")
+
+
 def test_urls_rules_and_links(spark):
     urls = [None, "", "no scheme", "HTTP://A.Example.COM/en/7x?q", "http://example.com/en/1", "https://b.net/de/9", "https://x.example.net/de/8#t", "ftp://org", "http://evilcom/en/", "http://com/en/", "http://o.org/es/", "http://h.org?x=/es/", "http://t.org/", "http://bad.com/en/2", "http://friend.net/x"]
     html = {12: '<a href="http://a.example.com/z">x</a>', 14: "<a class=q href='//bad.com/q'>y</a>"}
