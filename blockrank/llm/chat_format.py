@@ -5,10 +5,12 @@ every other speaker as a named `user`; `spans` holds the character ranges of the
 perspective's speaker wrote (and its end mark), the rest is masked out of training.
 
 A dialogue is rendered in parts: part b.c holds the messages of the b-th run of `part_turns` turn
-numbers, cut again after each `part_turns` messages where turn numbers repeat. No part holds more, so no
-conversation, however long, has to fit one task; nothing is dropped.
+numbers, cut again after each `part_turns` messages where turn numbers repeat. With a `part_turns` of at least
+the longest dialogue, each dialogue is one part. A long dialogue's runs are tasks of their own; messages that
+share a run of turn numbers (all those with a null turn, too) are numbered in one task, which sorts on disk
+where they are many. Nothing is dropped.
 
-Defined results: messages are ordered by turn (null turns last, as block -1 at the end), then role, then
+Defined results: messages are ordered by turn (null turns last, as block 2**62), then role, then
 text; repeated rows are repeated messages; a null or empty role is the speaker `unknown`, who is a named
 user but no perspective; `system` messages stay system messages and are no perspective; null text is
 empty; a conversation whose only speakers are system or unknown has no perspective, hence no row; null

@@ -227,6 +227,19 @@ def test_alignment_keeps_to_the_order():
     assert near_dedup.aligned_similarity(a, a[:70]) == 0.0
 
 
+def leaks_brute(texts, items):
+    """(text, item) where a window of the item's length has 0.8 of its five-word runs."""
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    grams = lambda w: collections.Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)])
+    out = set()
+    for i, t in enumerate(texts):
+        for k, item in enumerate(items):
+            v, x = split(item), split(t)
+            if v and x and any(sum((grams(x[s : s + len(v)]) & grams(v)).values()) / sum((grams(x[s : s + len(v)]) | grams(v)).values()) >= 0.8 for s in range(max(1, len(x) - len(v) + 1))):
+                out.add((i, k))
+    return out
+
+
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(5)
     items = [prose(rng, n) for n in (20, 35, 50)] + ["just three words", "", None]
@@ -234,14 +247,7 @@ def test_decontamination_equals_brute_force(spark):
     w = items[2].split()
     texts += [" ".join([*prose(rng, 8).split(), *w[:1], *w[2:], *prose(rng, 4).split()]), " ".join(w[:30]), prose(rng, 200)]
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
-    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    grams = lambda w: collections.Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)])
-    want = set()
-    for i, t in enumerate(texts):
-        for k, item in enumerate(items):
-            v, x = split(item), split(t)
-            if v and x and any(sum((grams(x[s : s + len(v)]) & grams(v)).values()) / sum((grams(x[s : s + len(v)]) | grams(v)).values()) >= 0.8 for s in range(max(1, len(x) - len(v) + 1))):
-                want.add((i, k))
+    want = leaks_brute(texts, items)
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, texts), bench).collect()}
     assert got == want and len(want) >= 6
     assert decontaminate.contaminated(docs(spark, texts), bench.limit(0)).count() == 0
