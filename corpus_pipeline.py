@@ -1,8 +1,8 @@
 """The corpus pipeline: documents through five stages, each written as Parquet and read again.
 
 run() returns the columns of documents and token_ids. The last stages' work cannot be put in SQL, so there
-is no ORACLE_SQL. tests/llm/test_pipeline.py checks some properties of each stage's result; the brute-force versions
-are of the operators, in tests/llm/test_operators.py. No stage decodes token_ids.
+is no ORACLE_SQL; tests/llm/test_pipeline.py holds each stage against a brute-force version (the first against the
+scores that language identification gives) and decodes token_ids.
 """
 
 from __future__ import annotations
