@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,11 +19,6 @@ def note_lines(notes: DataFrame) -> DataFrame:
     return lines.withColumn("start", F.coalesce(before, F.lit(0)))
 
 
-def heading_stack(headings: Column) -> Column:
-    """Fold struct(level, title) in order: each cuts the stack to level - 1 and adds its title."""
-    return F.aggregate(headings, F.array().cast("array<string>"), lambda s, h: F.concat(F.slice(s, F.lit(1), F.least(F.size(s), h["level"] - 1)), F.array(h["title"])))
-
-
 def split_blocks(notes: DataFrame) -> DataFrame:
     """notes(path, body) -> raw blocks in order: paragraphs between blank lines and headings."""
     bare = T.squeeze_ends(F.col("line"))
@@ -33,9 +28,11 @@ def split_blocks(notes: DataFrame) -> DataFrame:
     order = W.partitionBy("path").orderBy("no")
     upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     islands = lines.withColumn("island", F.sum(F.col("cut").cast("int")).over(upto))
-    heads = F.filter(F.collect_list(F.when(F.col("level") > 0, F.struct("level", "title"))).over(upto), lambda h: h.isNotNull())
-    stacked = islands.withColumn("heading_path", F.when(F.col("level") > 0, heading_stack(heads)))
-    stacked = stacked.withColumn("heading_path", F.last("heading_path", ignorenulls=True).over(upto))
+    # the stack at a line: of each level the last title, unless a heading of a lower level came after it
+    at = {n: F.last(F.when(F.col("level") == n, F.struct("no", "title")), ignorenulls=True).over(upto) for n in range(1, 7)}
+    above = {n: F.coalesce(F.max(F.when((F.col("level") > 0) & (F.col("level") < n), F.col("no"))).over(upto), F.lit(-1)) for n in range(1, 7)}
+    live = F.array(*(F.when(at[n]["no"] > above[n], at[n]["title"]) for n in range(1, 7)))
+    stacked = islands.withColumn("heading_path", F.filter(live, lambda t: t.isNotNull()))
     # a block ends where the line that ends it begins, or at the end of the note
     stacked = stacked.withColumn("stop", F.col("start") + F.when(F.col("cut"), 0).otherwise(F.length("line")))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: x["line"]), "")

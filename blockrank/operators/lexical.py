@@ -71,7 +71,7 @@ def bm25_top(tokens: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
     """tokens(query_id, token, term, df) -> query_id, block_uid, note_path, bm25, rn: the k best blocks."""
     hits = tokens.filter("df > 0").select("query_id", "term", "df").join(index.postings, "term").join(index.docs.select("block_uid", "dl"), "block_uid").crossJoin(F.broadcast(index.totals))
     parts = hits.withColumn("part", bm25_score(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl")))
-    scored = parts.groupBy("query_id", "block_uid").agg(F.round(F.sum("part"), 6).alias("bm25"))
+    scored = parts.groupBy("query_id", "block_uid").agg(F.round(F.sum("part"), 10).alias("bm25"))
     best = scored.withColumn("rn", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bm25"), "block_uid"))).filter(F.col("rn") <= k)
     return best.join(index.docs.select("block_uid", "note_path"), "block_uid").select("query_id", "block_uid", "note_path", "bm25", "rn")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,11 +26,12 @@ def extract_links(notes: DataFrame) -> DataFrame:
     return both.select(F.col("path").alias("src_note_path"), "kind", "no", "link_type", "link_text", F.col("t.path").alias("dst_note_path"), F.col("t.heading").alias("dst_heading"), F.col("t.block").alias("dst_block_id"))
 
 
-def raw_targets(notes: DataFrame) -> DataFrame:
-    """path, raw: what every wikilink and inline link (images too) points at."""
+def raw_targets(notes: DataFrame, place: bool = False) -> DataFrame:
+    """path, raw (and no, its place): what every wikilink and inline link (images too) points at."""
     wiki = F.transform(T.all_matches(F.col("body"), WIKI), lambda m: T.squeeze_ends(F.substring_index(F.regexp_extract(m, WIKI, 2), "|", 1)))
     inline = F.transform(T.all_matches(F.col("body"), ANY_INLINE), lambda m: T.squeeze_ends(F.concat(F.regexp_extract(m, ANY_INLINE, 2), F.regexp_extract(m, ANY_INLINE, 4))))
-    return notes.select("path", F.explode(F.concat(wiki, inline)).alias("raw")).filter("raw <> ''")
+    found = notes.select("path", F.posexplode(F.concat(wiki, inline)).alias("no", "raw")).filter("raw <> ''")
+    return found if place else found.drop("no")
 
 
 def resolve_targets(targets: DataFrame, notes: DataFrame) -> DataFrame:
@@ -61,47 +62,40 @@ def evaluation_set(notes: DataFrame) -> DataFrame:
     return kept.select("path", F.col("resolved").alias("target")).distinct()
 
 
-def strip_links(body):
-    """Note links become their visible text; other links stay. body: a string (one note at a time)."""
-    import re
-    from pathlib import PurePosixPath
+def _replace_each(body: Column, pattern: str, new) -> Column:
+    """body with every match m of pattern replaced by new(m): the parts between the matches, and the matches, in turn."""
+    between, found = F.split(body, pattern, -1), T.all_matches(body, pattern)
+    tails = F.zip_with(found, F.slice(between, 2, F.size(found)), lambda m, after: F.concat(new(m), after))
+    return F.concat(F.get(between, F.lit(0)), F.array_join(tails, ""))
 
-    scheme = re.compile(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
 
-    def bare(t):
-        return t.split("#", 1)[0].strip()
+def strip_links(body: Column) -> Column:
+    """Note links become their visible text: the label, or what the target is called; other links stay."""
 
-    def is_note(t):
-        t = t.strip()
-        b = bare(t)
-        return bool(t) and not scheme.match(t) and bool(b) and PurePosixPath(b).suffix.lower() in ("", ".md")
+    def name_of(target: Column) -> Column:
+        bare = T.strip_anchor(target)
+        last = F.element_at(F.split(F.regexp_replace(bare, "/+$", ""), "/"), -1)
+        return F.coalesce(F.nullif(F.substring(last, F.lit(1), F.length(last) - F.length(T.path_suffix(bare))), F.lit("")), bare)
 
-    def shown(label, t):
-        return label.strip() or PurePosixPath(bare(t)).stem or bare(t)
+    def is_note(target: Column) -> Column:
+        return T.classify_target(target) == "markdown_note_target"
 
-    def wiki(m):
-        target, bar, label = m[2].strip().partition("|")
-        if not is_note(target):
-            return m[0]
-        return label.strip() if bar else shown("", target.strip())
+    def wiki(m: Column) -> Column:
+        inner = T.squeeze_ends(F.regexp_extract(m, WIKI, 2))
+        target = T.squeeze_ends(F.substring_index(inner, "|", 1))
+        label = T.squeeze_ends(F.regexp_replace(inner, r"(?s)^[^|]*\|", ""))
+        return F.when(~is_note(target), m).when(inner.contains("|"), label).otherwise(name_of(target))
 
-    def inline(m):
-        target = (m[2] or m[4] or "").strip()
-        return shown(m[1] or m[3] or "", target) if is_note(target) else m[0]
+    def inline(m: Column) -> Column:
+        part = lambda a, b: T.squeeze_ends(F.concat(F.regexp_extract(m, ANY_INLINE, a), F.regexp_extract(m, ANY_INLINE, b)))
+        label, target = part(1, 3), part(2, 4)
+        return F.when(~is_note(target), m).when(label != "", label).otherwise(name_of(target))
 
-    return re.sub(ANY_INLINE, inline, re.sub(WIKI, wiki, body))
+    return _replace_each(_replace_each(body, WIKI, wiki), ANY_INLINE, inline)
 
 
 def strip_link_column(notes: DataFrame) -> DataFrame:
-    """notes with body stripped of note links, in Arrow batches: its branches need a callback for each match."""
-    import pandas as pd
-    from pyspark.sql.types import StringType
-
-    @F.pandas_udf(StringType())
-    def strip(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: None if b is None else strip_links(b))
-
-    return notes.withColumn("body", strip("body"))
+    return notes.withColumn("body", strip_links(F.col("body")))
 
 
 def metrics(predictions: DataFrame, truth: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from ..shipping import ship_package
 
-#: Queries of one block; a block of 4096 queries of 1024 dimensions is 32 MB in a task.
-QUERY_BLOCK = 4096
+#: Queries and vectors of one cell: with 1024 dimensions 8 and 128 MB of numbers, and 128 MB of scores.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 16384
 #: Query vectors are sent to all tasks while they are at most so many bytes, else they are read by block.
 BROADCAST_BYTES = 64 << 20
 
@@ -38,6 +38,19 @@ def _best(ids, notes, unit, query_ids, excluded, queries, k):
     return query_ids[q], ids[i], notes[i], s
 
 
+def _cell(k: int):
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        lists = [t["embedding"].combine_chunks() if t.num_rows else None for t in (vectors, queries)]
+        if lists[0] is None or lists[1] is None:
+            names = {"query_id": queries.schema.field("query_id").type, "block_uid": vectors.schema.field("block_uid").type, "note_path": pa.string(), "semantic_score": pa.float64()}
+            return pa.schema(list(names.items())).empty_table()
+        ids, notes, query_ids = (np.array(c.to_pylist(), dtype=object) for c in (vectors["block_uid"], vectors["note_path"], queries["query_id"]))
+        q, i, n, s = _best(ids, notes, _unit(lists[0]), query_ids, queries["exclude_note"].to_pylist(), _unit(lists[1]), k)
+        return pa.table({"query_id": pa.array(q.tolist(), queries.schema.field("query_id").type), "block_uid": pa.array(i.tolist(), vectors.schema.field("block_uid").type), "note_path": pa.array(n.tolist(), pa.string()), "semantic_score": s})
+
+    return run
+
+
 def cosine_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """vectors(block_uid, note_path, embedding), queries(query_id, embedding, exclude_note) -> query_id,
     block_uid, note_path, semantic_score, sem_rank. Null and empty embeddings take no part."""
@@ -67,12 +80,11 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         out_schema = to_arrow_schema(schema)
         found = vectors.mapInArrow(run, schema)
     else:
-        # the stated queries against all vectors, the dot product inside the JVM
-        unit = lambda c: F.transform(c, lambda x: x.cast("double"))
-        dot = F.aggregate(F.zip_with(unit(F.col("v")), unit(F.col("q")), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        norm = lambda c: F.sqrt(F.aggregate(unit(F.col(c)), F.lit(0.0), lambda a, x: a + x * x))
-        nz = lambda x: F.when(x == 0, 1.0).otherwise(x)
-        pairs = vectors.withColumnRenamed("embedding", "v").join(queries.withColumnRenamed("embedding", "q"), F.col("exclude_note").isNull() | (F.col("note_path") != F.col("exclude_note")))
-        found = pairs.select("query_id", "block_uid", "note_path", F.round(dot / nz(norm("v")) / nz(norm("q")), 6).alias("semantic_score"))
+        # cells of at most about VECTOR_BLOCK vectors and QUERY_BLOCK queries; each keeps the k best of a query
+        rows, asked = max(1, -(-vectors.count() // VECTOR_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        own = vectors.withColumn("row", F.pmod(F.xxhash64("block_uid"), F.lit(rows)).cast("int")).withColumn("part", every(asked))
+        each = queries.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(asked)).cast("int")).withColumn("row", every(rows))
+        found = own.groupBy("row", "part").cogroup(each.groupBy("row", "part")).applyInArrow(_cell(k), schema)
     ranked = found.withColumn("sem_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("semantic_score"), "block_uid")))
     return ranked.filter(F.col("sem_rank") <= k)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import text as T
 from ..operators import blocks as B
+from ..operators import evaluation as E
 from ..operators import expansion as X
 from ..operators import lexical as L
 from ..operators import links as K
@@ -372,12 +373,58 @@ def eval_worst(spark, d):
     return K.worst(*_eval_frames(spark, d))
 
 
+def _predictions(spark, d):
+    return E.prediction_table(*_eval_frames(spark, d))
+
+
+def _flat(table, *keep):
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return table.select(*keep, "query_id", F.size("targets").cast("long").alias("n_targets"), text("predicted"), text("hits_5"), text("hits_10"), F.size("misses_10").cast("long").alias("n_misses"), text("false_positives_10"))
+
+
+def eval_predictions(spark, d):
+    return _flat(_predictions(spark, d))
+
+
+def eval_false_positives(spark, d):
+    return _flat(E.worst_false_positives(_predictions(spark, d))).select("query_id", "false_positives_10")
+
+
+def eval_misses(spark, d):
+    return _flat(E.worst_misses(_predictions(spark, d))).select("query_id", "hits_10", "n_misses")
+
+
+def eval_grid(spark, d):
+    pred, truth = _eval_frames(spark, d)
+    out = E.grid(lambda depth: pred.filter(F.col("rank") <= depth), {"three": 3, "seven": 7, "all": 20}, truth)
+    return out.select("run", "dataset_note_count", "candidate_note_count", "avg_gt_links_per_note", "hit_at_5", "recall_at_10", "precision_at_5", "precision_at_10", "mrr")
+
+
+def _linked(spark, d) -> DataFrame:
+    """A note for each document, with links to others, to notes that are not there and to the web."""
+    i = F.col("doc_id")
+    folder = F.when(i % 5 == 4, "out").otherwise("cs")
+    links = F.concat(F.lit(" [[n"), i + 5, F.lit("]] and [see](n"), i + 10, F.lit(".md#top) [[gone"), i, F.lit("|G]] [site](https://e.org/"), i, F.lit(")"), F.when(i % 10 == 0, F.concat(F.lit(" [[n"), i + 4, F.lit("]]"))).otherwise(""))
+    return _read(spark, d, "documents").select(F.concat(folder, F.lit("/n"), i, F.lit(".md")).alias("path"), F.concat("text", links).alias("body"))
+
+
+def eval_notes(spark, d):
+    kept, _ = E.data_set(_linked(spark, d))
+    return kept.select("path", F.array_join("targets", ",").alias("targets"), F.size("internal").cast("long").alias("n_internal"), F.size("ignored").cast("long").alias("n_ignored"), F.sha1("body").alias("body_sha1"))
+
+
+def eval_dropped_notes(spark, d):
+    _, dropped = E.data_set(_linked(spark, d))
+    return dropped.select("path", F.array_join(F.transform("external", lambda x: F.concat(x["raw"], F.lit(">"), x["resolved"])), ",").alias("external"))
+
+
 NAMES = """scan_inventory content_hash path_exclude link_extract link_target_parse target_classify link_resolve eval_dataset
 clean_text_fixture clean_text_pages tag_extract token_extract highlight_tokens heading_stack_blocks block_merge_short
 block_split_fixed embed_input_heading embed_input_sliding pseudo_embedding token_df informative_tokens bm25_topk lexical_search
 like_fallback lexical_search_cjk fts_porter_topk cosine_topk cosine_topk_exclude query_expand merge_candidates merge_scored_hits graph_boost
 fuse_scores threshold_relax note_diversity anchor_rerank dedup_hits group_by_note enrich_hits search_e2e query_block_e2e
-query_note_e2e file_diff delete_note_cascade blocks_by_note job_latest index_status eval_metrics eval_worst""".split()
+query_note_e2e file_diff delete_note_cascade blocks_by_note job_latest index_status eval_metrics eval_worst eval_predictions
+eval_false_positives eval_misses eval_grid eval_notes eval_dropped_notes""".split()
 
 
 def queries():

@@ -41,7 +41,7 @@ def _informative(qtok: str = "qtok", name: str = "inf") -> str:
 def _bm25(tokens: str, k: int, name: str) -> str:
     return f"""
 {name} as (select * from (select *, row_number() over (partition by query_id order by bm25 desc, block_uid) as rn from (
-  select query_id, p.block_uid, note_path, round(sum(greatest(1e-6::double, ln((n - df + 0.5::double) / (df + 0.5::double))) * tf * 2.2::double / (tf + 1.2::double * (1 - 0.75::double + 0.75::double * dl / avgdl))), 6) as bm25
+  select query_id, p.block_uid, note_path, round(sum(greatest(1e-6::double, ln((n - df + 0.5::double) / (df + 0.5::double))) * tf * 2.2::double / (tf + 1.2::double * (1 - 0.75::double + 0.75::double * dl / avgdl))), 10) as bm25
   from {tokens} t join posts p on p.term = t.token join dls d on d.block_uid = p.block_uid cross join totals group by query_id, p.block_uid, note_path)) where rn <= {k})"""
 
 
@@ -179,6 +179,14 @@ pred as (select s.query_id, s.block_uid as target, sem_rank as rank, (t.target i
 per as (select query_id, sum(hit) filter (rank <= 5) as h5, sum(hit) filter (rank <= 10) as h10, count(*) filter (rank <= 5) as r5, count(*) filter (rank <= 10) as r10, min(rank) filter (hit = 1) as first from pred group by 1),
 j as (select s.query_id, n_true, coalesce(h5, 0) as h5, coalesce(h10, 0) as h10, coalesce(r5, 0) as r5, coalesce(r10, 0) as r10, first from sizes s left join per using (query_id))""")
 
+TABLE = """
+tab as (select s.query_id, n_true as n_targets, coalesce(string_agg(target::varchar, ',' order by rank), '') as predicted, coalesce(string_agg(target::varchar, ',' order by target) filter (hit = 1 and rank <= 5), '') as hits_5, coalesce(string_agg(target::varchar, ',' order by target) filter (hit = 1 and rank <= 10), '') as hits_10,
+  count(*) filter (hit = 1 and rank <= 10) as n_hits, coalesce(string_agg(target::varchar, ',' order by target) filter (hit = 0 and rank <= 10), '') as false_positives_10, count(*) filter (hit = 0 and rank <= 10) as n_false from sizes s left join pred using (query_id) group by s.query_id, n_true)"""
+LINKED = """
+own as (select d.doc_id as i, d.text, 'cs/n' || d.doc_id || '.md' as path, case when d.doc_id % 10 = 0 then o.doc_id end as outside, (a.doc_id is not null)::int + (b.doc_id is not null)::int as n_internal,
+  concat_ws(',', least(x, y), nullif(greatest(x, y), least(x, y))) as targets from (select *, doc_id + 5 as j, doc_id + 10 as k, doc_id + 4 as l from documents where doc_id % 5 <> 4) d
+  left join documents a on a.doc_id = d.j left join documents b on b.doc_id = d.k left join documents o on o.doc_id = d.l, lateral (select 'cs/n' || a.doc_id || '.md' as x, 'cs/n' || b.doc_id || '.md' as y))"""
+
 _LINKS = [
     ("cs/a.md", "wiki", 0, "wikilink", "the b", "b.md", "Part one", None), ("cs/a.md", "wiki", 1, "embed", None, "img.png.md", None, None), ("cs/a.md", "wiki", 2, "wikilink", None, "32.4 x.md", None, None),
     ("cs/a.md", "md", 1, "mdlink", "y", "c.md", None, "k1"),
@@ -258,4 +266,15 @@ r as (select *, dense_rank() over (partition by of_note order by note_score desc
     "index_status": _sql(LOG, EDGES, "select (select count(distinct source) from documents) as notes, (select count(*) from documents) as blocks, (select count(*) from edges) as links, (select max(id) from latest) as last_job, (select arg_max(status, id) from latest) as last_status"),
     "eval_metrics": _sql(*EVAL, "select round(avg((h5 > 0)::int), 6) as hit_at_5, round(avg((h10 > 0)::int), 6) as hit_at_10, round(avg(h5::double / n_true), 6) as recall_at_5, round(avg(h10::double / n_true), 6) as recall_at_10, round(avg(h5::double / greatest(1, r5)), 6) as precision_at_5, round(avg(h10::double / greatest(1, r10)), 6) as precision_at_10, round(avg(coalesce(1.0::double / first, 0)), 6) as mrr, round(avg((h10 > 0)::int), 6) as coverage, round(avg(n_true::double), 6) as avg_truth from j"),
     "eval_worst": _sql(*EVAL, "select t.query_id, count(*) as missed from truth t left join (select * from sem where sem_rank <= 10) s on s.query_id = t.query_id and s.block_uid = t.target where s.block_uid is null group by 1 order by missed desc, t.query_id limit 10"),
+    "eval_predictions": _sql(*EVAL, TABLE, "select query_id, n_targets, predicted, hits_5, hits_10, n_targets - n_hits as n_misses, false_positives_10 from tab"),
+    "eval_false_positives": _sql(*EVAL, TABLE, "select query_id, false_positives_10 from tab order by n_false desc, query_id limit 10"),
+    "eval_misses": _sql(*EVAL, TABLE, "select query_id, hits_10, n_targets - n_hits as n_misses from tab order by n_hits, n_targets - n_hits desc, query_id limit 10"),
+    "eval_grid": _sql(*EVAL, """
+runs as (select * from (values ('three', 3), ('seven', 7), ('all', 20)) as r(run, depth)),
+p2 as (select run, s.query_id, s.block_uid as target, sem_rank as rank, (t.target is not null)::int as hit from runs join sem s on sem_rank <= depth left join truth t on t.query_id = s.query_id and t.target = s.block_uid),
+per2 as (select run, query_id, sum(hit) filter (rank <= 5) as h5, sum(hit) filter (rank <= 10) as h10, count(*) filter (rank <= 5) as r5, count(*) filter (rank <= 10) as r10, min(rank) filter (hit = 1) as first from p2 group by all),
+j2 as (select runs.run, s.query_id, n_true, coalesce(h5, 0) as h5, coalesce(h10, 0) as h10, coalesce(r5, 0) as r5, coalesce(r10, 0) as r10, first from runs cross join sizes s left join per2 on per2.run = runs.run and per2.query_id = s.query_id)""",
+        "select j2.run, count(*) as dataset_note_count, (select count(distinct target) from p2 where p2.run = j2.run) as candidate_note_count, round(avg(n_true::double), 6) as avg_gt_links_per_note, round(avg((h5 > 0)::int), 6) as hit_at_5, round(avg(h10::double / n_true), 6) as recall_at_10, round(avg(h5::double / greatest(1, r5)), 6) as precision_at_5, round(avg(h10::double / greatest(1, r10)), 6) as precision_at_10, round(avg(coalesce(1.0::double / first, 0)), 6) as mrr from j2 group by j2.run"),
+    "eval_notes": _sql(LINKED, "select path, targets, n_internal, 4 - n_internal as n_ignored, sha1(text || ' n' || (i + 5) || ' and see G [site](https://e.org/' || i || ')' || case when i % 10 = 0 then ' n' || (i + 4) else '' end) as body_sha1 from own where outside is null").replace("4 - n_internal", "4 - n_internal + (i % 10 = 0)::int"),
+    "eval_dropped_notes": _sql(LINKED, "select path, 'n' || (i + 4) || '>out/n' || (i + 4) || '.md' as external from own where outside is not null"),
 }

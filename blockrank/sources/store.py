@@ -1,15 +1,23 @@
-"""The index on disk: snapshots of notes, blocks, links and vectors, and the job log.
+"""The index on disk: snapshots of notes, blocks, links, vectors and postings, and the job log.
 
-A snapshot is a folder `v=N` that is written whole; the file `CURRENT` names the live one. Readers of
-an old snapshot are not disturbed, and a job that fails leaves the live one as it was."""
+A snapshot is a folder of its own (`v=N-<unique>`) that is written whole; the file `CURRENT` names the live
+one and is replaced by one atomic rename. Readers of an old snapshot are not disturbed, and a job that fails
+leaves the live one as it was; what it wrote is taken away by `vacuum`."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-TABLES = ("notes", "blocks", "links", "vectors")
+from ..functions import porter
+from ..operators import lexical
+
+TABLES = ("notes", "blocks", "links", "vectors", "postings")
+#: The column of each table that names its note.
+NOTE = {"notes": "path", "blocks": "note_path", "vectors": "note_path", "postings": "note_path", "links": "src_note_path"}
 
 
 def file_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -25,11 +33,11 @@ def replace_rows(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def delete_notes(tables: dict[str, DataFrame], paths: DataFrame) -> dict[str, DataFrame]:
-    """Cascade: notes, blocks and vectors of the paths, and links from or to them."""
+    """Cascade: notes, blocks, vectors and postings of the paths, and links from or to them."""
     gone = paths.select("path").distinct()
     without = lambda df, c: df.join(gone.withColumnRenamed("path", c), c, "left_anti")
     out = dict(tables)
-    for name, column in (("notes", "path"), ("blocks", "note_path"), ("vectors", "note_path"), ("links", "src_note_path"), ("links", "dst_note_path")):
+    for name, column in (*NOTE.items(), ("links", "dst_note_path")):
         if name in out:
             out[name] = without(out[name], column)
     return out
@@ -63,28 +71,68 @@ class Store:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def version(self) -> int:
+    def current(self) -> str:
+        """The live snapshot's folder, or an empty string."""
         jvm, fs = self._fs()
         marker = jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT")
-        return int(self.spark.read.text(f"{self.root}/CURRENT").first()[0]) if fs.exists(marker) else 0
+        return self.spark.read.text(f"{self.root}/CURRENT").first()[0] if fs.exists(marker) else ""
+
+    def version(self) -> int:
+        return int(self.current().removeprefix("v=").partition("-")[0] or 0)
 
     def read(self) -> dict[str, DataFrame]:
-        v = self.version()
-        return {t: self.spark.read.parquet(f"{self.root}/v={v}/{t}") for t in TABLES} if v else {}
+        live = self.current()
+        return {t: self.spark.read.parquet(f"{self.root}/{live}/{t}") for t in TABLES} if live else {}
+
+    def index(self) -> lexical.LexicalIndex:
+        """The lexical index as stored: nothing is tokenised again."""
+        tables = self.read()
+        return lexical.index_of(tables["blocks"].select("block_uid", "note_path", "dl", "clean_text"), tables["postings"].select("term", "block_uid", "tf"), porter.vocabulary)
 
     def write(self, tables: dict[str, DataFrame]) -> int:
         v = self.version() + 1
+        folder = f"v={v}-{uuid.uuid4().hex}"
         for name, df in tables.items():
-            df.write.parquet(f"{self.root}/v={v}/{name}")
+            if name == "postings":
+                df = df.repartition("term").sortWithinPartitions("term")  # so that a scan for terms skips row groups
+            df.write.parquet(f"{self.root}/{folder}/{name}")
         jvm, fs = self._fs()
-        temp, live = (jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}") for n in ("NEXT", "CURRENT"))
+        temp, live = (jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}") for n in (f"NEXT-{folder}", "CURRENT"))
         out = fs.create(temp, True)
-        out.write(bytearray(str(v).encode()))
+        out.write(bytearray(folder.encode()))
         out.close()
-        fs.delete(live, False)
-        fs.rename(temp, live)
+        overwrite = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(live.toUri(), fs.getConf()).rename(fs.makeQualified(temp), fs.makeQualified(live), overwrite)
         return v
 
+    def vacuum(self) -> list[str]:
+        """Take away all snapshots but the live one, those of failed jobs included; not while others read them."""
+        jvm, fs = self._fs()
+        names = [f.getPath().getName() for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(self.root))]
+        gone = [n for n in names if n.startswith(("v=", "NEXT-")) and n != self.current()]
+        for n in gone:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}"), True)
+        return gone
+
+    def note(self, path: str) -> DataFrame:
+        return self.read()["notes"].filter(F.col("path") == path)
+
+    def block(self, block_uid: str) -> DataFrame:
+        return self.read()["blocks"].filter(F.col("block_uid") == block_uid)
+
+    def blocks_of(self, path: str) -> DataFrame:
+        return blocks_by_note(self.read()["blocks"].filter(F.col("note_path") == path))
+
+    def links_from(self, path: str) -> DataFrame:
+        return self.read()["links"].filter(F.col("src_note_path") == path)
+
+    def dashboard(self) -> DataFrame:
+        """One row: counts of the tables, the last job, and the notes that changed last."""
+        t = self.read()
+        recent = t["notes"].orderBy(F.desc("mtime"), "path").limit(10).agg(F.collect_list("path").alias("recent"))
+        return index_status(t["notes"], t["blocks"], t["links"], self.jobs()).crossJoin(recent)
+
     def clear(self) -> dict[str, int]:
         """Empty all tables; the counts of what went. The job log stays."""
         old = self.read()

@@ -7,7 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
 from ..shipping import ship_package
@@ -38,35 +38,46 @@ def _parts(glob: str):
             i += 1
 
 
-def scan(spark: SparkSession, root: str, globs: list[str] = (), dirs: list[str] = ()) -> DataFrame:
-    """path (under root), content, mtime of every Markdown file that is not excluded."""
+def scan(spark: SparkSession, root: str, globs: list[str] = (), dirs: list[str] = (), only: str | None = None) -> DataFrame:
+    """path (under root), content, mtime of every Markdown file that is not excluded, or of one file only."""
     base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(base)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(base if only is None else f"{base}/{only}")
     rel = F.element_at(F.split(F.col("path"), base.split("://")[-1] + "/", 2), -1)
     return files.select(rel.alias("path"), F.col("content"), F.col("modificationTime").cast("double").alias("mtime")).filter(~excluded(F.col("path"), globs, dirs)).dropDuplicates(["path"])
 
 
-@F.pandas_udf(StringType())
-def yaml_to_json(headers: pd.Series) -> pd.Series:
-    """The header as JSON; what is not a mapping, or not YAML, is {}."""
+@F.pandas_udf(StructType([StructField("json", StringType()), StructField("error", StringType())]))
+def yaml_to_json(headers: pd.Series) -> pd.DataFrame:
+    """The header as JSON; what is not a mapping is {}, what is not YAML an error."""
     import yaml
 
     def one(h):
         try:
             found = yaml.safe_load(h or "")
-        except yaml.YAMLError:
-            found = None
-        return json.dumps(found if isinstance(found, dict) else {}, default=str, ensure_ascii=False)
+        except yaml.YAMLError as e:
+            return None, str(e)[:300]
+        return json.dumps(found if isinstance(found, dict) else {}, default=str, ensure_ascii=False), None
 
-    return headers.map(one)
+    return pd.DataFrame([one(h) for h in headers], columns=["json", "error"])
 
 
-def read_notes(files: DataFrame) -> DataFrame:
-    """path, title, aliases, tags, frontmatter (JSON), body, content_hash, mtime."""
+def parse_files(files: DataFrame) -> DataFrame:
+    """files(path, content, mtime) with what was read of each, and error, null where a note could be read."""
     ship_package(files.sparkSession)
-    raw = files.withColumn("raw", F.decode("content", "UTF-8"))
+    raw = files.withColumn("raw", F.try_validate_utf8(F.col("content").cast("string")))
     head = r"(?s)^---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(\r?\n|$)"
-    split = raw.withColumns({"header": F.regexp_extract("raw", head, 1), "body": T.squeeze_ends(F.regexp_replace("raw", head, ""))}).withColumn("frontmatter", yaml_to_json("header"))
+    split = raw.withColumns({"header": F.regexp_extract("raw", head, 1), "body": T.squeeze_ends(F.regexp_replace("raw", head, ""))}).withColumn("yaml", yaml_to_json("header"))
+    error = F.when(F.col("raw").isNull(), "not UTF-8").otherwise(F.col("yaml.error"))
+    return split.select("path", "mtime", "raw", "body", F.col("yaml.json").alias("frontmatter"), error.alias("error"))
+
+
+def read_notes(files: DataFrame) -> DataFrame:
+    """path, title, aliases, tags, frontmatter (JSON), body, content_hash, mtime of the files that can be read."""
+    return notes_of(parse_files(files))
+
+
+def notes_of(parsed: DataFrame) -> DataFrame:
+    split = parsed.filter("error is null")
 
     def strings(field):
         value = F.get_json_object("frontmatter", f"$.{field}")

@@ -57,8 +57,18 @@ def test_long_blocks_keep_their_text(spark):
     assert got == [("n:a:part1", 1200), ("n:a:part2", 1200), ("n:a:part3", 100), ("n:b", 5)]
 
 
-def test_links_are_stripped_to_visible_text():
-    assert K.strip_links("a [[b|Bee]] [[c#x]] ![p](d.md) [q](https://e.org) [[32.4 x]]") == "a Bee c p [q](https://e.org) [[32.4 x]]"
+def test_links_are_stripped_to_visible_text(spark):
+    cases = {
+        "a [[b|Bee]] [[c#x]] ![p](d.md) [q](https://e.org) [[32.4 x]]": "a Bee c p [q](https://e.org) [[32.4 x]]",
+        "[[x/y/n.md]][[b| ]]end [ ](sub/k.md#t) ![](z.png) [[#here]]": "nend k ![](z.png) [[#here]]",
+        "no links": "no links",
+        "": "",
+        "[[one]]": "one",
+    }
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "body string, want string")
+    for r in df.select("want", K.strip_links(F.col("body")).alias("got")).collect():
+        assert r.got == r.want
+    assert spark.createDataFrame([(None,)], "body string").select(K.strip_links(F.col("body")).alias("b")).first().b is None
 
 
 def test_requests_are_checked():
@@ -106,7 +116,8 @@ def test_sync_equals_rebuild(spark, tmp_path):
         assert sorted(map(repr, x.select(*cols).collect())) == sorted(map(repr, y.select(*cols).collect())), t
     note = one.store.read()["notes"].filter("path = 'one.md'").first()
     assert (note.title, note.aliases, note.tags) == ("one", ["solo"], ["x", "y", "z"])
-    assert one.sync(9) == {"version": 2}
+    again = one.sync(9)
+    assert (again["version"], again["indexed_files"], again["status"]) == (2, 0, "success")
     assert S.job_latest(one.store.jobs()).filter("id = 2").first().status == "success"
     assert one.clear()["notes"] == 3 and one.store.read()["notes"].count() == 0
 
@@ -114,3 +125,116 @@ def test_sync_equals_rebuild(spark, tmp_path):
 def test_highlight_and_terms(spark):
     r = spark.sql("select 'Get the API data 数据库 ab' as a, 'api DATA 数据库' as b").select(T.highlight_tokens(F.col("a"), F.col("b")).alias("h"), T.anchor_terms(F.col("a")).alias("t"), T.query_tokens(F.col("a")).alias("q")).first()
     assert r.h == ["API", "data", "数据库"] and r.q == ["get", "the", "api", "data", "数据库"] and r.t == ["get", "the", "data", "数据库"]
+
+
+def _vault(tmp_path, **files):
+    root = tmp_path / "vault"
+    root.mkdir(exist_ok=True)
+    for name, text in files.items():
+        (root / f"{name}.md").write_bytes(text if isinstance(text, bytes) else text.encode())
+    return root
+
+
+def test_broken_notes_do_not_stop_a_job(spark, tmp_path):
+    root = _vault(tmp_path, good="fine text of a note", bad=b"\xff\xfe not text", yaml="---\na: [1\n---\nbody", twice=f"{'one ' * 30}^k1\n\n{'two ' * 30}^k1\n")
+    ix = Indexer(spark, str(root), str(tmp_path / "s"), cfg=DEFAULT)
+    done = ix.rebuild()
+    assert done["status"] == "partial_success" and (done["total_files"], done["indexed_files"], done["failed_files"]) == (4, 2, 3)
+    assert [f["path"] for f in done["failures"]] == ["bad.md", "twice.md", "yaml.md"] and done["elapsed_ms"] >= 0
+    assert sorted(r.path for r in ix.store.read()["notes"].collect()) == ["good.md", "twice.md"]
+    # a note that can't be read any more stays as it was
+    (root / "good.md").write_bytes(b"\xff")
+    assert ix.sync()["failed_files"] >= 1
+    assert ix.store.note("good.md").first().body == "fine text of a note"
+
+
+def test_one_file_is_indexed_or_skipped(spark, tmp_path):
+    root = _vault(tmp_path, a="first [[b]]", b="second")
+    ix = Indexer(spark, str(root), str(tmp_path / "s"), globs=["draft*"], cfg=DEFAULT)
+    ix.rebuild()
+    _vault(tmp_path, a="changed words", draft="no")
+    assert ix.index_file("draft.md") == {"skipped": "draft.md", "reason": "excluded"}
+    assert ix.index_file("a.md")["indexed"] == "a.md"
+    assert [r.clean_text for r in ix.store.blocks_of("a.md").collect()] == ["changed words"]
+    assert ix.store.links_from("a.md").count() == 0 and ix.store.note("b.md").count() == 1
+    assert {r.term for r in ix.store.read()["postings"].filter("note_path = 'a.md'").collect()} == {"chang", "word"}
+    assert ix.store.dashboard().first().notes == 2
+
+
+def test_a_failed_write_leaves_the_store_usable(spark, tmp_path):
+    root = _vault(tmp_path, a="first", b="second")
+    ix = Indexer(spark, str(root), str(tmp_path / "s"), cfg=DEFAULT)
+    ix.rebuild()
+    broken = dict(ix.store.read())
+    broken["vectors"] = broken["vectors"].withColumn("embedding", F.raise_error(F.lit("no")))
+    try:
+        ix.store.write(broken)
+        raise AssertionError
+    except Exception as e:
+        assert "no" in str(e)
+    assert ix.store.version() == 1 and ix.store.read()["notes"].count() == 2
+    assert ix.rebuild(5)["version"] == 2 and len(ix.store.vacuum()) == 2 and ix.store.read()["notes"].count() == 2
+
+
+def test_stored_search_is_stemmed_and_embeds_each_variant(spark, tmp_path):
+    from blockrank.plans import engine
+
+    root = _vault(tmp_path, a="# Boats\n\nSailing boats were repaired by the harbour crews.", b="Cooking recipes and nothing else.", c="A boat repair manual.")
+    ix = Indexer(spark, str(root), str(tmp_path / "s"), cfg=DEFAULT)
+    ix.rebuild()
+    asked = spark.createDataFrame([(1, "repairing boat"), (2, "zzzq")], "query_id long, text string")
+    corpus = engine.stored_corpus(ix.store)
+    hits = engine.search(asked, corpus, embed=T.pseudo_embedding).collect()
+    best = sorted((r for r in hits if r.query_id == 1), key=lambda r: r.ord)
+    from blockrank.operators import lexical as L
+
+    assert {r.note_path for r in L.lexical_search(asked, corpus.index, 5).collect()} == {"a.md", "c.md"}
+    assert best[0].block_text and {r.note_path: r.heading_path for r in best}["a.md"] == ["Boats"]
+    assert all(len(r.matches) for r in R.explain(engine.search(asked, corpus, embed=T.pseudo_embedding)).collect())
+
+
+def test_cells_give_the_same_neighbours(spark, monkeypatch):
+    from blockrank.operators import vectors as V
+
+    rng = random.Random(8)
+    rows = [(i, f"n{i % 5}", [rng.gauss(0, 1) for _ in range(6)]) for i in range(200)] + [(500, "n0", None), (501, "n1", [])]
+    own = spark.createDataFrame(rows, "block_uid long, note_path string, embedding array<double>")
+    asked = own.filter("block_uid % 7 = 0").select(F.col("block_uid").alias("query_id"), "embedding", F.when(F.col("block_uid") % 2 == 0, F.col("note_path")).alias("exclude_note"))
+    want = sorted(map(tuple, V.cosine_top(own, asked, 5).collect()))
+    monkeypatch.setattr(V, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(V, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(V, "VECTOR_BLOCK", 32)
+    assert sorted(map(tuple, V.cosine_top(own, asked, 5).collect())) == want
+
+
+def test_fts_search_agrees_with_sqlite(spark):
+    """Stemmed BM25, coverage and fallback against SQLite's FTS5."""
+    import math
+    import re
+
+    from blockrank.operators import lexical as L
+
+    rng = random.Random(11)
+    vocabulary = "boat boats sailing sail repaired repair crews crew harbour cooking recipe recipes manual nothing connected connection relational".split()
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(3, 20))) for _ in range(40)] + ["分布式事务 boat", "数据库 sail"]
+    blocks = spark.createDataFrame([(i, f"n{i}", t) for i, t in enumerate(texts)], "block_uid long, note_path string, clean_text string")
+    con = sqlite3.connect(":memory:")
+    con.execute("create virtual table t using fts5(id unindexed, x, tokenize='porter')")
+    con.executemany("insert into t values (?, ?)", list(enumerate(texts)))
+    questions = ["repairing boats crew", "connections recipe", "relation sailing", "事务"]
+    got = {}
+    for r in L.lexical_search(spark.createDataFrame(list(enumerate(questions)), "query_id long, text string"), porter.stemmed_index(blocks), 50).collect():
+        got.setdefault(r.query_id, {})[r.block_uid] = r.lex_score
+    for q, text in enumerate(questions[:3]):
+        tokens = re.findall("[a-z]+", text)
+        df = {t: con.execute("select count(*) from t where t match ?", (f'"{t}"',)).fetchone()[0] for t in tokens}
+        keep = [t for t in tokens if not (df[t] >= 12 and df[t] / len(texts) >= 0.25)] or [min(tokens, key=df.get)]
+        weight = {t: math.log((len(texts) + 1) / (df[t] + 1)) + 1 for t in keep}
+        rows = con.execute("select id, x, bm25(t) from t where t match ? order by 3", (" OR ".join(f'"{t}"' for t in keep),)).fetchall()
+        low, high = min(r[2] for r in rows), max(r[2] for r in rows)
+        for i, x, score in rows:
+            covered = sum(w for t, w in weight.items() if t in x.split())
+            want = 0.7 * (1 - (score - low) / ((high - low) or 1)) + 0.3 * covered / sum(weight.values())
+            assert abs(got[q][i] - want) < 1e-4, (text, x)
+        assert len(got[q]) == len(rows)
+    assert got[3] == {40: 1.0}
