@@ -18,8 +18,9 @@ MAP_BITS bits, so two maps differ in no more bits than the texts have unshared w
 2. A bucket whose texts are all in one class is done. In the others each pair of texts of different classes
    is tried by lengths and parity maps: a bucket is cut by length (a text meets only those whose length
    allows 0.8) and then into tiles of about TILE texts that meet two by two in a task. Only pairs that may
-   be similar leave it, and are aligned once; texts that merely share a passage are passed over by their
-   maps. Buckets of the same texts count once.
+   be similar leave it, and are aligned; texts that merely share a passage are passed over by their maps.
+   One link joins a text with a whole class, so each text first tries its NEAREST likeliest partners, and
+   further ones in later rounds while any is of another class still. Buckets of the same texts count once.
 3. Classes are the components of all links; a class is named by its least doc_id.
 
 Defined results: null counts as empty, and empty texts are equal texts like others; texts without a word
@@ -32,6 +33,7 @@ pipeline stage.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -45,7 +47,7 @@ from .text_kernel import mix, occurrence, shingles, span_hashes, text_chunks, wo
 
 K, SKETCHES, PER_SKETCH, SIMILARITY = 5, 40, 2, 0.8
 SHORT, SHORT_K, SHORT_SKETCHES = 80, 2, 16
-MAP_BITS, TILE = 2048, 8192
+MAP_BITS, TILE, NEAREST = 2048, 8192, (8, 256)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -207,29 +209,44 @@ def _verify_pairs(batches):
             yield pa.RecordBatch.from_arrays([col["a"].take(part), col["b"].take(part)], names=["a", "b"])
 
 
-def _possible_pairs(key, table):
-    """Pairs (a, b) of a pair of tiles that are of different classes and may be similar."""
-    _, cell, one, two = (k.as_py() for k in key)
-    table = table.combine_chunks()
-    ids, tile, own, cls, size = (table[k].to_numpy() for k in ("id", "tile", "own", "class", "n"))
-    order = np.argsort(size, kind="stable")
-    ids, tile, own, cls, size = (x[order] for x in (ids, tile, own, cls, size))
-    maps = np.concatenate([_maps(part) for part in table["map"].chunks])[order]
-    longest = np.searchsorted(size, np.floor(size / SIMILARITY + 1e-9), side="right")
-    found = []
-    for i in range(len(ids)):
-        other = np.arange(i + 1, longest[i])
-        other = other[cls[other] != cls[i]]
-        if one != two:
-            other = other[tile[other] != tile[i]]
-        if own[i] != cell:
-            other = other[own[other] == cell]
-        if len(other):
+def _possible_pairs(begin: int, end: int | None):
+    """Of each text of a pair of tiles: its begin-th to end-th likeliest partners, where they are of another class, as pairs
+    (a, b); and one row without a pair if there are more of these behind."""
+
+    def run(key, table):
+        _, cell, one, two = (k.as_py() for k in key)
+        table = table.combine_chunks()
+        ids, tile, own, cls, size = (table[k].to_numpy() for k in ("id", "tile", "own", "class", "n"))
+        order = np.lexsort((ids, size))
+        ids, tile, own, cls, size = (x[order] for x in (ids, tile, own, cls, size))
+        maps = np.concatenate([_maps(part) for part in table["map"].chunks])[order]
+        lowest = np.searchsorted(size, np.ceil(size * SIMILARITY - 1e-9), side="left")
+        highest = np.searchsorted(size, np.floor(size / SIMILARITY + 1e-9), side="right")
+        found, more = [], False
+        for i in range(len(ids)):
+            if (cls[lowest[i] : highest[i]] == cls[i]).all():
+                continue
+            other = np.arange(lowest[i], highest[i])
+            meets = other != i
+            if one != two:
+                meets &= tile[other] != tile[i]
+            if own[i] != cell:
+                meets &= own[other] == cell
+            other = other[meets]
             apart = np.bitwise_count(maps[other] ^ maps[i]).sum(axis=1, dtype=np.int64)
-            other = other[may_be_similar(size[i], size[other], apart)]
+            may = may_be_similar(size[i], size[other], apart)
+            other, apart = other[may], apart[may]
+            if len(other) > (end or 0) or begin:
+                other = other[np.lexsort((ids[other], apart))]
+            behind = other[end:] if end is not None else other[:0]
+            more |= bool((cls[behind] != cls[i]).any())
+            other = other[begin:end]
+            other = other[cls[other] != cls[i]]
             found.append(np.stack([np.minimum(ids[i], ids[other]), np.maximum(ids[i], ids[other])]))
-    a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-    return pa.table({"a": a, "b": b})
+        a, b = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pa.array([*a.tolist(), *[None] * more], pa.int64()), "b": pa.array([*b.tolist(), *[None] * more], pa.int64())})
+
+    return run
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -239,8 +256,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialise(both.mapInArrow(_verify_pairs, "a long, b long"), "near-links")
 
 
-def _links_within(posted: DataFrame, buckets: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): links between texts of different classes in one bucket; buckets of two were judged before."""
+def _joined_within(posted: DataFrame, buckets: DataFrame, texts: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
+    """classes, joined by the links between texts of different classes in one bucket; buckets of two were judged before."""
     placed = posted.join(classes.select("id", "class"), "id", "left").withColumn("class", F.coalesce("class", "id"))
     open_ = placed.groupBy("band").agg(F.min("class").alias("c"), F.max("class").alias("z")).filter("c <> z")
     open_ = buckets.filter("size > 2").join(open_, "band").groupBy("a", "size", "sign").agg(F.min("band").alias("band")).select("band")
@@ -250,11 +267,21 @@ def _links_within(posted: DataFrame, buckets: DataFrame, texts: DataFrame, class
     tiles = cells.groupBy("group").agg(F.count(F.lit(1)).alias("rows"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).filter("rows > 1").drop("rows")
     dealt = hot_join(cells, tiles, "group").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("band", "cell", F.least("tile", "with").alias("one"), F.greatest("tile", "with").alias("two"), "tile", "own", "id")
-    dealt = dealt.join(texts.select("id", "n", "map"), "id").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
-    pairs = materialise(dealt.groupBy("band", "cell", "one", "two").applyInArrow(_possible_pairs, "a long, b long").distinct(), "near-pairs")
-    links = _verified(pairs, texts)
-    forget(members, cells, pairs)
-    return links
+    every, begin = [links], 0
+    for end in (*NEAREST, None):
+        rows = dealt.join(texts.select("id", "n", "map"), "id").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+        pairs = materialise(rows.groupBy("band", "cell", "one", "two").applyInArrow(_possible_pairs(begin, end), "a long, b long").distinct(), "near-pairs")
+        every.append(_verified(pairs.filter("a is not null"), texts))
+        if every[-1].limit(1).count():
+            last, classes = classes, connected_components(functools.reduce(DataFrame.union, every))
+            forget(last)
+        more = pairs.filter("a is null").limit(1).count()
+        forget(pairs)
+        if not more:
+            break
+        begin = end
+    forget(members, cells, *every[1:])
+    return classes
 
 
 def _texts_and_rows(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -279,11 +306,8 @@ def _texts_and_rows(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Da
     wanted.unpersist()
     links = _verified(stars, texts)
     classes = connected_components(links)
-    more = _links_within(posted, buckets, texts, classes)
-    if more.limit(1).count():
-        first, classes = classes, connected_components(links.union(more))
-        forget(first)
-    forget(posted, buckets, stars, nodes, texts, links, more)
+    classes = _joined_within(posted, buckets, texts, links, classes)
+    forget(posted, buckets, stars, nodes, texts, links)
     classes = classes.withColumnRenamed("id", "node")
     linked = reps.select("node", "digest", "id", "copies").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     return linked, sketched.select("id", "digest")
