@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SAMPLE_TEXT_BYTES = 64 << 10
 _SPREAD = np.uint32(2654435761)
 
 
@@ -43,7 +44,10 @@ def range_sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nda
 def bounded_sample(rows: DataFrame, key: str, label: str, per_label: int, max_labels: int = 256) -> pa.Table:
     """About `per_label` rows of each of the `max_labels` most frequent labels, chosen by the key's hash.
 
-    The counts cover all rows; what reaches the driver is bounded by per_label * max_labels rows."""
+    The counts cover all rows; what reaches the driver is bounded by per_label * max_labels rows, and a text
+    of more than SAMPLE_TEXT_BYTES is not one of them."""
+    if "text" in rows.columns:
+        rows = rows.filter(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
     counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
     if not counts:
         return rows.limit(0).toArrow()

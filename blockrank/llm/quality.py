@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .classify import bounded_sample, gram_buckets, inside_mask, range_sums
+from ..shipping import ship_package
+from .classify import SAMPLE_TEXT_BYTES, bounded_sample, gram_buckets, inside_mask, range_sums
 from .common import read_table
 from .text_kernel import line_offsets, shingles, span_hashes, text_chunks, word_spans
 
@@ -167,6 +168,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def judge(docs: DataFrame, model: QualityModel | None, threshold: float = THRESHOLD) -> DataFrame:
     """docs(doc_id, text) -> doc_id, the base counts, base_failed, kept, quality (null without a model)."""
+    ship_package(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -184,13 +186,15 @@ def judge(docs: DataFrame, model: QualityModel | None, threshold: float = THRESH
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> QualityModel | None:
-    """Choose the labelled ids first, then fetch only their texts."""
+    """Choose the labelled ids first, then fetch only their texts: one for each id (the least, where rows share an id),
+    of at most SAMPLE_TEXT_BYTES."""
     once = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ids = bounded_sample(once, "doc_id", "quality", per_label)
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     wanted = spark.createDataFrame([(i, int(q)) for i, q in zip(ids["doc_id"].to_pylist(), ids["quality"].to_pylist(), strict=True)], f"doc_id {kind}, quality int")
-    texts = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").filter("text is not null").toArrow()
+    known = docs.select("doc_id", "text").filter(F.octet_length("text") <= SAMPLE_TEXT_BYTES).join(F.broadcast(wanted), "doc_id")
+    texts = known.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality").toArrow()
     return train(texts.sort_by([("doc_id", "ascending")]))
 
 

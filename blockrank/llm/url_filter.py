@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, read_table
+from .components import hot_join, hot_keys
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
@@ -55,10 +56,12 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """(host, rank): nodes(host, seed), edges(src, dst, weight). Each round is checkpointed."""
+    """(host, rank): nodes(host, seed), edges(src, dst, weight), a written table. Each round is checkpointed; the links of a hub
+    are dealt over several tasks."""
     rank = nodes.select("host", "seed", ((1 - damping) * F.col("seed")).alias("rank"))
+    hubs = hot_keys(edges, "src")
     for _ in range(rounds):
-        given = edges.join(rank.select(F.col("host").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("weight")).alias("given"))
+        given = hot_join(edges, rank.select(F.col("host").alias("src"), "rank"), "src", hot=hubs).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("weight")).alias("given"))
         moved = rank.join(given, "host", "left").select("host", "seed", F.col("rank").alias("was"), ((1 - damping) * F.col("seed") + damping * F.coalesce("given", F.lit(0.0))).alias("rank")).checkpoint()
         delta = moved.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0
         rank = moved.drop("was")
@@ -75,7 +78,7 @@ def judge_hosts(hosts: DataFrame, edges: DataFrame, threshold: float = THRESHOLD
     trust = pagerank(nodes.select("host", F.col("good").alias("seed")), edges, damping, rounds)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     into = back.groupBy("src").agg(F.sum("weight").alias("all"))
-    back = back.join(into, "src").select("src", "dst", (F.col("weight") / F.col("all")).alias("weight"))
+    back = materialise(hot_join(materialise(back, "url-back"), into, "src").select("src", "dst", (F.col("weight") / F.col("all")).alias("weight")), "url-back")
     distrust = pagerank(nodes.select("host", F.col("bad").alias("seed")), back, damping, rounds)
     blocked = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
     return trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host").withColumn("verdict", F.when(blocked, F.lit("block")).otherwise(F.lit("allow")))

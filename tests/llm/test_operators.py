@@ -512,6 +512,35 @@ def test_urls_rules_and_links(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_propagation_equals_dense_page_rank(spark):
+    rng = random.Random(31)
+    n = 14
+    names = [f"h{i}.example" for i in range(n)]
+    pairs = {(i, j) for i in range(n) for j in range(n) if i != j and rng.random() < 0.25} | {(0, j) for j in range(1, n)}
+    weight = np.zeros((n, n))
+    for i, j in pairs:
+        weight[i, j] = 1
+    weight /= np.maximum(1, weight.sum(axis=1, keepdims=True))
+    hosts = [(names[i], 4, rng.randint(0, 2), rng.randint(0, 2)) for i in range(n)]
+    edges = spark.createDataFrame([(names[i], names[j], float(weight[i, j])) for i, j in pairs], "src string, dst string, weight double")
+    got = {r.host: r for r in url_filter.judge_hosts(spark.createDataFrame(hosts, "host string, n long, allowed long, blocked long"), edges, rounds=60).collect()}
+
+    def rank(seed, w):
+        r = 0.15 * seed
+        for _ in range(200):
+            r = 0.15 * seed + 0.85 * w.T @ r
+        return r
+
+    good = np.array([a / m if a > b else 0 for _, m, a, b in hosts])
+    bad = np.array([b / m if b > a else 0 for _, m, a, b in hosts])
+    back = weight.T / np.maximum(1e-12, weight.sum(axis=0))[:, None]
+    for i, (trust, distrust) in enumerate(zip(rank(good, weight), rank(bad, back), strict=True)):
+        r = got[names[i]]
+        assert (r.trust, r.distrust) == (pytest.approx(trust, abs=1e-4), pytest.approx(distrust, abs=1e-4))
+        assert r.verdict == ("block" if r.distrust >= url_filter.THRESHOLD and r.distrust > r.trust else "allow")
+    assert {r.verdict for r in got.values()} == {"allow", "block"}
+
+
 def test_perspectives_cover_all_text(spark):
     rows = [(1, t, r, f"m{t}") for t, r in enumerate(["system", "ann", "bob", "ann", "cy", None])] + [(1, 2, "bob", "m2")] + [(2, t, "u" if t % 2 else "v", f"x{t}") for t in range(150)] + [(3, None, "ann", None), (3, 1, "bob", "<|im_end|>"), (None, 0, "z", "q"), (4, 0, "system", "alone")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
