@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import text as T
+from ..operators import ann as A
 from ..operators import blocks as B
 from ..operators import evaluation as E
 from ..operators import expansion as X
@@ -230,6 +231,10 @@ def cosine_topk_exclude(spark, d):
     return _long(V.cosine_top(_labelled(spark, d), _vector_queries(spark, d, True), 10), "sem_rank")
 
 
+def ann_topk(spark, d):
+    return _long(A.search(A.build(_labelled(spark, d)), _vector_queries(spark, d, False), 10), "sem_rank")
+
+
 def query_expand(spark, d):
     asked = ["How do I safely cut a cake?", "cake", " Cake  CAKE cake ", "如何 解释 分布式", "what is it", "one two three four five six seven", ""]
     q = _bench_queries(spark, d).unionByName(_cases(spark, asked).select((F.col("id") + 1_000_000).alias("query_id"), "text"))
@@ -421,7 +426,7 @@ def eval_dropped_notes(spark, d):
 NAMES = """scan_inventory content_hash path_exclude link_extract link_target_parse target_classify link_resolve eval_dataset
 clean_text_fixture clean_text_pages tag_extract token_extract highlight_tokens heading_stack_blocks block_merge_short
 block_split_fixed embed_input_heading embed_input_sliding pseudo_embedding token_df informative_tokens bm25_topk lexical_search
-like_fallback lexical_search_cjk fts_porter_topk cosine_topk cosine_topk_exclude query_expand merge_candidates merge_scored_hits graph_boost
+like_fallback lexical_search_cjk fts_porter_topk cosine_topk cosine_topk_exclude ann_topk query_expand merge_candidates merge_scored_hits graph_boost
 fuse_scores threshold_relax note_diversity anchor_rerank dedup_hits group_by_note enrich_hits search_e2e query_block_e2e
 query_note_e2e file_diff delete_note_cascade blocks_by_note job_latest index_status eval_metrics eval_worst eval_predictions
 eval_false_positives eval_misses eval_grid eval_notes eval_dropped_notes""".split()

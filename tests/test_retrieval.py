@@ -238,3 +238,32 @@ def test_fts_search_agrees_with_sqlite(spark):
             assert abs(got[q][i] - want) < 1e-4, (text, x)
         assert len(got[q]) == len(rows)
     assert got[3] == {40: 1.0}
+
+
+def test_cell_index_finds_nearly_all_neighbours(spark, monkeypatch):
+    from blockrank.operators import ann as A
+    from blockrank.operators import vectors as V
+
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    own = e.select(F.col("vec_id").alias("block_uid"), F.col("label").cast("string").alias("note_path"), "embedding")
+    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.lit(None).cast("string").alias("exclude_note"))
+    exact = V.cosine_top(own, asked, 10).persist()
+    assert A.recall(A.search(A.build(own), asked, 10), exact) >= 0.9
+    # all cells: the exact search; cells in parts, queries in blocks
+    monkeypatch.setattr(V, "VECTOR_BLOCK", 40)
+    monkeypatch.setattr(V, "QUERY_BLOCK", 7)
+    every = A.search(A.build(own, 8), asked, 10, probes=8)
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, exact.collect()))
+    none = A.search(A.build(own.limit(0)), asked, 5)
+    assert none.count() == 0
+
+
+def test_new_notes_come_as_a_stream(spark, tmp_path):
+    from blockrank.streaming.watch import watch
+
+    root, seen = _vault(tmp_path, a="first note"), []
+    handle = lambda notes, batch: seen.append(sorted(r.path for r in notes.collect()))
+    watch(spark, str(root), str(tmp_path / "c"), handle).awaitTermination(60)
+    _vault(tmp_path, b="second note")
+    watch(spark, str(root), str(tmp_path / "c"), handle).awaitTermination(60)
+    assert [x for x in seen if x] == [["a.md"], ["b.md"]]
