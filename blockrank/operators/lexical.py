@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 K1, B = 1.2, 0.75
+#: Tokens of all queries that are sent to every task at most (some 20 MB); more are joined.
+BROADCAST_TOKENS = 1_000_000
 
 
 @dataclass
@@ -25,7 +27,7 @@ class LexicalIndex:
 
 def index_of(docs: DataFrame, postings: DataFrame, terms_of=None) -> LexicalIndex:
     """The index of docs(block_uid, note_path, dl, clean_text) and postings(term, block_uid, tf)."""
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).persist()
     return LexicalIndex(postings, terms, docs, docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), terms_of)
 
 
@@ -84,23 +86,28 @@ def token_in_text(token: Column, text: Column) -> Column:
 
 def _covered(pairs: DataFrame, tokens: DataFrame, index: LexicalIndex) -> DataFrame:
     """(query_id, block_uid, covered): the weight of a query's tokens in the text of its pairs. ASCII tokens meet the words
-    of the fetched texts by equality, others are looked for in the text."""
-    texts = pairs.join(index.docs.select("block_uid", F.lower("clean_text").alias("low")), "block_uid")
+    of the fetched texts by an intersection of arrays, others are looked for in the text. A token's weight is the same
+    in every query, so only what both have is spread out."""
     plain = F.col("token").rlike("^[0-9A-Za-z_]+$")
-    words = texts.select("block_uid", "low").dropDuplicates(["block_uid"]).select("block_uid", F.explode(T.word_keys(F.col("low"))).alias("token"))
-    # a query's pairs are few (top_k), so its tokens meet them by query
-    met = pairs.join(tokens.filter(plain).select("query_id", "token", "weight"), "query_id").join(words, ["block_uid", "token"], "left_semi").select("query_id", "block_uid", "weight")
-    other = texts.join(tokens.filter(~plain).select("query_id", "token", "weight"), "query_id").filter(F.col("low").contains(F.col("token"))).select("query_id", "block_uid", "weight")
-    return met.union(other).groupBy("query_id", "block_uid").agg(F.sum("weight").alias("covered"))
+    every = F.collect_list(F.when(plain, F.col("token"))), F.collect_list(F.when(~plain, F.col("token")))
+    asked = tokens.groupBy("query_id").agg(every[0].alias("words"), every[1].alias("others"))
+    asked = F.broadcast(asked) if tokens.count() <= BROADCAST_TOKENS else asked
+    low = F.lower("clean_text")
+    texts = index.docs.join(pairs.select("block_uid").distinct(), "block_uid", "left_semi").select("block_uid", low.alias("low"), T.word_keys(low).alias("own"))
+    both = pairs.join(texts, "block_uid").join(asked, "query_id")
+    shared = F.concat(F.array_intersect("words", "own"), F.filter("others", lambda t: F.col("low").contains(t)))
+    met = both.select("query_id", "block_uid", F.explode(shared).alias("token"))
+    return met.join(tokens.select("token", "weight").distinct(), "token").groupBy("query_id", "block_uid").agg(F.round(F.sum("weight"), 10).alias("covered"))
 
 
 def lexical_search(queries: DataFrame, index: LexicalIndex, top_k: int) -> DataFrame:
     """query_id, block_uid, note_path, lex_score, lex_rank. A query none of whose first 16 tokens is in the index falls back to
     blocks that contain one of its first eight."""
-    tokens = informative(query_terms(queries), index)
-    tokens = tokens.withColumn("nth", F.row_number().over(W.partitionBy("query_id").orderBy("pos")))
-    fetched = bm25_top(tokens.filter("nth <= 16"), index, 4 * top_k)
     per = W.partitionBy("query_id")
+    tokens = informative(query_terms(queries), index)
+    # kept: the queries' tokens and the first hits are used several times below
+    tokens = tokens.withColumn("nth", F.row_number().over(per.orderBy("pos"))).persist()
+    fetched = bm25_top(tokens.filter("nth <= 16"), index, 4 * top_k).persist()
     low, high = F.min("bm25").over(per), F.max("bm25").over(per)
     normal = fetched.withColumn("norm", F.when(high == low, 1.0).otherwise((F.col("bm25") - low) / F.when(high == low, 1.0).otherwise(high - low)))
     total = tokens.groupBy("query_id").agg(F.sum("weight").alias("total"))
@@ -108,14 +115,20 @@ def lexical_search(queries: DataFrame, index: LexicalIndex, top_k: int) -> DataF
     score = F.round(0.7 * F.col("norm") + 0.3 * F.coalesce("covered", F.lit(0.0)) / F.col("total"), 6)
     ranked = scored.withColumn("lex_score", score).withColumn("lex_rank", F.row_number().over(per.orderBy(F.desc("lex_score"), "block_uid")))
     found = ranked.filter(F.col("lex_rank") <= top_k).select("query_id", "block_uid", "note_path", "lex_score", "lex_rank")
-    return found.union(_fallback(tokens, index, top_k))
+    unmet = _unmet(tokens)
+    return found.union(_fallback(unmet, index, top_k)) if unmet.limit(1).count() else found
+
+
+def _unmet(tokens: DataFrame) -> DataFrame:
+    """The first eight tokens of queries none of whose first 16 is in the index."""
+    met = F.max(F.when(F.col("nth") <= 16, F.col("df")).otherwise(0)).over(W.partitionBy("query_id"))
+    return tokens.withColumn("met", met).filter("met = 0 and nth <= 8")
 
 
-def _fallback(tokens: DataFrame, index: LexicalIndex, top_k: int, most: int = 500) -> DataFrame:
-    """tokens(query_id, token, df, weight, nth) -> the hits of queries without a posting. A token meets texts by a key that both
+def _fallback(unmet: DataFrame, index: LexicalIndex, top_k: int, most: int = 500) -> DataFrame:
+    """unmet(query_id, token, weight) -> the texts that contain one of a query's tokens. A token meets texts by a key that both
     have, so this is a join, whatever the number of queries: an ASCII token by itself, any other by its first two characters."""
     per = W.partitionBy("query_id")
-    unmet = tokens.withColumn("met", F.max(F.when(F.col("nth") <= 16, F.col("df")).otherwise(0)).over(per)).filter("met = 0 and nth <= 8")
     key = F.when(F.col("token").rlike("^[0-9A-Za-z_]+$"), F.col("token")).otherwise(F.substring("token", 1, 2))
     asked = unmet.select("query_id", "token", "weight", key.alias("key"))
     low = F.lower("clean_text")
@@ -131,4 +144,4 @@ def _fallback(tokens: DataFrame, index: LexicalIndex, top_k: int, most: int = 50
 def like_fallback(queries: DataFrame, index: LexicalIndex, top_k: int) -> DataFrame:
     """The fallback by itself: only queries without a posting have rows."""
     tokens = informative(query_terms(queries), index)
-    return _fallback(tokens.withColumn("nth", F.row_number().over(W.partitionBy("query_id").orderBy("pos"))), index, top_k)
+    return _fallback(_unmet(tokens.withColumn("nth", F.row_number().over(W.partitionBy("query_id").orderBy("pos")))), index, top_k)
