@@ -38,7 +38,7 @@ from ..shipping import ship_package
 from .common import pipeline_stage, read_table
 from .text_kernel import text_chunks
 
-CHUNK_BYTES, LONG_WORD, SAMPLE_TEXTS, SAMPLE_BYTES, KNOWN_WORDS = 16 << 20, 400, 8192, 16 << 10, 1 << 18
+CHUNK_BYTES, LONG_WORD, SAMPLE_TEXTS, SAMPLE_BYTES, KNOWN_WORDS = 8 << 20, 400, 8192, 16 << 10, 1 << 18
 NO_MERGE, EMPTY = 1 << 20, 1 << 62
 _LABEL, _RANK = 20, 40
 

@@ -32,6 +32,8 @@ from .text_kernel import LOWER, text_chunks
 
 BITS, DIM, GRAMS = 16, 16, (2, 3, 4)
 PER_LANG, EPOCHS, MIN_STEPS, BATCH, RATE, REJECT_RATE, FOLDS = 600, 8, 240, 32, 4.0, 0.001, 5
+#: Texts of so many bytes are predicted at once.
+PREDICT_BYTES = 1 << 20
 LETTER = np.zeros(256, dtype=bool)
 LETTER[65:91] = LETTER[97:123] = True
 
@@ -168,7 +170,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, new=("lang_pred", "sc
         m = held.value
         for batch in batches:
             pred, score = [], []
-            for _, _, data, offs in text_chunks(batch, "text"):
+            for _, _, data, offs in text_chunks(batch, "text", PREDICT_BYTES):
                 p = predict_chunk(m, data, offs)
                 ok = has_letter(data, offs)
                 best = p.argmax(axis=1)
