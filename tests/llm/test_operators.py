@@ -176,7 +176,6 @@ def test_near_copies_with_scattered_edits_are_caught(spark, share):
 def test_links_within_a_bucket_are_not_lost_and_groups_may_be_large(spark, monkeypatch):
     """Texts that share a passage but not their class, with chains among them; tiles of 8 texts."""
     monkeypatch.setattr(near_dedup, "TILE", 8)
-    monkeypatch.setattr(near_dedup, "NEAREST", (1, 2))
     rng = random.Random(7)
     passage = prose(rng, 60).split()
     texts = []
