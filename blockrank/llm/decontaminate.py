@@ -10,8 +10,8 @@ places for the similarity are left out; all others are judged, equal windows onc
 
 Each distinct window gets a 64-bit SimHash of its weighted shingles. The fingerprint is cut into BLOCKS
 blocks; two fingerprints within RADIUS bits agree in some block up to RADIUS // BLOCKS bits, so the items
-are listed under every value of each block that near to theirs, and an equality join on (block, value)
-meets all items within the radius. Candidates are verified by exact weighted Jaccard similarity of the
+are listed under every value of each block that near to theirs, and an equality join on (words of the item,
+block, value) meets all items of the window's own length within the radius. Candidates are verified by exact weighted Jaccard similarity of the
 shingles, min over max of counts, at least 0.8. The radius lies far outside the distances that such a
 similarity gives (a window at 0.8 lies beyond it with a chance below 1e-3).
 
@@ -66,8 +66,15 @@ def near_values(items: DataFrame) -> DataFrame:
         for r in range(RADIUS // BLOCKS + 1):
             masks += [(i, sum(1 << b for b in c)) for c in combinations(range(hi - lo), r)]
     flips = F.broadcast(spark.createDataFrame(masks, "block int, flip long"))
-    own = items.select("item_id", "print", F.explode(block_values(F.col("print"))).alias("b")).select("item_id", "print", "b.block", "b.value")
-    return own.join(flips, "block").select(F.col("item_id"), F.col("print").alias("item_print"), "block", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+    own = items.select("item_id", "n", "print", F.explode(block_values(F.col("print"))).alias("b")).select("item_id", "n", "print", "b.block", "b.value")
+    return own.join(flips, "block").select("item_id", "n", F.col("print").alias("item_print"), "block", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+
+
+def met_in_blocks(prints: DataFrame, items: DataFrame) -> DataFrame:
+    """prints(id, n, print), items(item_id, n, print): a row for each block in which a window's print comes near that
+    of an item of its own length n."""
+    blocks = prints.select("id", "n", "print", F.inline(block_values(F.col("print"))))
+    return blocks.join(near_values(items), ["n", "block", "value"])
 
 
 def weighted_jaccard(a: Column, b: Column) -> Column:
@@ -169,9 +176,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     distinct = windows.groupBy("id").agg(F.first("window").alias("window"), F.first("n").alias("n"))
     printed = distinct.select("id", "n", shingles_of(F.col("window")).alias("shingles")).withColumn("print", simhash(F.col("shingles")))
     printed = materialise(printed, "bench-prints")
-    index = near_values(items)
-    blocks = printed.select("id", "print", F.inline(block_values(F.col("print"))))
-    close = blocks.join(index, ["block", "value"]).withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).filter(F.col("distance") <= RADIUS).groupBy("id", "item_id").agg(F.min("distance").alias("distance"))
+    close = met_in_blocks(printed, items).withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).filter(F.col("distance") <= RADIUS).groupBy("id", "item_id").agg(F.min("distance").alias("distance"))
     judged = close.join(printed.select("id", "shingles"), "id").join(small(items.select("item_id", F.col("shingles").alias("item_shingles"))), "item_id")
     judged = judged.withColumn("similarity", weighted_jaccard(F.col("shingles"), F.col("item_shingles"))).filter(F.col("similarity") >= SIMILARITY)
     hits = windows.select("id", "row", "key", "first").join(judged.select("id", "item_id", "similarity", "distance"), "id")

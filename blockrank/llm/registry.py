@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, chat_format, decontaminate, hard_negatives, language_id, line_dedup, lm_score, near_dedup, quality, training_order, url_filter
+from . import bpe, centroids, chat_format, decontaminate, hard_negatives, html_extract, language_id, line_dedup, lm_score, near_dedup, quality, training_order, url_filter
 
 
 def pipeline(spark, sf_dir):
@@ -26,6 +26,7 @@ def queries():
         "op8_decontamination": decontaminate.op8_decontamination,
         "op9_training_order": training_order.op9_training_order,
         "op10_near_dedup": near_dedup.op10_near_dedup,
+        "op11_main_text": html_extract.op11_main_text,
         "op12_centroid_clustering": centroids.op12_centroid_clustering,
         "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }

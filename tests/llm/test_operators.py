@@ -240,6 +240,34 @@ def leaks_brute(texts, items):
     return out
 
 
+def test_decontamination_of_items_that_hold_each_other(spark):
+    """Items of many lengths, nested and overlapping: each is met by windows of its own length only."""
+    rng = random.Random(21)
+    base = prose(rng, 200).split()
+    spans = [(0, 20), (0, 24), (0, 30), (4, 24), (10, 60), (15, 55), (12, 62), (40, 44), (41, 44), (60, 180), (60, 160), (100, 112), (99, 112), (100, 113)]
+    items = [" ".join(base[a:b]) for a, b in spans]
+    texts = []
+    for a, b in spans:
+        w = base[a:b]
+        texts += [" ".join(w), f"{prose(rng, 40)} {' '.join(w)} {prose(rng, 40)}"]
+        at = rng.randrange(len(w))
+        texts.append(" ".join([*prose(rng, 9).split(), *w[:at], *prose(rng, 1).split(), *w[at:], *prose(rng, 9).split()]))
+        texts.append(" ".join([*prose(rng, 9).split(), *w[:at], *w[at + 1 :], *prose(rng, 9).split()]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, texts), bench).collect()}
+    want = leaks_brute(texts, items)
+    assert got == want and len(want) > 40
+
+
+def test_blocks_meet_few_pairs_of_windows_and_items(spark):
+    rng = random.Random(22)
+    rows = [(i, prose(rng, 12 + i % 20)) for i in range(400)]
+    items = decontaminate.prepare_items(spark.createDataFrame(rows, "item_id long, text string"))
+    other = decontaminate.prepare_items(spark.createDataFrame([(i, prose(rng, 12 + i % 20)) for i in range(400)], "item_id long, text string"))
+    assert decontaminate.met_in_blocks(other.withColumnRenamed("item_id", "id"), items).count() < 0.05 * 400 * 400
+    assert decontaminate.met_in_blocks(items.withColumnRenamed("item_id", "id"), items).filter("id = item_id").select("id").distinct().count() == 400
+
+
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(5)
     items = [prose(rng, n) for n in (20, 35, 50)] + ["just three words", "", None]
