@@ -40,11 +40,8 @@ def index_tokens(text: Column) -> Column:
 
 
 def word_keys(low: Column) -> Column:
-    """Distinct ASCII words of lower-case text, and what stands before each underscore inside one."""
-    words = F.array_distinct(all_matches(low, "[0-9a-z_]+"))
-    parts = lambda w: F.split(w, "_")
-    before = lambda w: F.transform(F.sequence(F.lit(1), F.size(parts(w)) - 1), lambda i: F.array_join(F.slice(parts(w), F.lit(1), i), "_"))
-    return F.array_union(words, F.flatten(F.transform(F.filter(words, lambda w: w.contains("_")), before)))
+    """Distinct ASCII words of lower-case text."""
+    return F.array_distinct(all_matches(low, "[0-9a-z_]+"))
 
 
 def character_pairs(low: Column) -> Column:

@@ -79,8 +79,8 @@ def bm25_top(tokens: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
 
 
 def token_in_text(token: Column, text: Column) -> Column:
-    """Whether lower-case text has the token: an ASCII one as a word (an underscore may follow), any other anywhere."""
-    word = F.concat(F.lit("(?<![0-9A-Za-z_])"), token, F.lit("(?![0-9A-Za-z])"))
+    """Whether lower-case text has the token: an ASCII one as a whole word (an underscore is a part of it), any other anywhere."""
+    word = F.concat(F.lit("(?<![0-9A-Za-z_])"), token, F.lit("(?![0-9A-Za-z_])"))
     return text.contains(token) & (~token.rlike("^[0-9A-Za-z_]+$") | F.regexp_like(text, word))
 
 

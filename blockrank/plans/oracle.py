@@ -50,9 +50,8 @@ def _lexical(k: int, inf: str = "inf", name: str = "lex") -> str:
 {name}_first as (select * from (select *, row_number() over (partition by query_id order by pos) as nth from {inf}) where nth <= 16),{_bm25(f"{name}_first", 4 * k, f"{name}_fetched")},
 {name}_norm as (select *, case when max(bm25) over w = min(bm25) over w then 1.0::double else (bm25 - min(bm25) over w) / (max(bm25) over w - min(bm25) over w) end as norm from {name}_fetched window w as (partition by query_id)),
 {name}_words as (select distinct block_uid, token from (select block_uid, unnest(tokens) as token from tok)),
-{name}_keys as (select * from {name}_words union select block_uid, unnest([array_to_string(string_split(token, '_')[1:i], '_') for i in range(1, len(string_split(token, '_')))]) from {name}_words where contains(token, '_')),
 {name}_cover as (select query_id, block_uid, sum(weight) as covered from (
-  select query_id, f.block_uid, weight from {name}_fetched f join {inf} i using (query_id) join {name}_keys w on w.token = i.token and w.block_uid = f.block_uid where i.token ~ '[0-9a-z_]+'
+  select query_id, f.block_uid, weight from {name}_fetched f join {inf} i using (query_id) join {name}_words w on w.token = i.token and w.block_uid = f.block_uid where i.token ~ '[0-9a-z_]+'
   union all select query_id, f.block_uid, weight from {name}_fetched f join {inf} i using (query_id) join texts t on t.block_uid = f.block_uid and contains(low, i.token) where i.token !~ '[0-9a-z_]+') group by all),
 {name}_total as (select query_id, sum(weight) as total from {inf} group by 1),
 {name}_found as (select query_id, block_uid, note_path, lex_score, lex_rank from (select *, row_number() over (partition by query_id order by lex_score desc, block_uid) as lex_rank from (
@@ -64,7 +63,7 @@ def _lexical(k: int, inf: str = "inf", name: str = "lex") -> str:
 def _like(k: int, inf: str = "inf", name: str = "liked") -> str:
     return f"""
 {name}_eight as (select * from (select *, max(df) filter (nth <= 16) over (partition by query_id) as met from (select *, row_number() over (partition by query_id order by pos) as nth from {inf})) where nth <= 8 and met = 0),
-{name}_hits as (select query_id, block_uid, note_path, sum(weight) as matched from texts join {name}_eight on contains(low, token) and (token !~ '[0-9a-z_]+' or regexp_matches(low, '(^|[^0-9a-z_])' || token || '($|[^0-9a-z])')) group by all),
+{name}_hits as (select query_id, block_uid, note_path, sum(weight) as matched from texts join {name}_eight on contains(low, token) and (not regexp_full_match(token, '[0-9A-Za-z_]+') or regexp_matches(low, '(^|[^0-9A-Za-z_])' || token || '($|[^0-9A-Za-z_])')) group by all),
 {name}_five as (select h.*, round(matched / total, 6) as lex_score from (select *, row_number() over (partition by query_id order by block_uid) as seen from {name}_hits) h join (select query_id, sum(weight) as total from {name}_eight group by 1) using (query_id) where seen <= 500),
 {name} as (select query_id, block_uid, note_path, lex_score, lex_rank from (select *, row_number() over (partition by query_id order by lex_score desc, block_uid) as lex_rank from {name}_five where lex_score > 0) where lex_rank <= {k})"""
 
