@@ -289,7 +289,8 @@ def build_index(vectors: DataFrame, key: str = "vec_id", column: str = "embeddin
 def hard_negatives(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", label: str = "label") -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score."""
     index, books, dims = build_index(vectors, key, column, label)
-    asked = index.filter(F.col("id") % ANCHOR_EVERY == 0).select("row", "label", "q")
+    anchors = materialise(index.filter(F.col("id") % ANCHOR_EVERY == 0).select("row", "id", "label", "q"), "negatives-anchors")
+    asked = anchors.drop("id")
     last = lambda *per: W.partitionBy(*per).orderBy(F.desc("score"), F.col("id").asc_nulls_last(), "row")
     near = _sweep(index, asked, books, dims, POSITIVES, positives_in)
     chosen = near.withColumn("nth", F.row_number().over(last("anchor"))).filter(F.col("nth") <= POSITIVES)
@@ -300,7 +301,7 @@ def hard_negatives(vectors: DataFrame, key: str = "vec_id", column: str = "embed
     windows = materialise(asked.join(spans, "row"), "negatives-windows")
     far = _sweep(index, windows, books, dims, NEGATIVES, negatives_in)
     ranked = far.withColumn("rank", F.row_number().over(last("anchor", "place"))).filter(F.col("rank") <= NEGATIVES)
-    ids = index.filter(F.col("id") % ANCHOR_EVERY == 0).select(F.col("row").alias("anchor"), F.col("id").alias("anchor_id"))
+    ids = anchors.select(F.col("row").alias("anchor"), F.col("id").alias("anchor_id"))
     out = ranked.select("anchor", "place", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score")).join(positives, ["anchor", "place"]).join(ids, "anchor")
     return out.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")
 
