@@ -1,7 +1,9 @@
 """Approximate neighbours above the exact search's range: vectors in cells around centres, a query looks at a few cells.
 
 The centres are fitted on a bounded sample (SAMPLE vectors by least hash); every vector is in the index, in the
-cell of its nearest centre. With `probes` of all cells the search is exact."""
+cell of its nearest centre. How many cells a query looks at is measured on the sample: as many as bring the share
+of true neighbours to GOAL there. With `probes` of all cells the search is exact. A stored index (`stored`) has its
+vectors in folders by cell: a search reads the folders of the cells that its queries look at, and no others."""
 
 from __future__ import annotations
 
@@ -19,13 +21,15 @@ from ..shipping import ship_package
 from . import vectors as V
 
 SAMPLE, MOST_CELLS, TURNS, SEED = 20_000, 1024, 8, 7
+GOAL, ASKED, NEAR = 0.97, 256, 10
 
 
 @dataclass
 class CellIndex:
     centres: np.ndarray  # cells x dimensions, of length one: at most MOST_CELLS rows
     vectors: DataFrame  # block_uid, note_path, embedding, row (its cell), part (of its cell)
-    parts: DataFrame  # row, n_parts: cells of more than VECTOR_BLOCK vectors come in parts
+    parts: DataFrame | None  # row, n_parts: cells of more than VECTOR_BLOCK vectors come in parts; None: counted for each search
+    probes: int = 1  # cells that a query looks at
 
 
 def fit_centres(sample: np.ndarray, cells: int) -> np.ndarray:
@@ -60,32 +64,84 @@ def _cells(df: DataFrame, held, take: int) -> DataFrame:
     return df.mapInArrow(_nearest(held, take, df.columns), schema)
 
 
+def probes_for(sample: np.ndarray, centres: np.ndarray) -> int:
+    """The fewest cells with which ASKED vectors of the sample find GOAL of their NEAR nearest others in it."""
+    asked = sample[:: max(1, len(sample) // ASKED)][:ASKED]
+    home = np.argmax(sample @ centres.T, axis=1)
+    order = np.argsort(-(asked @ centres.T), axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
+    near = np.argsort(-(asked @ sample.T), axis=1, kind="stable")[:, 1 : NEAR + 1]
+    needed = np.sort(np.take_along_axis(place, home[near], axis=1).ravel())
+    return int(needed[min(len(needed) - 1, int(np.ceil(GOAL * len(needed))))]) + 1 if len(needed) else len(centres)
+
+
+def centres_of(vectors: DataFrame, cells: int | None = None) -> tuple[np.ndarray, int]:
+    """Centres for vectors(embedding), none where there is no vector, and how many cells a query should look at.
+
+    The sample's rows are chosen by a rate first, so that no task sends many rows to the driver."""
+    ship_package(vectors.sparkSession)
+    own = vectors.filter("size(embedding) > 0").select("embedding", F.xxhash64("embedding").alias("h"))
+    n = own.count()
+    if not n:
+        return np.zeros((0, 1)), 1
+    upto = int(min(1.0, 2 * SAMPLE / n) * (1 << 30))
+    picked = own.filter(F.pmod("h", F.lit(1 << 30)) < upto).orderBy("h").limit(SAMPLE).select("embedding").toArrow()
+    sample = V._unit(picked["embedding"].combine_chunks())
+    centres = fit_centres(sample, cells or max(1, min(MOST_CELLS, math.isqrt(n))))
+    return centres, probes_for(sample, centres)
+
+
+def place(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """vectors(block_uid, note_path, embedding) with their cell; -1 for null and empty ones, and without centres."""
+    real = F.coalesce(F.size("embedding") > 0, F.lit(False)) & F.lit(len(centres) > 0)
+    none = vectors.filter(~real).withColumn("cell", F.lit(-1))
+    if not len(centres):
+        return none
+    held = vectors.sparkSession.sparkContext.broadcast(centres)
+    near = _cells(vectors.filter(real), held, 1).withColumn("cell", F.element_at("cells", 1)).drop("cells")
+    return near.unionByName(none)
+
+
+def _in_parts(vectors: DataFrame, parts: DataFrame) -> DataFrame:
+    """vectors(block_uid, row) with the part of their cell; parts has at most MOST_CELLS rows."""
+    return vectors.join(F.broadcast(parts), "row").withColumn("part", F.pmod(F.xxhash64("block_uid"), "n_parts").cast("int")).drop("n_parts")
+
+
+def _parts(vectors: DataFrame) -> DataFrame:
+    return vectors.groupBy("row").agg(F.ceil(F.count(F.lit(1)) / V.VECTOR_BLOCK).cast("int").alias("n_parts"))
+
+
 def build(vectors: DataFrame, cells: int | None = None) -> CellIndex:
     """vectors(block_uid, note_path, embedding); null and empty embeddings take no part."""
-    spark = vectors.sparkSession
-    ship_package(spark)
     own = vectors.filter("size(embedding) > 0").select("block_uid", "note_path", "embedding")
-    n = own.count()
-    if not n:
-        return CellIndex(np.zeros((0, 1)), own.withColumns({"row": F.lit(0), "part": F.lit(0)}), spark.createDataFrame([], "row int, n_parts int"))
-    picked = own.select("embedding").withColumn("h", F.xxhash64("embedding")).orderBy("h").limit(SAMPLE).select("embedding").toArrow()
-    centres = fit_centres(V._unit(picked["embedding"].combine_chunks()), cells or max(1, min(MOST_CELLS, math.isqrt(n))))
-    placed = _cells(own, spark.sparkContext.broadcast(centres), 1).withColumn("row", F.element_at("cells", 1)).drop("cells").persist()
-    parts = placed.groupBy("row").agg(F.ceil(F.count(F.lit(1)) / V.VECTOR_BLOCK).cast("int").alias("n_parts"))
-    # at most MOST_CELLS rows
-    dealt = placed.join(F.broadcast(parts), "row").withColumn("part", F.pmod(F.xxhash64("block_uid"), "n_parts").cast("int")).drop("n_parts")
-    return CellIndex(centres, dealt, parts)
-
-
-def search(index: CellIndex, queries: DataFrame, k: int, probes: int = 16) -> DataFrame:
-    """queries(query_id, embedding, exclude_note) -> query_id, block_uid, note_path, semantic_score, sem_rank."""
+    centres, probes = centres_of(own, cells)
+    placed = place(own, centres).withColumnRenamed("cell", "row").persist()
+    parts = _parts(placed)
+    return CellIndex(centres, _in_parts(placed, parts), parts, probes)
+
+
+def stored(centres: np.ndarray, vectors: DataFrame, probes: int) -> CellIndex:
+    """The index of vectors(block_uid, note_path, embedding, row) that lie in folders by row, their cell."""
+    return CellIndex(centres, vectors, None, probes)
+
+
+def search(index: CellIndex, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+    """queries(query_id, embedding, exclude_note) -> query_id, block_uid, note_path, semantic_score, sem_rank. probes:
+    instead of the index's own."""
     spark = queries.sparkSession
     asked = queries.filter("size(embedding) > 0").select("query_id", "embedding", "exclude_note")
     schema = T.StructType([asked.schema["query_id"], index.vectors.schema["block_uid"], T.StructField("note_path", T.StringType()), T.StructField("semantic_score", T.DoubleType())])
     if not len(index.centres):
         return spark.createDataFrame([], schema).withColumn("sem_rank", F.lit(0))
-    near = _cells(asked, spark.sparkContext.broadcast(index.centres), min(probes, len(index.centres)))
-    near = near.withColumn("row", F.explode("cells")).drop("cells").join(F.broadcast(index.parts), "row").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))).drop("n_parts")
+    near = _cells(asked, spark.sparkContext.broadcast(index.centres), min(probes or index.probes, len(index.centres)))
+    near = near.withColumn("row", F.explode("cells")).drop("cells")
+    if index.parts is None:
+        # at most MOST_CELLS cells: the join prunes the folders of all others before anything is read
+        looked = F.broadcast(near.select("row").filter("row >= 0").distinct())
+        index = CellIndex(index.centres, index.vectors.join(looked, "row", "left_semi"), _parts(index.vectors.join(looked, "row", "left_semi")))
+        index.vectors = _in_parts(index.vectors, index.parts)
+    near = near.join(F.broadcast(index.parts), "row").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))).drop("n_parts")
     # many queries of one cell meet its vectors in blocks
     block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // V.QUERY_BLOCK)))).cast("int")
     blocks = near.withColumn("block", block)

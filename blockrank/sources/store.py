@@ -1,23 +1,41 @@
-"""The index on disk: snapshots of notes, blocks, links, vectors and postings, and the job log.
+"""The index on disk, as a log of segments, and the job log.
 
-A snapshot is a folder of its own (`v=N-<unique>`) that is written whole; the file `CURRENT` names the live
-one and is replaced by one atomic rename. Readers of an old snapshot are not disturbed, and a job that fails
-leaves the live one as it was; what it wrote is taken away by `vacuum`."""
+A commit writes one segment: the rows of the notes that it adds or changes, and marks (tombstones) of the notes
+whose older rows no longer count. So an update costs what it changes. Rows lie in folders by a hash of their note
+(vectors: by the cell of their nearest centre), so that reads of one note, or of some cells, skip the rest. A
+segment also holds what it moves in the counts of terms; counts of blocks and words are in the manifest.
+Small segments are merged so that each one is at least RATIO times all newer ones together: there are never more
+than about log2(rows) of them, and a row is rewritten as often at most.
+
+The file `CURRENT` is the manifest: which segments are live. One atomic rename replaces it. Readers of an old state
+are not disturbed, and a job that fails leaves the live state as it was; what it wrote, and segments that were
+merged, are taken away by `vacuum`."""
 
 from __future__ import annotations
 
+import json
 import uuid
+import zlib
+from collections.abc import Iterable
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import porter
-from ..operators import lexical
+from ..operators import ann, lexical
 
 TABLES = ("notes", "blocks", "links", "vectors", "postings")
 #: The column of each table that names its note.
 NOTE = {"notes": "path", "blocks": "note_path", "vectors": "note_path", "postings": "note_path", "links": "src_note_path"}
+#: Folders by note hash: one for each NOTES_A_BUCKET notes of the first segment, within these bounds.
+NOTES_A_BUCKET, BUCKETS = 2000, (16, 4096)
+RATIO = 2
+#: Values of a folder name that are listed in a filter at most; beyond that all folders are read.
+LISTED = 1024
 
 
 def file_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -27,11 +45,6 @@ def file_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", change.alias("change")).filter("change is not null")
 
 
-def replace_rows(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of old whose key new has go, then all of new: upsert and replace-by-note alike."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
-
-
 def delete_notes(tables: dict[str, DataFrame], paths: DataFrame) -> dict[str, DataFrame]:
     """Cascade: notes, blocks, vectors and postings of the paths, and links from or to them."""
     gone = paths.select("path").distinct()
@@ -61,77 +74,234 @@ def blocks_by_note(blocks: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Snapshots under a folder that Spark can write."""
+    """The index under a folder that Spark can write; one writer at a time (a second one's commit fails)."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
     def _fs(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return self._path("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    # the manifest
 
-    def current(self) -> str:
-        """The live snapshot's folder, or an empty string."""
-        jvm, fs = self._fs()
-        marker = jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT")
-        return self.spark.read.text(f"{self.root}/CURRENT").first()[0] if fs.exists(marker) else ""
+    def manifest(self) -> dict:
+        """The live state; {} before the first commit."""
+        if not self._fs().exists(self._path("CURRENT")):
+            return {}
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/CURRENT", wholetext=True).collect()))
 
     def version(self) -> int:
-        return int(self.current().removeprefix("v=").partition("-")[0] or 0)
+        return self.manifest().get("version", 0)
+
+    def _publish(self, manifest: dict) -> int:
+        if self.version() != manifest["version"] - 1:
+            raise RuntimeError("another job has written this store meanwhile")
+        fs, temp = self._fs(), self._path(f"NEXT-{uuid.uuid4().hex}")
+        out = fs.create(temp, True)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        options = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
+        overwrite = self.spark.sparkContext._gateway.new_array(options, 1)
+        overwrite[0] = options.OVERWRITE
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), fs.getConf())
+        context.rename(fs.makeQualified(temp), fs.makeQualified(self._path("CURRENT")), overwrite)
+        return manifest["version"]
+
+    # reading
+
+    def _marks(self, segments: list[dict]) -> DataFrame | None:
+        """path, since (older rows of the note are gone), gone (older links to it, too); None without any."""
+        parts = [self._segment(s, "marks").withColumn("seq", F.lit(s["seq"])) for s in segments if s["marks"]]
+        if not parts:
+            return None
+        return reduce(DataFrame.unionByName, parts).groupBy("path").agg(F.max("seq").alias("since"), F.max(F.when(F.col("deleted"), F.col("seq"))).alias("gone"))
+
+    def _segment(self, segment: dict, table: str) -> DataFrame:
+        return self.spark.read.schema(T.StructType.fromJson(segment["schemas"][table])).parquet(f"{self.root}/{segment['folder']}/{table}")
+
+    def _live(self, manifest: dict, table: str, segments: list[dict] | None = None, folders: Iterable[int] | None = None) -> DataFrame:
+        """Live rows of a table, with their folder, of some segments, or some folders, only."""
+        every = manifest["segments"]
+        own = every if segments is None else segments
+        part = "cell" if table == "vectors" else "bucket"
+        rows = reduce(DataFrame.unionByName, [self._segment(s, table).withColumn("seq", F.lit(s["seq"])) for s in own])
+        if folders is not None:
+            rows = rows.filter(F.col(part).isin(list(folders)))
+        oldest = min(s["seq"] for s in own)
+        marks = self._marks([s for s in every if s["seq"] > oldest])
+        if marks is None:
+            return rows.drop("seq")
+        left = rows.join(marks.select(F.col("path").alias(NOTE[table]), "since"), (NOTE[table]), "left").filter(F.col("since").isNull() | (F.col("seq") >= F.col("since"))).drop("since")
+        if table == "links":
+            left = left.join(marks.filter("gone is not null").select(F.col("path").alias("dst_note_path"), "gone"), "dst_note_path", "left").filter(F.col("gone").isNull() | (F.col("seq") >= F.col("gone"))).drop("gone")
+        return left.select(*[c for c in rows.columns if c != "seq"])
+
+    def _read(self, table: str, paths: list[str] | None = None) -> DataFrame:
+        manifest = self.manifest()
+        buckets = None if paths is None else [_bucket_of(p, manifest["buckets"]) for p in paths]
+        rows = self._live(manifest, table, folders=None if table == "vectors" else buckets)
+        rows = rows if paths is None else rows.filter(F.col(NOTE[table]).isin(paths))
+        return rows.drop("cell" if table == "vectors" else "bucket")
 
     def read(self) -> dict[str, DataFrame]:
-        live = self.current()
-        return {t: self.spark.read.parquet(f"{self.root}/{live}/{t}") for t in TABLES} if live else {}
+        """All tables as they are now; {} before the first commit."""
+        return {t: self._read(t) for t in TABLES} if self.manifest() else {}
+
+    def terms(self) -> DataFrame:
+        """term, df: the moves of all segments together; no posting is read."""
+        parts = [self._segment(s, "terms") for s in self.manifest()["segments"] if s["terms"]]
+        return reduce(DataFrame.unionByName, parts).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
+
+    def totals(self) -> DataFrame:
+        """One row: n blocks and their average length, from the manifest."""
+        m = self.manifest()
+        return self.spark.createDataFrame([(m["blocks"], m["words"] / m["blocks"] if m["blocks"] else None)], "n long, avgdl double")
 
     def index(self) -> lexical.LexicalIndex:
-        """The lexical index as stored: nothing is tokenised again."""
+        """The lexical index as stored: nothing is tokenised or counted again."""
         tables = self.read()
-        return lexical.index_of(tables["blocks"].select("block_uid", "note_path", "dl", "clean_text"), tables["postings"].select("term", "block_uid", "tf"), porter.vocabulary)
+        docs = tables["blocks"].select("block_uid", "note_path", "dl", "clean_text")
+        return lexical.LexicalIndex(tables["postings"].select("term", "block_uid", "tf", "positions"), self.terms(), docs, self.totals(), porter.vocabulary)
+
+    def cells(self) -> ann.CellIndex:
+        """The vector index as stored: centres, and vectors in folders by cell."""
+        manifest = self.manifest()
+        centres = self._centres(manifest)
+        return ann.stored(centres, self._live(manifest, "vectors").filter("cell >= 0").withColumnRenamed("cell", "row"), manifest["probes"])
+
+    def _centres(self, manifest: dict) -> np.ndarray:
+        if not manifest.get("centres"):
+            return np.zeros((0, 1))
+        rows = self.spark.read.parquet(f"{self.root}/{manifest['centres']}").orderBy("cell").collect()  # at most ann.MOST_CELLS rows
+        return np.array([r.centre for r in rows], dtype=np.float64)
+
+    # writing
+
+    def _place(self, table: str, rows: DataFrame, manifest: dict, centres: np.ndarray) -> DataFrame:
+        """Rows with their folder, dealt out by it; Spark splits folders of many rows."""
+        if table == "vectors":
+            placed = ann.place(rows, centres)
+            return placed.hint("rebalance", "cell").sortWithinPartitions("cell")
+        placed = rows.withColumn("bucket", _bucket(F.col(NOTE[table]), manifest["buckets"]))
+        by = ("bucket", "term") if table == "postings" else ("bucket", NOTE[table])  # so that a scan skips row groups
+        return placed.hint("rebalance", "bucket").sortWithinPartitions(*by)
+
+    def _write_segment(self, folder: str, manifest: dict, tables: dict[str, DataFrame], marks: DataFrame | None, terms: DataFrame | None, seq: int, placed: bool = False) -> dict:
+        centres = self._centres(manifest)
+        schemas = {}
+        for name in TABLES:
+            rows = tables[name] if placed else self._place(name, tables[name], manifest, centres)
+            part = "cell" if name == "vectors" else "bucket"
+            rows.write.partitionBy(part).parquet(f"{self.root}/{folder}/{name}")
+            schemas[name] = T.StructType([*(f for f in rows.schema if f.name != part), rows.schema[part]]).jsonValue()
+        for name, rows in (("marks", marks), ("terms", terms)):
+            if rows is not None:
+                rows.write.parquet(f"{self.root}/{folder}/{name}")
+                schemas[name] = rows.schema.jsonValue()
+        size = self._fs().getContentSummary(self._path(folder)).getLength()
+        return {"folder": folder, "seq": seq, "bytes": size, "schemas": schemas, "marks": marks is not None, "terms": terms is not None}
 
     def write(self, tables: dict[str, DataFrame]) -> int:
-        v = self.version() + 1
-        folder = f"v={v}-{uuid.uuid4().hex}"
-        for name, df in tables.items():
-            if name == "postings":
-                df = df.repartition("term").sortWithinPartitions("term")  # so that a scan for terms skips row groups
-            df.write.parquet(f"{self.root}/{folder}/{name}")
-        jvm, fs = self._fs()
-        temp, live = (jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}") for n in (f"NEXT-{folder}", "CURRENT"))
-        out = fs.create(temp, True)
-        out.write(bytearray(folder.encode()))
-        out.close()
-        overwrite = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(live.toUri(), fs.getConf()).rename(fs.makeQualified(temp), fs.makeQualified(live), overwrite)
-        return v
+        """All tables anew: one segment, with centres fitted to its vectors."""
+        version = self.version() + 1
+        low, high = BUCKETS
+        notes = tables["notes"].count()
+        manifest = {"version": version, "buckets": max(low, min(high, -(-notes // NOTES_A_BUCKET)))}
+        centres, manifest["probes"] = ann.centres_of(tables["vectors"])
+        if len(centres):
+            manifest["centres"] = f"centres-{version:08d}-{uuid.uuid4().hex}"
+            self.spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.parquet(f"{self.root}/{manifest['centres']}")
+        terms = tables["postings"].groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        folder = f"seg-{version:08d}-{uuid.uuid4().hex}"
+        manifest["segments"] = [self._write_segment(folder, manifest, tables, None, terms, version)]
+        # counted from what was written, so the tables are computed once
+        return self._publish(manifest | _sizes(self._segment(manifest["segments"][0], "blocks")))
+
+    def apply(self, fresh: dict[str, DataFrame], replaced: list[str] | DataFrame, deleted: list[str] | DataFrame = ()) -> int:
+        """One commit: the notes of `replaced` lose their rows and get those of `fresh`; the notes of `deleted` lose
+        theirs, and links to them. Both are paths, as a list (few notes: only their folders are read) or a table."""
+        manifest = self.manifest()
+        if not manifest:
+            return self.write(fresh)
+        version = manifest["version"] + 1
+        paths = lambda x, flag: (x.select("path") if isinstance(x, DataFrame) else self.spark.createDataFrame([(p,) for p in x], "path string")).withColumn("deleted", F.lit(flag))
+        marks = paths(replaced, False).unionByName(paths(deleted, True)).groupBy("path").agg(F.max("deleted").alias("deleted"))
+        buckets = None
+        if not isinstance(replaced, DataFrame) and not isinstance(deleted, DataFrame):
+            found = {_bucket_of(p, manifest["buckets"]) for p in (*replaced, *deleted)}
+            buckets = found if len(found) <= LISTED else None
+        named = F.broadcast if buckets is not None else (lambda x: x)
+        old = lambda t: self._live(manifest, t, folders=buckets).join(named(marks.select(F.col("path").alias(NOTE[t]))), NOTE[t], "left_semi")
+        folder = f"seg-{version:08d}-{uuid.uuid4().hex}"
+        moves = fresh["postings"].select("term", F.lit(1).cast("long").alias("df")).unionByName(old("postings").select("term", F.lit(-1).cast("long").alias("df")))
+        segment = self._write_segment(folder, manifest, fresh, marks, moves.groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0"), version)
+        came, went = _sizes(self._segment(segment, "blocks")), _sizes(old("blocks"))
+        new = manifest | {"version": version, "segments": [*manifest["segments"], segment]} | {k: manifest[k] + came[k] - went[k] for k in came}
+        return self._publish(self._merged(new))
+
+    def _merged(self, manifest: dict) -> dict:
+        """Merge the newest segments into one, from the oldest that is not RATIO times as large as all newer ones."""
+        segments = manifest["segments"]
+        newer = lambda i: sum(s["bytes"] for s in segments[i + 1 :])
+        first = next((i for i in range(len(segments) - 1) if segments[i]["bytes"] < RATIO * newer(i)), None)
+        return manifest if first is None else self._merge(manifest, first)
+
+    def _merge(self, manifest: dict, first: int) -> dict:
+        keep, old = manifest["segments"][:first], manifest["segments"][first:]
+        rows = {}
+        for t in TABLES:
+            part, then = ("cell", "block_uid") if t == "vectors" else ("bucket", "term" if t == "postings" else NOTE[t])
+            rows[t] = self._live(manifest, t, old).hint("rebalance", part).sortWithinPartitions(part, then)
+        marks = None
+        if keep:
+            parts = [self._segment(s, "marks") for s in old if s["marks"]]
+            marks = reduce(DataFrame.unionByName, parts).groupBy("path").agg(F.max("deleted").alias("deleted")) if parts else None
+        terms = reduce(DataFrame.unionByName, [self._segment(s, "terms") for s in old if s["terms"]]).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
+        folder = f"seg-{old[-1]['seq']:08d}-{uuid.uuid4().hex}"
+        return manifest | {"segments": [*keep, self._write_segment(folder, manifest, rows, marks, terms, old[-1]["seq"], placed=True)]}
+
+    def compact(self) -> int:
+        """All segments into one."""
+        manifest = self.manifest()
+        return self._publish(self._merge(manifest, 0) | {"version": manifest["version"] + 1})
 
     def vacuum(self) -> list[str]:
-        """Take away all snapshots but the live one, those of failed jobs included; not while others read them."""
-        jvm, fs = self._fs()
-        names = [f.getPath().getName() for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(self.root))]
-        gone = [n for n in names if n.startswith(("v=", "NEXT-")) and n != self.current()]
+        """Take away the segments that are not live, those of failed jobs included; not while others read them."""
+        fs, manifest = self._fs(), self.manifest()
+        live = {manifest.get("centres"), *(s["folder"] for s in manifest.get("segments", []))}
+        names = [f.getPath().getName() for f in fs.listStatus(self._path(""))]
+        gone = [n for n in names if n.startswith(("seg-", "centres-", "NEXT-")) and n not in live]
         for n in gone:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}"), True)
-        return gone
+            fs.delete(self._path(n), True)
+        return [n for n in gone if n.startswith("seg-")]
+
+    # point reads: only the folder of the note is read
 
     def note(self, path: str) -> DataFrame:
-        return self.read()["notes"].filter(F.col("path") == path)
+        return self._read("notes", [path])
 
     def block(self, block_uid: str) -> DataFrame:
-        return self.read()["blocks"].filter(F.col("block_uid") == block_uid)
+        return self._read("blocks").filter(F.col("block_uid") == block_uid)
 
     def blocks_of(self, path: str) -> DataFrame:
-        return blocks_by_note(self.read()["blocks"].filter(F.col("note_path") == path))
+        return blocks_by_note(self._read("blocks", [path]))
 
     def links_from(self, path: str) -> DataFrame:
-        return self.read()["links"].filter(F.col("src_note_path") == path)
+        return self._read("links", [path])
 
-    def dashboard(self) -> DataFrame:
-        """One row: counts of the tables, the last job, and the notes that changed last."""
+    def dashboard(self, vault_files: DataFrame | None = None) -> DataFrame:
+        """One row: counts of the tables, the last job, the notes that changed last, and, given the vault's files
+        (path), how many there are and how many of them are not indexed yet."""
         t = self.read()
         recent = t["notes"].orderBy(F.desc("mtime"), "path").limit(10).agg(F.collect_list("path").alias("recent"))
-        return index_status(t["notes"], t["blocks"], t["links"], self.jobs()).crossJoin(recent)
+        out = index_status(t["notes"], t["blocks"], t["links"], self.jobs()).crossJoin(recent)
+        if vault_files is None:
+            return out
+        known = t["notes"].select("path", F.lit(1).alias("known"))
+        return out.crossJoin(vault_files.select("path").join(known, "path", "left").agg(F.count(F.lit(1)).alias("vault_files"), F.count(F.when(F.col("known").isNull(), 1)).alias("not_indexed")))
 
     def clear(self) -> dict[str, int]:
         """Empty all tables; the counts of what went. The job log stays."""
@@ -147,3 +317,16 @@ class Store:
 
     def jobs(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/jobs")
+
+
+def _bucket(path, buckets: int):
+    return F.pmod(F.crc32(path), F.lit(buckets)).cast("int")
+
+
+def _bucket_of(path: str, buckets: int) -> int:
+    return zlib.crc32(path.encode()) % buckets
+
+
+def _sizes(blocks: DataFrame) -> dict[str, int]:
+    r = blocks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
+    return {"blocks": r.n, "words": r.dl}

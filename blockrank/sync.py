@@ -34,8 +34,9 @@ def index_tables(notes: DataFrame, cfg: Settings, embed=T.pseudo_embedding) -> d
     text = T.embedding_input(F.col("heading_path"), F.col("clean_text"))
     # a blank input has no vector rather than another block's
     vectors = blocks.select("block_uid", "note_path", F.when(F.trim(text) != "", embed(text)).alias("embedding"))
-    flat = blocks.select("block_uid", "note_path", F.explode(words).alias("word")).groupBy("block_uid", "note_path", "word").agg(F.count(F.lit(1)).alias("tf"))
-    postings = flat.join(porter.vocabulary(flat), "word").groupBy("term", "block_uid", "note_path").agg(F.sum("tf").alias("tf"))
+    flat = blocks.select("block_uid", "note_path", F.posexplode(words).alias("pos", "word")).groupBy("block_uid", "note_path", "word").agg(F.collect_list("pos").alias("at"))
+    met = flat.join(porter.vocabulary(flat), "word").groupBy("term", "block_uid", "note_path").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("positions"))
+    postings = met.select("term", "block_uid", "note_path", F.size("positions").cast("long").alias("tf"), "positions")
     return {"notes": notes, "blocks": blocks, "links": extract_links(notes).drop("kind", "no"), "vectors": vectors, "postings": postings}
 
 
@@ -108,8 +109,7 @@ class Indexer:
                 detail = self._outcome(job_id, "sync", changed, failed)
                 if kinds:
                     # links that point at a changed note stay; only a deleted note takes them along
-                    kept = S.delete_notes(old, diff.filter("change = 'deleted'").select("path"))
-                    self._replace(kept, changed)
+                    self._commit(changed, diff.filter("change <> 'deleted'"), diff.filter("change = 'deleted'"), sum(kinds.values()))
                 diff.unpersist()
                 return {"version": self.store.version(), **kinds} | detail
             finally:
@@ -117,15 +117,12 @@ class Indexer:
 
         return self._job(job_id, "sync", run)
 
-    def _replace(self, tables: dict[str, DataFrame], notes: DataFrame) -> int:
-        """Write tables with all rows of the given notes replaced."""
-        fresh = index_tables(notes, self.cfg, self.embed)
-        out = {}
-        for name, column in S.NOTE.items():
-            # a note that has no row of a table now still loses its old ones
-            left = tables[name].join(notes.select(F.col("path").alias(column)), column, "left_anti")
-            out[name] = left.unionByName(fresh[name])
-        return self.store.write(out)
+    def _commit(self, notes: DataFrame, replaced: DataFrame, deleted: DataFrame, changes: int) -> int:
+        """The given notes' rows in place of those of the changed paths; few paths go as a list, so that only their
+        folders are read."""
+        if changes <= S.LISTED:
+            replaced, deleted = ([r.path for r in x.select("path").collect()] for x in (replaced, deleted))
+        return self.store.apply(index_tables(notes, self.cfg, self.embed), replaced, deleted)
 
     def index_file(self, path: str, job_id: int = 3) -> dict:
         """One note, given by its path under the vault, is indexed again; one that the rules exclude is skipped."""
@@ -142,8 +139,7 @@ class Indexer:
                 notes = vault.notes_of(parsed)
                 if not notes.count():
                     raise FileNotFoundError(path)
-                old = self.store.read()
-                version = self._replace(old, notes) if old else self.store.write(index_tables(notes, self.cfg, self.embed))
+                version = self.store.apply(index_tables(notes, self.cfg, self.embed), [path])
                 return {"indexed": path, "version": version, "indexed_files": 1}
             finally:
                 parsed.unpersist()
