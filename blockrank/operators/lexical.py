@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 K1, B = 1.2, 0.75
+WORD = r"[\p{L}\p{N}]+"
 #: Tokens of all queries that are sent to every task at most (some 20 MB); more are joined.
 BROADCAST_TOKENS = 1_000_000
 
 
 @dataclass
 class LexicalIndex:
-    postings: DataFrame  # term, block_uid, tf
+    postings: DataFrame  # term, block_uid, tf, and positions where phrases are looked for
     terms: DataFrame  # term, df
     docs: DataFrame  # block_uid, note_path, dl, clean_text
     totals: DataFrame  # one row: n, avgdl
@@ -39,6 +40,38 @@ def build_index(blocks: DataFrame, tokens=T.index_tokens) -> LexicalIndex:
     return index_of(docs, postings.persist())
 
 
+def positional_index(blocks: DataFrame) -> LexicalIndex:
+    """An index of words of letters and digits with their positions, without stemming: `a_b` in a query is the phrase
+    a b."""
+    words = blocks.select("block_uid", "note_path", "clean_text", T.all_matches(F.lower("clean_text"), WORD).alias("words"))
+    postings = words.select("block_uid", F.posexplode("words").alias("pos", "term")).groupBy("term", "block_uid").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    docs = words.select("block_uid", "note_path", F.size("words").cast("long").alias("dl"), "clean_text")
+    return index_of(docs, postings.persist(), lambda rows: rows.select("word").distinct().withColumn("term", F.lower("word")))
+
+
+def with_phrases(tokens: DataFrame, index: LexicalIndex) -> tuple[DataFrame, LexicalIndex]:
+    """tokens(query_id, pos, token) with their term, and an index that also has the phrases among them as terms.
+
+    A token of several words (`foo_bar`) is the phrase of their terms: it occurs where these follow each other. Its
+    postings come from an intersection of the parts' positions, each moved back by its place in the phrase, in
+    blocks that have all parts; they are then ranked like those of a word."""
+    if index.terms_of is None:
+        return tokens.withColumn("term", F.col("token")), index
+    words = tokens.select("token").distinct().select("token", F.posexplode(T.all_matches(F.col("token"), WORD)).alias("i", "word"))
+    terms = words.join(index.terms_of(words), "word").groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "term"))), lambda x: x["term"]).alias("terms"))
+    named = tokens.join(terms.select("token", F.array_join("terms", " ").alias("term")), "token", "left")
+    if "positions" not in index.postings.columns:
+        return named, index
+    phrases = terms.filter(F.size("terms") > 1).select(F.array_join("terms", " ").alias("phrase"), F.size("terms").alias("parts"), "terms").distinct()
+    asked = phrases.select("phrase", "parts", F.posexplode("terms").alias("i", "term"))
+    moved = F.transform("positions", lambda p: p - F.col("i"))
+    both = asked.join(index.postings.select("term", "block_uid", "positions"), "term").groupBy("phrase", "parts", "block_uid").agg(F.collect_list(moved).alias("starts")).filter(F.size("starts") == F.col("parts"))
+    common = F.aggregate(F.slice("starts", 2, 1 << 20), F.get("starts", F.lit(0)), F.array_intersect)
+    found = both.select(F.col("phrase").alias("term"), "block_uid", F.size(common).cast("long").alias("tf")).filter("tf > 0")
+    counts = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return named, replace(index, postings=index.postings.select("term", "block_uid", "tf").unionByName(found), terms=index.terms.unionByName(counts))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """queries(query_id, text) -> query_id, pos, token."""
     return queries.select("query_id", F.posexplode(T.query_tokens(F.col("text"))).alias("pos", "token"))
@@ -46,10 +79,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def token_df(tokens: DataFrame, index: LexicalIndex) -> DataFrame:
     """tokens(..., token) with term, df (0 where no block has it) and n."""
-    if index.terms_of is None:
-        named = tokens.withColumn("term", F.col("token"))
-    else:
-        named = tokens.join(index.terms_of(tokens.select(F.col("token").alias("word"))).withColumnRenamed("word", "token"), "token")
+    named = tokens if "term" in tokens.columns else with_phrases(tokens, index)[0]
     return named.join(index.terms, "term", "left").withColumn("df", F.coalesce("df", F.lit(0).cast("long"))).crossJoin(F.broadcast(index.totals.select("n")))
 
 
@@ -104,7 +134,8 @@ def lexical_search(queries: DataFrame, index: LexicalIndex, top_k: int) -> DataF
     """query_id, block_uid, note_path, lex_score, lex_rank. A query none of whose first 16 tokens is in the index falls back to
     blocks that contain one of its first eight."""
     per = W.partitionBy("query_id")
-    tokens = informative(query_terms(queries), index)
+    tokens, index = with_phrases(query_terms(queries), index)
+    tokens = informative(tokens, index)
     # kept: the queries' tokens and the first hits are used several times below
     tokens = tokens.withColumn("nth", F.row_number().over(per.orderBy("pos"))).persist()
     fetched = bm25_top(tokens.filter("nth <= 16"), index, 4 * top_k).persist()

@@ -214,6 +214,18 @@ def fts_porter_topk(spark, d):
     return _long(L.bm25_top(L.informative(L.query_terms(_bench_queries(spark, d)), idx), idx, 10), "rn").select("query_id", "block_uid", "bm25", "rn")
 
 
+def _phrase_queries(spark, d) -> DataFrame:
+    """Phrases of two and three words of each item, joined by underscores, and a word."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[0-9a-z]+"), F.lit(0))
+    run = lambda a, b: F.array_join(F.slice("w", a + 1, b - a), "_")
+    return _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), w.alias("w")).select("query_id", F.concat_ws(" ", run(0, 2), run(3, 6), run(8, 10), run(12, 13)).alias("text"))
+
+
+def phrase_topk(spark, d):
+    tokens, idx = L.with_phrases(L.query_terms(_phrase_queries(spark, d)), L.positional_index(_blocks(spark, d)))
+    return _long(L.bm25_top(L.informative(tokens, idx), idx, 20), "rn").select("query_id", "block_uid", "bm25", "rn")
+
+
 def _vector_queries(spark, d, exclude):
     e = _read(spark, d, "embeddings").filter(F.col("vec_id") % EVERY == 0)
     return e.select(F.col("vec_id").alias("query_id"), "embedding", (F.col("label").cast("string") if exclude else F.lit(None).cast("string")).alias("exclude_note"))
@@ -426,7 +438,7 @@ def eval_dropped_notes(spark, d):
 NAMES = """scan_inventory content_hash path_exclude link_extract link_target_parse target_classify link_resolve eval_dataset
 clean_text_fixture clean_text_pages tag_extract token_extract highlight_tokens heading_stack_blocks block_merge_short
 block_split_fixed embed_input_heading embed_input_sliding pseudo_embedding token_df informative_tokens bm25_topk lexical_search
-like_fallback lexical_search_cjk fts_porter_topk cosine_topk cosine_topk_exclude ann_topk query_expand merge_candidates merge_scored_hits graph_boost
+like_fallback lexical_search_cjk phrase_topk fts_porter_topk cosine_topk cosine_topk_exclude ann_topk query_expand merge_candidates merge_scored_hits graph_boost
 fuse_scores threshold_relax note_diversity anchor_rerank dedup_hits group_by_note enrich_hits search_e2e query_block_e2e
 query_note_e2e file_diff delete_note_cascade blocks_by_note job_latest index_status eval_metrics eval_worst eval_predictions
 eval_false_positives eval_misses eval_grid eval_notes eval_dropped_notes""".split()

@@ -125,6 +125,19 @@ def _sql(*parts: str) -> str:
     return "with " + ",".join(parts[:-1]) + "\n" + parts[-1]
 
 
+PHRASE_TOK = f"""
+qw as (select item_id, regexp_extract_all(lower(text), '[0-9a-z]+') as w from benchmark),
+q as (select item_id as query_id, concat_ws(' ', array_to_string(w[1:2], '_'), array_to_string(w[4:6], '_'), array_to_string(w[9:10], '_'), w[13]) as text from qw),
+qtok as ({_tokens('q', 'query_id', 'text')}),
+tok as (select doc_id as block_uid, source as note_path, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as tokens from documents),
+places as (select block_uid, unnest(tokens) as word, generate_subscripts(tokens, 1) as p from tok),
+split as (select distinct token, regexp_extract_all(token, '[\\p{{L}}\\p{{N}}]+') as parts from qtok),
+parts as (select token, len(parts) as n, unnest(parts) as word, generate_subscripts(parts, 1) as i from split),
+starts as (select token, block_uid, p - i as start from parts join places using (word) group by token, n, block_uid, p - i having count(*) = n),
+posts as (select token as term, block_uid, count(*) as tf from starts group by all),
+terms as (select term, count(*) as df from posts group by 1),
+dls as (select block_uid, note_path, len(tokens) as dl from tok),
+totals as (select count(*) as n, avg(dl) as avgdl from dls)"""
 BENCH_TOK = f"qtok as ({_tokens('benchmark', 'item_id', 'text')})"
 DOC_TOK = f"qtok as ({_tokens('q', 'query_id', 'text')})"
 HYBRID = (INDEX, DOC_Q, DOC_TOK, _informative(), _lexical(20), _semantic(20), EDGES, _fused(True))
@@ -230,6 +243,7 @@ m as (select note_path, arg_min(block_uid, ord) as block_uid, string_agg(raw_tex
     "pseudo_embedding": "with r as (select doc_id, i, ('0x' || substring(sha256(text), 2 * (i % 32) + 1, 2))::int / 255.0::double - 0.5::double as x from documents, range(64) t(i)), n as (select doc_id, sqrt(sum(x * x)) as norm from r group by 1) select doc_id, " + ", ".join(f"round(max(x / norm) filter (i = {i}), 6) as v{i}" for i in range(4)) + ", round(sum((x / norm) * (x / norm)), 6) as norm from r join n using (doc_id) group by doc_id",
     "token_df": _sql(BENCH_TOK, INDEX, "select query_id, token, coalesce(df, 0) as df, n from qtok left join terms on term = token cross join totals"),
     "informative_tokens": _sql(BENCH_TOK, INDEX, _informative(), "select query_id, token, df, round(weight, 6) as weight from inf"),
+    "phrase_topk": _sql(PHRASE_TOK, _informative(), _bm25("inf", 20, "top"), "select query_id, block_uid, bm25, rn from top"),
     "bm25_topk": _sql(BENCH_TOK, INDEX, _informative(), _bm25("inf", 20, "top"), "select query_id, block_uid, bm25, rn from top"),
     "lexical_search": _sql(BENCH_TOK, INDEX, _informative(), _lexical(10), "select * from lex"),
     "like_fallback": _sql("asked as (" + _values([(1, "事务处理 zzzq"), (2, "式事务 数据 snake"), (3, "the"), (4, "qqq 布式")], "query_id, text") + ")", f"qtok as ({_tokens('asked', 'query_id', 'text')})", MIXED, _informative(), _like(10), "select * from liked"),

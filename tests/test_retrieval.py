@@ -240,6 +240,48 @@ def test_fts_search_agrees_with_sqlite(spark):
     assert got[3] == {40: 1.0}
 
 
+def test_a_token_with_underscores_is_a_phrase_as_in_sqlite(spark):
+    """BM25, rows and df of `foo_bar` tokens against FTS5's phrases; repeated words, gaps, three parts."""
+    from blockrank.operators import lexical as L
+
+    rng = random.Random(31)
+    texts = [" ".join(rng.choice(("foo", "bar", "baz", "foos", "qux", "foo_bar", "Foo-bar")) for _ in range(rng.randint(2, 15))) for _ in range(60)] + ["nothing", "foo foo foo", "bar foo"]
+    blocks = spark.createDataFrame([(i, f"n{i}", t) for i, t in enumerate(texts)], "block_uid long, note_path string, clean_text string")
+    con = sqlite3.connect(":memory:")
+    con.execute("create virtual table t using fts5(id unindexed, x, tokenize='porter')")
+    con.executemany("insert into t values (?, ?)", list(enumerate(texts)))
+    asked = ["foo_bar", "foo_foo", "bar_foo_baz", "_qux_", "foo_quux", "foo_bar_foo_bar"]
+    index = porter.stemmed_index(blocks)
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    tokens, index = L.with_phrases(L.query_terms(queries), index)
+    known = L.token_df(tokens, index)
+    for r in known.collect():
+        assert r.df == con.execute("select count(*) from t where t match ?", (f'"{r.token}"',)).fetchone()[0], r.token
+    got = {}
+    for r in L.bm25_top(known, index, 100).collect():
+        got.setdefault(r.query_id, {})[r.block_uid] = r.bm25
+    for q, token in enumerate(asked):
+        want = dict(con.execute("select id, -bm25(t) from t where t match ?", (f'"{token}"',)).fetchall())
+        assert got.get(q, {}).keys() == want.keys()
+        assert all(abs(got[q][i] - max(v, 0)) < 1e-4 for i, v in want.items()), token
+    found = {r.block_uid for r in L.lexical_search(queries.filter("query_id = 0"), porter.stemmed_index(blocks), 100).collect()}
+    assert found == set(dict(con.execute("select id, 0 from t where t match '\"foo_bar\"'").fetchall()))
+
+
+def test_an_underscore_belongs_to_the_word(spark):
+    """The rule of whole words: neither side may be a letter, a digit or an underscore."""
+    import re
+
+    texts = ["snake_case", "snake case", "a snake", "_snake", "snakes", "snake", "x-snake-y", "case snake_", "分布式snake", "Snake.case"]
+    rows = spark.createDataFrame([(t.lower(), w) for t in texts for w in ("snake", "snake_case", "case", "式")], "low string, token string")
+    from blockrank.operators import lexical as L
+
+    for r in rows.select("low", "token", L.token_in_text(F.col("token"), F.col("low")).alias("got"), F.array_contains(T.word_keys(F.col("low")), F.col("token")).alias("key")).collect():
+        plain = re.fullmatch("[0-9A-Za-z_]+", r.token) is not None
+        want = bool(re.search(rf"(?<![0-9A-Za-z_]){re.escape(r.token)}(?![0-9A-Za-z_])", r.low)) if plain else r.token in r.low
+        assert r.got == want and (not plain or r.key == want), r
+
+
 def test_cell_index_finds_nearly_all_neighbours(spark, monkeypatch):
     from blockrank.operators import ann as A
     from blockrank.operators import vectors as V
