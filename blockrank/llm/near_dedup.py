@@ -1,12 +1,13 @@
 """Op 10: near-duplicate classes by Order MinHash, verified by banded alignment.
 
 Texts with equal bytes form one representative first (128-bit digest). A representative's k-mers are its
-runs of five words, each labelled with its occurrence number in the text, so repeats count. For each of
-SKETCHES hash functions the PER_SKETCH least k-mers are taken and kept in the order of the text; their
-sequence is one band. Texts of fewer than SHORT words, where one changed word breaks most runs of five, get
-SHORT_SKETCHES bands of two-word k-mers besides. Two texts whose words align by 0.8 after scattered
-replacements share two fifths of their five-word k-mers, thus each band with a chance of 0.15, so 40 bands
-miss such a pair with a chance of about 0.002 (and one at 0.9 with less than 1e-6).
+runs of k words, each labelled with its occurrence number in the text, so repeats count. For each sketch the least
+few k-mers under a hash function are taken and kept in the order of the text; their sequence is one band.
+Two texts that align by 0.8 share 0.8 of their labelled single words, however the changes lie, so bands of
+seven single words agree with a chance of about 0.2 each whether words were replaced, put in or taken out, scattered or
+evenly; runs of five words (a few bands) are all broken where a change comes each fourth word. SCHEMES has the
+bands by a text's number of words; their ranges overlap, so that two texts that may be similar have one in common.
+(README: measured shares of pairs found.)
 
 A pair is verified by aligning its two sequences of words within the band of diagonals that a similarity
 of 0.8 allows (bit-parallel longest common subsequence); the similarity is matched / (m + n - matched).
@@ -23,8 +24,8 @@ MAP_BITS bits, so two maps differ in no more bits than the texts have unshared w
 3. Classes are the components of all links; a class is named by its least doc_id.
 
 Defined results: null counts as empty, and empty texts are equal texts like others; texts without a word
-have no other likeness than equal bytes; a text of fewer than k words has one k-mer, all its words; repeated
-rows of one doc_id give a row each. Texts, not ids, are compared: rows may share a doc_id or have none (a
+have no other likeness than equal bytes; a text of fewer than k words has one k-mer, all its words, and one of fewer
+k-mers than a band takes has bands of all of them; repeated rows of one doc_id give a row each. Texts, not ids, are compared: rows may share a doc_id or have none (a
 class without any has a null class_id, and unlike texts of one doc_id may give two classes the same name).
 An empty table gives an empty result; other columns are not read by `near_classes`, and kept by the
 pipeline stage.
@@ -43,8 +44,10 @@ from .common import forget, in_bitmap, key_bitmap, materialise, pipeline_stage,
 from .components import connected_components, hot_join
 from .text_kernel import mix, occurrence, shingles, span_hashes, text_chunks, word_spans
 
-K, SKETCHES, PER_SKETCH, SIMILARITY = 5, 40, 2, 0.8
-SHORT, SHORT_K, SHORT_SKETCHES = 80, 2, 16
+SIMILARITY = 0.8
+#: Words from, words up to (not included), k, sketches, k-mers of a sketch. The least length of one is at most 0.8 of
+#: the greatest of the one before.
+SCHEMES = ((1, 15, 1, 12, 2), (10, 100, 1, 20, 5), (80, 1 << 62, 1, 32, 7), (40, 1 << 62, 5, 8, 2))
 MAP_BITS, TILE = 2048, 8192
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -62,38 +65,73 @@ def labelled_kmers(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.nda
     return mix(grams + occurrence(grams, of).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), begin
 
 
-def order_sketches(words: np.ndarray, first: np.ndarray, k: int = K, sketches: int = SKETCHES, per_sketch: int = PER_SKETCH) -> np.ndarray:
-    """Bands, texts x sketches; those of a text without a word are 0."""
+def order_sketches(words: np.ndarray, first: np.ndarray, k: int, sketches: int, per_sketch: int) -> np.ndarray:
+    """Bands, texts x sketches; those of a text without a word are 0.
+
+    The least k-mers of a sketch are picked among those under a value that a few more than per_sketch of a text are
+    expected to lie under; a text where fewer do is looked at whole."""
     labelled, begin = labelled_kmers(words, first, k)
     n = np.diff(begin)
     bands = np.zeros((len(n), sketches), dtype=np.uint64)
     full = np.flatnonzero(n)
     if not len(full):
         return bands
-    of = np.repeat(np.arange(len(full)), n[full])
-    heads = begin[full]
-    seeds = mix(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(k))
+    n, heads = n[full], begin[full]
+    of = np.repeat(np.arange(len(full)), n)
+    take = np.minimum(n, per_sketch)
+    share = (per_sketch + 4 * np.sqrt(per_sketch) + 4) / n
+    under = np.where(share >= 1, _TOP, (np.minimum(share, 0.999) * 2.0**64).astype(np.uint64))[of]
+    seeds = mix(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(1000 * per_sketch + k))
+    ends = np.cumsum(take)
+    place = np.arange(ends[-1]) - np.repeat(ends - take, take)
     for s, seed in enumerate(seeds):
         h = (labelled ^ seed) * np.uint64(0xFF51AFD7ED558CCD)
         h ^= h >> np.uint64(32)
-        at = np.empty((per_sketch, len(full)), dtype=np.int64)
-        for p in range(per_sketch):
-            least = np.minimum.reduceat(h, heads)
-            hit = np.flatnonzero(h == least[of])
-            # of equal values (only where a text has run out of k-mers) the first counts
-            at[p][of[hit][::-1]] = hit[::-1]
-            h[at[p]] = _TOP
-        at.sort(axis=0)
+        at = np.flatnonzero(h <= under)
+        lacking = np.flatnonzero(np.bincount(of[at], minlength=len(full)) < take)
+        if len(lacking):
+            at = np.union1d(at, np.concatenate([np.arange(heads[i], heads[i] + n[i]) for i in lacking]))
+        own = of[at]
+        order = np.lexsort((h[at], own))
+        nth = np.arange(len(own)) - np.searchsorted(own, own)
+        chosen = np.sort(at[order[nth < per_sketch]])  # in the order of the text
+        kmers = np.zeros((len(full), per_sketch), dtype=np.uint64)
+        kmers[of[chosen], place] = labelled[chosen]
         band = np.full(len(full), seed)
         for p in range(per_sketch):
-            again = at[p] == at[p - 1] if p else np.zeros(len(full), bool)
-            band = np.where(again, band, mix(band * np.uint64(0x8EBC6AF09C88C6E3) + labelled[at[p]]))
+            band = np.where(p < take, mix(band * np.uint64(0x8EBC6AF09C88C6E3) + kmers[:, p]), band)
         bands[full, s] = band
     return bands
 
 
+def banded_matches(a: list, b: list, width: int) -> int:
+    """Length of the longest common subsequence of which no two places lie more than width apart. Bits of the places of
+    a that the band has left behind are counted and dropped, so numbers are as long as the band, not as a."""
+    size, matched, base, top, state = len(a), 0, 0, 0, 0
+    step, band = max(512, 2 * width), (1 << (2 * width + 1)) - 1
+    for c in range(0, len(b), step):
+        low, high = min(size, max(0, c - width)), min(size, c + step + width)
+        drop = low - base
+        matched += drop - (state & ((1 << drop) - 1)).bit_count()
+        state >>= drop
+        state |= (1 << (high - low)) - (1 << (top - low))
+        base, top = low, high
+        every = (1 << (high - low)) - 1
+        places: dict = {}
+        for i, x in enumerate(a[low:high]):
+            places[x] = places.get(x, 0) | (1 << i)
+        for j, y in enumerate(b[c : c + step], c - width - low):
+            hits = places.get(y, 0)
+            if hits:
+                u = state & hits & (band << j if j >= 0 else band >> -j)
+                if u:
+                    state = ((state + u) | (state - u)) & every
+    return matched + (top - base) - state.bit_count()
+
+
 def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """matched / (m + n - matched) of the best alignment within the band, 0.0 where it can't reach least."""
+    """matched / (m + n - matched) of an alignment within the band: of the first of three bands, each wider, that
+    reaches least, or else of the best one; 0.0 where lengths alone rule least out."""
     m, n = len(a), len(b)
     if not m or not n or min(m, n) < least * max(m, n):
         return 0.0
@@ -105,45 +143,41 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
     head = int(differ[0]) if len(differ) else short
     differ = np.flatnonzero(a[::-1][: short - head] != b[::-1][: short - head])
     tail = int(differ[0]) if len(differ) else short - head
-    a, b, matched = a[head : m - tail], b[head : n - tail], head + tail
-    if len(a) and len(b):
-        places: dict[int, int] = {}
-        for i, x in enumerate(a.tolist()):
-            places[x] = places.get(x, 0) | (1 << i)
-        size = len(a)
-        every = (1 << size) - 1
-        band = (1 << (2 * width + 1)) - 1
-        state = every
-        for j, y in enumerate(b.tolist()):
-            hits = places.get(y, 0)
-            if hits:
-                hits &= band << (j - width) if j >= width else band >> (width - j)
-                u = state & hits
-                if u:
-                    state = ((state + u) | (state - u)) & every
-        matched += size - state.bit_count()
+    a, b, matched = a[head : m - tail].tolist(), b[head : n - tail].tolist(), head + tail
+    if a and b:
+        for w in dict.fromkeys(min(width, x) for x in (64, 1024, width)):
+            found = matched + banded_matches(a, b, w)
+            if found >= need:
+                break
+        matched = found
     return matched / (m + n - matched)
 
 
+def bands_of(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All bands of each text, by SCHEMES, and for each text the index of its first; none without a word."""
+    n = np.diff(first)
+    size = np.zeros(len(n), dtype=np.int64)
+    for low, high, _, sketches, _ in SCHEMES:
+        size += np.where((n >= low) & (n < high), sketches, 0)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    flat, at = np.empty(begin[-1], dtype=np.uint64), begin[:-1].copy()
+    for low, high, k, sketches, per_sketch in SCHEMES:
+        own = np.flatnonzero((n >= low) & (n < high))
+        if len(own):
+            inside = np.repeat((n >= low) & (n < high), n)
+            flat[at[own][:, None] + np.arange(sketches)] = order_sketches(words[inside], np.concatenate([[0], np.cumsum(n[own])]), k, sketches, per_sketch)
+            at[own] += sketches
+    return flat, begin
+
+
 def _sketch(batches):
-    """(id, digest, text) -> (id, digest, number of words, bands): none without a word, more for a short text."""
+    """(id, digest, text) -> (id, digest, number of words, bands)."""
     for batch in batches:
         for lo, hi, data, offs in text_chunks(batch, "text"):
             words, first = words_of(data, offs)
-            n = np.diff(first)
-            long = order_sketches(words, first)
-            short = np.flatnonzero((n > 0) & (n < SHORT))
-            few = np.concatenate([np.zeros(0, np.int64), *(np.arange(first[i], first[i + 1]) for i in short)]).astype(np.int64)
-            more = order_sketches(words[few], np.concatenate([[0], np.cumsum(n[short])]), SHORT_K, SHORT_SKETCHES)
-            size = np.where(n > 0, SKETCHES, 0)
-            size[short] += SHORT_SKETCHES
-            begin = np.concatenate([[0], np.cumsum(size)])
-            flat = np.empty(begin[-1], dtype=np.uint64)
-            full = np.flatnonzero(n)
-            flat[begin[full][:, None] + np.arange(SKETCHES)] = long[full]
-            flat[begin[short][:, None] + SKETCHES + np.arange(SHORT_SKETCHES)] = more
+            flat, begin = bands_of(words, first)
             lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n.astype(np.int64)), lists], names=["id", "digest", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(first).astype(np.int64)), lists], names=["id", "digest", "n", "bands"])
 
 
 def parity_maps(words: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -265,7 +299,7 @@ def _texts_and_rows(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Da
     reps = sketched.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     # numbers of texts, not their ids, which may be null or shared; written, so that they stay
     reps = materialise(reps.select(F.monotonically_increasing_id().alias("node"), "*"), "near-texts")
-    posted = materialise(reps.filter("n > 0").select("node", F.posexplode("bands").alias("no", "band")).select(F.col("node").alias("id"), F.xxhash64("no", "band").alias("band")), "near-bands")
+    posted = materialise(reps.filter("n > 0").select(F.col("node").alias("id"), F.explode("bands").alias("band")), "near-bands")
     # sign tells buckets of the same texts
     buckets = posted.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("sign")).filter("size > 1")
     buckets = materialise(buckets, "near-buckets")

@@ -240,6 +240,75 @@ def leaks_brute(texts, items):
     return out
 
 
+def _edited(rng, words, kind, similarity, even):
+    """words with single changes of one kind, so that the alignment has about the given similarity."""
+    n = len(words)
+    share = {"replace": 1 - 2 * similarity / (1 + similarity), "insert": 1 / similarity - 1, "delete": 1 - similarity}[kind]
+    places = [int((i + 0.5) / share) for i in range(int(n * share))] if even else rng.sample(range(n), int(n * share))
+    out = list(words)
+    for p in sorted(places, reverse=True):
+        out[p : p + (kind != "insert")] = [rng.choice(words) if rng.random() < 0.5 else prose(rng, 1)] * (kind != "delete")
+    return out
+
+
+@pytest.mark.parametrize("kind", ["replace", "insert", "delete"])
+def test_near_copies_share_a_band_however_the_changes_lie(kind):
+    """Of pairs that align by 0.80 to 0.85: scattered and even changes, texts of 12, 60 and 300 words."""
+    rng = random.Random(hash_seed := len(kind))
+    vocabulary = [prose(rng, 1) for _ in range(1500)]
+    weights = [1 / (i + 4) for i in range(1500)]
+    for n in (12, 60, 300):
+        for even in (False, True):
+            for similarity in (0.81, 0.85):
+                texts = []
+                for _ in range(120):
+                    w = rng.choices(vocabulary, weights, k=n)
+                    texts += [" ".join(w), " ".join(_edited(rng, w, kind, similarity, even))]
+                column = pyarrow.array(texts)
+                words = near_dedup._sequences(column)
+                first = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+                flat, begin = near_dedup.bands_of(np.concatenate(words), first)
+                met = [len(np.intersect1d(flat[begin[i] : begin[i + 1]], flat[begin[i + 1] : begin[i + 2]])) > 0 for i in range(0, len(texts), 2) if near_dedup.aligned_similarity(words[i], words[i + 1]) >= 0.8]
+                assert len(met) > 20 and np.mean(met) >= 0.93, (n, even, similarity, np.mean(met), hash_seed)
+
+
+def test_bands_take_the_least_kmers_in_text_order():
+    rng = random.Random(9)
+    words = np.array([rng.getrandbits(63) for _ in range(400)], dtype=np.uint64)
+    first = np.array([0, 1, 3, 3, 40, 400])
+    got = near_dedup.order_sketches(words, first, 1, 5, 7)
+    labelled, begin = near_dedup.labelled_kmers(words, first, 1)
+    for s in range(5):
+        seed = near_dedup.mix(np.arange(1, 6, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(7001))[s]
+        for t in range(5):
+            own = labelled[begin[t] : begin[t + 1]]
+            if not len(own):
+                assert got[t, s] == 0
+                continue
+            h = (own ^ seed) * np.uint64(0xFF51AFD7ED558CCD)
+            h ^= h >> np.uint64(32)
+            band = np.array([seed])
+            for x in own[np.sort(np.argsort(h, kind="stable")[:7])]:
+                band = near_dedup.mix(band * np.uint64(0x8EBC6AF09C88C6E3) + np.array([x]))
+            assert got[t, s] == band[0]
+
+
+def test_banded_matches_equal_the_table():
+    rng = random.Random(10)
+    for _ in range(60):
+        a = [rng.randrange(6) for _ in range(rng.randint(1, 60))]
+        b = [x if rng.random() < 0.8 else rng.randrange(6) for x in a][: rng.randint(1, 60)]
+        for width in (0, 3, 100):
+            best = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + (x == y and abs(i - j) <= width))
+            assert near_dedup.banded_matches(a, b, width) == best[-1, -1]
+    long = [rng.randrange(5000) for _ in range(9000)]
+    cut = [x for i, x in enumerate(long) if i % 9]
+    assert near_dedup.banded_matches(long, cut, 1100) == len(cut)
+
+
 def test_decontamination_of_items_that_hold_each_other(spark):
     """Items of many lengths, nested and overlapping: each is met by windows of its own length only."""
     rng = random.Random(21)
