@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_TEXT_BYTES = 64 << 10
+SAMPLE_TEXT_BYTES, SAMPLE_BYTES, MAX_LABELS = 64 << 10, 96 << 20, 256
 _SPREAD = np.uint32(2654435761)
 
 
@@ -41,18 +41,26 @@ def range_sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nda
     return total[end] - total[begin]
 
 
-def bounded_sample(rows: DataFrame, key: str, label: str, per_label: int, max_labels: int = 256) -> pa.Table:
-    """About `per_label` rows of each of the `max_labels` most frequent labels, chosen by the key's hash.
+def bounded_sample(rows: DataFrame, key: str, label: str, per_label: int, max_labels: int = MAX_LABELS) -> pa.Table:
+    """At most `per_label` distinct rows of each of the `max_labels` most frequent labels, those of least hash.
 
-    The counts cover all rows; what reaches the driver is bounded by per_label * max_labels rows, and a text
-    of more than SAMPLE_TEXT_BYTES is not one of them."""
-    if "text" in rows.columns:
+    The hash is of the whole row, so rows that share a key are drawn one by one, and rows that repeat count once. A
+    rate that leaves about four times as many goes first; what is left is numbered inside its label, so the bound is
+    hard. With texts, those of more than SAMPLE_TEXT_BYTES are not drawn, and a label's texts end at its share of
+    SAMPLE_BYTES."""
+    texts = "text" in rows.columns
+    if texts:
         rows = rows.filter(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
+    columns = rows.columns
+    rows = rows.withColumn("__h", F.xxhash64(*columns))
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("__h").alias("distinct")).orderBy(F.desc("rows"), label).limit(max_labels).collect()
     if not counts:
-        return rows.limit(0).toArrow()
-    session = rows.sparkSession
+        return rows.select(*columns).limit(0).toArrow()
     kind = rows.schema[label].dataType.simpleString()
-    rates = session.createDataFrame([(r[0], int(min(1.0, per_label / r[1]) * (1 << 30))) for r in counts], f"{label} {kind}, upto long")
-    picked = rows.join(F.broadcast(rates), label).filter(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 30)) < F.col("upto"))
-    return picked.drop("upto").toArrow().sort_by([(key, "ascending")])
+    rates = rows.sparkSession.createDataFrame([(r[0], int(min(1.0, 4 * per_label / r["distinct"]) * (1 << 30))) for r in counts], f"{label} {kind}, __upto long")
+    picked = rows.join(F.broadcast(rates), label).filter(F.pmod("__h", F.lit(1 << 30)) < F.col("__upto")).drop("__upto").dropDuplicates(["__h"])
+    order = Window.partitionBy(label).orderBy("__h")
+    picked = picked.withColumn("__nth", F.row_number().over(order)).filter(F.col("__nth") <= per_label)
+    if texts:
+        picked = picked.withColumn("__sum", F.sum(F.octet_length("text")).over(order)).filter((F.col("__nth") == 1) | (F.col("__sum") <= SAMPLE_BYTES // len(counts)))
+    return picked.select(*columns, "__h").toArrow().sort_by([(key, "ascending"), ("__h", "ascending")]).drop_columns(["__h"])

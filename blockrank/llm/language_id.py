@@ -34,6 +34,8 @@ BITS, DIM, GRAMS = 16, 16, (2, 3, 4)
 PER_LANG, EPOCHS, MIN_STEPS, BATCH, RATE, REJECT_RATE, FOLDS = 600, 8, 240, 32, 4.0, 0.001, 5
 #: Texts of so many bytes are predicted at once.
 PREDICT_BYTES = 1 << 20
+#: Gram values that are summed at once.
+PIECE_VALUES = 1 << 20
 LETTER = np.zeros(256, dtype=bool)
 LETTER[65:91] = LETTER[97:123] = True
 
@@ -113,8 +115,32 @@ def rejection_threshold(right: np.ndarray, reject_rate: float) -> float:
     return float(np.sort(right)[int(len(right) * reject_rate)]) if len(right) else 0.0
 
 
-def train(texts: pa.Table, label: str = "lang", seed: int = 5, epochs: int = EPOCHS, reject_rate: float = REJECT_RATE) -> LanguageModel | None:
-    """texts(text, label) -> model; None where no label is known."""
+def _fold(rows, y: np.ndarray, fold: np.ndarray, f: int, n: int, seed: int, epochs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Table and bias learned from the other folds (all rows for -1), and the logits of the fold's own rows."""
+    table, bias = _descend(rows, y, np.flatnonzero(fold != f) if f >= 0 else np.arange(len(y)), n, seed, epochs)
+    own = np.flatnonzero(fold == f)
+    logits = np.array([(table[rows[i][0]] * rows[i][1][:, None]).sum(axis=0) + bias for i in own]).reshape(len(own), n)
+    return np.vstack([table, bias[None, :]]), logits
+
+
+def _folds_as_tasks(spark, rows, y, fold, folds, n, seed, epochs) -> dict:
+    """_fold of each f, one task for each; only the table that learned from all rows comes back."""
+    held = spark.sparkContext.broadcast((rows, y, fold))
+
+    def run(batches):
+        for batch in batches:
+            for f in batch.column(0).to_pylist():
+                table, logits = _fold(*held.value, f, n, seed, epochs)
+                yield pa.RecordBatch.from_pydict({"f": [f], "kept": [table.astype("<f8").tobytes() if f < 0 or len(folds) == 1 else b""], "logits": [logits.astype("<f8").tobytes()]})
+
+    ids = spark.createDataFrame([(f,) for f in folds], "f long").repartitionByRange(len(folds), "f")
+    found = ids.mapInArrow(run, "f long, kept binary, logits binary").collect()  # FOLDS + 1 rows
+    held.unpersist()
+    return {r.f: tuple(np.frombuffer(x, dtype="<f8").reshape(-1, n) for x in (r.kept, r.logits)) for r in found}
+
+
+def train(texts: pa.Table, label: str = "lang", seed: int = 5, epochs: int = EPOCHS, reject_rate: float = REJECT_RATE, spark=None) -> LanguageModel | None:
+    """texts(text, label) -> model; None where no label is known. With spark, each fold is learned in a task."""
     texts = texts.filter(pa.compute.is_valid(texts[label]))
     texts = texts.filter(pa.compute.is_valid(texts["text"]))
     langs = sorted(set(texts[label].to_pylist()))
@@ -124,11 +150,12 @@ def train(texts: pa.Table, label: str = "lang", seed: int = 5, epochs: int = EPO
     rows = _rows(texts)
     # each text is scored by a model that has not seen it, so the whole sample serves for the quantile
     fold = np.random.default_rng(seed).permutation(len(y)) % FOLDS if len(y) >= 20 else np.full(len(y), -1)
+    folds = sorted({-1, *fold.tolist()})
+    found = _folds_as_tasks(spark, rows, y, fold, folds, len(langs), seed, epochs) if spark else {f: _fold(rows, y, fold, f, len(langs), seed, epochs) for f in folds}
     logits = np.empty((len(y), len(langs)))
-    for f in sorted(set(fold.tolist()), reverse=True):
-        table, bias = _descend(rows, y, np.flatnonzero(fold != f) if f >= 0 else np.arange(len(y)), len(langs), seed, epochs)
-        for i in np.flatnonzero(fold == f):
-            logits[i] = (table[rows[i][0]] * rows[i][1][:, None]).sum(axis=0) + bias
+    for f in folds:
+        logits[fold == f] = found[f][1]
+    table, bias = found[-1][0][:-1], found[-1][0][-1]
     grid = np.geomspace(0.05, 20, 60)
     loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
@@ -138,21 +165,32 @@ def train(texts: pa.Table, label: str = "lang", seed: int = 5, epochs: int = EPO
 
 
 def predict_chunk(model: LanguageModel, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Probabilities, texts x langs."""
+    """Probabilities, texts x langs. Grams are summed piece by piece, so that memory depends on neither the longest
+    text nor the number of langs."""
     total = np.zeros((len(offs) - 1, len(model.langs)))
     count = np.zeros(len(offs) - 1)
-    for n, b, ok in features(data, offs):
-        values = model.table[b]
-        values[~ok] = 0
-        lo, hi = np.minimum(offs[:-1], len(b)), np.minimum(offs[1:], len(b))
-        total += range_sums(values, lo, hi)
+    for n in GRAMS:
         count += np.maximum(0, np.diff(offs) - n + 1)
+    piece = max(4096, PIECE_VALUES // max(1, len(model.langs)))
+    for lo in range(0, len(data), piece):
+        hi = min(len(data), lo + piece)
+        a, z = int(np.searchsorted(offs, lo, side="right")) - 1, int(np.searchsorted(offs, hi, side="left"))
+        for _, b, ok in features(data[lo : hi + max(GRAMS) - 1], offs[a : z + 1] - lo):
+            b, ok = b[: hi - lo], ok[: hi - lo]
+            values = model.table[b]
+            values[~ok] = 0
+            total[a:z] += range_sums(values, np.clip(offs[a:z] - lo, 0, len(b)), np.clip(offs[a + 1 : z + 1] - lo, 0, len(b)))
     return _softmax((total / np.maximum(count, 1)[:, None] + model.bias) / model.temperature)
 
 
 def has_letter(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    seen = range_sums(LETTER[data].astype(np.int8), offs[:-1], offs[1:]) > 0
-    wide = range_sums((data > 127).astype(np.int8), offs[:-1], offs[1:]) > 0
+    def any_of(flags):
+        out, full = np.zeros(len(offs) - 1, dtype=bool), np.flatnonzero(np.diff(offs))
+        if len(full):
+            out[full] = np.logical_or.reduceat(flags, offs[full])
+        return out
+
+    seen, wide = any_of(LETTER[data]), any_of(data > 127)
     for i in np.flatnonzero(wide & ~seen):
         seen[i] = any(c.isalpha() for c in data[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace"))
     return seen
@@ -185,9 +223,9 @@ def identify(docs: DataFrame, model: LanguageModel | None, new=("lang_pred", "sc
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> LanguageModel | None:
-    """Train on the rows whose crc32(doc_id) mod 4 is not 2."""
+    """Train on the rows whose crc32(doc_id) mod 4 is not 2: a bounded sample of at most classify.MAX_LABELS labels."""
     learn = docs.filter((crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    return train(bounded_sample(learn, "doc_id", "lang", per_lang))
+    return train(bounded_sample(learn, "doc_id", "lang", per_lang), spark=docs.sparkSession)
 
 
 def op4_language_id(spark, sf_dir) -> DataFrame:

@@ -32,6 +32,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +43,8 @@ from .text_kernel import line_offsets, mix, order_within, span_hashes, spread, t
 
 SIMILARITY, COUNTER_BITS, SLICES, LIST, PAIRS = 0.8, 22, 32, 4096, 1 << 20
 BROADCAST_HOT = 100_000
+#: Tasks whose counters meet at once, and levels of the tree: up to FAN_IN ** ROUNDS tasks.
+FAN_IN, ROUNDS = 128, 3
 #: The counter's size class of a token that occurs once.
 _ONCE, _PLACE_BITS = 8, 14
 
@@ -55,7 +58,7 @@ def line_tokens(data: np.ndarray, offs: np.ndarray):
 
 
 def _frequencies(batches):
-    """Counters of one task as packed slices."""
+    """Counters of one task as packed slices; part is the task's number."""
     count = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
     held, size = [], 0
     for batch in batches:
@@ -67,17 +70,30 @@ def _frequencies(batches):
                 held, size = [], 0
     if held:
         count += np.bincount(np.concatenate(held), minlength=len(count))
-    pack = zstandard.ZstdCompressor(level=1)
+    pack, task = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId()
     for i, part in enumerate(np.split(count, SLICES)):
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pack.compress(part.astype("<u4").tobytes())], pa.binary())], names=["slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([task], pa.int32()), pa.array([pack.compress(part.astype("<u8").tobytes())], pa.binary())], names=["slice", "part", "counts"])
 
 
-def _sum_slices(key, table):
-    """One slice over all tasks, as size classes of one byte: eight for each doubling."""
-    unpack, total = zstandard.ZstdDecompressor(), np.zeros((1 << COUNTER_BITS) // SLICES, dtype=np.int64)
+def _sum_counts(key, table):
+    """The sum of one slice of at most FAN_IN tasks."""
+    unpack, total = zstandard.ZstdDecompressor(), np.zeros((1 << COUNTER_BITS) // SLICES, dtype=np.uint64)
     for blob in table["counts"]:
-        total += np.frombuffer(unpack.decompress(blob.as_py()), dtype="<u4")
-    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "classes": pa.array([np.minimum(255, np.log2(total + 1) * 8).astype(np.uint8).tobytes()], pa.binary())})
+        total += np.frombuffer(unpack.decompress(blob.as_py()), dtype="<u8")
+    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([zstandard.ZstdCompressor(level=1).compress(total.tobytes())], pa.binary())})
+
+
+def token_classes(texts: DataFrame) -> np.ndarray:
+    """How often the tokens of each counter occur, as size classes of one byte: eight for each doubling.
+
+    The tasks' counters are added up by a tree, so that no task gets those of more than FAN_IN others."""
+    parts = texts.mapInArrow(_frequencies, "slice int, part int, counts binary")
+    for _ in range(ROUNDS):
+        parts = parts.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("slice", "part").applyInArrow(_sum_counts, "slice int, part int, counts binary")
+    total = np.zeros((SLICES, (1 << COUNTER_BITS) // SLICES), dtype=np.uint64)
+    for r in parts.collect():  # a row for each slice
+        total[r.slice] += np.frombuffer(zstandard.ZstdDecompressor().decompress(r.counts), dtype="<u8")
+    return np.minimum(255, np.log2(total.astype(np.float64) + 1) * 8).astype(np.uint8).ravel()
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -292,10 +308,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", new=("
     docs = docs.drop(*new)
     doc, same = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(doc.alias("doc"), same.alias("hash"), F.col(text).alias("text"))
-    slices = rows.select("text").mapInArrow(_frequencies, "slice int, counts binary").groupBy("slice").applyInArrow(_sum_slices, "slice int, classes binary").collect()
-    classes = np.zeros(((1 << COUNTER_BITS) // SLICES) * SLICES, dtype=np.uint8)
-    for r in slices:
-        classes.reshape(SLICES, -1)[r.slice] = np.frombuffer(r.classes, dtype=np.uint8)
+    classes = token_classes(rows.select("text"))
     frequency = sc.broadcast(classes)
     held = rows.mapInArrow(_lines(frequency), "key long, doc long, hash long, line int, n int, b0 long, b1 long, prefix array<long>")
     one = F.min(F.struct("doc", "hash", "line", "n", "b0", "b1", "prefix")).alias("at")

@@ -660,3 +660,81 @@ def test_hashes_of_the_text_kernel_tell_words_apart():
     starts, ends, _ = word_spans(data, np.array([0, len(data)]))
     h = span_hashes(data, starts, ends)
     assert len(set(h.tolist())) == len(set(words)) and len(h) == len(words)
+
+
+def test_sample_is_bounded_and_fair_where_rows_share_an_id(spark):
+    from blockrank.llm import classify
+
+    many = spark.range(6000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("lang"))
+    same = spark.range(3000).select(F.lit(9).cast("long").alias("doc_id"), F.lit("one text").alias("text"), F.lit("c").alias("lang"))
+    got = classify.bounded_sample(many.unionByName(same), "doc_id", "lang", 500).to_pylist()
+    count = collections.Counter(r["lang"] for r in got)
+    assert count == {"a": 500, "b": 500, "c": 1}
+    again = classify.bounded_sample(many.unionByName(same).repartition(5), "doc_id", "lang", 500).to_pylist()
+    assert again == got
+    large = spark.range(400).select("id", F.concat(F.col("id"), F.repeat(F.lit("x"), 60_000)).alias("text"), F.lit("a").alias("lang")).withColumnRenamed("id", "doc_id")
+    held = classify.SAMPLE_BYTES
+    classify.SAMPLE_BYTES = 1_000_000
+    try:
+        few = classify.bounded_sample(large, "doc_id", "lang", 300).to_pylist()
+    finally:
+        classify.SAMPLE_BYTES = held
+    assert 10 <= len(few) and sum(len(r["text"]) for r in few) <= 1_000_000
+    learned = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 4 != 2)
+    assert language_id.fit(many.withColumn("doc_id", F.lit(learned).cast("long")), 50).langs == ["a", "b"]
+
+
+def test_language_prediction_equals_brute_force(monkeypatch):
+    """Mean of the grams' rows of the table, softmax: gram by gram, for pieces of any size."""
+    from blockrank.llm.text_kernel import LOWER
+
+    rng = np.random.default_rng(3)
+    model = language_id.LanguageModel(["a", "b", "c"], rng.normal(0, 1, (1 << language_id.BITS, 3)).astype(np.float32), rng.normal(0, 1, 3), 0.7, 0.4)
+    texts = [(t or "").encode() for t in ODD]
+    want = []
+    for t in texts:
+        low = LOWER[np.frombuffer(t, dtype=np.uint8)]
+        rows = [model.table[language_id.gram_buckets(low[i : i + n], n, language_id.BITS)[0]] for n in language_id.GRAMS for i in range(len(low) - n + 1)]
+        z = (np.sum(rows, axis=0, dtype=float) / len(rows) if rows else np.zeros(3)) + model.bias
+        e = np.exp(z / model.temperature - max(z / model.temperature))
+        want.append(e / e.sum())
+    data, offs = np.frombuffer(b"".join(texts), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    for values in (1 << 20, 3 * 4096):
+        monkeypatch.setattr(language_id, "PIECE_VALUES", values)
+        assert np.allclose(language_id.predict_chunk(model, data, offs), want, atol=1e-5)
+    assert language_id.has_letter(data, offs).tolist() == [any(c.isalpha() for c in t or "") for t in ODD]
+
+
+def test_memory_of_one_long_text_stays_small():
+    import tracemalloc
+
+    model = language_id.LanguageModel(["a", "b"], np.zeros((1 << language_id.BITS, 2), np.float32), np.zeros(2), 1.0, 0.0)
+    data, offs = np.full(16 << 20, 97, dtype=np.uint8), np.array([0, 16 << 20])
+    tracemalloc.start()
+    language_id.predict_chunk(model, data, offs)
+    language_id.has_letter(data, offs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * len(data)
+
+
+def test_empty_tables_give_empty_results(spark):
+    none = docs(spark, [])
+    assert language_id.fit(none) is None and language_id.identify(none, None).count() == 0
+    assert quality.judge(none, None).count() == 0
+    assert near_dedup.near_classes(none).count() == 0 and near_dedup.near_stage(spark, none, "").columns == none.columns
+    assert training_order.op9_training_order is not None and line_dedup.dedup_lines(none).count() == 0
+    some = docs(spark, [None, "", "a"])
+    assert language_id.identify(some, language_id.fit(some.filter("text is null"))).count() == 3
+
+
+def test_token_counts_are_added_by_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FAN_IN", 2)
+    rng = random.Random(15)
+    texts = [prose(rng, rng.randint(0, 50)) for _ in range(40)]
+    got = line_dedup.token_classes(docs(spark, texts).select("text").repartition(7))
+    count = collections.Counter()
+    column = pyarrow.array(texts)
+    for words in near_dedup._sequences(column):
+        count.update((words >> np.uint64(64 - line_dedup.COUNTER_BITS)).tolist())
+    assert all(got[k] == min(255, int(math.log2(v + 1) * 8)) for k, v in count.items()) and (got > 0).sum() == len(count)
