@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .centroids import SCALE, finite
-from .common import materialise, read_table
+from .common import least_by_hash, materialise, read_table
 
 ANCHOR_EVERY, LABEL_EVERY, LABELS = 50, 7, 10
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 3, 50, 95
@@ -280,7 +280,7 @@ def build_index(vectors: DataFrame, key: str = "vec_id", column: str = "embeddin
     moved = F.when(F.col("id") % LABEL_EVERY == 0, (F.col("label") + 1) % LABELS).otherwise(F.col("label"))
     rows = named.select("id", moved.alias("label"), scaled.alias("q"))
     dims = rows.agg(F.coalesce(F.max(F.size("q")), F.lit(0))).first()[0]
-    picked = rows.select("q").orderBy(F.xxhash64("q")).limit(SAMPLE).toArrow()  # SAMPLE rows; codewords change speed only
+    picked = least_by_hash(rows.select("q"), SAMPLE, "q").toArrow()  # SAMPLE rows; codewords change speed only
     books = codewords(_matrix(picked["q"].combine_chunks(), dims)) if picked.num_rows else []
     coded = rows.mapInArrow(_encoding(spark.sparkContext.broadcast(books), dims), "id long, label long, q array<int>, codes binary, left double")
     return materialise(coded.withColumn("row", F.monotonically_increasing_id()), "negatives-index"), books, dims

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import read_table
+from .common import least_by_hash, read_table
 from .html_tree import HEADINGS, TEXT, Page, parse
 
 SAMPLE_PAGES, SAMPLE_BYTES, LAYOUTS, SEED = 300, 32 << 10, 700, 11
@@ -341,7 +341,7 @@ def train(sample: list[str], layouts: int = LAYOUTS, seed: int = SEED) -> Extrac
 
 
 def fit(pages: DataFrame) -> Extractor:
-    picked = pages.select("html").filter(F.octet_length("html") <= SAMPLE_BYTES).orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES)
+    picked = least_by_hash(pages.select("html").filter(F.octet_length("html") <= SAMPLE_BYTES), SAMPLE_PAGES, "html")
     return train([r.html for r in picked.collect()])  # SAMPLE_PAGES rows
 
 
