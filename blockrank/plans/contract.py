@@ -19,6 +19,7 @@ from ..operators import evaluation as E
 from ..operators import expansion as X
 from ..operators import lexical as L
 from ..operators import links as K
+from ..operators import near as N
 from ..operators import ranking as R
 from ..operators import vectors as V
 from ..sources import store as S
@@ -247,6 +248,31 @@ def ann_topk(spark, d):
     return _long(A.search(A.build(_labelled(spark, d)), _vector_queries(spark, d, False), 10), "sem_rank")
 
 
+def _with_copies(spark, d) -> DataFrame:
+    """The vectors, and of each fifth one a copy whose first component is moved by up to 0.35."""
+    own = _labelled(spark, d)
+    moved = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: x + F.when(i == 0, F.lit(0.05) * (F.col("block_uid") % 8)).otherwise(0.0))
+    copies = own.filter("block_uid % 5 = 0").select((F.col("block_uid") + 1_000_000).alias("block_uid"), "note_path", moved.alias("embedding"))
+    return own.withColumn("embedding", F.col("embedding").cast("array<double>")).unionByName(copies)
+
+
+def near_vector_pairs(spark, d):
+    return N.near_pairs(_with_copies(spark, d))
+
+
+def _copy_hits(spark, d, k: int = 10) -> DataFrame:
+    top = V.cosine_top(_with_copies(spark, d), _vector_queries(spark, d, False), k)
+    return top.select("query_id", "block_uid", F.col("sem_rank").alias("ord"))
+
+
+def near_hit_removal(spark, d):
+    return _long(N.without_near_hits(_copy_hits(spark, d), N.near_pairs(_with_copies(spark, d))), "ord")
+
+
+def hit_clusters(spark, d):
+    return _long(N.cluster_hits(_copy_hits(spark, d), _with_copies(spark, d), 0.6), "ord", "cluster").select("query_id", "block_uid", "ord", "cluster", "leader")
+
+
 def query_expand(spark, d):
     asked = ["How do I safely cut a cake?", "cake", " Cake  CAKE cake ", "如何 解释 分布式", "what is it", "one two three four five six seven", ""]
     q = _bench_queries(spark, d).unionByName(_cases(spark, asked).select((F.col("id") + 1_000_000).alias("query_id"), "text"))
@@ -438,7 +464,7 @@ def eval_dropped_notes(spark, d):
 NAMES = """scan_inventory content_hash path_exclude link_extract link_target_parse target_classify link_resolve eval_dataset
 clean_text_fixture clean_text_pages tag_extract token_extract highlight_tokens heading_stack_blocks block_merge_short
 block_split_fixed embed_input_heading embed_input_sliding pseudo_embedding token_df informative_tokens bm25_topk lexical_search
-like_fallback lexical_search_cjk phrase_topk fts_porter_topk cosine_topk cosine_topk_exclude ann_topk query_expand merge_candidates merge_scored_hits graph_boost
+like_fallback lexical_search_cjk phrase_topk fts_porter_topk cosine_topk cosine_topk_exclude ann_topk near_vector_pairs near_hit_removal hit_clusters query_expand merge_candidates merge_scored_hits graph_boost
 fuse_scores threshold_relax note_diversity anchor_rerank dedup_hits group_by_note enrich_hits search_e2e query_block_e2e
 query_note_e2e file_diff delete_note_cascade blocks_by_note job_latest index_status eval_metrics eval_worst eval_predictions
 eval_false_positives eval_misses eval_grid eval_notes eval_dropped_notes""".split()

@@ -145,6 +145,20 @@ LABELLED = """
 q as (select vec_id as query_id, embedding, label from embeddings where vec_id % 50 = 0)"""
 
 
+COPIES = """
+own as (select vec_id as block_uid, embedding::double[] as e from embeddings),
+copied as (select * from own union all select block_uid + 1000000, list_concat([e[1] + 0.05::double * (block_uid % 8)], e[2:]) from own where block_uid % 5 = 0),
+near as (select a.block_uid as a, b.block_uid as b, round(list_cosine_similarity(a.e, b.e), 6) as cosine from copied a join copied b on a.block_uid < b.block_uid),
+pairs as (select * from near where cosine > 0.98),
+hits as (select query_id, block_uid, ord from (select *, row_number() over (partition by query_id order by score desc, block_uid) as ord from (
+  select q.block_uid as query_id, c.block_uid, round(list_cosine_similarity(q.e, c.e), 6) as score from own q, copied c where q.block_uid % 50 = 0)) where ord <= 10)"""
+CLUSTERED = """
+led as (select query_id, block_uid, ord, e from hits join copied using (block_uid)),
+fold as (select query_id, block_uid, ord, 1 as cluster, [block_uid] as leaders, [e] as vs from led where ord = 1
+  union all select l.query_id, l.block_uid, l.ord, coalesce(nullif(x, 0), len(f.leaders) + 1), case when x > 0 then f.leaders else list_append(f.leaders, l.block_uid) end, case when x > 0 then f.vs else list_append(f.vs, l.e) end
+  from fold f join led l on l.query_id = f.query_id and l.ord = f.ord + 1, lateral (select coalesce(list_position([round(list_cosine_similarity(v, l.e), 6) >= 0.6 for v in f.vs], true), 0) as x))"""
+
+
 def _neighbours(k: int, where: str = "", name: str = "sem") -> str:
     return f"""
 {name} as (select * from (select *, row_number() over (partition by query_id order by semantic_score desc, block_uid) as sem_rank from (
@@ -243,6 +257,9 @@ m as (select note_path, arg_min(block_uid, ord) as block_uid, string_agg(raw_tex
     "pseudo_embedding": "with r as (select doc_id, i, ('0x' || substring(sha256(text), 2 * (i % 32) + 1, 2))::int / 255.0::double - 0.5::double as x from documents, range(64) t(i)), n as (select doc_id, sqrt(sum(x * x)) as norm from r group by 1) select doc_id, " + ", ".join(f"round(max(x / norm) filter (i = {i}), 6) as v{i}" for i in range(4)) + ", round(sum((x / norm) * (x / norm)), 6) as norm from r join n using (doc_id) group by doc_id",
     "token_df": _sql(BENCH_TOK, INDEX, "select query_id, token, coalesce(df, 0) as df, n from qtok left join terms on term = token cross join totals"),
     "informative_tokens": _sql(BENCH_TOK, INDEX, _informative(), "select query_id, token, df, round(weight, 6) as weight from inf"),
+    "near_vector_pairs": _sql(COPIES, "select a, b, cosine from pairs"),
+    "near_hit_removal": _sql(COPIES, "select query_id, block_uid, ord from hits h where not exists (select 1 from hits g join pairs p on (p.a = g.block_uid and p.b = h.block_uid) or (p.b = g.block_uid and p.a = h.block_uid) where g.query_id = h.query_id and g.ord < h.ord)"),
+    "hit_clusters": _sql(COPIES, CLUSTERED, "select query_id, block_uid, ord, cast(cluster as bigint) as cluster, leaders[cluster] as leader from fold").replace("with ", "with recursive ", 1),
     "phrase_topk": _sql(PHRASE_TOK, _informative(), _bm25("inf", 20, "top"), "select query_id, block_uid, bm25, rn from top"),
     "bm25_topk": _sql(BENCH_TOK, INDEX, _informative(), _bm25("inf", 20, "top"), "select query_id, block_uid, bm25, rn from top"),
     "lexical_search": _sql(BENCH_TOK, INDEX, _informative(), _lexical(10), "select * from lex"),
