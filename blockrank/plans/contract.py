@@ -29,18 +29,20 @@ from .oracle import SQL
 
 EVERY = 50
 LOW = replace(DEFAULT, threshold=0.05)
+#: Notes of each document, with its id in place of %; the text of the document is the note `cs/x/dup`.
 LINK_NOTES = [
-    ("cs/a.md", "See [[b#Part one|the b]] and ![[img.png]] [x](https://e.org/q) [y](c.md#^k1) #tag/one [[32.4 x]]"),
-    ("cs/b.md", "![pic](d.md) [[ other ]] [mail](mailto:q@e.org) [[#here]] a#no #yes"),
-    ("cs/sub/c.md", "[[../a]] [[a]] [[zz]] [t]( b.md ) [[dup]]"),
-    ("cs/x/dup.md", "nothing here"),
-    ("cs/y/dup.md", "[[cs/a.md]] ![[b#^id9|B]]"),
-    ("other.md", "[[cs/b]] [[a|]]"),
+    ("cs/a%.md", "See [[b%#Part one|the b]] and ![[img%.png]] [x](https://e.org/q) [y](c%.md#^k1) #tag/one [[32.4 x%]]"),
+    ("cs/b%.md", "![pic](d%.md) [[ other% ]] [mail](mailto:q@e.org) [[#here]] a#no #yes"),
+    ("cs/sub/c%.md", "[[../a%]] [[a%]] [[zz%]] [t]( b%.md ) [[dup%]]"),
+    ("cs/x/dup%.md", None),
+    ("cs/y/dup%.md", "[[cs/a%.md]] ![[b%#^id9|B]]"),
+    ("other%.md", "[[cs/b%]] [[a%|]]"),
 ]
-RAW_TARGETS = ["b", " b.md ", "", "https://e.org", "mailto:a@b", "#top", "#^k", "pic.PNG", "32.4 x", "a/b.md#h", "n#^q", "x.MD", ".hidden", "/abs/note", "t."]
-CLEAN = ["a <!-- x\ny --> b", "[[A|Bee]] and [[Cee]]", "![alt](p.png) [ lab ](u) [ ](v) ![](w)", "see https://e.org/x) end", "```\ncode\n``` tail", "  many \t spaces   here\n", "[[ A ]] x", "中文 [[甲|乙]] 文"]
-PATHS = ["a.md", ".obsidian/x.md", ".obsidian-x/y.md", "draft/z.md", "draft2/z.md", "n/private/q.md", "t/_tmp.md"]
-NOTES = [("n1.md", "intro line\n# A\none\n\n## B\ntwo\nmore ^id1\n### C\n\n  \nthree\n## D\n^solo\n"), ("n2.md", "# T\r\n\r\nx <!-- gone -->\r\n\r\n<!-- only -->\r\n\r\ny\r\n"), ("n3.md", "")]
+RAW_TARGETS = ["b%", " b%.md ", "", "https://e.org/%", "mailto:a@b%", "#top%", "#^k%", "pic%.PNG", "32.4 x%", "a%/b.md#h", "n%#^q", "x%.MD", ".hidden%", "/abs/note%", "t%."]
+CLEAN = ["a <!-- x\ny --> b", "[[A|Bee]] and [[Cee]]", "![alt](p.png) [ lab ](u) [ ](v) ![](w)", "see https://e.org/x) end", "```\ncode\n``` tail", "  many \t spaces   here\n", "[[ A ]] x", "中文 [[甲|乙]] 文"]
+PATHS = ["a%.md", ".obsidian/x%.md", ".obsidian-x/y%.md", "draft/z%.md", "draft2/z%.md", "n/private/q%.md", "t/_tmp%.md"]
+#: The first note begins with a line of the document's text.
+NOTES = [("n%.md", "\n# A\none\n\n## B\ntwo\nmore ^id1\n### C\n\n  \nthree\n## D\n^solo\n"), ("m%.md", "# T\r\n\r\nx <!-- gone -->\r\n\r\n<!-- only -->\r\n\r\ny\r\n"), ("o%.md", "")]
 
 
 def _read(spark, d, name) -> DataFrame:
@@ -90,37 +92,47 @@ def content_hash(spark, d):
     return _read(spark, d, "documents").select("doc_id", F.sha1("text").alias("content_hash"), T.token_estimate(F.col("text")).cast("long").alias("token_count_est"))
 
 
+def _of_documents(spark, d, values, name="text", keep=()) -> DataFrame:
+    """Each value for each document, with its id in place of %: doc_id, k, the value, and columns to keep."""
+    rows = F.array(*(F.struct(F.lit(k).cast("long").alias("k"), F.lit(v).alias(name)) for k, v in enumerate(values)))
+    return _read(spark, d, "documents").select("doc_id", *keep, F.inline(rows)).withColumn(name, F.replace(name, F.lit("%"), F.col("doc_id").cast("string")))
+
+
 def path_exclude(spark, d):
-    return _cases(spark, PATHS, "path").select("path", vault.excluded(F.col("path"), ["**/.obsidian/**", "_*.md"], ["draft", "n/private"]).alias("excluded"))
+    return _of_documents(spark, d, PATHS, "path").select("path", vault.excluded(F.col("path"), ["**/.obsidian/**", "_*.md"], ["draft", "n/private"]).alias("excluded"))
 
 
-def _notes(spark, rows=LINK_NOTES):
-    return spark.createDataFrame(rows, "path string, body string")
+def _notes(spark, d) -> DataFrame:
+    paths = _of_documents(spark, d, [p for p, _ in LINK_NOTES], "path", ["text"])
+    bodies = F.create_map(*(F.lit(x) for k, (_, b) in enumerate(LINK_NOTES) if b is not None for x in (k, b)))
+    body = F.replace(F.get(F.map_values(F.map_filter(bodies, lambda k, _: k == F.col("k"))), F.lit(0)), F.lit("%"), F.col("doc_id").cast("string"))
+    return paths.select("path", F.coalesce(body, F.col("text")).alias("body"))
 
 
 def link_extract(spark, d):
-    return K.extract_links(_notes(spark)).select("src_note_path", "kind", F.col("no").cast("long").alias("no"), "link_type", "link_text", "dst_note_path", "dst_heading", "dst_block_id")
+    return K.extract_links(_notes(spark, d)).select("src_note_path", "kind", F.col("no").cast("long").alias("no"), "link_type", "link_text", "dst_note_path", "dst_heading", "dst_block_id")
 
 
 def link_target_parse(spark, d):
-    return _cases(spark, RAW_TARGETS, "raw").select("id", "raw", T.link_target(F.col("raw")).alias("t")).select("id", F.col("t.path").alias("path"), F.col("t.heading").alias("heading"), F.col("t.block").alias("block"))
+    return _of_documents(spark, d, RAW_TARGETS, "raw").select("doc_id", "k", "raw", T.link_target(F.col("raw")).alias("t")).select("doc_id", "k", F.col("t.path").alias("path"), F.col("t.heading").alias("heading"), F.col("t.block").alias("block"))
 
 
 def target_classify(spark, d):
-    return _cases(spark, RAW_TARGETS, "raw").select("id", T.classify_target(F.col("raw")).alias("status"), T.normal_target(F.col("raw")).alias("normalized"))
+    return _of_documents(spark, d, RAW_TARGETS, "raw").select("doc_id", "k", T.classify_target(F.col("raw")).alias("status"), T.normal_target(F.col("raw")).alias("normalized"))
 
 
 def link_resolve(spark, d):
-    notes = _notes(spark)
+    notes = _notes(spark, d)
     return K.resolve_targets(K.raw_targets(notes).distinct(), notes)
 
 
 def eval_dataset(spark, d):
-    return K.evaluation_set(_notes(spark))
+    return K.evaluation_set(_notes(spark, d))
 
 
 def clean_text_fixture(spark, d):
-    return _cases(spark, CLEAN).select("id", T.clean_text(F.col("text")).alias("clean_text"))
+    rows = _of_documents(spark, d, CLEAN)
+    return rows.select("doc_id", "k", T.clean_text(F.concat("text", F.lit(" n"), F.col("doc_id").cast("string"))).alias("clean_text"))
 
 
 def clean_text_pages(spark, d):
@@ -141,7 +153,10 @@ def highlight_tokens(spark, d):
 
 
 def heading_stack_blocks(spark, d):
-    out = B.split_blocks(_notes(spark, NOTES))
+    rows = _of_documents(spark, d, [p for p, _ in NOTES], "path", ["text"])
+    first = F.trim(F.concat(F.lit("intro "), F.trim(F.regexp_replace(F.substring("text", 1, 60), "[^a-zA-Z]+", " "))))
+    body = F.when(F.col("k") == 0, F.concat(first, F.lit(NOTES[0][1]))).when(F.col("k") == 1, NOTES[1][1]).otherwise("")
+    out = B.split_blocks(rows.select("path", body.alias("body")))
     return _long(out, "ord", "char_start", "char_end").select("block_uid", "note_path", "ord", F.array_join("heading_path", "/").alias("heading_path"), "raw_text", "clean_text", "char_start", "char_end")
 
 
@@ -352,6 +367,14 @@ def search_e2e(spark, d):
     return _long(hits, "ord").select("query_id", "block_uid", "note_path", "content_anchor", "final_score", "ord", "snippet")
 
 
+def search_tags_any(spark, d):
+    """The search with a filter on tags: notes of one source in three have the tag."""
+    notes = _read(spark, d, "documents").select(F.col("source").alias("path")).distinct()
+    tags = notes.withColumn("tags", F.array(F.lit("all"), F.concat(F.lit("t"), F.pmod(F.regexp_extract("path", r"(\d+)", 1).cast("int"), F.lit(3)).cast("string"))))
+    hits = engine.search(_doc_queries(spark, d), engine.filtered(_corpus(spark, d), tags, ["t1", "t7"]))
+    return _long(hits, "ord").select("query_id", "block_uid", "note_path", "content_anchor", "final_score", "ord", "snippet")
+
+
 def query_block_e2e(spark, d):
     c = _corpus(spark, d)
     hits = R.enrich(engine.query_blocks(_doc_queries(spark, d), c, LOW, top_k=40), c.blocks)
@@ -465,7 +488,7 @@ NAMES = """scan_inventory content_hash path_exclude link_extract link_target_par
 clean_text_fixture clean_text_pages tag_extract token_extract highlight_tokens heading_stack_blocks block_merge_short
 block_split_fixed embed_input_heading embed_input_sliding pseudo_embedding token_df informative_tokens bm25_topk lexical_search
 like_fallback lexical_search_cjk phrase_topk fts_porter_topk cosine_topk cosine_topk_exclude ann_topk near_vector_pairs near_hit_removal hit_clusters query_expand merge_candidates merge_scored_hits graph_boost
-fuse_scores threshold_relax note_diversity anchor_rerank dedup_hits group_by_note enrich_hits search_e2e query_block_e2e
+fuse_scores threshold_relax note_diversity anchor_rerank dedup_hits group_by_note enrich_hits search_e2e search_tags_any query_block_e2e
 query_note_e2e file_diff delete_note_cascade blocks_by_note job_latest index_status eval_metrics eval_worst eval_predictions
 eval_false_positives eval_misses eval_grid eval_notes eval_dropped_notes""".split()
 

@@ -214,36 +214,45 @@ own as (select d.doc_id as i, d.text, 'cs/n' || d.doc_id || '.md' as path, case
   left join documents a on a.doc_id = d.j left join documents b on b.doc_id = d.k left join documents o on o.doc_id = d.l, lateral (select 'cs/n' || a.doc_id || '.md' as x, 'cs/n' || b.doc_id || '.md' as y))"""
 
 _LINKS = [
-    ("cs/a.md", "wiki", 0, "wikilink", "the b", "b.md", "Part one", None), ("cs/a.md", "wiki", 1, "embed", None, "img.png.md", None, None), ("cs/a.md", "wiki", 2, "wikilink", None, "32.4 x.md", None, None),
-    ("cs/a.md", "md", 1, "mdlink", "y", "c.md", None, "k1"),
-    ("cs/b.md", "wiki", 0, "wikilink", None, "other.md", None, None), ("cs/b.md", "wiki", 1, "wikilink", None, ".md", "here", None), ("cs/b.md", "md", 0, "mdlink", "pic", "d.md", None, None), ("cs/b.md", "md", 1, "mdlink", "mail", "mailto:q@e.org.md", None, None),
-    ("cs/sub/c.md", "wiki", 0, "wikilink", None, "../a.md", None, None), ("cs/sub/c.md", "wiki", 1, "wikilink", None, "a.md", None, None), ("cs/sub/c.md", "wiki", 2, "wikilink", None, "zz.md", None, None), ("cs/sub/c.md", "wiki", 3, "wikilink", None, "dup.md", None, None), ("cs/sub/c.md", "md", 0, "mdlink", "t", "b.md", None, None),
-    ("cs/y/dup.md", "wiki", 0, "wikilink", None, "cs/a.md", None, None), ("cs/y/dup.md", "wiki", 1, "embed", "B", "b.md", None, "id9"),
-    ("other.md", "wiki", 0, "wikilink", None, "cs/b.md", None, None), ("other.md", "wiki", 1, "wikilink", "", "a.md", None, None),
+    ("cs/a%.md", "wiki", 0, "wikilink", "the b", "b%.md", "Part one", None), ("cs/a%.md", "wiki", 1, "embed", None, "img%.png.md", None, None), ("cs/a%.md", "wiki", 2, "wikilink", None, "32.4 x%.md", None, None),
+    ("cs/a%.md", "md", 1, "mdlink", "y", "c%.md", None, "k1"),
+    ("cs/b%.md", "wiki", 0, "wikilink", None, "other%.md", None, None), ("cs/b%.md", "wiki", 1, "wikilink", None, ".md", "here", None), ("cs/b%.md", "md", 0, "mdlink", "pic", "d%.md", None, None), ("cs/b%.md", "md", 1, "mdlink", "mail", "mailto:q@e.org.md", None, None),
+    ("cs/sub/c%.md", "wiki", 0, "wikilink", None, "../a%.md", None, None), ("cs/sub/c%.md", "wiki", 1, "wikilink", None, "a%.md", None, None), ("cs/sub/c%.md", "wiki", 2, "wikilink", None, "zz%.md", None, None), ("cs/sub/c%.md", "wiki", 3, "wikilink", None, "dup%.md", None, None), ("cs/sub/c%.md", "md", 0, "mdlink", "t", "b%.md", None, None),
+    ("cs/y/dup%.md", "wiki", 0, "wikilink", None, "cs/a%.md", None, None), ("cs/y/dup%.md", "wiki", 1, "embed", "B", "b%.md", None, "id9"),
+    ("other%.md", "wiki", 0, "wikilink", None, "cs/b%.md", None, None), ("other%.md", "wiki", 1, "wikilink", "", "a%.md", None, None),
 ]
 _RESOLVED = [
-    ("cs/a.md", "32.4 x", "non_markdown_target", None), ("cs/a.md", "b#Part one", "resolved_internal", "cs/b.md"), ("cs/a.md", "c.md#^k1", "resolved_internal", "cs/sub/c.md"), ("cs/a.md", "https://e.org/q", "external_scheme", None), ("cs/a.md", "img.png", "non_markdown_target", None),
-    ("cs/b.md", "#here", "same_note_anchor", None), ("cs/b.md", "d.md", "unresolved_note_target", None), ("cs/b.md", "mailto:q@e.org", "external_scheme", None), ("cs/b.md", "other", "resolved_external", "other.md"),
-    ("cs/sub/c.md", "../a", "resolved_internal", "cs/a.md"), ("cs/sub/c.md", "a", "resolved_internal", "cs/a.md"), ("cs/sub/c.md", "b.md", "resolved_internal", "cs/b.md"), ("cs/sub/c.md", "dup", "ambiguous_note_target", None), ("cs/sub/c.md", "zz", "unresolved_note_target", None),
-    ("cs/y/dup.md", "b#^id9", "resolved_internal", "cs/b.md"), ("cs/y/dup.md", "cs/a.md", "resolved_internal", "cs/a.md"), ("other.md", "a", "resolved_internal", "cs/a.md"), ("other.md", "cs/b", "resolved_internal", "cs/b.md"),
+    ("cs/a%.md", "32.4 x%", "non_markdown_target", None), ("cs/a%.md", "b%#Part one", "resolved_internal", "cs/b%.md"), ("cs/a%.md", "c%.md#^k1", "resolved_internal", "cs/sub/c%.md"), ("cs/a%.md", "https://e.org/q", "external_scheme", None), ("cs/a%.md", "img%.png", "non_markdown_target", None),
+    ("cs/b%.md", "#here", "same_note_anchor", None), ("cs/b%.md", "d%.md", "unresolved_note_target", None), ("cs/b%.md", "mailto:q@e.org", "external_scheme", None), ("cs/b%.md", "other%", "resolved_external", "other%.md"),
+    ("cs/sub/c%.md", "../a%", "resolved_internal", "cs/a%.md"), ("cs/sub/c%.md", "a%", "resolved_internal", "cs/a%.md"), ("cs/sub/c%.md", "b%.md", "resolved_internal", "cs/b%.md"), ("cs/sub/c%.md", "dup%", "ambiguous_note_target", None), ("cs/sub/c%.md", "zz%", "unresolved_note_target", None),
+    ("cs/y/dup%.md", "b%#^id9", "resolved_internal", "cs/b%.md"), ("cs/y/dup%.md", "cs/a%.md", "resolved_internal", "cs/a%.md"), ("other%.md", "a%", "resolved_internal", "cs/a%.md"), ("other%.md", "cs/b%", "resolved_internal", "cs/b%.md"),
 ]
+#: Character places are those behind the note's first line.
 _BLOCKS = [
-    ("n1.md:auto-00001", "n1.md", 1, "", "intro line", "intro line", 0, 11), ("n1.md:auto-00002", "n1.md", 2, "A", "one", "one", 15, 19), ("n1.md:id1", "n1.md", 3, "A/B", "two\nmore ^id1", "two more ^id1", 25, 39),
-    ("n1.md:auto-00004", "n1.md", 4, "A/B/C", "three", "three", 49, 55), ("n1.md:solo", "n1.md", 5, "A/D", "^solo", "^solo", 60, 66),
-    ("n2.md:auto-00001", "n2.md", 1, "T", "x <!-- gone -->\r", "x", 7, 24), ("n2.md:auto-00002", "n2.md", 2, "T", "y\r", "y", 43, 46),
+    ("n%.md:auto-00002", "n%.md", 2, "A", "one", "one", 5, 9), ("n%.md:id1", "n%.md", 3, "A/B", "two\nmore ^id1", "two more ^id1", 15, 29),
+    ("n%.md:auto-00004", "n%.md", 4, "A/B/C", "three", "three", 39, 45), ("n%.md:solo", "n%.md", 5, "A/D", "^solo", "^solo", 50, 56),
 ]
+_OTHER_BLOCKS = [("m%.md:auto-00001", "m%.md", 1, "T", "x <!-- gone -->\r", "x", 7, 24), ("m%.md:auto-00002", "m%.md", 2, "T", "y\r", "y", 43, 46)]
+
+
+def _each(rows, names: str, text: str, extra: str = "") -> str:
+    """The rows for each document, with its id in place of % in the columns `text`."""
+    columns = ", ".join(f"replace({c}, '%', doc_id::varchar) as {c}" if c in text.split() else c for c in names.split(", "))
+    return f"select {extra}{columns} from documents, ({_values(rows, names)})"
+
 
 SQL = {
     "scan_inventory": "select source as note_path, count(*) as blocks, cast(sum(length(text)) as bigint) as chars from documents group by source",
     "content_hash": "select doc_id, sha1(text) as content_hash, greatest(1, length(text) // 4) as token_count_est from documents",
-    "path_exclude": _values([("a.md", False), (".obsidian/x.md", True), (".obsidian-x/y.md", True), ("draft/z.md", True), ("draft2/z.md", False), ("n/private/q.md", True), ("t/_tmp.md", True)], "path, excluded"),
-    "link_extract": _values(_LINKS, "src_note_path, kind, no, link_type, link_text, dst_note_path, dst_heading, dst_block_id").replace("as v(", "as w("),
-    "link_target_parse": _values([(0, "b.md", None, None), (1, "b.md", None, None), (2, ".md", None, None), (3, "https://e.org.md", None, None), (4, "mailto:a@b.md", None, None), (5, ".md", "top", None), (6, ".md", None, "k"), (7, "pic.PNG.md", None, None), (8, "32.4 x.md", None, None), (9, "a/b.md", "h", None), (10, "n.md", None, "q"), (11, "x.MD.md", None, None), (12, ".hidden.md", None, None), (13, "/abs/note.md", None, None), (14, "t..md", None, None)], "id, path, heading, block"),
-    "target_classify": _values([(0, "markdown_note_target", "b.md"), (1, "markdown_note_target", "b.md"), (2, "empty_target", None), (3, "external_scheme", None), (4, "external_scheme", None), (5, "same_note_anchor", None), (6, "same_note_anchor", None), (7, "non_markdown_target", None), (8, "non_markdown_target", None), (9, "markdown_note_target", "a/b.md"), (10, "markdown_note_target", "n.md"), (11, "markdown_note_target", "x.MD"), (12, "markdown_note_target", ".hidden.md"), (13, "markdown_note_target", "abs/note.md"), (14, "markdown_note_target", "t..md")], "id, status, normalized"),
-    "link_resolve": _values(_RESOLVED, "path, raw, status, resolved"),
-    "eval_dataset": _values([("cs/a.md", "cs/b.md"), ("cs/a.md", "cs/sub/c.md"), ("cs/sub/c.md", "cs/a.md"), ("cs/sub/c.md", "cs/b.md"), ("cs/y/dup.md", "cs/a.md"), ("cs/y/dup.md", "cs/b.md")], "path, target"),
-    "clean_text_fixture": _values([(0, "a b"), (1, "Bee and Cee"), (2, "alt lab"), (3, "see ) end"), (4, "tail"), (5, "many spaces here"), (6, "A x"), (7, "中文 乙 文")], "id, clean_text"),
-    "heading_stack_blocks": _values(_BLOCKS, "block_uid, note_path, ord, heading_path, raw_text, clean_text, char_start, char_end"),
+    "path_exclude": _each([("a%.md", False), (".obsidian/x%.md", True), (".obsidian-x/y%.md", True), ("draft/z%.md", True), ("draft2/z%.md", False), ("n/private/q%.md", True), ("t/_tmp%.md", True)], "path, excluded", "path"),
+    "link_extract": _each(_LINKS, "src_note_path, kind, no, link_type, link_text, dst_note_path, dst_heading, dst_block_id", "src_note_path dst_note_path"),
+    "link_target_parse": _each([(0, "b%.md", None, None), (1, "b%.md", None, None), (2, ".md", None, None), (3, "https://e.org/%.md", None, None), (4, "mailto:a@b%.md", None, None), (5, ".md", "top%", None), (6, ".md", None, "k%"), (7, "pic%.PNG.md", None, None), (8, "32.4 x%.md", None, None), (9, "a%/b.md", "h", None), (10, "n%.md", None, "q"), (11, "x%.MD.md", None, None), (12, ".hidden%.md", None, None), (13, "/abs/note%.md", None, None), (14, "t%..md", None, None)], "k, path, heading, block", "path heading block", "doc_id, "),
+    "target_classify": _each([(0, "markdown_note_target", "b%.md"), (1, "markdown_note_target", "b%.md"), (2, "empty_target", None), (3, "external_scheme", None), (4, "external_scheme", None), (5, "same_note_anchor", None), (6, "same_note_anchor", None), (7, "non_markdown_target", None), (8, "non_markdown_target", None), (9, "markdown_note_target", "a%/b.md"), (10, "markdown_note_target", "n%.md"), (11, "markdown_note_target", "x%.MD"), (12, "markdown_note_target", ".hidden%.md"), (13, "markdown_note_target", "abs/note%.md"), (14, "markdown_note_target", "t%..md")], "k, status, normalized", "normalized", "doc_id, "),
+    "link_resolve": _each(_RESOLVED, "path, raw, status, resolved", "path raw resolved"),
+    "eval_dataset": _each([("cs/a%.md", "cs/b%.md"), ("cs/a%.md", "cs/sub/c%.md"), ("cs/sub/c%.md", "cs/a%.md"), ("cs/sub/c%.md", "cs/b%.md"), ("cs/y/dup%.md", "cs/a%.md"), ("cs/y/dup%.md", "cs/b%.md")], "path, target", "path target"),
+    "clean_text_fixture": _each([(0, "a b n%"), (1, "Bee and Cee n%"), (2, "alt lab n%"), (3, "see ) end n%"), (4, "tail n%"), (5, "many spaces here n%"), (6, "A x n%"), (7, "中文 乙 文 n%")], "k, clean_text", "clean_text", "doc_id, "),
+    "heading_stack_blocks": _sql("firsts as (select doc_id, trim('intro ' || trim(regexp_replace(substring(text, 1, 60), '[^a-zA-Z]+', ' ', 'g'))) as line from documents)", "behind as (" + _each(_BLOCKS, "block_uid, note_path, ord, heading_path, raw_text, clean_text, char_start, char_end", "block_uid note_path", "doc_id, ") + ")", """select 'n' || doc_id || '.md:auto-00001' as block_uid, 'n' || doc_id || '.md' as note_path, 1 as ord, '' as heading_path, line as raw_text, line as clean_text, 0 as char_start, length(line) + 1 as char_end from firsts
+  union all select b.* exclude (doc_id) replace (b.char_start + length(line) as char_start, b.char_end + length(line) as char_end) from behind b join firsts using (doc_id) union all """ + _each(_OTHER_BLOCKS, "block_uid, note_path, ord, heading_path, raw_text, clean_text, char_start, char_end", "block_uid note_path")),
     "clean_text_pages": f"select page_id, sha1({CLEAN.format(x='html')}) as clean_sha1, length({CLEAN.format(x='html')}) as n from pages",
     "tag_extract": r"select doc_id, coalesce((select string_agg(t, ',' order by t) from (select distinct unnest(regexp_extract_all(text, '(^|[^\p{L}\p{N}_])#([a-zA-Z0-9_\-/]+)', 2)) as t)), '') as tags from documents",
     "token_extract": f"with t as ({_tokens('documents', 'doc_id', 'text')}) select doc_id, sha1(coalesce(string_agg(token, ' ' order by pos), '')) as tokens_sha1, count(token) as n_tokens from documents left join t on query_id = doc_id group by doc_id",
@@ -308,3 +317,6 @@ j2 as (select runs.run, s.query_id, n_true, coalesce(h5, 0) as h5, coalesce(h10,
     "eval_notes": _sql(LINKED, "select path, targets, n_internal, 4 - n_internal as n_ignored, sha1(text || ' n' || (i + 5) || ' and see G [site](https://e.org/' || i || ')' || case when i % 10 = 0 then ' n' || (i + 4) else '' end) as body_sha1 from own where outside is null").replace("4 - n_internal", "4 - n_internal + (i % 10 = 0)::int"),
     "eval_dropped_notes": _sql(LINKED, "select path, 'n' || (i + 4) || '>out/n' || (i + 4) || '.md' as external from own where outside is not null"),
 }
+
+# the search over the allowed documents only; the queries are those of all
+SQL["search_tags_any"] = SQL["search_e2e"].replace("from documents", "from allowed").replace("join documents", "join allowed").replace(DOC_Q.replace("from documents", "from allowed"), DOC_Q).replace("with ", "with allowed as (select * from documents where regexp_extract(source, '(\\d+)', 1)::int % 3 = 1), ", 1)
