@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,15 +93,24 @@ def centres_of(vectors: DataFrame, cells: int | None = None) -> tuple[np.ndarray
     return centres, probes_for(sample, centres)
 
 
+def _placed(held):
+    def run(batches):
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index("embedding"))
+            real = np.asarray(pc.fill_null(pc.greater(pc.list_value_length(column), 0), False))
+            cell = np.full(batch.num_rows, -1, dtype=np.int32)
+            if real.any() and len(held.value):
+                cell[real] = np.argmax(V._unit(column.filter(pa.array(real))) @ held.value.T, axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
+
+    return run
+
+
 def place(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
-    """vectors(block_uid, note_path, embedding) with their cell; -1 for null and empty ones, and without centres."""
-    real = F.coalesce(F.size("embedding") > 0, F.lit(False)) & F.lit(len(centres) > 0)
-    none = vectors.filter(~real).withColumn("cell", F.lit(-1))
-    if not len(centres):
-        return none
+    """vectors(block_uid, note_path, embedding) with their cell; -1 for null and empty ones, and without centres. Each
+    row is computed once, as an embedding may be dear."""
     held = vectors.sparkSession.sparkContext.broadcast(centres)
-    near = _cells(vectors.filter(real), held, 1).withColumn("cell", F.element_at("cells", 1)).drop("cells")
-    return near.unionByName(none)
+    return vectors.mapInArrow(_placed(held), T.StructType([*vectors.schema.fields, T.StructField("cell", T.IntegerType())]))
 
 
 def _in_parts(vectors: DataFrame, parts: DataFrame) -> DataFrame:

@@ -20,12 +20,14 @@ from collections.abc import Iterable
 from functools import reduce
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import porter
+from ..functions.text import embedding_input
 from ..operators import ann, lexical
 
 TABLES = ("notes", "blocks", "links", "vectors", "postings")
@@ -150,6 +152,18 @@ class Store:
         """All tables as they are now; {} before the first commit."""
         return {t: self._read(t) for t in TABLES} if self.manifest() else {}
 
+    def embedded(self, paths: list[str] | DataFrame) -> DataFrame | None:
+        """note_path, text (what was embedded), embedding of the blocks of these notes; None before the first commit."""
+        if not self.manifest():
+            return None
+        if isinstance(paths, DataFrame):
+            only = lambda df: df.join(paths.select(F.col("path").alias("note_path")).distinct(), "note_path", "left_semi")
+            blocks, vectors = only(self._read("blocks")), only(self._read("vectors"))
+        else:
+            blocks, vectors = self._read("blocks", paths), self._read("vectors", paths)
+        text = embedding_input(F.col("heading_path"), F.col("clean_text"))
+        return blocks.select("block_uid", "note_path", text.alias("text")).join(vectors.select("block_uid", "embedding"), "block_uid").drop("block_uid")
+
     def terms(self) -> DataFrame:
         """term, df: the moves of all segments together; no posting is read."""
         parts = [self._segment(s, "terms") for s in self.manifest()["segments"] if s["terms"]]
@@ -184,7 +198,7 @@ class Store:
         """Rows with their folder, dealt out by it; Spark splits folders of many rows."""
         if table == "vectors":
             placed = ann.place(rows, centres)
-            return placed.hint("rebalance", "cell").sortWithinPartitions("cell")
+            return placed.hint("rebalance", "cell").sortWithinPartitions("cell", "note_path")
         placed = rows.withColumn("bucket", _bucket(F.col(NOTE[table]), manifest["buckets"]))
         by = ("bucket", "term") if table == "postings" else ("bucket", NOTE[table])  # so that a scan skips row groups
         return placed.hint("rebalance", "bucket").sortWithinPartitions(*by)
@@ -210,6 +224,15 @@ class Store:
         low, high = BUCKETS
         notes = tables["notes"].count()
         manifest = {"version": version, "buckets": max(low, min(high, -(-notes // NOTES_A_BUCKET)))}
+        # read for the centres and again for the segment, so embedded once
+        tables = tables | {"vectors": tables["vectors"].persist(StorageLevel.MEMORY_AND_DISK)}
+        try:
+            return self._write_all(tables, manifest)
+        finally:
+            tables["vectors"].unpersist()
+
+    def _write_all(self, tables: dict[str, DataFrame], manifest: dict) -> int:
+        version = manifest["version"]
         centres, manifest["probes"] = ann.centres_of(tables["vectors"])
         if len(centres):
             manifest["centres"] = f"centres-{version:08d}-{uuid.uuid4().hex}"
@@ -253,7 +276,7 @@ class Store:
         keep, old = manifest["segments"][:first], manifest["segments"][first:]
         rows = {}
         for t in TABLES:
-            part, then = ("cell", "block_uid") if t == "vectors" else ("bucket", "term" if t == "postings" else NOTE[t])
+            part, then = ("cell", "note_path") if t == "vectors" else ("bucket", "term" if t == "postings" else NOTE[t])
             rows[t] = self._live(manifest, t, old).hint("rebalance", part).sortWithinPartitions(part, then)
         marks = None
         if keep:

@@ -24,16 +24,30 @@ from .sources import vault
 FAILURES = 20
 
 
-def index_tables(notes: DataFrame, cfg: Settings, embed=T.pseudo_embedding) -> dict[str, DataFrame]:
-    """All tables of the given notes. embed: a column function of the embedding input (a pandas UDF fits too).
-    A note whose block ids repeat keeps the first of each."""
+def _vectors(blocks: DataFrame, embed, old: DataFrame | None) -> DataFrame:
+    """block_uid, note_path, embedding. Blocks that old(note_path, text, embedding) has in the same note with the
+    same input, wherever they stood, keep their vector; only the others reach the embedder."""
+    text = T.embedding_input(F.col("heading_path"), F.col("clean_text"))
+    asked = blocks.select("block_uid", "note_path", text.alias("text"))
+    # a blank input has no vector rather than another block's
+    made = lambda rows: rows.select("block_uid", "note_path", F.when(F.trim("text") != "", embed(F.col("text"))).alias("embedding"))
+    if old is None:
+        return made(asked)
+    known = old.filter("embedding is not null").groupBy("note_path", F.sha2("text", 256).alias("same")).agg(F.first("embedding").alias("embedding"))
+    asked = asked.withColumn("same", F.sha2("text", 256))
+    kept = asked.join(known, ["note_path", "same"]).select("block_uid", "note_path", "embedding")
+    return kept.unionByName(made(asked.join(known, ["note_path", "same"], "left_anti")))
+
+
+def index_tables(notes: DataFrame, cfg: Settings, embed=T.pseudo_embedding, old: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables of the given notes. embed: a column function of the embedding input (a pandas UDF fits too); old:
+    what these notes' blocks were embedded from before, and their vectors. A note whose block ids repeat keeps the
+    first of each."""
     blocks = note_blocks(notes, cfg.min_chars, cfg.max_chars)
     first = F.row_number().over(W.partitionBy("block_uid").orderBy("char_start", "ord"))
     words = F.regexp_extract_all("clean_text", F.lit(porter.WORD), F.lit(0))
     blocks = blocks.withColumn("nth", first).filter("nth = 1").drop("nth").withColumn("dl", F.size(words).cast("long"))
-    text = T.embedding_input(F.col("heading_path"), F.col("clean_text"))
-    # a blank input has no vector rather than another block's
-    vectors = blocks.select("block_uid", "note_path", F.when(F.trim(text) != "", embed(text)).alias("embedding"))
+    vectors = _vectors(blocks, embed, old)
     flat = blocks.select("block_uid", "note_path", F.posexplode(words).alias("pos", "word")).groupBy("block_uid", "note_path", "word").agg(F.collect_list("pos").alias("at"))
     met = flat.join(porter.vocabulary(flat), "word").groupBy("term", "block_uid", "note_path").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("positions"))
     postings = met.select("term", "block_uid", "note_path", F.size("positions").cast("long").alias("tf"), "positions")
@@ -122,7 +136,10 @@ class Indexer:
         folders are read."""
         if changes <= S.LISTED:
             replaced, deleted = ([r.path for r in x.select("path").collect()] for x in (replaced, deleted))
-        return self.store.apply(index_tables(notes, self.cfg, self.embed), replaced, deleted)
+        return self.store.apply(self._tables(notes, replaced), replaced, deleted)
+
+    def _tables(self, notes: DataFrame, replaced) -> dict[str, DataFrame]:
+        return index_tables(notes, self.cfg, self.embed, self.store.embedded(replaced))
 
     def index_file(self, path: str, job_id: int = 3) -> dict:
         """One note, given by its path under the vault, is indexed again; one that the rules exclude is skipped."""
@@ -139,7 +156,7 @@ class Indexer:
                 notes = vault.notes_of(parsed)
                 if not notes.count():
                     raise FileNotFoundError(path)
-                version = self.store.apply(index_tables(notes, self.cfg, self.embed), [path])
+                version = self.store.apply(self._tables(notes, [path]), [path])
                 return {"indexed": path, "version": version, "indexed_files": 1}
             finally:
                 parsed.unpersist()

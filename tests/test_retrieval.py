@@ -282,6 +282,25 @@ def test_an_underscore_belongs_to_the_word(spark):
         assert r.got == want and (not plain or r.key == want), r
 
 
+def test_a_filtered_search_equals_a_search_over_the_filtered_corpus(spark):
+    from blockrank.plans import engine
+
+    rng = random.Random(17)
+    words = "boat sail crew harbour recipe cook salt storm rope tide".split()
+    rows = [(i, f"n{i % 9}", [], "", " ".join(rng.choice(words) for _ in range(12)), [rng.gauss(0, 1) for _ in range(4)]) for i in range(90)]
+    blocks = spark.createDataFrame([r[:5] for r in rows], "block_uid long, note_path string, heading_path array<string>, raw_text string, clean_text string")
+    vectors = spark.createDataFrame([(r[0], r[1], r[5]) for r in rows], "block_uid long, note_path string, embedding array<double>")
+    notes = spark.createDataFrame([(f"n{i}", ["x"] if i % 2 else ["y", "z"] if i % 3 else None) for i in range(9)], "path string, tags array<string>")
+    asked = spark.createDataFrame([(1, "boat storm", [1.0, 0.0, 0.5, 0.0]), (2, "cook salt", [0.0, 1.0, 0.0, -1.0])], "query_id long, text string, embedding array<double>")
+    allowed = {f"n{i}" for i in range(9) if i % 2 == 0 and i % 3}
+    only = lambda df: df.filter(F.col("note_path").isin(sorted(allowed)))
+    got = engine.search(asked, engine.filtered(engine.Corpus(blocks, vectors), notes, ["z", "none"]))
+    want = engine.search(asked, engine.Corpus(only(blocks), only(vectors)))
+    cols = ["query_id", "block_uid", "final_score", "ord"]
+    rows_of = lambda df: sorted(map(tuple, df.select(*cols).collect()))
+    assert rows_of(got) == rows_of(want) and {r.note_path for r in got.collect()} <= allowed
+
+
 def test_cell_index_finds_nearly_all_neighbours(spark, monkeypatch):
     from blockrank.operators import ann as A
     from blockrank.operators import vectors as V

@@ -11,7 +11,7 @@ from blockrank.config import DEFAULT
 from blockrank.operators import ann as A
 from blockrank.operators import vectors as V
 from blockrank.sources import store as S
-from blockrank.sync import index_tables
+from blockrank.sync import Indexer, index_tables
 
 NOTES = "path string, title string, aliases array<string>, tags array<string>, frontmatter string, body string, content_hash string, mtime double"
 
@@ -144,3 +144,35 @@ def test_stored_vectors_are_found_after_churn(spark, tmp_path):
     assert "dynamicpruning" in plan_of(found).lower() or "dynamicpruning" in plan_of(A.search(index, asked.limit(1), 10, probes=2)).lower()
     every = A.search(index, asked, 10, probes=len(index.centres))
     assert sorted(map(tuple, every.select("query_id", "block_uid").collect())) == sorted(map(tuple, exact.select("query_id", "block_uid").collect()))
+
+
+def test_only_changed_blocks_are_embedded_again(spark, tmp_path):
+    """Blocks put in, moved, changed and dropped: the embedder sees new inputs only, and vectors equal a rebuild's."""
+    import pandas as pd
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        calls.add(len(texts))
+        return texts.map(lambda t: [float(len(t)), float(sum(map(ord, t)) % 97), 1.0])
+
+    root = tmp_path / "vault"
+    root.mkdir()
+    block = lambda i: f"This is the block of number {i}, " + f"word{i} " * 15
+    note = lambda *ids: "\n\n".join(block(i) for i in ids) + "\n"
+    (root / "a.md").write_text(note(*range(8)))
+    (root / "b.md").write_text(note(20, 21))
+    ix = Indexer(spark, str(root), str(tmp_path / "s"), cfg=DEFAULT, embed=embed)
+    ix.rebuild()
+    assert calls.value == 10
+    calls.value = 0
+    (root / "a.md").write_text(note(0, 50, 1, 2, 7, 4, 5, 60))  # two new, three and six gone, seven moved
+    assert ix.sync()["modified"] == 1
+    assert calls.value == 2  # the two new blocks
+    calls.value = 0
+    ix.index_file("a.md")
+    assert calls.value == 0
+    other = Indexer(spark, str(root), str(tmp_path / "t"), cfg=DEFAULT, embed=embed)
+    other.rebuild()
+    assert rows_of(ix.store.read()["vectors"]) == rows_of(other.store.read()["vectors"])
