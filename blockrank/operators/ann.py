@@ -31,6 +31,11 @@ class CellIndex:
     vectors: DataFrame  # block_uid, note_path, embedding, row (its cell), part (of its cell)
     parts: DataFrame | None  # row, n_parts: cells of more than VECTOR_BLOCK vectors come in parts; None: counted for each search
     probes: int = 1  # cells that a query looks at
+    kept: DataFrame | None = None  # cached for this index
+
+    def close(self) -> None:
+        if self.kept is not None:
+            self.kept.unpersist()
 
 
 def fit_centres(sample: np.ndarray, cells: int) -> np.ndarray:
@@ -128,7 +133,7 @@ def build(vectors: DataFrame, cells: int | None = None) -> CellIndex:
     centres, probes = centres_of(own, cells)
     placed = place(own, centres).withColumnRenamed("cell", "row").persist()
     parts = _parts(placed)
-    return CellIndex(centres, _in_parts(placed, parts), parts, probes)
+    return CellIndex(centres, _in_parts(placed, parts), parts, probes, placed)
 
 
 def stored(centres: np.ndarray, vectors: DataFrame, probes: int) -> CellIndex:

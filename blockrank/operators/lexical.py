@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,20 +24,28 @@ class LexicalIndex:
     docs: DataFrame  # block_uid, note_path, dl, clean_text
     totals: DataFrame  # one row: n, avgdl
     terms_of: Callable[[DataFrame], DataFrame] | None = None  # (word) -> word, term; None where a token is its term
+    kept: list[DataFrame] = field(default_factory=list)  # cached for this index and its searches
+
+    def close(self) -> None:
+        """Free what was cached; results that were not read yet are computed again."""
+        while self.kept:
+            self.kept.pop().unpersist()
 
 
 def index_of(docs: DataFrame, postings: DataFrame, terms_of=None) -> LexicalIndex:
-    """The index of docs(block_uid, note_path, dl, clean_text) and postings(term, block_uid, tf)."""
+    """The index of docs(block_uid, note_path, dl, clean_text) and postings(term, block_uid, tf), which are kept (memory,
+    then disk) until it is closed."""
+    postings = postings.persist()
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).persist()
-    return LexicalIndex(postings, terms, docs, docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), terms_of)
+    return LexicalIndex(postings, terms, docs, docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), terms_of, [postings, terms])
 
 
 def build_index(blocks: DataFrame, tokens=T.index_tokens) -> LexicalIndex:
-    """blocks(block_uid, note_path, clean_text). The postings are kept (memory, then disk), as each search uses them several times."""
+    """blocks(block_uid, note_path, clean_text)."""
     own = blocks.select("block_uid", "note_path", "clean_text", tokens(F.col("clean_text")).alias("tokens"))
     postings = own.select("block_uid", F.explode("tokens").alias("term")).groupBy("term", "block_uid").agg(F.count(F.lit(1)).alias("tf"))
     docs = own.select("block_uid", "note_path", F.size("tokens").cast("long").alias("dl"), "clean_text")
-    return index_of(docs, postings.persist())
+    return index_of(docs, postings)
 
 
 def positional_index(blocks: DataFrame) -> LexicalIndex:
@@ -46,7 +54,7 @@ def positional_index(blocks: DataFrame) -> LexicalIndex:
     words = blocks.select("block_uid", "note_path", "clean_text", T.all_matches(F.lower("clean_text"), WORD).alias("words"))
     postings = words.select("block_uid", F.posexplode("words").alias("pos", "term")).groupBy("term", "block_uid").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
     docs = words.select("block_uid", "note_path", F.size("words").cast("long").alias("dl"), "clean_text")
-    return index_of(docs, postings.persist(), lambda rows: rows.select("word").distinct().withColumn("term", F.lower("word")))
+    return index_of(docs, postings, lambda rows: rows.select("word").distinct().withColumn("term", F.lower("word")))
 
 
 def with_phrases(tokens: DataFrame, index: LexicalIndex) -> tuple[DataFrame, LexicalIndex]:
@@ -139,6 +147,7 @@ def lexical_search(queries: DataFrame, index: LexicalIndex, top_k: int) -> DataF
     # kept: the queries' tokens and the first hits are used several times below
     tokens = tokens.withColumn("nth", F.row_number().over(per.orderBy("pos"))).persist()
     fetched = bm25_top(tokens.filter("nth <= 16"), index, 4 * top_k).persist()
+    index.kept += [tokens, fetched]
     low, high = F.min("bm25").over(per), F.max("bm25").over(per)
     normal = fetched.withColumn("norm", F.when(high == low, 1.0).otherwise((F.col("bm25") - low) / F.when(high == low, 1.0).otherwise(high - low)))
     total = tokens.groupBy("query_id").agg(F.sum("weight").alias("total"))

@@ -40,7 +40,7 @@ LINK_NOTES = [
 ]
 RAW_TARGETS = ["b%", " b%.md ", "", "https://e.org/%", "mailto:a@b%", "#top%", "#^k%", "pic%.PNG", "32.4 x%", "a%/b.md#h", "n%#^q", "x%.MD", ".hidden%", "/abs/note%", "t%."]
 CLEAN = ["a <!-- x\ny --> b", "[[A|Bee]] and [[Cee]]", "![alt](p.png) [ lab ](u) [ ](v) ![](w)", "see https://e.org/x) end", "```\ncode\n``` tail", "  many \t spaces   here\n", "[[ A ]] x", "中文 [[甲|乙]] 文"]
-PATHS = ["a%.md", ".obsidian/x%.md", ".obsidian-x/y%.md", "draft/z%.md", "draft2/z%.md", "n/private/q%.md", "t/_tmp%.md"]
+PATHS = ["a%.md", ".trash/x%.md", ".trash-x/y%.md", "draft/z%.md", "draft2/z%.md", "n/private/q%.md", "t/_tmp%.md"]
 #: The first note begins with a line of the document's text.
 NOTES = [("n%.md", "\n# A\none\n\n## B\ntwo\nmore ^id1\n### C\n\n  \nthree\n## D\n^solo\n"), ("m%.md", "# T\r\n\r\nx <!-- gone -->\r\n\r\n<!-- only -->\r\n\r\ny\r\n"), ("o%.md", "")]
 
@@ -99,7 +99,7 @@ def _of_documents(spark, d, values, name="text", keep=()) -> DataFrame:
 
 
 def path_exclude(spark, d):
-    return _of_documents(spark, d, PATHS, "path").select("path", vault.excluded(F.col("path"), ["**/.obsidian/**", "_*.md"], ["draft", "n/private"]).alias("excluded"))
+    return _of_documents(spark, d, PATHS, "path").select("path", vault.excluded(F.col("path"), ["**/.trash/**", "_*.md"], ["draft", "n/private"]).alias("excluded"))
 
 
 def _notes(spark, d) -> DataFrame:

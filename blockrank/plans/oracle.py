@@ -244,7 +244,7 @@ def _each(rows, names: str, text: str, extra: str = "") -> str:
 SQL = {
     "scan_inventory": "select source as note_path, count(*) as blocks, cast(sum(length(text)) as bigint) as chars from documents group by source",
     "content_hash": "select doc_id, sha1(text) as content_hash, greatest(1, length(text) // 4) as token_count_est from documents",
-    "path_exclude": _each([("a%.md", False), (".obsidian/x%.md", True), (".obsidian-x/y%.md", True), ("draft/z%.md", True), ("draft2/z%.md", False), ("n/private/q%.md", True), ("t/_tmp%.md", True)], "path, excluded", "path"),
+    "path_exclude": _each([("a%.md", False), (".trash/x%.md", True), (".trash-x/y%.md", True), ("draft/z%.md", True), ("draft2/z%.md", False), ("n/private/q%.md", True), ("t/_tmp%.md", True)], "path, excluded", "path"),
     "link_extract": _each(_LINKS, "src_note_path, kind, no, link_type, link_text, dst_note_path, dst_heading, dst_block_id", "src_note_path dst_note_path"),
     "link_target_parse": _each([(0, "b%.md", None, None), (1, "b%.md", None, None), (2, ".md", None, None), (3, "https://e.org/%.md", None, None), (4, "mailto:a@b%.md", None, None), (5, ".md", "top%", None), (6, ".md", None, "k%"), (7, "pic%.PNG.md", None, None), (8, "32.4 x%.md", None, None), (9, "a%/b.md", "h", None), (10, "n%.md", None, "q"), (11, "x%.MD.md", None, None), (12, ".hidden%.md", None, None), (13, "/abs/note%.md", None, None), (14, "t%..md", None, None)], "k, path, heading, block", "path heading block", "doc_id, "),
     "target_classify": _each([(0, "markdown_note_target", "b%.md"), (1, "markdown_note_target", "b%.md"), (2, "empty_target", None), (3, "external_scheme", None), (4, "external_scheme", None), (5, "same_note_anchor", None), (6, "same_note_anchor", None), (7, "non_markdown_target", None), (8, "non_markdown_target", None), (9, "markdown_note_target", "a%/b.md"), (10, "markdown_note_target", "n%.md"), (11, "markdown_note_target", "x%.MD"), (12, "markdown_note_target", ".hidden%.md"), (13, "markdown_note_target", "abs/note%.md"), (14, "markdown_note_target", "t%..md")], "k, status, normalized", "normalized", "doc_id, "),

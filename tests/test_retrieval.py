@@ -3,6 +3,7 @@
 import random
 import sqlite3
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockrank.config import DEFAULT, check_request
@@ -301,6 +302,19 @@ def test_a_filtered_search_equals_a_search_over_the_filtered_corpus(spark):
     assert rows_of(got) == rows_of(want) and {r.note_path for r in got.collect()} <= allowed
 
 
+def test_nothing_stays_cached_after_a_search_is_closed(spark):
+    from blockrank.plans import engine
+
+    spark.catalog.clearCache()
+    blocks = spark.createDataFrame([(i, f"n{i}", [], "", f"boat number{i} storm") for i in range(20)], "block_uid long, note_path string, heading_path array<string>, raw_text string, clean_text string")
+    corpus = engine.Corpus(blocks, spark.createDataFrame([(1, "n1", [1.0])], "block_uid long, note_path string, embedding array<double>"))
+    asked = spark.createDataFrame([(1, "boat storm", [1.0])], "query_id long, text string, embedding array<double>")
+    manager = spark._jsparkSession.sharedState().cacheManager()
+    assert engine.search(asked, corpus).count() and not manager.isEmpty()
+    corpus.close()
+    assert manager.isEmpty()
+
+
 def test_cell_index_finds_nearly_all_neighbours(spark, monkeypatch):
     from blockrank.operators import ann as A
     from blockrank.operators import vectors as V
@@ -328,3 +342,54 @@ def test_new_notes_come_as_a_stream(spark, tmp_path):
     _vault(tmp_path, b="second note")
     watch(spark, str(root), str(tmp_path / "c"), handle).awaitTermination(60)
     assert [x for x in seen if x] == [["a.md"], ["b.md"]]
+
+
+def test_requests_are_counted_and_timed(spark, tmp_path):
+    from blockrank.metrics import Metrics
+
+    m = Metrics(spark, str(tmp_path / "m"))
+    df = spark.createDataFrame([(1, 0.5), (1, 0.7), (2, 0.1)], "query_id long, final_score double")
+    assert len(m.run("search", df)) == 3 and m.run("search", df.filter("query_id = 1"), best=F.max("final_score"))[0].query_id == 1
+    assert m.last == {"rows": 2, "best": 0.7, "queries": 1}
+    m.run("blocks", df.select("final_score"), action=DataFrame.count)
+    try:
+        m.run("search", df.select(F.raise_error(F.lit("no"))))
+        raise AssertionError
+    except Exception as e:
+        assert "no" in str(e)
+    assert {(r.kind, r.status): (r.requests, r["rows"]) for r in m.counts().collect()} == {("search", "success"): (2, 5), ("blocks", "success"): (1, 3), ("search", "failed"): (1, None)}
+    rows = {(r.kind, r.le): r.requests for r in m.latencies().collect()}
+    assert rows["search", float("inf")] == 3 and rows["blocks", float("inf")] == 1
+    assert all(rows["search", a] <= rows["search", b] for a, b in zip((0.1, 1.0, 60.0), (0.25, 5.0, float("inf")), strict=True))
+
+
+def test_a_note_is_indexed_once_it_is_quiet(spark, tmp_path):
+    """Three quick edits of one note and one of another: one index call for each."""
+    import time
+
+    from blockrank.streaming.watch import index_quiet_notes
+
+    held = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    calls, inbox = [], tmp_path / "inbox"
+    inbox.mkdir()
+
+    class Recorder:
+        def index_file(self, path, job_id):
+            calls.append(path)
+
+    changes = spark.readStream.schema("path string, seen timestamp").json(str(inbox))
+    query = index_quiet_notes(changes, Recorder(), str(tmp_path / "c"), quiet_seconds=6.0)
+    try:
+        for i, path in enumerate(("a.md", "a.md", "b.md", "a.md")):
+            (tmp_path / "one").write_text(f'{{"path": "{path}", "seen": "2024-01-01T00:00:0{i}Z"}}')
+            (tmp_path / "one").rename(inbox / f"{i}.json")
+            time.sleep(0.5)
+        end = time.time() + 120
+        while len(calls) < 2 and time.time() < end:
+            time.sleep(0.5)
+        time.sleep(4)
+    finally:
+        query.stop()
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", held) if held else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert sorted(calls) == ["a.md", "b.md"]
