@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import posixpath
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,13 +14,26 @@ from ..functions import text as T
 from ..shipping import ship_package
 
 
-def excluded(path: Column, globs: list[str] = (), dirs: list[str] = ()) -> Column:
-    """A path under one of dirs, or one that a glob matches or begins (`**/` and `/**` taken off)."""
+def normal_dirs(dirs: list[str], root: str = "") -> list[str]:
+    """Directories relative to the vault, `.` and `..` resolved by name (links are not followed); absolute ones must
+    lie in it. Those outside are dropped; an empty string stands for the vault itself."""
+    base = posixpath.normpath("/" + root.split("://")[-1].strip("/")) if root else "/vault"
+    out = []
+    for d in filter(None, dirs):
+        d = d.split("://")[-1]
+        full = posixpath.normpath(posixpath.expanduser(d) if d.startswith(("/", "~")) else posixpath.join(base, d))
+        if full == base:
+            out.append("")
+        elif full.startswith(base.rstrip("/") + "/"):
+            out.append(full[len(base.rstrip("/")) + 1 :])
+    return out
+
+
+def excluded(path: Column, globs: list[str] = (), dirs: list[str] = (), root: str = "") -> Column:
+    """A path (under root) in one of dirs, or one that a glob matches or begins (`**/` and `/**` taken off)."""
     no = F.lit(False)
-    for d in dirs:
-        d = d.strip("/")
-        if d and not d.startswith(".."):
-            no = no | path.startswith(f"{d}/") | (path == d)
+    for d in normal_dirs(list(dirs), root):
+        no = no | path.startswith(f"{d}/") | (path == d) if d else F.lit(True)
     for g in globs:
         plain = g.replace("**/", "").replace("/**", "")
         regex = "".join(".*" if c == "**" else "[^/]*" if c == "*" else "[^/]" if c == "?" else "\\" + c if c in r"\.^$+{}()|[]" else c for c in _parts(g))
@@ -43,7 +57,14 @@ def scan(spark: SparkSession, root: str, globs: list[str] = (), dirs: list[str]
     base = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(base if only is None else f"{base}/{only}")
     rel = F.element_at(F.split(F.col("path"), base.split("://")[-1] + "/", 2), -1)
-    return files.select(rel.alias("path"), F.col("content"), F.col("modificationTime").cast("double").alias("mtime")).filter(~excluded(F.col("path"), globs, dirs)).dropDuplicates(["path"])
+    return files.select(rel.alias("path"), F.col("content"), F.col("modificationTime").cast("double").alias("mtime")).filter(~excluded(F.col("path"), globs, dirs, base)).dropDuplicates(["path"])
+
+
+def copy_subset(spark: SparkSession, root: str, folder: str, target: str) -> DataFrame:
+    """The notes under a folder of the vault, written as a table (path, content, mtime) under target and read back; it
+    can be parsed like the files themselves."""
+    scan(spark, root).filter(F.col("path").startswith(folder.strip("/") + "/")).write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
 
 
 @F.pandas_udf(StructType([StructField("json", StringType()), StructField("error", StringType())]))

@@ -144,7 +144,7 @@ class Indexer:
     def index_file(self, path: str, job_id: int = 3) -> dict:
         """One note, given by its path under the vault, is indexed again; one that the rules exclude is skipped."""
         named = self.spark.createDataFrame([(path,)], "path string")
-        if named.filter(vault.excluded(F.col("path"), self.globs, self.dirs)).count():
+        if named.filter(vault.excluded(F.col("path"), self.globs, self.dirs, self.vault_root)).count():
             return {"skipped": path, "reason": "excluded"}
 
         def run():

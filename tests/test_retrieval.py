@@ -393,3 +393,34 @@ def test_a_note_is_indexed_once_it_is_quiet(spark, tmp_path):
         query.stop()
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", held) if held else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert sorted(calls) == ["a.md", "b.md"]
+
+
+def test_exclude_dirs_are_resolved_against_the_vault(spark, tmp_path):
+    from blockrank.sources import vault
+
+    root = str(tmp_path / "vault")
+    cases = {"a": "a", "a/": "a", "./a/b": "a/b", "a/../c": "c", "../out": None, "a/../../out": None, f"{root}/x/y": "x/y", "/elsewhere": None, "": None, ".": "", f"file://{root}/z": "z", root: "", f"{root}2/q": None}
+    for given, want in cases.items():
+        assert vault.normal_dirs([given], root) == ([] if want is None else [want]), given
+    (tmp_path / "vault" / "a" / "b").mkdir(parents=True)
+    (tmp_path / "vault" / "ab").mkdir()
+    for p in ("a/one.md", "a/b/two.md", "ab/three.md", "four.md"):
+        (tmp_path / "vault" / p).write_text("x")
+    paths = lambda **kw: sorted(r.path for r in vault.scan(spark, root, **kw).select("path").collect())
+    assert paths(dirs=[f"{root}/a/b", "../vault2"]) == ["a/one.md", "ab/three.md", "four.md"]
+    assert paths(dirs=["ab/../a"]) == ["ab/three.md", "four.md"] and paths(dirs=["."]) == []
+    copy = vault.copy_subset(spark, root, "a", str(tmp_path / "copy"))
+    assert sorted(r.path for r in vault.read_notes(copy).collect()) == ["a/b/two.md", "a/one.md"]
+
+
+def test_evaluation_report_is_written(spark, tmp_path):
+    from blockrank.operators import evaluation as E
+
+    pred = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 20, 1)], "query_id long, target long, rank int")
+    truth = spark.createDataFrame([(1, 10), (1, 12), (2, 21)], "query_id long, target long")
+    metrics = E.write_report(E.prediction_table(pred, truth), str(tmp_path / "r"))
+    assert metrics["hit_at_5"] == 0.5 and metrics["mrr"] == 0.5
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "r" / "report")).collect())
+    assert "Worst misses" in text and "- mrr: 0.5000" in text
+    assert spark.read.json(str(tmp_path / "r" / "predictions")).count() == 2
+    assert spark.read.json(str(tmp_path / "r" / "metrics")).first().mrr == 0.5
