@@ -35,6 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
     return str(spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
+_written: dict[str, set[str]] = {}
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once under the shared folder and read it back.
 
@@ -42,18 +45,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     ship_package(spark)
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _written.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete materialised tables that no later plan reads."""
     for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._written_at)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._written_at)
+
+
+def release(spark: SparkSession, keep: tuple[DataFrame, ...] = ()) -> int:
+    """Delete what this session has materialised, but for the tables to keep: for use once all results that were built
+    on it are read or written. Returns how many tables went."""
+    kept = {df._written_at for df in keep}
+    gone = [p for p in _written.get(spark.sparkContext.applicationId, set()) if p not in kept]
+    for path in gone:
+        _delete(spark, path)
+    return len(gone)
 
 
 BITMAP_BITS = 24

@@ -738,3 +738,16 @@ def test_token_counts_are_added_by_a_tree(spark, monkeypatch):
     for words in near_dedup._sequences(column):
         count.update((words >> np.uint64(64 - line_dedup.COUNTER_BITS)).tolist())
     assert all(got[k] == min(255, int(math.log2(v + 1) * 8)) for k, v in count.items()) and (got > 0).sum() == len(count)
+
+
+def test_release_leaves_nothing_but_what_is_kept(spark):
+    from blockrank.llm import common
+
+    common.release(spark)
+    found = line_dedup.dedup_lines(docs(spark, ["a b c\na b c", "a b c", None])).select("doc_id", "n_removed").collect()
+    assert sum(r.n_removed for r in found) == 2
+    kept = common.materialise(spark.range(3).toDF("id"), "kept")
+    assert common.release(spark, keep=(kept,)) > 0 and kept.count() == 3
+    root = spark._jvm.org.apache.hadoop.fs.Path(common.shared_dir(spark))
+    names = [f.getPath().getName() for f in root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)]
+    assert [n for n in names if not n.startswith("kept-")] == [] and common.release(spark) == 1
