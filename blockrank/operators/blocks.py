@@ -61,12 +61,45 @@ def split_long(blocks: DataFrame, max_chars: int = 1200) -> DataFrame:
     """Fixed slices of clean_text, in order; a short block stays as it is."""
     n = F.ceil(F.length("clean_text") / max_chars).cast("int")
     parts = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.substring("clean_text", i * max_chars + 1, F.lit(max_chars)))
-    out = blocks.withColumn("parts", parts).select("*", F.posexplode("parts").alias("part", "slice"), F.size("parts").alias("n_parts")).drop("parts")
+    return _numbered(blocks.withColumn("parts", parts).select("*", F.posexplode("parts").alias("part", "slice"), F.size("parts").alias("n_parts")).drop("parts"))
+
+
+def _numbered(out: DataFrame) -> DataFrame:
+    """Ids of the parts of a block; a block of one part keeps its own."""
     many = F.col("n_parts") > 1
     number = (F.col("part") + 1).cast("string")
     return out.withColumns({"block_uid": F.when(many, F.concat("block_uid", F.lit(":part"), number)).otherwise(F.col("block_uid").cast("string")), "block_id": F.when(many, F.concat("block_id", F.lit("-part"), number)).otherwise(F.col("block_id")), "clean_text": F.col("slice")}).drop("slice", "n_parts")
 
 
+#: A sentence with its end marks and the space behind them, or the rest of the text.
+SENTENCE = "[^.!?。！？]*[.!?。！？]+ *|[^.!?。！？]+"
+
+
+def split_overlapping(blocks: DataFrame, max_chars: int = 1200, overlap: int = 120) -> DataFrame:
+    """Long blocks in parts of whole sentences: a part takes sentences as long as it has at most max_chars characters,
+    and the next one begins with the last sentences of it that have at most overlap characters together (fewer, if its
+    first new sentence would not fit). A sentence of more than max_chars comes in slices of that length. A short
+    block stays as it is, with its ids. One fold over the sentences of a block; its state is the part under way."""
+    keep = blocks.columns
+    sliced = lambda s: F.transform(F.sequence(F.lit(0), F.ceil(F.length(s) / max_chars).cast("int") - 1), lambda k: F.substring(s, k * max_chars + 1, F.lit(max_chars)))
+    pieces = F.when(F.length("clean_text") <= max_chars, F.array("clean_text")).otherwise(F.flatten(F.transform(T.all_matches(F.col("clean_text"), SENTENCE), sliced)))
+    sizes = F.transform("pieces", lambda p, i: F.struct(i.alias("i"), F.length(p).alias("n")))
+    total = lambda own: F.aggregate(own, F.lit(0), lambda a, n: a + n)
+
+    def step(s, piece):
+        after = lambda j: F.slice(s["own"], j + 1, F.greatest(F.size(s["own"]), F.lit(1)))
+        first = F.get(F.filter(F.sequence(F.lit(1), F.greatest(F.size(s["own"]), F.lit(1))), lambda j: (total(after(j)) <= overlap) & (total(after(j)) + piece["n"] <= max_chars)), F.lit(0))
+        longer = F.struct(s["cuts"].alias("cuts"), s["from"].alias("from"), F.concat(s["own"], F.array(piece["n"])).alias("own"))
+        cut = F.struct(F.concat(s["cuts"], F.array(F.struct(s["from"].alias("from"), piece["i"].alias("to")))).alias("cuts"), (s["from"] + first).alias("from"), F.concat(after(first), F.array(piece["n"])).alias("own"))
+        return F.when(total(s["own"]) + piece["n"] <= max_chars, longer).otherwise(cut)
+
+    start = F.struct(F.array().cast("array<struct<from:int,to:int>>").alias("cuts"), F.lit(0).alias("from"), F.array().cast("array<int>").alias("own"))
+    cuts = F.aggregate(sizes, start, step, lambda s: F.concat(s["cuts"], F.array(F.struct(s["from"].alias("from"), F.size("pieces").alias("to")))))
+    parts = F.transform(cuts, lambda c: F.trim(F.array_join(F.slice("pieces", c["from"] + 1, c["to"] - c["from"]), "")))
+    out = blocks.withColumn("pieces", pieces).withColumn("parts", parts).select(*keep, F.posexplode("parts").alias("part", "slice"), F.size("parts").alias("n_parts"))
+    return _numbered(out)
+
+
 def finish(blocks: DataFrame) -> DataFrame:
     return blocks.withColumns({"block_hash": F.sha1("clean_text"), "token_count_est": T.token_estimate(F.col("clean_text"))})
 

@@ -173,6 +173,11 @@ def block_split_fixed(spark, d):
     return B.split_long(b, 1200).select("block_uid", "block_id", F.col("part").cast("long").alias("part"), F.sha1("clean_text").alias("block_hash"))
 
 
+def block_split_overlap(spark, d):
+    b = _blocks(spark, d).withColumns({"block_id": F.col("block_uid").cast("string"), "ord": F.lit(0), "clean_text": T.squeeze(F.col("clean_text"))})
+    return B.split_overlapping(b).select("block_uid", F.col("part").cast("long").alias("part"), F.length("clean_text").cast("long").alias("n_chars"), F.sha1("clean_text").alias("block_hash"))
+
+
 def embed_input_heading(spark, d):
     return _turns(spark, d).select("block_uid", F.sha1(T.embedding_input(F.col("heading_path"), F.col("clean_text"))).alias("input_sha1"))
 
@@ -486,7 +491,7 @@ def eval_dropped_notes(spark, d):
 
 NAMES = """scan_inventory content_hash path_exclude link_extract link_target_parse target_classify link_resolve eval_dataset
 clean_text_fixture clean_text_pages tag_extract token_extract highlight_tokens heading_stack_blocks block_merge_short
-block_split_fixed embed_input_heading embed_input_sliding pseudo_embedding token_df informative_tokens bm25_topk lexical_search
+block_split_fixed block_split_overlap embed_input_heading embed_input_sliding pseudo_embedding token_df informative_tokens bm25_topk lexical_search
 like_fallback lexical_search_cjk phrase_topk fts_porter_topk cosine_topk cosine_topk_exclude ann_topk near_vector_pairs near_hit_removal hit_clusters query_expand merge_candidates merge_scored_hits graph_boost
 fuse_scores threshold_relax note_diversity anchor_rerank dedup_hits group_by_note enrich_hits search_e2e search_tags_any query_block_e2e
 query_note_e2e file_diff delete_note_cascade blocks_by_note job_latest index_status eval_metrics eval_worst eval_predictions

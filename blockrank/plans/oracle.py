@@ -261,6 +261,17 @@ SQL = {
 g as (select *, sum(opens::int) over (partition by note_path order by ord) as grp from (select *, length(clean_text) >= 80 or row_number() over (partition by note_path order by ord) = 1 as opens from b)),
 m as (select note_path, arg_min(block_uid, ord) as block_uid, string_agg(raw_text, chr(10) order by ord) as raw_text, min(ord) as char_start, max(ord) as char_end from g group by note_path, grp)""", f"select block_uid, note_path, sha1(raw_text) as raw_sha1, sha1({CLEAN.format(x='raw_text')}) as block_hash, char_start, char_end from m"),
     "block_split_fixed": "select case when n > 1 then doc_id || ':part' || (part + 1) else doc_id::varchar end as block_uid, case when n > 1 then doc_id || '-part' || (part + 1) else doc_id::varchar end as block_id, part, sha1(substring(text, (part * 1200 + 1)::bigint, 1200)) as block_hash from (select doc_id, text, greatest(1, ceil(length(text) / 1200)::bigint) as n, unnest(range(greatest(1, ceil(length(text) / 1200)::bigint))) as part from documents)",
+    "block_split_overlap": _sql(
+        r"plain as (select doc_id, trim(regexp_replace(text, '[\s\x{a0}\x{0b}\x{85}\x{2028}\x{2029}]+', ' ', 'g')) as t from documents)",
+        "sentences as (select doc_id, t, i, unnest(range(greatest(1, ceil(length(s) / 1200)::bigint))) as k, s from (select doc_id, t, unnest(m) as s, generate_subscripts(m, 1) as i from (select doc_id, t, case when length(t) <= 1200 then [t] else regexp_extract_all(t, '[^.!?。！？]*[.!?。！？]+ *|[^.!?。！？]+') end as m from plain)))",
+        "pieces as (select doc_id, list(p order by i, k) as ps from (select doc_id, i, k, case when length(t) <= 1200 then t else substring(s, k * 1200 + 1, 1200) end as p from sentences) group by doc_id)",
+        "sums as (select doc_id, ps, list_concat([0], list(e order by n)) as upto from (select doc_id, ps, n, sum(length(ps[n])) over (partition by doc_id order by n) as e from (select doc_id, ps, unnest(range(1, len(ps) + 1)) as n from pieces)) group by doc_id, ps)",
+        """parts as (select doc_id, ps, upto, 0 as part, 0::bigint as a, list_max([e for e in range(1, len(ps) + 1) if upto[e + 1] <= 1200]) as b from sums
+  union all select doc_id, ps, upto, part + 1, f, list_max([e for e in range(f + 1, len(ps) + 1) if upto[e + 1] - upto[f + 1] <= 1200]) from (
+    select *, list_min([j for j in range(a + 1, b + 1) if upto[b + 1] - upto[j + 1] <= 120 and upto[b + 2] - upto[j + 1] <= 1200]) as f from parts where b < len(ps)))""",
+        "cut as (select doc_id, part, trim(array_to_string(ps[a + 1:b], '')) as t, count(*) over (partition by doc_id) as n from parts)",
+        "select case when n > 1 then doc_id || ':part' || (part + 1) else doc_id::varchar end as block_uid, cast(part as bigint) as part, length(t) as n_chars, sha1(t) as block_hash from cut",
+    ).replace("with ", "with recursive ", 1),
     "embed_input_heading": _sql(TURNS, "select block_uid, sha1(substring('Heading: ' || role || chr(10) || 'Current: ' || clean_text, 1, 2400)) as input_sha1 from b"),
     "embed_input_sliding": _sql(TURNS, "select block_uid, sha1(substring('Heading: ' || role || chr(10) || coalesce('Neighbor: ' || lag(clean_text) over w || chr(10), '') || 'Current: ' || clean_text || coalesce(chr(10) || 'Neighbor: ' || lead(clean_text) over w, ''), 1, 2400)) as input_sha1 from b window w as (partition by note_path order by ord)"),
     "pseudo_embedding": "with r as (select doc_id, i, ('0x' || substring(sha256(text), 2 * (i % 32) + 1, 2))::int / 255.0::double - 0.5::double as x from documents, range(64) t(i)), n as (select doc_id, sqrt(sum(x * x)) as norm from r group by 1) select doc_id, " + ", ".join(f"round(max(x / norm) filter (i = {i}), 6) as v{i}" for i in range(4)) + ", round(sum((x / norm) * (x / norm)), 6) as norm from r join n using (doc_id) group by doc_id",

@@ -58,6 +58,30 @@ def test_long_blocks_keep_their_text(spark):
     assert got == [("n:a:part1", 1200), ("n:a:part2", 1200), ("n:a:part3", 100), ("n:b", 5)]
 
 
+def test_overlapping_parts_hold_whole_sentences(spark):
+    import re
+
+    rng = random.Random(19)
+    texts = ["short one.", "", "x" * 130 + ".", " ".join(f"s{i} " + "word " * rng.randint(1, 9) + rng.choice((".", "!", "。", "?!")) for i in range(60)), "no end " * 40]
+    texts = [" ".join(t.split()) for t in texts]
+    blocks = spark.createDataFrame([(f"n:{i}", str(i), t) for i, t in enumerate(texts)], "block_uid string, block_id string, clean_text string")
+    got = {}
+    for r in B.split_overlapping(blocks, 100, 30).orderBy("part").collect():
+        got.setdefault(r.block_uid.split(":part")[0], []).append(r.clean_text)
+    for i, t in enumerate(texts):
+        pieces = [t] if len(t) <= 100 else [s[k : k + 100] for s in re.findall(B.SENTENCE, t) for k in range(0, len(s), 100)]
+        want, own = [], []
+        for p in pieces:
+            if own and len("".join(own)) + len(p) > 100:
+                want.append("".join(own).strip(" "))
+                while own and (len("".join(own)) > 30 or len("".join(own)) + len(p) > 100):
+                    own = own[1:]
+            own = own + [p]
+        want.append("".join(own).strip(" "))
+        assert got[f"n:{i}"] == want, i
+        assert all(len(x) <= 100 for x in want)
+
+
 def test_links_are_stripped_to_visible_text(spark):
     cases = {
         "a [[b|Bee]] [[c#x]] ![p](d.md) [q](https://e.org) [[32.4 x]]": "a Bee c p [q](https://e.org) [[32.4 x]]",
