@@ -64,11 +64,15 @@ def forget(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df._written_at)
 
 
-def release(spark: SparkSession, keep: tuple[DataFrame, ...] = ()) -> int:
-    """Delete what this session has materialised, but for the tables to keep: for use once all results that were built
-    on it are read or written. Returns how many tables went."""
-    kept = {df._written_at for df in keep}
-    gone = [p for p in _written.get(spark.sparkContext.applicationId, set()) if p not in kept]
+def written(spark: SparkSession) -> frozenset[str]:
+    """The tables that this session has materialised and not deleted."""
+    return frozenset(_written.get(spark.sparkContext.applicationId, ()))
+
+
+def release(spark: SparkSession, keep: tuple[DataFrame, ...] = (), older: frozenset[str] = frozenset()) -> int:
+    """Delete what this session has materialised, but for the tables to keep and those of an older state (`written`): for
+    use once all results that were built on it are read or written. Returns how many tables went."""
+    gone = written(spark) - older - {df._written_at for df in keep}
     for path in gone:
         _delete(spark, path)
     return len(gone)
