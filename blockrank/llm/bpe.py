@@ -25,10 +25,12 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,7 +69,7 @@ def _murmur(long: np.ndarray, seed: np.ndarray) -> np.ndarray:
 
 def pair_table(ranks: dict[bytes, int]) -> np.ndarray:
     """Two-choice hash table: (left << 20 | right) << 20 | rank, or EMPTY; its size is a power of two."""
-    left, right, rank = [], [], []
+    left, right, rank = array("q"), array("q"), array("q")
     for token, r in ranks.items():
         for cut in range(1, len(token)):
             a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
@@ -224,14 +226,32 @@ def _states(words: list[bytes], tok_single: np.ndarray, couples: np.ndarray) ->
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(begin_states(np.frombuffer(b"".join(words), dtype=np.uint8), ends, tok_single, couples)))
 
 
+def _word_counts(pattern: str, text: str):
+    """The words of a task's texts with their counts, the most frequent KNOWN_WORDS of them."""
+
+    def run(batches):
+        find, seen = regex.compile(pattern).findall, Counter()
+        for batch in batches:
+            for t in batch.column(text):
+                seen.update(find(t.as_py()))
+        top = seen.most_common(KNOWN_WORDS)
+        for lo in range(0, len(top), 10_000):
+            words, counts = zip(*top[lo : lo + 10_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["word", "n"])
+
+    return run
+
+
 def known_words(docs: DataFrame, tok: Tokenizer, text: str) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-    """(place of a word, ends, ids): the folded words of the sample."""
-    seen: Counter[str] = Counter()
-    find = regex.compile(tok.pattern).findall
-    for r in docs.select(F.col(text).alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES).head(SAMPLE_TEXTS):
-        seen.update(find(r.text))
-    words = [w for w, n in seen.most_common(KNOWN_WORDS) if n > 1]
-    words = [b for b in map(str.encode, words) if b not in tok.ranks and len(b) <= LONG_WORD]
+    """(place of a word, ends, ids): the folded frequent words of a sample of about SAMPLE_TEXTS texts, counted in
+    tasks; at most KNOWN_WORDS words reach the driver."""
+    total = docs.count()
+    sample = docs.select(F.col(text).alias("t")).filter(F.octet_length("t") <= SAMPLE_BYTES)
+    if total > 2 * SAMPLE_TEXTS:
+        sample = sample.sample(SAMPLE_TEXTS / total, seed=7)
+    counted = sample.mapInArrow(_word_counts(tok.pattern, "t"), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counted.filter("n > 1").orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).select("word").toArrow()
+    words = [b for b in map(str.encode, top["word"].to_pylist()) if b not in tok.ranks and len(b) <= LONG_WORD]
     if not words:
         return {}, np.zeros(1, np.int64), np.zeros(0, np.int32)
     spark = docs.sparkSession
@@ -240,9 +260,10 @@ def known_words(docs: DataFrame, tok: Tokenizer, text: str) -> tuple[dict[bytes,
     states = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.concat_arrays([_states(x, tok.single, tok.couples) for x in rows]))
     table = pa.table({"no": pa.array(range(deal), pa.int64()), "words": states})
     folded = spark.createDataFrame(table).repartition(deal).select("no", F.col("words"), tok.literal("pairs").alias("pairs")).select("no", F.transform("words", lambda w: fold_merges(w, F.col("pairs"), tok.mask)).alias("ids"))
-    ids = [x for r in sorted(folded.collect(), key=lambda r: r.no) for x in r.ids]
-    words = [w for x in rows for w in x]
-    return dict(zip(words, range(len(words)), strict=True)), np.cumsum([0, *map(len, ids)]), np.concatenate([np.array(x, dtype=np.int32) for x in ids])
+    ids = folded.toArrow().sort_by("no")["ids"].combine_chunks().flatten()
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())])
+    places = dict(zip((w for x in rows for w in x), range(len(words)), strict=True))
+    return places, ends, ids.flatten().to_numpy().astype(np.int32)
 
 
 def _splitter(ranks_held, pattern: str, text: str, keep: list[str], chunk_bytes: int):
