@@ -278,15 +278,15 @@ def _links_within(posted: DataFrame, buckets: DataFrame, texts: DataFrame, class
     placed = posted.join(classes.select("id", "class"), "id", "left").withColumn("class", F.coalesce("class", "id"))
     open_ = placed.groupBy("band").agg(F.min("class").alias("c"), F.max("class").alias("z")).filter("c <> z")
     open_ = buckets.filter("size > 2").join(open_, "band").groupBy("a", "size", "sign").agg(F.min("band").alias("band")).select("band")
-    members = materialise(hot_join(placed, open_, "band", hot=hot_keys(posted, "band")).join(texts.select("id", "n"), "id"), "near-open")
+    members = materialise(hot_join(placed, open_, "band", hot=hot_keys(posted, "band")), "near-open")
     own = F.floor(F.log("n") / math.log(1 / SIMILARITY)).cast("int")
-    cells = materialise(members.select("band", "id", "class", own.alias("own")).select("*", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("cell")).withColumn("group", F.xxhash64("band", "cell")), "near-cells")
+    cells = materialise(members.select("band", "id", "n", "class", own.alias("own")).select("*", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("cell")).withColumn("group", F.xxhash64("band", "cell")), "near-cells")
     # a cell of one class has nothing to compare, nor has one that all its texts are only guests of
     worth = (F.col("rows") > 1) & F.col("home") & (F.col("c") != F.col("z"))
     tiles = cells.groupBy("group").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("own") == F.col("cell")).alias("home"), F.min("class").alias("c"), F.max("class").alias("z"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).filter(worth).select("group", "tiles")
     dealt = hot_join(cells, tiles, "group").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("band", "cell", F.least("tile", "with").alias("one"), F.greatest("tile", "with").alias("two"), "tile", "own", "id", "class")
-    dealt = dealt.join(texts.select("id", "n", "map"), "id")
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("band", "cell", F.least("tile", "with").alias("one"), F.greatest("tile", "with").alias("two"), "tile", "own", "id", "n", "class")
+    dealt = dealt.join(texts.select("id", "map"), "id")
     pairs = materialise(dealt.groupBy("band", "cell", "one", "two").applyInArrow(_possible_pairs, "a long, b long").distinct(), "near-pairs")
     links = _verified(pairs, texts)
     forget(members, cells, pairs)
@@ -301,7 +301,7 @@ def _texts_and_rows(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Da
     reps = sketched.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     # numbers of texts, not their ids, which may be null or shared; written, so that they stay
     reps = materialise(reps.select(F.monotonically_increasing_id().alias("node"), "*"), "near-texts")
-    posted = materialise(reps.filter("n > 0").select(F.col("node").alias("id"), F.explode("bands").alias("band")), "near-bands")
+    posted = materialise(reps.filter("n > 0").select(F.col("node").alias("id"), "n", F.explode("bands").alias("band")), "near-bands")
     # sign tells buckets of the same texts
     buckets = posted.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("sign")).filter("size > 1")
     buckets = materialise(buckets, "near-buckets")
