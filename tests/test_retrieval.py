@@ -184,6 +184,10 @@ def test_one_file_is_indexed_or_skipped(spark, tmp_path):
     assert ix.store.links_from("a.md").count() == 0 and ix.store.note("b.md").count() == 1
     assert {r.term for r in ix.store.read()["postings"].filter("note_path = 'a.md'").collect()} == {"chang", "word"}
     assert ix.store.dashboard().first().notes == 2
+    from blockrank.sources import vault
+
+    both = ix.store.dashboard(vault.scan(spark, str(root))).first()
+    assert (both.notes, both.vault_files, both.not_indexed) == (2, 3, 1)
 
 
 def test_a_failed_write_leaves_the_store_usable(spark, tmp_path):
