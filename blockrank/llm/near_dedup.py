@@ -280,10 +280,13 @@ def _links_within(posted: DataFrame, buckets: DataFrame, texts: DataFrame, class
     open_ = buckets.filter("size > 2").join(open_, "band").groupBy("a", "size", "sign").agg(F.min("band").alias("band")).select("band")
     members = materialise(hot_join(placed, open_, "band", hot=hot_keys(posted, "band")), "near-open")
     own = F.floor(F.log("n") / math.log(1 / SIMILARITY)).cast("int")
-    cells = materialise(members.select("band", "id", "n", "class", own.alias("own")).select("*", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("cell")).withColumn("group", F.xxhash64("band", "cell")), "near-cells")
-    # a cell of one class has nothing to compare, nor has one that all its texts are only guests of
-    worth = (F.col("rows") > 1) & F.col("home") & (F.col("c") != F.col("z"))
-    tiles = cells.groupBy("group").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("own") == F.col("cell")).alias("home"), F.min("class").alias("c"), F.max("class").alias("z"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).filter(worth).select("group", "tiles")
+    # a text is at home in the cell of its length, and a guest in the one below where any text is at home there
+    home = members.select("band", "id", "n", "class", own.alias("own"), own.alias("cell"))
+    guest = home.withColumn("cell", F.col("own") - 1).join(home.select("band", "cell").distinct(), ["band", "cell"], "left_semi").select(*home.columns)
+    cells = materialise(home.union(guest).withColumn("group", F.xxhash64("band", "cell")), "near-cells")
+    # a cell of one class has nothing to compare
+    worth = (F.col("rows") > 1) & (F.col("c") != F.col("z"))
+    tiles = cells.groupBy("group").agg(F.count(F.lit(1)).alias("rows"), F.min("class").alias("c"), F.max("class").alias("z"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).filter(worth).select("group", "tiles")
     dealt = hot_join(cells, tiles, "group").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("band", "cell", F.least("tile", "with").alias("one"), F.greatest("tile", "with").alias("two"), "tile", "own", "id", "n", "class")
     dealt = dealt.join(texts.select("id", "map"), "id")
