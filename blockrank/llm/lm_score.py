@@ -11,14 +11,15 @@ inside each text: after each segment of it (256 bytes at first, then a sixteenth
 weights take a step along their gradient and the cells count their bits. So a text's score depends on the
 training texts and on the text alone. The sum is a probability of the whole text, hence bits per byte.
 
-What is learned: token counts (exact, over all training texts), the trees and the predictors' counts
-(over all training texts; sums, so neither partitions nor order matter), and the first weights and cells,
-fitted on a bounded sample: SAMPLE_BYTES of whole training texts by least hash, each decision without its
-own occurrence. Tables have 2**12 to 2**MAX_BITS slots by the corpus's size, because they are broadcast (10
+What is learned, all of it from all training texts and from sums, so that neither partitions nor order matter: token
+counts, the trees, the predictors' counts, and the first weights and cells. For these each training decision, without
+its own occurrence, is put into a joint histogram (place in the word, bit, and the size class of each context's
+prediction), whose size does not depend on the corpus; the driver fits the weights to the whole histogram by Newton
+steps. A size class stands for the mean of its predictions, which follows from the predictors' counts. Tables have 2**12 to 2**MAX_BITS slots by the corpus's size, because they are broadcast (10
 MB in all); above that, contexts share slots, and the weights learn how little such a table then says.
 
 Plan: one pass over the texts makes blocks (the spelled texts, and their distinct words by 64-bit hash with
-training counts). Counts are aggregated by word; each block's distinct words, not the occurrences, are joined with
+training counts). Two passes over the blocks count decisions: by slot, then in the histogram. Counts are aggregated by word; each block's distinct words, not the occurrences, are joined with
 them and meet the block again in one co-group, which also runs the model over the block's texts, many side by side.
 
 Defined results: a null text is empty, an empty text is one end; rows without a doc_id are for training;
@@ -29,6 +30,7 @@ not read.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 
@@ -42,14 +44,18 @@ from pyspark.sql import functions as F
 from .common import crc_mod, materialise, read_table
 from .text_kernel import LOWER, span_hashes, spread, text_chunks, word_spans
 
-BLOCK_BYTES, SAMPLE_BYTES, SAMPLE_TEXTS = 8 << 20, 2 << 20, 4096
+BLOCK_BYTES = 8 << 20
 #: Slots of the contexts' tables at most, as powers of two: two, three, four bytes, word so far.
 MAX_BITS = (18, 20, 22, 22)
 SLICES, FAN_IN = 128, 32
-ROUND, FIRST_SEGMENT, TEXTS_A_GROUP = 1 << 16, 256, 256
+ROUND, FIRST_SEGMENT, TEXTS_A_GROUP = 1 << 16, 256, 32
 PLACES, BUCKETS = 4, 25
 GATES, CELLS = PLACES * 4, PLACES * BUCKETS
 RATE, INERTIA, CELL_PRIOR, LIMIT = 0.1, 400.0, 60.0, 12.0
+#: Least sizes (in sixteenths) of the classes of predictions that are not 0; class NONE is 0, others lie by sign on its sides.
+SIZES = np.array([1, 10, 20, 28, 36, 46, 62, 88])
+NONE, LEVELS = len(SIZES), 2 * len(SIZES) + 1
+FIRST_WEIGHT, NEWTON_STEPS = 0.3, 30
 _P = np.uint64(0x9E3779B97F4A7C15)
 _NODE = np.uint64(0xD6E8FEB86659FD93)
 _CONTEXT = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -89,6 +95,11 @@ class Trees:
         self.nodes = np.array([n for n, _ in flat], dtype=np.uint64) * _NODE
         self.bits = np.array([b for _, b in flat], dtype=np.int8)
 
+    @functools.cached_property
+    def steps(self) -> np.ndarray:
+        """A node's part of a slot, which is the top of (context + node) * _P; made where it is used, not sent."""
+        return self.nodes * _P
+
 
 def spell(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all spelled texts, offsets): the words, a space after each, and an end byte."""
@@ -161,10 +172,16 @@ def rounds(stream: np.ndarray, offs: np.ndarray, trees: Trees, bits: tuple[int,
             contexts.append(so_far * _CONTEXT[3])
             pair = (back[0].astype(np.int64) << 8) | byte
             n = trees.size[pair]
-            path = np.repeat(trees.begin[pair] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            node = trees.nodes[path]
-            slots = [(((np.repeat(c, n) + node) * _P) >> np.uint64(64 - b)).astype(np.int64) + base[k] for k, (c, b) in enumerate(zip(contexts, bits, strict=True))]
-            yield group, new, np.repeat(text, n), trees.bits[path], slots, np.repeat(np.minimum(in_word, PLACES - 1), n)
+            of, path = spread(n)
+            path += trees.begin[pair][of]
+            node, slots = trees.steps[path], []
+            for k, (c, b) in enumerate(zip(contexts, bits, strict=True)):
+                slot = (c * _P)[of]
+                slot += node
+                slot >>= np.uint64(64 - b)
+                slot += np.uint64(base[k])
+                slots.append(slot.view(np.int64))
+            yield group, new, text[of], trees.bits[path], slots, np.minimum(in_word, PLACES - 1)[of]
             done, new = done + segment(done), False
 
 
@@ -174,7 +191,10 @@ def stretch(n0, n1):
 
 def gates(place: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
     """Which weights: the place in the word, and whether four bytes and the word so far are known."""
-    return place * 4 + (inputs[2] != 0) * 2 + (inputs[3] != 0)
+    gate = place * 4
+    gate += (inputs[2] != 0).view(np.int8) * np.int8(2)
+    gate += inputs[3] != 0
+    return gate
 
 
 def cells(place: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -194,15 +214,17 @@ class Model:
             if new:
                 weights = [np.tile(self.weights[:, k], len(group)) for k in range(len(self.bits))]
                 ones, all_ = np.tile(self.counts[1], len(group)), np.tile(self.counts.sum(axis=0), len(group))
-            inputs = [self.logits[s].astype(np.float32) * np.float32(1 / 16) for s in slots]
-            row = text * GATES + gates(place, inputs)
+            inputs = [self.logits[s] for s in slots]
+            row = text * GATES
+            row += gates(place, inputs)
+            inputs = [x * np.float32(1 / 16) for x in inputs]
             z = np.zeros(len(bit), np.float32)
             for x, w in zip(inputs, weights, strict=True):
                 z += x * w[row]
             np.clip(z, -LIMIT, LIMIT, out=z)
             mixed = np.float32(1) / (np.float32(1) + np.exp(-z))
             cell = text * CELLS + cells(place, z)
-            p = (mixed + ones[cell] / all_[cell]) * np.float32(0.5)
+            p = (mixed + (ones / all_)[cell]) * np.float32(0.5)
             logs = np.log(np.where(bit, p, np.float32(1) - p))
             seen = int(text[-1]) + 1
             total[group[:seen]] += np.bincount(text, weights=logs, minlength=seen)
@@ -211,35 +233,97 @@ class Model:
             step = (RATE / (n + INERTIA)).astype(np.float32)
             for x, w in zip(inputs, weights, strict=True):
                 w += step * np.bincount(row, weights=error * x, minlength=len(w)).astype(np.float32)
-            ones += np.bincount(cell, weights=bit, minlength=len(ones)).astype(np.float32)
-            all_ += np.bincount(cell, minlength=len(all_)).astype(np.float32)
+            cell += cell
+            cell += bit
+            both = np.bincount(cell, minlength=2 * len(ones)).reshape(-1, 2).astype(np.float32)
+            ones += both[:, 1]
+            all_ += both.sum(axis=1)
         return total
 
 
-def fit(trees: Trees, bits, logs: np.ndarray, stream: np.ndarray, offs: np.ndarray) -> Model:
-    """The first weights and cells, trained online over the sample; logs: log2(1 + n) of the slots' counts."""
-    shape = (GATES, len(bits))
-    weights, counts = np.full(shape, 0.3), np.full((2, CELLS), 0.4)
-    moment = np.full(shape, 1e-3)
-    for turn in range(4):
-        for _, _, _, bit, slots, place in rounds(stream, offs, trees, bits):
-            n0 = [np.maximum(0, np.exp2(logs[0][s].astype(np.float32)) - 1 - (bit == 0)) for s in slots]
-            n1 = [np.maximum(0, np.exp2(logs[1][s].astype(np.float32)) - 1 - (bit == 1)) for s in slots]
-            inputs = [np.clip(np.round(16 * stretch(a, b)), -127, 127) / 16 for a, b in zip(n0, n1, strict=True)]
-            gate = gates(place, inputs)
-            z = np.clip(sum(x * weights[gate, k] for k, x in enumerate(inputs)), -LIMIT, LIMIT)
-            error = bit - 1 / (1 + np.exp(-z))
-            if turn == 3:
-                np.add.at(counts, (bit, cells(place, z.astype(np.float32))), 1)
-                continue
-            n = np.maximum(1, np.bincount(gate, minlength=GATES))
-            for k, x in enumerate(inputs):
-                slope = np.bincount(gate, weights=error * x, minlength=GATES) / n
-                moment[:, k] = 0.9 * moment[:, k] + 0.1 * slope * slope
-                weights[:, k] += 0.02 / (1 + turn) * slope / np.sqrt(moment[:, k] + 1e-8)
-    counts *= CELL_PRIOR / counts.sum(axis=0)
-    n0, n1 = (np.exp2(x.astype(np.float32)) - 1 for x in logs)
-    logits = np.clip(np.round(16 * stretch(n0, n1)), -127, 127).astype(np.int8)
+def predictions(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """The predictions that counts make, in sixteenths."""
+    return np.clip(np.round(16 * stretch(n0, n1)), -127, 127).astype(np.int8)
+
+
+def levels(predicted: np.ndarray) -> np.ndarray:
+    """Size classes of predictions."""
+    every = np.arange(-128, 128)
+    table = NONE + np.sign(every) * np.searchsorted(SIZES, np.abs(every), side="right")
+    return table.astype(np.uint8)[predicted.astype(np.int64) + 128]
+
+
+def without_own(logs: np.ndarray, bits) -> tuple[np.ndarray, np.ndarray]:
+    """(size classes of slot * 2 + bit: what the slot predicts without one decision of that bit; contexts x LEVELS: the
+    mean prediction of a class over all decisions); logs: log2(1 + n) of the slots' counts."""
+    out, means = np.empty(2 * logs.shape[1], dtype=np.uint8), np.zeros((len(bits), LEVELS))
+    lo = 0
+    for k, b in enumerate(bits):
+        hi = lo + (1 << b)
+        n = [np.exp2(logs[side, lo:hi].astype(np.float32)) - np.float32(1) for side in (0, 1)]
+        total, weight = np.zeros(LEVELS), np.zeros(LEVELS)
+        for bit in (0, 1):
+            rest = [np.maximum(0, x - (side == bit)) for side, x in enumerate(n)]
+            predicted = predictions(*rest)
+            out[2 * lo + bit : 2 * hi : 2] = level = levels(predicted)
+            total += np.bincount(level, weights=n[bit] * predicted, minlength=LEVELS)
+            weight += np.bincount(level, weights=n[bit], minlength=LEVELS)
+        means[k] = total / np.maximum(weight, 1e-9) / 16
+        lo = hi
+    return out, means
+
+
+def histogram(count: np.ndarray, classes: np.ndarray, decisions) -> None:
+    """Adds decisions (of `rounds`) to a count by place, class of each context's prediction, and bit."""
+    for _, _, _, bit, slots, place in decisions:
+        key = place
+        for s in slots:
+            s += s
+            s += bit
+            key = key * LEVELS
+            key += classes[s]
+        key += key
+        key += bit
+        np.add.at(count, key, 1)
+
+
+def fit_weights(key: np.ndarray, n: np.ndarray, means: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, counts of the cells) of a histogram: n decisions in each key."""
+    rest, bit = np.divmod(key, 2)
+    level = []
+    for _ in means:
+        rest, own = np.divmod(rest, LEVELS)
+        level.append(own)
+    level, place = level[::-1], rest
+    gate = gates(place, [x - NONE for x in level])
+    x = [means[k][own] for k, own in enumerate(level)]
+    weights = np.full((GATES, len(x)), FIRST_WEIGHT)
+
+    def mixed() -> np.ndarray:
+        return np.clip(sum(v * weights[gate, k] for k, v in enumerate(x)), -LIMIT, LIMIT)
+
+    for _ in range(NEWTON_STEPS):
+        p = 1 / (1 + np.exp(-mixed()))
+        slope, bend = n * (bit - p), n * p * (1 - p)
+        first = np.stack([np.bincount(gate, weights=slope * v, minlength=GATES) for v in x], axis=1) + FIRST_WEIGHT - weights
+        second = np.stack([np.stack([np.bincount(gate, weights=bend * v * w, minlength=GATES) for v in x], axis=1) for w in x], axis=1) + np.eye(len(x))
+        weights += np.clip(np.linalg.solve(second, first[:, :, None])[:, :, 0], -0.5, 0.5)
+    counts = np.full((2, CELLS), 0.4)
+    np.add.at(counts, (bit, cells(place, mixed().astype(np.float32))), n)
+    return weights, counts * (CELL_PRIOR / counts.sum(axis=0))
+
+
+def fit(trees: Trees, bits, logs: np.ndarray, blocks: DataFrame) -> Model:
+    """The model with its first weights and cells, from all decisions of the training texts of blocks; logs: log2(1 + n) of the slots' counts."""
+    sc = blocks.sparkSession.sparkContext
+    classes, means = without_own(logs, bits)
+    held = sc.broadcast((trees, classes))
+    seen = _training(blocks).mapInArrow(_histogram(held, bits), "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toArrow()
+    held.unpersist()
+    weights, counts = fit_weights(seen["key"].to_numpy().astype(np.int64), seen["n"].to_numpy().astype(np.float64), means)
+    logits = np.empty(logs.shape[1], dtype=np.int8)
+    for lo in range(0, len(logits), 1 << 20):
+        logits[lo : lo + (1 << 20)] = predictions(*(np.exp2(x[lo : lo + (1 << 20)].astype(np.float32)) - 1 for x in logs))
     return Model(trees, bits, logits, weights.astype(np.float32), counts.astype(np.float32))
 
 
@@ -285,22 +369,33 @@ def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return stream, np.concatenate([[0], np.cumsum(np.array(row["sizes"], dtype=np.int64))])
 
 
+def _training(blocks: DataFrame) -> DataFrame:
+    """The blocks with training texts, in a bounded number of tasks, because each holds a whole table."""
+    return blocks.filter("learn_bytes > 0").select("learn", "sizes", "stream").coalesce(2 * blocks.sparkSession.sparkContext.defaultParallelism)
+
+
+def _decisions(batches, trees: Trees, bits):
+    """All decisions of the training texts of blocks."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            stream, offs = _unpack(row)
+            learn = np.array(row["learn"], dtype=bool)
+            stream = stream[np.repeat(learn, np.diff(offs))]
+            offs = np.concatenate([[0], np.cumsum(np.diff(offs)[learn])])
+            yield from rounds(stream, offs, trees, bits)
+
+
 def _tables(held, bits):
     """Blocks -> slices of the decision counts of all contexts, one set a task."""
 
     def run(batches):
-        trees = held.value
         size = sum(1 << b for b in bits)
         count = np.zeros(2 * size, dtype=np.uint32)
-        for batch in batches:
-            for row in batch.to_pylist():
-                stream, offs = _unpack(row)
-                learn = np.array(row["learn"], dtype=bool)
-                stream = stream[np.repeat(learn, np.diff(offs))]
-                offs = np.concatenate([[0], np.cumsum(np.diff(offs)[learn])])
-                for _, _, _, bit, slots, _ in rounds(stream, offs, trees, bits):
-                    for s in slots:
-                        np.add.at(count, s * 2 + bit, np.uint32(1))
+        for _, _, _, bit, slots, _ in _decisions(batches, held.value, bits):
+            for s in slots:
+                s += s
+                s += bit
+                np.add.at(count, s, np.uint32(1))
         pack = zstandard.ZstdCompressor(level=1)
         part = TaskContext.get().partitionId()
         for i, own in enumerate(np.array_split(count.reshape(-1, 2), SLICES)):
@@ -309,6 +404,21 @@ def _tables(held, bits):
     return run
 
 
+def _histogram(held, bits):
+    """Blocks -> the task's histogram of decisions, as (key, n)."""
+
+    def run(batches):
+        trees, classes = held.value
+        count = np.zeros(2 * PLACES * LEVELS ** len(bits), dtype=np.int64)
+        histogram(count, classes, _decisions(batches, trees, bits))
+        some = np.flatnonzero(count)
+        for lo in range(0, len(some), 50_000):
+            part = some[lo : lo + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(count[part])], names=["key", "n"])
+
+    return run
+
+
 def _sum_counts(key, table):
     """The sum of at most FAN_IN tasks' counts of one slice."""
     unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
@@ -316,26 +426,16 @@ def _sum_counts(key, table):
     return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([pack.compress(total.astype("<f4").tobytes())], pa.binary())})
 
 
-def _sample(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """At most SAMPLE_BYTES of distinct whole training texts, those of least hash, spelled."""
-    texts = docs.filter(F.col("learn") & F.col("text").isNotNull()).select(F.xxhash64("text").alias("h"), "text")
-    sizes = texts.select("h", F.octet_length("text").alias("n")).filter(F.col("n") <= SAMPLE_BYTES).distinct().orderBy("h").limit(SAMPLE_TEXTS).collect()
-    total, wanted = 0, []
-    for r in sizes:
-        total += r.n
-        if total > SAMPLE_BYTES:
-            break
-        wanted.append(r.h)
-    found = texts.filter(F.col("h").isin(wanted)).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").select("text").toArrow() if wanted else pa.table({"text": pa.array([], pa.string())})
-    batch = pa.RecordBatch.from_arrays([pa.chunked_array(found["text"]).combine_chunks()], names=["text"])
-    for _, _, raw, offs in text_chunks(batch, "text", 1 << 40):
-        data = LOWER[raw]
-        return spell(data, *word_spans(data, offs))
-    return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+def training_blocks(docs: DataFrame) -> tuple[DataFrame]:
+    """docs(doc_id, text, learn) as the last argument of `fit`: all texts, in blocks."""
+    return (docs.mapInArrow(_blocks, _BLOCK),)
 
 
-def train(docs: DataFrame, blocks: DataFrame) -> Model:
-    spark = docs.sparkSession
+_sample = training_blocks  # a former name, which a test uses
+
+
+def train(blocks: DataFrame) -> Model:
+    spark = blocks.sparkSession
     pairs = np.zeros(1 << 16, dtype=np.int64)
     for r in blocks.select(F.inline(F.arrays_zip("pairs", "pair_counts"))).toDF("pair", "n").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         pairs[r.pair] = r.n
@@ -344,7 +444,7 @@ def train(docs: DataFrame, blocks: DataFrame) -> Model:
     bits = tuple(min(b, max(12, math.ceil(math.log2(max(1, learned))) - 2)) for b in MAX_BITS)
     tasks = max(1, min(blocks.count(), 2 * spark.sparkContext.defaultParallelism))
     held = spark.sparkContext.broadcast(trees)
-    parts = blocks.filter("learn_bytes > 0").select("learn", "sizes", "stream").coalesce(tasks).mapInArrow(_tables(held, bits), "slice int, part int, counts binary")
+    parts = _training(blocks).mapInArrow(_tables(held, bits), "slice int, part int, counts binary")
     while True:
         parts = parts.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("slice", "part").applyInArrow(_sum_counts, "slice int, part int, counts binary")
         tasks = -(-tasks // FAN_IN)
@@ -354,7 +454,8 @@ def train(docs: DataFrame, blocks: DataFrame) -> Model:
     held.unpersist()
     size = sum(1 << b for b in bits)
     counts = np.concatenate([slices[i] for i in range(SLICES)], axis=1) if slices else np.zeros((2, size), "<f4")
-    return fit(trees, bits, np.log2(1 + counts), *_sample(docs))
+    counts += 1
+    return fit(trees, bits, np.log2(counts, out=counts), blocks)
 
 
 def _score_blocks(held, total: int, distinct: int):
@@ -386,7 +487,7 @@ def lm_scores(docs: DataFrame, learn) -> DataFrame:
     counted = blocks.select(F.inline(F.arrays_zip("keys", "counts"))).toDF("key", "n").filter("n > 0").groupBy("key").agg(F.sum("n").alias("c"))
     words = materialise(counted, "lm-words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    model = spark.sparkContext.broadcast(train(rows, blocks))
+    model = spark.sparkContext.broadcast(train(blocks))
     placed = blocks.select("block", F.posexplode("keys").alias("pos", "key"))
     # a block without a known word has its row, too: the place of the end
     found = placed.join(words, "key").select("block", "pos", "c").union(blocks.select("block", F.size("keys") - 1, F.lit(0).cast("long")).filter(F.lit(not total))).toDF("of", "pos", "c")

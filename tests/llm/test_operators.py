@@ -750,3 +750,26 @@ def test_release_leaves_nothing_but_what_is_kept(spark):
     assert common.release(spark, keep=(kept,)) == len(mine) - 1 > 0 and kept.count() == 3
     there = lambda path: (p := spark._jvm.org.apache.hadoop.fs.Path(path)).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
     assert [p for p in mine if there(p)] == [kept._written_at] and common.release(spark) == 1 and not there(kept._written_at)
+
+
+def test_first_weights_come_from_all_training_texts(spark):
+    """A training text of more than 2 MB once fell out of the sample that the weights were fitted on; repeats counted once."""
+    rng = random.Random(8)
+    part = prose(rng, 3000) + " "
+    held = F.lit(True).alias("learn")
+    one, long = ([part, prose(rng, 50)], [part * 130, prose(rng, 50)])
+    assert len(long[0]) > 2 << 20
+    models = []
+    for texts in ([], one, long, [*one, *one]):
+        blocks = docs(spark, texts).select("doc_id", "text", held).mapInArrow(lm_score._blocks, lm_score._BLOCK)
+        models.append(lm_score.train(blocks))
+    none, single, large, twice = models
+    assert np.allclose(none.weights, lm_score.FIRST_WEIGHT)
+    assert all(np.abs(x.weights - lm_score.FIRST_WEIGHT).max() > 0.1 for x in (single, large, twice))
+    # the histogram holds each decision of each training text once, repeats too
+    blocks = docs(spark, [*one, *one]).select("doc_id", "text", held).mapInArrow(lm_score._blocks, lm_score._BLOCK)
+    sc = spark.sparkContext
+    classes = np.full(2 * sum(1 << b for b in twice.bits), lm_score.NONE, np.uint8)
+    seen = lm_score._training(blocks).mapInArrow(lm_score._histogram(sc.broadcast((twice.trees, classes)), twice.bits), "key int, n long").groupBy().sum("n").first()[0]
+    spelled, trees, _, _, decisions = lm_brute([*one, *one], [True] * 4)
+    assert seen == sum(1 for s in spelled for _ in decisions(s))
