@@ -19,8 +19,8 @@ MAP_BITS bits, so two maps differ in no more bits than the texts have unshared w
 2. A bucket whose texts are all in one class is done. In the others each pair of texts of different classes
    is tried by lengths and parity maps: a bucket is cut by length (a text meets only those whose length
    allows 0.8) and then into tiles of about TILE texts that meet two by two in a task. Only pairs that may
-   be similar leave it, and are aligned once; texts that merely share a passage are passed over by their
-   maps. Buckets of the same texts count once.
+   be similar leave it, each from the least bucket that its texts share, and are aligned once; texts that merely share
+   a passage are passed over by their maps. Buckets of the same texts count once.
 3. Classes are the components of all links; a class is named by its least doc_id.
 
 Defined results: null counts as empty, and empty texts are equal texts like others; texts without a word
@@ -37,12 +37,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, in_bitmap, key_bitmap, materialise, pipeline_stage, read_table, text_digest
 from .components import connected_components, hot_join, hot_keys
-from .text_kernel import mix, occurrence, shingles, span_hashes, text_chunks, word_spans
+from .text_kernel import mix, occurrence, shingles, span_hashes, spread, text_chunks, word_spans
 
 SIMILARITY = 0.8
 #: Words from, words up to (not included), k, sketches, k-mers of a sketch. The least length of one is at most 0.8 of
@@ -242,13 +243,19 @@ def _verify_pairs(batches):
 
 
 def _possible_pairs(key, table):
-    """Pairs (a, b) of a pair of tiles that are of different classes and may be similar."""
-    _, cell, one, two = (k.as_py() for k in key)
+    """Pairs (a, b) of a pair of tiles that are of different classes and may be similar, and have no lesser open bucket in
+    common: they meet in that one, too."""
+    band, cell, one, two = (k.as_py() for k in key)
     table = table.combine_chunks()
     ids, tile, own, cls, size = (table[k].to_numpy() for k in ("id", "tile", "own", "class", "n"))
     order = np.argsort(size, kind="stable")
     ids, tile, own, cls, size = (x[order] for x in (ids, tile, own, cls, size))
     maps = np.concatenate([_maps(part) for part in table["map"].chunks])[order]
+    # the open buckets before this one
+    flat = np.concatenate([part.flatten().to_numpy() for part in table["bands"].chunks])
+    of = np.repeat(np.arange(len(ids)), pc.list_value_length(table["bands"]).to_numpy())[flat < band]
+    flat, lesser = flat[flat < band], np.bincount(of, minlength=len(ids))
+    begin, lesser = (np.cumsum(lesser) - lesser)[order], lesser[order]
     longest = np.searchsorted(size, np.floor(size / SIMILARITY + 1e-9), side="right")
     found = []
     for i in range(len(ids)):
@@ -261,6 +268,9 @@ def _possible_pairs(key, table):
         if len(other):
             apart = np.bitwise_count(maps[other] ^ maps[i]).sum(axis=1, dtype=np.int64)
             other = other[may_be_similar(size[i], size[other], apart)]
+            pair, at = spread(lesser[other])
+            common = np.isin(flat[begin[other][pair] + at], flat[begin[i] : begin[i] + lesser[i]])
+            other = other[np.bincount(pair[common], minlength=len(other)) == 0]
             found.append(np.stack([np.minimum(ids[i], ids[other]), np.maximum(ids[i], ids[other])]))
     a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
     return pa.table({"a": a, "b": b})
@@ -289,8 +299,9 @@ def _links_within(posted: DataFrame, buckets: DataFrame, texts: DataFrame, class
     tiles = cells.groupBy("group").agg(F.count(F.lit(1)).alias("rows"), F.min("class").alias("c"), F.max("class").alias("z"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).filter(worth).select("group", "tiles")
     dealt = hot_join(cells, tiles, "group").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("band", "cell", F.least("tile", "with").alias("one"), F.greatest("tile", "with").alias("two"), "tile", "own", "id", "n", "class")
-    dealt = dealt.join(texts.select("id", "map"), "id")
-    pairs = materialise(dealt.groupBy("band", "cell", "one", "two").applyInArrow(_possible_pairs, "a long, b long").distinct(), "near-pairs")
+    of_text = members.groupBy("id").agg(F.collect_list("band").alias("bands"))
+    dealt = dealt.join(texts.select("id", "map").join(of_text, "id"), "id")
+    pairs = materialise(dealt.groupBy("band", "cell", "one", "two").applyInArrow(_possible_pairs, "a long, b long"), "near-pairs")
     links = _verified(pairs, texts)
     forget(members, cells, pairs)
     return links

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet
 import pytest
 import tiktoken
@@ -773,3 +774,18 @@ def test_first_weights_come_from_all_training_texts(spark):
     seen = lm_score._training(blocks).mapInArrow(lm_score._histogram(sc.broadcast((twice.trees, classes)), twice.bits), "key int, n long").groupBy().sum("n").first()[0]
     spelled, trees, _, _, decisions = lm_brute([*one, *one], [True] * 4)
     assert seen == sum(1 for s in spelled for _ in decisions(s))
+
+
+def test_a_pair_leaves_the_least_of_its_common_buckets_only():
+    """Texts 1 and 2 share the buckets -3, 4 and 9, texts 1 and 3 only 9, and 2 and 3 only 9 with another order of rows."""
+    bands = {1: [9, -3, 4], 2: [4, 9, -3], 3: [9, 5]}
+    empty = bytes(near_dedup.MAP_BITS // 8)
+
+    def leave(band, ids):
+        table = pa.table({"id": ids, "tile": [0] * len(ids), "own": [7] * len(ids), "class": ids, "n": [10] * len(ids), "map": [empty] * len(ids), "bands": pa.array([bands[i] for i in ids], pa.list_(pa.int64()))})
+        found = near_dedup._possible_pairs([pa.scalar(x) for x in (band, 7, 0, 0)], pa.concat_tables([table.slice(0, 1), table.slice(1)]))
+        return sorted(zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True))
+
+    assert leave(-3, [2, 1]) == [(1, 2)]
+    assert leave(4, [1, 2]) == []
+    assert leave(9, [3, 1, 2]) == [(1, 3), (2, 3)]
