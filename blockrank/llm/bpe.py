@@ -10,8 +10,8 @@ and never printed in plans); a word that is itself a token is looked up first, a
 Nothing is shuffled, and memory depends on the chunk only. Decoding concatenates the tokens' bytes.
 
 Words that occur at least twice in the first SAMPLE_TEXTS texts of at most SAMPLE_BYTES are folded once ahead and sent along with
-the ranks, so that the chunks fold only what is rarer. This is a cache of bounded size: what it holds
-changes the time, never an id.
+the ranks, so that the chunks fold only what is rarer. This is a cache of bounded size, of arrays, whose words are
+found by hash and compared by their bytes: what it holds changes the time, never an id.
 
 A word of more than LONG_WORD bytes would make the fold quadratic; its merges run over a heap in the
 splitting step, by the same ranks.
@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from ..shipping import ship_package
 from .common import pipeline_stage, read_table
-from .text_kernel import text_chunks
+from .text_kernel import span_hashes, spread, text_chunks
 
 CHUNK_BYTES, LONG_WORD, SAMPLE_TEXTS, SAMPLE_BYTES, KNOWN_WORDS = 8 << 20, 400, 8192, 16 << 10, 1 << 18
 NO_MERGE, EMPTY = 1 << 20, 1 << 62
@@ -221,9 +221,50 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : i + size[i]]] for i in range(n) if size[i]]
 
 
-def _states(words: list[bytes], tok_single: np.ndarray, couples: np.ndarray) -> pa.ListArray:
-    ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(begin_states(np.frombuffer(b"".join(words), dtype=np.uint8), ends, tok_single, couples)))
+def _laid_out(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The words' bytes end to end, and their offsets."""
+    return np.frombuffer(b"".join(words), dtype=np.uint8), np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
+
+
+def _states(data: np.ndarray, offs: np.ndarray, tok_single: np.ndarray, couples: np.ndarray) -> pa.ListArray:
+    offs = offs.astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offs), pa.array(begin_states(data, offs, tok_single, couples)))
+
+
+class KnownWords:
+    """Words with their ids, as arrays sorted by the words' hashes; a word is known only if its bytes are equal, too."""
+
+    def __init__(self, words: list[bytes], ids: np.ndarray, id_offs: np.ndarray):
+        data, offs = _laid_out(words)
+        self.hashes, order = np.unique(span_hashes(data, offs[:-1], offs[1:]), return_index=True)
+        self.offs, self.data = self._taken(order, data, offs)
+        self.id_offs, self.ids = self._taken(order, ids, id_offs)
+
+    @staticmethod
+    def _taken(order: np.ndarray, flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, members) of the lists numbered in order."""
+        size = np.diff(offs)[order]
+        of, at = spread(size)
+        return np.concatenate([[0], np.cumsum(size)]), flat[offs[order][of] + at]
+
+    def places(self, data: np.ndarray, offs: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+        """The place of each word, or -1, made a block of words at a time."""
+        out = np.full(len(offs) - 1, -1)
+        for lo in range(0, len(out) if len(self.hashes) else 0, block):
+            heads = offs[lo : lo + block + 1]
+            hashes = span_hashes(data, heads[:-1], heads[1:])
+            place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            size = np.diff(heads)
+            may = np.flatnonzero((self.hashes[place] == hashes) & (self.offs[place + 1] - self.offs[place] == size))
+            of, at = spread(size[may])
+            unlike = np.bincount(of[data[heads[may][of] + at] != self.data[self.offs[place[may]][of] + at]], minlength=len(may)) > 0
+            may = may[~unlike]
+            out[lo + may] = place[may]
+        return out
+
+    def ids_of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of words by their places."""
+        return self._taken(places, self.ids, self.id_offs)
 
 
 def _word_counts(pattern: str, text: str):
@@ -242,9 +283,9 @@ def _word_counts(pattern: str, text: str):
     return run
 
 
-def known_words(docs: DataFrame, tok: Tokenizer, text: str) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-    """(place of a word, ends, ids): the folded frequent words of a sample of about SAMPLE_TEXTS texts, counted in
-    tasks; at most KNOWN_WORDS words reach the driver."""
+def known_words(docs: DataFrame, tok: Tokenizer, text: str) -> KnownWords:
+    """The tokens, and the folded frequent words of a sample of about SAMPLE_TEXTS texts, counted in tasks; at most
+    KNOWN_WORDS words reach the driver."""
     total = docs.count()
     sample = docs.select(F.col(text).alias("t")).filter(F.octet_length("t") <= SAMPLE_BYTES)
     if total > 2 * SAMPLE_TEXTS:
@@ -252,53 +293,63 @@ def known_words(docs: DataFrame, tok: Tokenizer, text: str) -> tuple[dict[bytes,
     counted = sample.mapInArrow(_word_counts(tok.pattern, "t"), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counted.filter("n > 1").orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).select("word").toArrow()
     words = [b for b in map(str.encode, top["word"].to_pylist()) if b not in tok.ranks and len(b) <= LONG_WORD]
+    own = np.fromiter(tok.ranks.values(), np.int32, len(tok.ranks))
     if not words:
-        return {}, np.zeros(1, np.int64), np.zeros(0, np.int32)
+        return KnownWords([*tok.ranks], own, np.arange(len(own) + 1))
     spark = docs.sparkSession
     deal = max(1, min(len(words) // 1000, 2 * spark.sparkContext.defaultParallelism))
     rows = [words[i::deal] for i in range(deal)]
-    states = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.concat_arrays([_states(x, tok.single, tok.couples) for x in rows]))
+    states = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.concat_arrays([_states(*_laid_out(x), tok.single, tok.couples) for x in rows]))
     table = pa.table({"no": pa.array(range(deal), pa.int64()), "words": states})
     folded = spark.createDataFrame(table).repartition(deal).select("no", F.col("words"), tok.literal("pairs").alias("pairs")).select("no", F.transform("words", lambda w: fold_merges(w, F.col("pairs"), tok.mask)).alias("ids"))
     ids = folded.toArrow().sort_by("no")["ids"].combine_chunks().flatten()
-    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())])
-    places = dict(zip((w for x in rows for w in x), range(len(words)), strict=True))
-    return places, ends, ids.flatten().to_numpy().astype(np.int32)
+    sizes = np.concatenate([np.ones(len(own), np.int64), pc.list_value_length(ids).to_numpy()])
+    ids = np.concatenate([own, ids.flatten().to_numpy().astype(np.int32)])
+    return KnownWords([*tok.ranks, *(w for x in rows for w in x)], ids, np.concatenate([[0], np.cumsum(sizes)]))
+
+
+def _dictionary(words: list[bytes], ranks: dict[bytes, int], known: KnownWords, single: np.ndarray, couples: np.ndarray) -> pa.StructArray:
+    """For each word its ids, where they are known or the word is too long for the fold, or else the fold's first states."""
+    data, offs = _laid_out(words)
+    size, place = np.diff(offs), known.places(data, offs)
+    long = {i: heap_merges(words[i], ranks) for i in np.flatnonzero((place < 0) & (size > LONG_WORD)).tolist()}
+    have = np.flatnonzero(place >= 0)
+    sizes, ready = np.zeros(len(words), np.int64), place >= 0
+    own_offs, own = known.ids_of(place[have])
+    sizes[have] = np.diff(own_offs)
+    for i, ids in long.items():
+        sizes[i], ready[i] = len(ids), True
+    id_offs = np.concatenate([[0], np.cumsum(sizes)])
+    flat = np.empty(id_offs[-1], dtype=np.int32)
+    of, at = spread(sizes[have])
+    flat[id_offs[have][of] + at] = own
+    for i, ids in long.items():
+        flat[id_offs[i] : id_offs[i + 1]] = ids
+    states = _states(data[np.repeat(~ready, size)], np.concatenate([[0], np.cumsum(np.where(ready, 0, size))]), single, couples)
+    return pa.StructArray.from_arrays([states, pa.ListArray.from_arrays(pa.array(id_offs.astype(np.int32)), pa.array(flat), mask=pa.array(~ready))], names=["states", "ready"])
 
 
 def _splitter(ranks_held, pattern: str, text: str, keep: list[str], chunk_bytes: int):
     def run(batches):
         find = regex.compile(pattern).findall
-        ranks, single, couples, (known, known_ends, known_ids) = ranks_held.value
+        ranks, single, couples, known = ranks_held.value
         for batch in batches:
             for lo, hi, data, offs in text_chunks(batch, text, chunk_bytes):
                 places: defaultdict[str, int] = defaultdict()
                 places.default_factory = places.__len__
-                raw, ids, sizes = data.tobytes(), [], [0]
+                ids, sizes = array("i"), [0]
                 for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-                    own = list(map(places.__getitem__, find(raw[s:e].decode("utf-8", "replace"))))
-                    ids.append(np.array(own, dtype=np.int32))
-                    sizes.append(sizes[-1] + len(own))
-                todo = [w.encode() for w in places]
-                del places, raw
-                ready: list[np.ndarray | list[int] | None] = [None] * len(todo)
-                for i, w in enumerate(todo):
-                    if (k := known.get(w)) is not None:
-                        ready[i] = known_ids[known_ends[k] : known_ends[k + 1]]
-                    elif w in ranks:
-                        ready[i] = [ranks[w]]
-                    elif len(w) > LONG_WORD:
-                        ready[i] = heap_merges(w, ranks)
-                    if ready[i] is not None:
-                        todo[i] = b""
-                states = _states(todo, single, couples)
-                del todo
-                dictionary = pa.StructArray.from_arrays([states, pa.array(ready, pa.list_(pa.int32()))], names=["states", "ready"])
-                del ready, states
-                at = pa.ListArray.from_arrays(pa.array(np.array(sizes, dtype=np.int32)), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+                    ids.extend(map(places.__getitem__, find(data[s:e].tobytes().decode("utf-8", "replace"))))
+                    sizes.append(len(ids))
+                words = [w.encode() for w in places]
+                del places
+                dictionary = _dictionary(words, ranks, known, single, couples)
+                del words
+                at = pa.ListArray.from_arrays(pa.array(np.array(sizes, dtype=np.int32)), pa.array(np.frombuffer(ids, dtype=np.int32)))
                 rows = pa.StructArray.from_arrays([*(batch.column(batch.schema.get_field_index(k)).slice(lo, hi - lo) for k in keep), at], names=[*keep, "__at"])
                 one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
                 yield pa.RecordBatch.from_arrays([one(dictionary), one(rows)], names=["words", "texts"])
+                del dictionary, at, rows, ids
 
     return run
 

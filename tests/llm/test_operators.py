@@ -789,3 +789,18 @@ def test_a_pair_leaves_the_least_of_its_common_buckets_only():
     assert leave(-3, [2, 1]) == [(1, 2)]
     assert leave(4, [1, 2]) == []
     assert leave(9, [3, 1, 2]) == [(1, 3), (2, 3)]
+
+
+def test_known_words_are_told_apart_by_their_bytes():
+    words = [b" a", b"tako", b"", b"x" * 500, "é".encode()]
+    known = bpe.KnownWords(words, np.arange(9, dtype=np.int32), np.array([0, 1, 3, 3, 5, 9]))
+    asked = [b"tako", b"tak", b" a", "é".encode(), b"b", b"x" * 500, b"", b"takoa"]
+    place = known.places(*bpe._laid_out(asked))
+    assert [p >= 0 for p in place] == [True, False, True, True, False, True, True, False]
+    offs, ids = known.ids_of(place[place >= 0])
+    assert [ids[s:e].tolist() for s, e in zip(offs[:-1], offs[1:], strict=True)] == [[1, 2], [0], [5, 6, 7, 8], [3, 4], []]
+    # a word of an equal hash and other bytes is not known
+    known.data = known.data.copy()
+    known.data[:] ^= 1
+    assert (known.places(*bpe._laid_out([b"tako", b" a"])) < 0).all()
+    assert (bpe.KnownWords([], np.zeros(0, np.int32), np.zeros(1, np.int64)).places(*bpe._laid_out([b"a"])) < 0).all()
