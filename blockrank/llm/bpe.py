@@ -41,6 +41,8 @@ from .common import pipeline_stage, read_table
 from .text_kernel import span_hashes, spread, text_chunks
 
 CHUNK_BYTES, LONG_WORD, SAMPLE_TEXTS, SAMPLE_BYTES, KNOWN_WORDS = 8 << 20, 400, 8192, 16 << 10, 1 << 18
+#: Chunks of the pipeline's stage: each row carries the texts, too, and Python and JVM hold it at once.
+STAGE_CHUNK_BYTES = 3 << 20
 NO_MERGE, EMPTY = 1 << 20, 1 << 62
 _LABEL, _RANK = 20, 40
 
@@ -395,4 +397,4 @@ def op1_byte_bpe(spark, sf_dir) -> DataFrame:
 @pipeline_stage
 def encode_stage(spark, docs: DataFrame, sf_dir) -> DataFrame:
     """Pipeline stage: all columns and token_ids."""
-    return encode(docs, public_tokenizer(spark))
+    return encode(docs, public_tokenizer(spark), chunk_bytes=STAGE_CHUNK_BYTES)

@@ -804,3 +804,12 @@ def test_known_words_are_told_apart_by_their_bytes():
     known.data[:] ^= 1
     assert (known.places(*bpe._laid_out([b"tako", b" a"])) < 0).all()
     assert (bpe.KnownWords([], np.zeros(0, np.int32), np.zeros(1, np.int64)).places(*bpe._laid_out([b"a"])) < 0).all()
+
+
+def test_the_stage_encodes_in_smaller_chunks_because_rows_carry_their_texts(spark, tok, monkeypatch):
+    sizes, split = [], bpe._splitter
+    monkeypatch.setattr(bpe, "_splitter", lambda *a: sizes.append(a[-1]) or split(*a))
+    table = docs(spark, ["a tako", None])
+    kept = {r.doc_id: (r.text, len(r.token_ids)) for r in bpe.encode_stage(spark, table, None).collect()}
+    assert kept[0][0] == "a tako" and kept[0][1] > 0 and kept[1] == (None, 0)
+    assert sizes == [bpe.STAGE_CHUNK_BYTES] and bpe.STAGE_CHUNK_BYTES < bpe.CHUNK_BYTES
