@@ -90,10 +90,16 @@ def token_classes(texts: DataFrame) -> np.ndarray:
     parts = texts.mapInArrow(_frequencies, "slice int, part int, counts binary")
     for _ in range(ROUNDS):
         parts = parts.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("slice", "part").applyInArrow(_sum_counts, "slice int, part int, counts binary")
-    total = np.zeros((SLICES, (1 << COUNTER_BITS) // SLICES), dtype=np.uint64)
+    slices: list[list[bytes]] = [[] for _ in range(SLICES)]
     for r in parts.collect():  # a row for each slice
-        total[r.slice] += np.frombuffer(zstandard.ZstdDecompressor().decompress(r.counts), dtype="<u8")
-    return np.minimum(255, np.log2(total.astype(np.float64) + 1) * 8).astype(np.uint8).ravel()
+        slices[r.slice].append(r.counts)
+    out = np.zeros((SLICES, (1 << COUNTER_BITS) // SLICES), dtype=np.uint8)
+    for own, blobs in zip(out, slices, strict=True):  # one slice at a time: the driver never holds the counters of all
+        total = np.zeros(len(own), dtype=np.uint64)
+        for blob in blobs:
+            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype="<u8")
+        own[:] = np.minimum(255, np.log2(total.astype(np.float64) + 1) * 8)
+    return out.ravel()
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -806,10 +807,11 @@ def test_known_words_are_told_apart_by_their_bytes():
     assert (bpe.KnownWords([], np.zeros(0, np.int32), np.zeros(1, np.int64)).places(*bpe._laid_out([b"a"])) < 0).all()
 
 
-def test_the_stage_encodes_in_smaller_chunks_because_rows_carry_their_texts(spark, tok, monkeypatch):
-    sizes, split = [], bpe._splitter
-    monkeypatch.setattr(bpe, "_splitter", lambda *a: sizes.append(a[-1]) or split(*a))
-    table = docs(spark, ["a tako", None])
-    kept = {r.doc_id: (r.text, len(r.token_ids)) for r in bpe.encode_stage(spark, table, None).collect()}
-    assert kept[0][0] == "a tako" and kept[0][1] > 0 and kept[1] == (None, 0)
-    assert sizes == [bpe.STAGE_CHUNK_BYTES] and bpe.STAGE_CHUNK_BYTES < bpe.CHUNK_BYTES
+def test_the_driver_never_holds_the_counters_of_all_slices(spark):
+    texts = docs(spark, [prose(random.Random(3), 2000), "a b a"]).select("text")
+    tracemalloc.start()
+    found = line_dedup.token_classes(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.dtype == np.uint8 and len(found) == 1 << line_dedup.COUNTER_BITS and found.any()
+    assert peak < 24 << 20  # eight bytes for each counter alone are 32 MB
