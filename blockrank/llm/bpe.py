@@ -4,9 +4,10 @@ Texts are split by the tokenizer's pattern in Arrow batches. Each chunk of texts
 one longer text) becomes one row: the byte arrays of its distinct words, as the fold's first states, and its texts
 as places in that list. Higher-order functions then fold the merges over each distinct word: the state holds one long per
 piece, `rank with the next piece | first byte | token`, so the array's minimum is the leftmost merge of
-least rank; a fold of n - 1 steps ends with no merge left. Ranks of pairs are looked up in a literal
-two-choice hash table of all pairs whose joint bytes are a token (a scalar subquery, so it is sent once
-and never printed in plans); a word that is itself a token is looked up first, as public BPE coders do.
+least rank; a fold of n - 1 steps ends with no merge left. Ranks of pairs are looked up in a literal table of
+all pairs whose joint bytes are a token (a scalar subquery, so it is sent once and never printed in plans), in
+which each left token's row lies at a place of its own, so that one look finds a pair; a word that is itself a
+token is looked up first, as public BPE coders do.
 Nothing is shuffled, and memory depends on the chunk only. Decoding concatenates the tokens' bytes.
 
 Words that occur at least twice in the first SAMPLE_TEXTS texts of at most SAMPLE_BYTES are folded once ahead and sent along with
@@ -37,10 +38,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship_package
-from .common import pipeline_stage, read_table
+from .common import give_back, pipeline_stage, read_table
 from .text_kernel import span_hashes, spread, text_chunks
 
-CHUNK_BYTES, LONG_WORD, SAMPLE_TEXTS, SAMPLE_BYTES, KNOWN_WORDS = 8 << 20, 400, 8192, 16 << 10, 1 << 18
+CHUNK_BYTES, LONG_WORD, SAMPLE_TEXTS, SAMPLE_BYTES, KNOWN_WORDS = 4 << 20, 400, 32768, 16 << 10, 1 << 18
 NO_MERGE, EMPTY = 1 << 20, 1 << 62
 _LABEL, _RANK = 20, 40
 
@@ -51,60 +52,48 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _murmur(long: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """Spark's hash() of a bigint column after the columns that gave the seed."""
-    h = seed.astype(np.uint32)
-    for part in (long & 0xFFFFFFFF, long >> 32):
-        k = part.astype(np.uint32) * np.uint32(0xCC9E2D51)
-        k = ((k << np.uint32(15)) | (k >> np.uint32(17))) * np.uint32(0x1B873593)
-        h ^= k
-        h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64)
-    h ^= np.uint32(8)
-    h ^= h >> np.uint32(16)
-    h *= np.uint32(0x85EBCA6B)
-    h ^= h >> np.uint32(13)
-    h *= np.uint32(0xC2B2AE35)
-    return h ^ (h >> np.uint32(16))
-
-
 def pair_table(ranks: dict[bytes, int]) -> np.ndarray:
-    """Two-choice hash table: (left << 20 | right) << 20 | rank, or EMPTY; its size is a power of two."""
-    left, right, rank = array("q"), array("q"), array("q")
+    """For each token the place of its row, and behind these the rows, interleaved: at the row's place + right token
+    stands left << 20 | rank, and EMPTY where there is no pair."""
+    rows: defaultdict[int, dict[int, int]] = defaultdict(dict)
     for token, r in ranks.items():
         for cut in range(1, len(token)):
             a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
             if a is not None and b is not None:
-                left.append(a)
-                right.append(b)
-                rank.append(r)
-    key = (np.array(left, dtype=np.int64) << 20) | np.array(right, dtype=np.int64)
-    entry = (key << 20) | np.array(rank, dtype=np.int64)
-    one = _murmur(key, np.full(len(key), 42, dtype=np.uint32))
-    two = _murmur(key, one)
-    bits = max(4, int(len(entry) * 2.5).bit_length())
-    while True:
-        mask = np.uint32((1 << bits) - 1)
-        placed = _place((one & mask).tolist(), (two & mask).tolist())
-        if placed is not None:
-            out = np.full(1 << bits, EMPTY, dtype=np.int64)
-            for slot, i in placed.items():
-                out[slot] = entry[i]
-            return out
-        bits += 1
-
-
-def _place(first: list[int], second: list[int]) -> dict[int, int] | None:
-    held: dict[int, int] = {}
-    for i in range(len(first)):
-        slot, moves = first[i], 0
-        while slot in held:
-            held[slot], i = i, held[slot]
-            slot = second[i] if slot == first[i] else first[i]
-            moves += 1
-            if moves > 500:
-                return None
-        held[slot] = i
-    return held
+                rows[a][b] = r
+    n = max(ranks.values()) + 1
+    begin, out = np.full(n, n, dtype=np.int64), np.full(8 * n, EMPTY, dtype=np.int64)
+    at, size = 2 * n, 0
+    order = sorted(rows.items(), key=lambda x: (-len(x[1]), x[0]))
+    for a, row in order:
+        if len(row) == 1:
+            break
+        right = np.fromiter(row, np.int64, len(row))
+        if len(row) != size and len(row) < 16:
+            at, size = 2 * n, len(row)
+        while True:  # the first place where all of the row's slots are empty, from that of the row before on; rows of one size of less than 16 begin anew
+            if at + 4096 + n > len(out):
+                out = np.concatenate([out, np.full(len(out), EMPTY, dtype=np.int64)])
+            free = np.flatnonzero(out[at : at + 2048] == EMPTY) + at - right[0]
+            for b in right[1:]:
+                if not len(free):
+                    break
+                free = free[out[free + b] == EMPTY]
+            if len(free):
+                break
+            at += 2048
+        begin[a] = free[0]
+        at = int(free[0] + right[0])
+        out[free[0] + right] = np.fromiter(row.values(), np.int64, len(row)) | (a << 20)
+    one = [(a, b, r) for a, row in order if len(row) == 1 for b, r in row.items()]
+    if one:
+        left, right, rank = np.array(one, dtype=np.int64).T
+        out = np.concatenate([out, np.full(len(one), EMPTY, dtype=np.int64)])
+        slot = np.flatnonzero(out[2 * n :] == EMPTY)[: len(one)] + 2 * n
+        begin[left] = slot - right
+        out[slot] = rank | (left << 20)
+    out[:n] = begin
+    return np.concatenate([out, np.full(n + 1, EMPTY, dtype=np.int64)])[: begin.max() + n + 1]
 
 
 class Tokenizer:
@@ -118,7 +107,6 @@ class Tokenizer:
             pieces[r] = token
         pairs = pair_table(ranks)
         single = [ranks[bytes([b])] for b in range(256)]
-        self.mask = len(pairs) - 1
         table = pa.table({"pairs": pa.array([pairs], pa.list_(pa.int64())), "pieces": pa.array([pieces], pa.list_(pa.binary()))})
         self.single = np.array(single, dtype=np.int64)
         self.couples = np.full((256, 256), NO_MERGE, dtype=np.int64)
@@ -156,28 +144,18 @@ def begin_states(data: np.ndarray, offs: np.ndarray, single: np.ndarray, couples
     return out
 
 
-def fold_merges(word: Column, pairs: Column, mask: int) -> Column:
+def fold_merges(word: Column, pairs: Column) -> Column:
     """Token ids of one word given by its first states."""
     low = F.lit((1 << _LABEL) - 1).cast("long")
+    none = F.lit(NO_MERGE).cast("long")
 
     def rank_of(a: Column, b: Column) -> Column:
         # an entry of the same pair leaves its rank, any other leaves more than NO_MERGE
-        def search(k: Column) -> Column:
-            wide = F.shiftleft(k, 20)
-            one, two = (F.get(pairs, h.bitwiseAND(F.lit(mask))).bitwiseXOR(wide) for h in (F.hash(k), F.hash(k, k)))
-            return F.least(one, two, F.lit(NO_MERGE).cast("long"))
-
-        return _let(F.shiftleft(a, 20).bitwiseOR(b), search)
+        return F.least(F.get(pairs, F.get(pairs, a) + b).bitwiseXOR(F.shiftleft(a, 20)), none)
 
     def token(e: Column) -> Column:
         return e.bitwiseAND(low)
 
-    def rank_after(t: Column, after: Column, of) -> Column:
-        return F.when(after.isNull(), F.lit(NO_MERGE).cast("long")).otherwise(rank_of(t, of(after)))
-
-    def state(rank: Column, label: Column, t: Column) -> Column:
-        return F.shiftleft(rank, _RANK).bitwiseOR(label).bitwiseOR(t)
-
     keep = F.lit((1 << _RANK) - 1).cast("long")
     labels = F.lit(((1 << (_RANK - _LABEL)) - 1) << _LABEL).cast("long")
 
@@ -185,13 +163,16 @@ def fold_merges(word: Column, pairs: Column, mask: int) -> Column:
         merged = F.shiftright(e, _RANK)
 
         def at(p: Column) -> Column:
-            # the piece at p takes in the next one, and the piece before has a new neighbour
-            joined = state(rank_after(merged, F.get(s, p + 2), token), e.bitwiseAND(labels), merged)
-            left = lambda x: F.shiftleft(rank_of(token(x), merged), _RANK).bitwiseOR(x.bitwiseAND(keep))
-            changed = F.transform(s, lambda x, j: F.when(j == p, joined).when(j == p - 1, left(x)).otherwise(x))
-            return F.filter(changed, lambda _, j: j != p + 1)
+            # the piece at p (from 1) takes in the next one, and the piece before has a new neighbour; states differ by
+            # their first bytes, so that removing a state removes one piece
+            after, before = F.get(s, p + 1), F.get(s, p - 2)
+            rank = F.when(after.isNull(), none).otherwise(rank_of(merged, token(after)))
+            joined = F.shiftleft(rank, _RANK).bitwiseOR(e.bitwiseAND(labels)).bitwiseOR(merged)
+            rest = F.array_insert(F.array_remove(F.array_remove(s, e), F.get(s, p)), p, joined)
+            left = F.shiftleft(rank_of(token(before), merged), _RANK).bitwiseOR(before.bitwiseAND(keep))
+            return F.when(p > 1, F.array_insert(F.array_remove(rest, before), p - 1, left)).otherwise(rest)
 
-        return _let((F.array_position(s, e) - 1).cast("int"), at)
+        return _let(F.array_position(s, e).cast("int"), at)
 
     def step(s: Column, _: Column) -> Column:
         return _let(F.array_min(s), lambda e: F.when(F.shiftright(e, _RANK) >= NO_MERGE, s).otherwise(merge(s, e)))
@@ -226,6 +207,13 @@ def _laid_out(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(words), dtype=np.uint8), np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
 
 
+def _buffers(words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of an Arrow array."""
+    offs = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offs[0] : offs[-1]] if len(words) else np.zeros(0, np.uint8)
+    return data, offs - offs[0]
+
+
 def _states(data: np.ndarray, offs: np.ndarray, tok_single: np.ndarray, couples: np.ndarray) -> pa.ListArray:
     offs = offs.astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(begin_states(data, offs, tok_single, couples)))
@@ -234,18 +222,23 @@ def _states(data: np.ndarray, offs: np.ndarray, tok_single: np.ndarray, couples:
 class KnownWords:
     """Words with their ids, as arrays sorted by the words' hashes; a word is known only if its bytes are equal, too."""
 
-    def __init__(self, words: list[bytes], ids: np.ndarray, id_offs: np.ndarray):
-        data, offs = _laid_out(words)
+    def __init__(self, words: list[bytes] | tuple[np.ndarray, np.ndarray], ids: np.ndarray, id_offs: np.ndarray):
+        data, offs = _laid_out(words) if isinstance(words, list) else words
         self.hashes, order = np.unique(span_hashes(data, offs[:-1], offs[1:]), return_index=True)
         self.offs, self.data = self._taken(order, data, offs)
         self.id_offs, self.ids = self._taken(order, ids, id_offs)
 
     @staticmethod
-    def _taken(order: np.ndarray, flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets, members) of the lists numbered in order."""
+    def _taken(order: np.ndarray, flat: np.ndarray, offs: np.ndarray, block: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, members) of the lists numbered in order, taken a block of lists at a time."""
         size = np.diff(offs)[order]
-        of, at = spread(size)
-        return np.concatenate([[0], np.cumsum(size)]), flat[offs[order][of] + at]
+        heads = np.concatenate([[0], np.cumsum(size)])
+        out = np.empty(heads[-1], dtype=flat.dtype)
+        for lo in range(0, len(order), block):
+            own = order[lo : lo + block]
+            of, at = spread(size[lo : lo + block])
+            out[heads[lo] : heads[lo + len(own)]] = flat[offs[own][of] + at]
+        return heads, out
 
     def places(self, data: np.ndarray, offs: np.ndarray, block: int = 1 << 14) -> np.ndarray:
         """The place of each word, or -1, made a block of words at a time."""
@@ -292,20 +285,26 @@ def known_words(docs: DataFrame, tok: Tokenizer, text: str) -> KnownWords:
         sample = sample.sample(SAMPLE_TEXTS / total, seed=7)
     counted = sample.mapInArrow(_word_counts(tok.pattern, "t"), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counted.filter("n > 1").orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).select("word").toArrow()
-    words = [b for b in map(str.encode, top["word"].to_pylist()) if b not in tok.ranks and len(b) <= LONG_WORD]
+    tokens = _laid_out([*tok.ranks])
     own = np.fromiter(tok.ranks.values(), np.int32, len(tok.ranks))
-    if not words:
-        return KnownWords([*tok.ranks], own, np.arange(len(own) + 1))
+    known = KnownWords(tokens, own, np.arange(len(own) + 1))
+    words = top["word"].cast(pa.binary()).combine_chunks()
+    data, offs = _buffers(words)
+    words = words.filter(pa.array((known.places(data, offs) < 0) & (np.diff(offs) <= LONG_WORD)))
+    if not len(words):
+        return known
     spark = docs.sparkSession
     deal = max(1, min(len(words) // 1000, 2 * spark.sparkContext.defaultParallelism))
-    rows = [words[i::deal] for i in range(deal)]
-    states = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.concat_arrays([_states(*_laid_out(x), tok.single, tok.couples) for x in rows]))
+    data, offs = _buffers(words.take(pa.array(np.argsort(np.arange(len(words)) % deal, kind="stable"))))
+    rows = np.concatenate([[0], np.cumsum(np.bincount(np.arange(len(words)) % deal))])
+    states = pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), _states(data, offs, tok.single, tok.couples))
     table = pa.table({"no": pa.array(range(deal), pa.int64()), "words": states})
-    folded = spark.createDataFrame(table).repartition(deal).select("no", F.col("words"), tok.literal("pairs").alias("pairs")).select("no", F.transform("words", lambda w: fold_merges(w, F.col("pairs"), tok.mask)).alias("ids"))
+    folded = spark.createDataFrame(table).repartition(deal).select("no", F.col("words"), tok.literal("pairs").alias("pairs")).select("no", F.transform("words", lambda w: fold_merges(w, F.col("pairs"))).alias("ids"))
     ids = folded.toArrow().sort_by("no")["ids"].combine_chunks().flatten()
     sizes = np.concatenate([np.ones(len(own), np.int64), pc.list_value_length(ids).to_numpy()])
     ids = np.concatenate([own, ids.flatten().to_numpy().astype(np.int32)])
-    return KnownWords([*tok.ranks, *(w for x in rows for w in x)], ids, np.concatenate([[0], np.cumsum(sizes)]))
+    every = np.concatenate([tokens[0], data]), np.concatenate([tokens[1], tokens[1][-1] + offs[1:]])
+    return KnownWords(every, ids, np.concatenate([[0], np.cumsum(sizes)]))
 
 
 def _dictionary(words: list[bytes], ranks: dict[bytes, int], known: KnownWords, single: np.ndarray, couples: np.ndarray) -> pa.StructArray:
@@ -333,6 +332,7 @@ def _splitter(ranks_held, pattern: str, text: str, keep: list[str], chunk_bytes:
     def run(batches):
         find = regex.compile(pattern).findall
         ranks, single, couples, known = ranks_held.value
+        give_back()
         for batch in batches:
             for lo, hi, data, offs in text_chunks(batch, text, chunk_bytes):
                 places: defaultdict[str, int] = defaultdict()
@@ -350,6 +350,7 @@ def _splitter(ranks_held, pattern: str, text: str, keep: list[str], chunk_bytes:
                 one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
                 yield pa.RecordBatch.from_arrays([one(dictionary), one(rows)], names=["words", "texts"])
                 del dictionary, at, rows, ids
+                give_back()
 
     return run
 
@@ -364,7 +365,7 @@ def encode(docs: DataFrame, tok: Tokenizer, text: str = "text", out: str = "toke
     schema = T.StructType([T.StructField("words", T.ArrayType(T.StructType([T.StructField("states", T.ArrayType(T.LongType())), T.StructField("ready", T.ArrayType(T.IntegerType()))]))), T.StructField("texts", T.ArrayType(row))])
     blocks = docs.mapInArrow(_splitter(held, tok.pattern, text, keep, chunk_bytes), schema)
     blocks = blocks.select("*", tok.literal("pairs").alias("pairs"))
-    ids = F.transform("words", lambda w: F.when(w["ready"].isNotNull(), w["ready"]).otherwise(fold_merges(w["states"], F.col("pairs"), tok.mask)))
+    ids = F.transform("words", lambda w: F.when(w["ready"].isNotNull(), w["ready"]).otherwise(fold_merges(w["states"], F.col("pairs"))))
 
     def spell(known: Column) -> Column:
         return F.transform("texts", lambda t: F.struct(*(t[k].alias(k) for k in keep), F.flatten(F.transform(t["__at"], lambda i: F.get(known, i))).alias(out)))

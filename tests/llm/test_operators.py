@@ -815,3 +815,31 @@ def test_the_driver_never_holds_the_counters_of_all_slices(spark):
     tracemalloc.stop()
     assert found.dtype == np.uint8 and len(found) == 1 << line_dedup.COUNTER_BITS and found.any()
     assert peak < 24 << 20  # eight bytes for each counter alone are 32 MB
+
+
+def test_pairs_are_found_by_one_look(tok):
+    table = bpe.pair_table(tok.ranks)
+    n, rnd = max(tok.ranks.values()) + 1, random.Random(4)
+    words = {r: t for t, r in tok.ranks.items()}
+    known = [(t[:c], t[c:]) for t in rnd.sample(sorted(tok.ranks), 2000) for c in range(1, len(t))]
+    asked = [(tok.ranks[a], tok.ranks[b]) for a, b in known if a in tok.ranks and b in tok.ranks] + [(rnd.choice([*words]), rnd.choice([*words])) for _ in range(5000)]
+    for a, b in asked:
+        found = int(table[table[a] + b]) ^ (a << 20)
+        assert (found if found < bpe.NO_MERGE else None) == tok.ranks.get(words[a] + words[b])
+    assert len(table) < 16 * n
+
+
+def test_the_cache_of_words_reaches_the_driver_as_arrays(spark, tok):
+    # 50,000 words that are no tokens, each twice: as objects of Python their list alone takes over 5 MB more
+    words = ["".join(random.Random(i).choices("bcdfghjklmnpqrstvwxz", k=9)) for i in range(50_000)]
+    texts = docs(spark, [" ".join(words[i::50]) for i in range(50)] * 2)
+    tracemalloc.start()
+    known = bpe.known_words(texts, tok, "text")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(known.hashes) > len(tok.ranks) + 45_000 and peak < 48 << 20
+    data, offs = bpe._laid_out([(" " + w).encode() for w in words[:500]])
+    place = known.places(data, offs)
+    heads, ids = known.ids_of(place[place >= 0])
+    want = [bpe.heap_merges((" " + w).encode(), tok.ranks) for w, p in zip(words[:500], place, strict=True) if p >= 0]
+    assert len(want) > 400 and [ids[s:e].tolist() for s, e in zip(heads[:-1], heads[1:], strict=True)] == want
