@@ -146,7 +146,8 @@ def by_rarity(tokens: np.ndarray, begin: np.ndarray, frequency: np.ndarray) -> n
 
 def _lines(frequency):
     """(doc, hash, text) -> one row for each set and chunk: key, first place, size, bit maps, prefix. A prefix
-    entry is token << 15 | place << 1 | in the index part."""
+    entry is token << 15 | place << 1 | in the index part, and negative if the token may be in more than LIST sets."""
+    filled = int(math.log2(LIST + 1) * 8)  # the least size class of a counter over LIST
 
     def run(batches):
         for batch in batches:
@@ -166,8 +167,9 @@ def _lines(frequency):
                 maps = bit_maps(tokens, begin)
                 tokens = by_rarity(tokens, begin, frequency.value)
                 # only tokens that occur twice or more are shared
-                use = (at < prefix_size(size)[own]) & (frequency.value[(tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)] > _ONCE)
-                entry = (tokens[use] >> np.uint64(16)) << np.uint64(_PLACE_BITS + 1) | (np.minimum(at[use], (1 << _PLACE_BITS) - 1) << 1 | (at[use] < index_size(size)[own[use]])).astype(np.uint64)
+                seen = frequency.value[(tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
+                use, often = (at < prefix_size(size)[own]) & (seen > _ONCE), seen >= filled
+                entry = (often[use].astype(np.uint64) << np.uint64(63)) | (tokens[use] >> np.uint64(16)) << np.uint64(_PLACE_BITS + 1) | (np.minimum(at[use], (1 << _PLACE_BITS) - 1) << 1 | (at[use] < index_size(size)[own[use]])).astype(np.uint64)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(own[use], minlength=len(size)))])
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(entry.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(doc[keep]), pa.array(same[keep]), pa.array(number[keep].astype(np.int32)), pa.array(size.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in maps), lists], names=["key", "doc", "hash", "line", "n", "b0", "b1", "prefix"])
@@ -247,22 +249,34 @@ def _line_keys(wanted):
 def _matched(batches):
     """(group, key, tokens), sorted by group and first place -> keys of the sets that have an earlier similar one."""
     for table in _whole_groups(batches):
-        group, keys, blobs = table["group"].to_numpy(), table["key"].to_numpy(), table["tokens"].to_pylist()
-        gone = []
-        edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])).tolist()
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in blobs[lo:hi]]
-            n = np.array([len(x) for x in sets])
-            maps = bit_maps(np.concatenate(sets), np.concatenate([[0], np.cumsum(n)]))
-            whole = [frozenset(x.tolist()) for x in sets]
-            for j in range(1, hi - lo):
-                apart = sum(np.bitwise_count(x[:j] ^ x[j]).astype(np.int64) for x in maps)
-                for i in np.flatnonzero(n[:j] + n[j] - apart >= 2 * overlap_needed(n[:j], n[j])).tolist():
-                    common = len(whole[i] & whole[j])
-                    if common >= SIMILARITY * (n[i] + n[j] - common) - 1e-9:
-                        gone.append(int(keys[lo + j]))
-                        break
-        yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], names=["key"])
+        group, keys, held = table["group"].to_numpy(), table["key"].to_numpy(), table["tokens"].combine_chunks()
+        begin = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1].astype(np.int64)
+        tokens = np.frombuffer(held.buffers()[2], np.uint64, count=int(begin[-1] - begin[0]) // 8, offset=int(begin[0]))
+        begin = (begin - begin[0]) // 8
+        n, maps = np.diff(begin), bit_maps(tokens, begin)
+        new = np.concatenate([[True], group[1:] != group[:-1]])
+        head = np.maximum.accumulate(np.where(new, np.arange(len(n)), 0))
+        # each set with all earlier ones of its list, PAIRS / 4 at a time
+        count = np.arange(len(n)) - head
+        sums, gone, whole = np.concatenate([[0], np.cumsum(count)]), np.zeros(len(n), dtype=bool), {}
+        lo = 0
+        while lo < len(n):
+            hi = max(lo + 1, int(np.searchsorted(sums, sums[lo] + PAIRS // 4, side="right")) - 1)
+            own, step = spread(count[lo:hi])
+            j = own + lo
+            i = head[j] + step
+            apart = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in maps)
+            may = np.flatnonzero(n[i] + n[j] - apart >= 2 * overlap_needed(n[i], n[j]))
+            for a, b in zip(i[may].tolist(), j[may].tolist(), strict=True):
+                if gone[b]:
+                    continue
+                for x in (a, b):
+                    if x not in whole:
+                        whole[x] = frozenset(tokens[begin[x] : begin[x + 1]].tolist())
+                common = len(whole[a] & whole[b])
+                gone[b] = common >= SIMILARITY * (len(whole[a]) + len(whole[b]) - common) - 1e-9
+            lo = hi
+        yield pa.RecordBatch.from_arrays([pa.array(keys[gone])], names=["key"])
 
 
 def _rebuild(keep: list[str], text: str, new):
@@ -290,7 +304,7 @@ def _postings(sets: DataFrame) -> DataFrame:
     """The posting lists (group, n, entry, key, b0, b1) of all prefix tokens, in partitions of whole groups."""
     posted = sets.select("key", "n", "b0", "b1", F.explode("prefix").alias("entry")).withColumn("group", F.shiftright("entry", _PLACE_BITS + 1))
     columns = ["group", "n", "entry", "key", "b0", "b1"]
-    count = sets.select(F.explode("prefix").alias("entry")).groupBy(F.shiftright("entry", _PLACE_BITS + 1).alias("group")).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > LIST)
+    count = sets.select(F.explode(F.filter("prefix", lambda e: e < 0)).alias("entry")).groupBy(F.shiftright("entry", _PLACE_BITS + 1).alias("group")).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > LIST)
     hot = materialise(count.select("group"), "line-hot")
     if not hot.limit(1).count():
         return posted.select(columns).repartition("group").sortWithinPartitions("group", "n")

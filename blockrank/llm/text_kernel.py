@@ -154,6 +154,13 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
 
 def order_within(keys: np.ndarray, groups: np.ndarray) -> np.ndarray:
     """The order by (group, key); groups are numbered from 0."""
+    bits = np.uint64(max(1, int(groups.max()).bit_length() if len(groups) else 1))
+    joined = (groups.astype(np.uint64) << (np.uint64(64) - bits)) | (keys.astype(np.uint64) >> bits)
+    order = np.argsort(joined)
+    joined, own = joined[order], keys[order]
+    if not ((joined[1:] == joined[:-1]) & (own[1:] != own[:-1])).any():
+        return order
+    # different keys that differ in their last bits only
     order = np.argsort(keys)
     for low in range(0, max(1, int(groups[-1]).bit_length() if len(groups) else 1), 16):
         part = ((groups[order] >> low) & 0xFFFF).astype(np.uint16)

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import tracemalloc
+import types
 import zlib
 
 import numpy as np
@@ -843,3 +844,37 @@ def test_the_cache_of_words_reaches_the_driver_as_arrays(spark, tok):
     heads, ids = known.ids_of(place[place >= 0])
     want = [bpe.heap_merges((" " + w).encode(), tok.ranks) for w, p in zip(words[:500], place, strict=True) if p >= 0]
     assert len(want) > 400 and [ids[s:e].tolist() for s, e in zip(heads[:-1], heads[1:], strict=True)] == want
+
+
+def test_only_tokens_that_may_fill_a_list_are_counted_again():
+    lines = ["common"] * 5000 + ["rare", "now and then"] * 50 + [f"w{i}" for i in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array(["\n".join(lines)])], names=["doc", "hash", "text"])
+    data, offs = bpe._laid_out([x.encode() for x in lines])
+    tokens = line_dedup.line_tokens(data, offs)[2]
+    count = np.bincount((tokens >> np.uint64(64 - line_dedup.COUNTER_BITS)).astype(np.int64), minlength=1 << line_dedup.COUNTER_BITS)
+    held = types.SimpleNamespace(value=np.minimum(255, np.log2(count + 1.0) * 8).astype(np.uint8))
+    entries = np.concatenate([r.as_py() for b in line_dedup._lines(held)([batch]) for r in b.column("prefix") if len(r)])
+    of = (entries.view(np.uint64) >> np.uint64(15)) & np.uint64((1 << 48) - 1)
+    by = {int(t >> np.uint64(16)): int(count[t >> np.uint64(64 - line_dedup.COUNTER_BITS)]) for t in tokens}
+    assert sorted((by[t], bool(e < 0)) for e, t in zip(entries, of.tolist(), strict=True)) == [(50, False), (50, False), (5000, True)]
+
+
+def test_matches_in_lists_equal_all_pairs():
+    rnd = random.Random(8)
+    rows = []
+    for g in range(300):
+        base = [rnd.getrandbits(64) for _ in range(rnd.randint(1, 30))]
+        for _ in range(rnd.choice([1, 2, 2, 5, 40])):
+            rows.append((g, len(rows), frozenset(rnd.sample(base, max(1, len(base) - rnd.randint(0, 4))))))
+    table = pa.table({"group": [r[0] for r in rows], "key": [r[1] for r in rows], "tokens": pa.array([np.array(sorted(r[2]), dtype=np.uint64).tobytes() for r in rows], pa.binary())})
+    for size in (7, 1000, 10_000):
+        found = sorted(k for b in line_dedup._matched(iter(table.to_batches(max_chunksize=size))) for k in b.column("key").to_pylist())
+        assert found == [k for g, k, s in rows if any(h == g and i < k and len(s & t) >= 0.8 * len(s | t) - 1e-9 for h, i, t in rows[max(0, k - 40) : k])]
+
+
+def test_keys_that_differ_in_their_last_bits_are_in_order():
+    keys = np.array([5, 4, 5, 4, 1 << 63, 7, 6, 6], dtype=np.uint64)
+    groups = np.array([0, 0, 0, 0, 1, 99_999, 99_999, 99_999])
+    order = line_dedup.order_within(keys, groups)
+    assert [(int(g), int(k)) for g, k in zip(groups[order], keys[order], strict=True)] == sorted(zip(groups.tolist(), keys.tolist(), strict=True))
+    assert line_dedup.order_within(keys[:0], groups[:0]).tolist() == []
