@@ -114,6 +114,8 @@ class Tokenizer:
             for b in range(256):
                 self.couples[a, b] = ranks.get(bytes([a, b]), NO_MERGE)
         self._frame = spark.createDataFrame(table)
+        del pieces, pairs, table
+        give_back()
 
     def literal(self, name: str) -> Column:
         held = F.col(name).cast("array<string>") if name == "pieces" else F.col(name)
@@ -293,6 +295,8 @@ def known_words(docs: DataFrame, tok: Tokenizer, text: str) -> KnownWords:
     words = words.filter(pa.array((known.places(data, offs) < 0) & (np.diff(offs) <= LONG_WORD)))
     if not len(words):
         return known
+    del known, top
+    give_back()
     spark = docs.sparkSession
     deal = max(1, min(len(words) // 1000, 2 * spark.sparkContext.defaultParallelism))
     data, offs = _buffers(words.take(pa.array(np.argsort(np.arange(len(words)) % deal, kind="stable"))))

@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from blockrank.llm import bpe, chat_format, decontaminate, language_id, line_dedup, lm_score, near_dedup, quality, training_order, url_filter
-from blockrank.llm.common import crc_mod
+from blockrank.llm.common import crc_mod, give_back
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, text_sha string"
@@ -878,3 +878,12 @@ def test_keys_that_differ_in_their_last_bits_are_in_order():
     order = line_dedup.order_within(keys, groups)
     assert [(int(g), int(k)) for g, k in zip(groups[order], keys[order], strict=True)] == sorted(zip(groups.tolist(), keys.tolist(), strict=True))
     assert line_dedup.order_within(keys[:0], groups[:0]).tolist() == []
+
+
+def test_freed_memory_is_given_back():
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) >> 8  # noqa: E731  MB
+    blocks = [bytes(4000) for _ in range(40_000)]
+    last, before = blocks[-1], held()
+    del blocks  # the last block keeps the heap from shrinking by itself
+    give_back()
+    assert before - held() > 80 and len(last) == 4000
