@@ -178,7 +178,7 @@ class Store:
         """The lexical index as stored: nothing is tokenised or counted again."""
         tables = self.read()
         docs = tables["blocks"].select("block_uid", "note_path", "dl", "clean_text")
-        return lexical.LexicalIndex(tables["postings"].select("term", "block_uid", "tf", "positions"), self.terms(), docs, self.totals(), porter.vocabulary)
+        return lexical.LexicalIndex(docs, self.totals(), None, self.terms(), tables["postings"].select("term", "block_uid", "tf", "positions"), porter.vocabulary)
 
     def cells(self) -> ann.CellIndex:
         """The vector index as stored: centres, and vectors in folders by cell."""
