@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shipping import ship_package
 
 _ENDS = "\\n\\r\\x0B\\x0C\\x1c-\\x1e\\x85\\u2028\\u2029"
 LINE = rf"[^{_ENDS}]*(?:\r\n|[{_ENDS}])|[^{_ENDS}]+"
@@ -75,29 +80,42 @@ def _numbered(out: DataFrame) -> DataFrame:
 SENTENCE = "[^.!?。！？]*[.!?。！？]+ *|[^.!?。！？]+"
 
 
+def _overlapping(max_chars: int, overlap: int):
+    """The parts of a text, by sums of its pieces' lengths: the end of a part and the begin of the next are looked up in
+    them, so the work is that of the text, however many parts it has."""
+    sentences = re.compile(SENTENCE)
+
+    def parts(text: str | None) -> list[str] | None:
+        if text is None or len(text) <= max_chars:
+            return text if text is None else [text.strip(" ")]
+        ends = [0]
+        for m in sentences.finditer(text):
+            ends.extend(range(ends[-1] + max_chars, m.end(), max_chars))
+            ends.append(m.end())
+        out, at = [], 0
+        while True:
+            to = bisect_right(ends, ends[at] + max_chars) - 1
+            out.append(text[ends[at] : ends[to]].strip(" "))
+            if to == len(ends) - 1:
+                return out
+            at = bisect_left(ends, max(ends[to] - overlap, ends[to + 1] - max_chars), at + 1, to)
+
+    return lambda texts: texts.map(parts, na_action=None)
+
+
 def split_overlapping(blocks: DataFrame, max_chars: int = 1200, overlap: int = 120) -> DataFrame:
     """Long blocks in parts of whole sentences: a part takes sentences as long as it has at most max_chars characters,
     and the next one begins with the last sentences of it that have at most overlap characters together (fewer, if its
     first new sentence would not fit). A sentence of more than max_chars comes in slices of that length. A short
-    block stays as it is, with its ids. One fold over the sentences of a block; its state is the part under way."""
-    keep = blocks.columns
-    sliced = lambda s: F.transform(F.sequence(F.lit(0), F.ceil(F.length(s) / max_chars).cast("int") - 1), lambda k: F.substring(s, k * max_chars + 1, F.lit(max_chars)))
-    pieces = F.when(F.length("clean_text") <= max_chars, F.array("clean_text")).otherwise(F.flatten(F.transform(T.all_matches(F.col("clean_text"), SENTENCE), sliced)))
-    sizes = F.transform("pieces", lambda p, i: F.struct(i.alias("i"), F.length(p).alias("n")))
-    total = lambda own: F.aggregate(own, F.lit(0), lambda a, n: a + n)
-
-    def step(s, piece):
-        after = lambda j: F.slice(s["own"], j + 1, F.greatest(F.size(s["own"]), F.lit(1)))
-        first = F.get(F.filter(F.sequence(F.lit(1), F.greatest(F.size(s["own"]), F.lit(1))), lambda j: (total(after(j)) <= overlap) & (total(after(j)) + piece["n"] <= max_chars)), F.lit(0))
-        longer = F.struct(s["cuts"].alias("cuts"), s["from"].alias("from"), F.concat(s["own"], F.array(piece["n"])).alias("own"))
-        cut = F.struct(F.concat(s["cuts"], F.array(F.struct(s["from"].alias("from"), piece["i"].alias("to")))).alias("cuts"), (s["from"] + first).alias("from"), F.concat(after(first), F.array(piece["n"])).alias("own"))
-        return F.when(total(s["own"]) + piece["n"] <= max_chars, longer).otherwise(cut)
-
-    start = F.struct(F.array().cast("array<struct<from:int,to:int>>").alias("cuts"), F.lit(0).alias("from"), F.array().cast("array<int>").alias("own"))
-    cuts = F.aggregate(sizes, start, step, lambda s: F.concat(s["cuts"], F.array(F.struct(s["from"].alias("from"), F.size("pieces").alias("to")))))
-    parts = F.transform(cuts, lambda c: F.trim(F.array_join(F.slice("pieces", c["from"] + 1, c["to"] - c["from"]), "")))
-    out = blocks.withColumn("pieces", pieces).withColumn("parts", parts).select(*keep, F.posexplode("parts").alias("part", "slice"), F.size("parts").alias("n_parts"))
-    return _numbered(out)
+    block stays as it is, with its ids. Python gets the texts only, once each."""
+    ship_package(blocks.sparkSession)
+    cut = _overlapping(max_chars, overlap)
+
+    @F.pandas_udf("array<string>")
+    def parts(texts: pd.Series) -> pd.Series:
+        return cut(texts)
+
+    return _numbered(blocks.withColumn("parts", parts("clean_text")).select(*blocks.columns, F.posexplode("parts").alias("part", "slice"), F.size("parts").alias("n_parts")))
 
 
 def finish(blocks: DataFrame) -> DataFrame:

@@ -4,10 +4,13 @@ import collections
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from blockrank.functions import porter
+from blockrank.operators import blocks as B
 from blockrank.operators import lexical as L
 from blockrank.operators import scan
 
@@ -85,3 +88,44 @@ def test_equal_queries_are_searched_once_and_all_answered(spark):
     for r in L.lexical_search(asked, index, 4).orderBy("query_id", "lex_rank").collect():
         hits[r.query_id].append((r.block_uid, r.lex_score))
     assert hits[1] and hits[1] == hits[3] and hits[2] and not hits[5] and not hits[6]
+
+
+def _long_words(n):
+    """Texts whose words each occur twice, and stems as often as words."""
+    return [" ".join(f"{a}{b}ing {a}{b}ed" for a in "bcdfghjk" for b in ("ola", "uni", "ano", "eri", "uta", "omi")) for _ in range(n)]
+
+
+def test_phrases_are_found_without_postings_of_all_words(spark, large):
+    blocks = _frame(spark, [*_long_words(800), "x y z", "y x x y", "x y x_y"])
+    asked = spark.createDataFrame([(1, "xxx y_x x_y"), (2, "bolaing_bolaed")], "query_id long, text string")
+    before = _written(spark)
+    tokens, index = L.with_phrases(L.query_terms(asked), L.positional_index(blocks))
+    known = L.token_df(tokens, index).persist()
+    assert {r.token: r.df for r in known.collect()} == {"xxx": 0, "y_x": 2, "x_y": 3, "bolaing_bolaed": 800}
+    found = {(r.query_id, r.block_uid) for r in L.bm25_top(known, index, 5).collect()}
+    assert found == {(1, 800), (1, 801), (1, 802), (2, 0), (2, 1), (2, 2), (2, 3), (2, 4)}
+    known.unpersist()
+    assert _written(spark) - before < 300_000
+
+
+def test_stems_are_found_without_postings_of_all_words(spark, large):
+    blocks = _frame(spark, [*_long_words(800), "hopeful hoping hopes", "hope"])
+    asked = spark.createDataFrame([(1, "hoped"), (2, "bola"), (3, "none such_thing")], "query_id long, text string")
+    before = _written(spark)
+    index = porter.stemmed_index(blocks)
+    tokens, index = L.with_phrases(L.query_terms(asked), index)
+    known = L.token_df(tokens, index).persist()
+    assert {r.token: r.df for r in known.collect()} == {"hoped": 2, "bola": 800, "none": 0, "such_thing": 0}
+    assert {(r.query_id, r.block_uid) for r in L.bm25_top(known, index, 2).collect()} == {(1, 800), (1, 801), (2, 0), (2, 1)}
+    known.unpersist()
+    assert _written(spark) - before < 300_000
+
+
+def test_a_text_of_many_sentences_is_cut_in_time(spark):
+    """The fold over a text's sentences carried all cuts and lengths along: its work grew with the square of a text."""
+    texts = [" ".join(f"s{i % 97} w{i % 11}." for i in range(20_000)) for _ in range(4)]
+    blocks = spark.createDataFrame([(f"n:{i}", str(i), t) for i, t in enumerate(texts)], "block_uid string, block_id string, clean_text string")
+    B.split_overlapping(blocks.limit(1)).count()
+    began = time.time()
+    parts = B.split_overlapping(blocks).select("block_uid", F.length("clean_text").alias("n")).collect()
+    assert time.time() - began < 4 and all(0 < r.n <= 1200 for r in parts) and len(parts) > 4 * 140
